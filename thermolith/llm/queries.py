@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import lcp, pieces, preference, quality, sharding, simhash, urlfilter, warc
 from .shared import table
 
 
@@ -14,6 +14,77 @@ def op1_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivot,)}
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
-ORACLES: dict[str, str] = {}
+
+def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(documents, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op6_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of the ids of each whole text, and whether they spell it again."""
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spelt = pieces.decode(coded)
+    return spelt.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
+        (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")).alias("round_trip"),
+    )
+
+
+URL_RULES = [
+    urlfilter.Rule("allow", "org/"), urlfilter.Rule("block", "example.org/es/"), urlfilter.Rule("block", "example.org/en/1"),
+    urlfilter.Rule("allow", "com/fr/"), urlfilter.Rule("block", "com/de/"),
+]
+
+
+def op7_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_locally_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(*preference.partner_pairs(table(spark, sf_dir, "conversations"))).withColumnRenamed("pair_id", "conv_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op3_warc_salvage, op4_compression_quality, op5_bounded_ring, op6_piece_viterbi, op7_url_automaton, op8_locally_consistent, op10_preference_pairs)}
+
+#: Host and path as in the query; each rule's test in order of its length.
+_URL_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM u)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op3_warc_salvage": _WARC_SQL, "op7_url_automaton": _URL_SQL}
