@@ -140,7 +140,7 @@ def record_at(source: Source, offset: int) -> Record:
         pull(length + 1)  # to the member's end, where its checksum is held against the data
         if not member.eof or have != length:
             raise Damaged("a member that isn't one record")
-        return Record(offset, at - len(member.unused_data) - len(member.unconsumed_tail), headers, block)
+        return Record(offset, at - len(member.unused_data), headers, block)
     headers, block, length = _parsed(lambda n: source.read(offset, n), offset)
     return Record(offset, offset + length, headers, block)
 
