@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lcp, pieces, preference, quality, sharding, simhash, urlfilter, warc
+from . import decontaminate, html_layout, lcp, pieces, preference, quality, sharding, simhash, urlfilter, warc
 from .shared import table
 
 
@@ -14,6 +14,11 @@ def op1_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op2_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -51,11 +56,16 @@ def op8_locally_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op9_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_layout.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(*preference.partner_pairs(table(spark, sf_dir, "conversations"))).withColumnRenamed("pair_id", "conv_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op3_warc_salvage, op4_compression_quality, op5_bounded_ring, op6_piece_viterbi, op7_url_automaton, op8_locally_consistent, op10_preference_pairs)}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_bm25_wand, op3_warc_salvage, op4_compression_quality, op5_bounded_ring, op6_piece_viterbi, op7_url_automaton, op8_locally_consistent, op9_layout_text, op10_preference_pairs)}
 
 #: Host and path as in the query; each rule's test in order of its length.
 _URL_SQL = r"""
