@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 SHINGLE = 5
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -234,4 +236,5 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their own columns."""
-    return with_hits(docs, items, out_col="__hits", **options).where(F.size("__hits") == 0).drop("__hits")
+    hits = fresh(docs, "__hits")
+    return with_hits(docs, items, out_col=hits, **options).where(F.size(hits) == 0).select(*docs.columns)

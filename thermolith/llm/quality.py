@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 #: Bounds of the sample that the model is fitted on: rows of each class for the dictionaries, rows of both for
 #: the calibration, and the longest text (characters) that may be in the sample. Scoring has no bound.
 DICTIONARY_ROWS, CALIBRATION_ROWS, LONGEST_SAMPLE = 1200, 2400, 20_000
@@ -139,3 +141,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(training_rows(docs, labels, id_col, text_col, label_col))
     scored = score(docs.withColumn("held_out", held_out(F.col(id_col))), model, text_col)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, in their own columns whatever their names."""
+    name = fresh(docs, "__score")
+    model = fit(training_rows(docs, labels, id_col, text_col, label_col))
+    return score(docs, model, text_col, name).where(F.col(name) >= 0.5).select(*docs.columns)
