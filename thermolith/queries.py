@@ -388,7 +388,7 @@ def streaming_loop_equals_batch(s, d):
     ready = W.precool_flag(_inputs(s, d), "center", FAC)
     ready = W.forecast(ready.select("*", *[F.col(v).alias(k) for k, v in loop.INPUT.items()]), "center", FAC.horizon_steps, ["load", "price", "ci", "outdoor", "renewable"])
     rows = ready.select(F.col("center").cast("long").alias("run_id"), F.lit("finite_horizon").alias("controller"), F.lit("combined_nonideal").alias("condition"), F.col("timestamp").cast("timestamp").alias("at"), "load", "price", "ci", "outdoor", "renewable", "precool", F.lit(None).cast("double").alias("action"), "forecast")
-    stepped = live.simulate(rows, FAC).select("run_id", "step_index", F.col("true_temperature_c").alias("streamed_c"), "error")
+    stepped = live.replay(rows, FAC).select("run_id", "step_index", F.col("true_temperature_c").alias("streamed_c"), "error")
     whole = _simulated(s, d, controller="finite_horizon", cond="combined_nonideal").select("run_id", "step_index", "true_temperature_c")
     return rounded(stepped.join(whole, ["run_id", "step_index"]).withColumn("difference", F.abs(F.col("streamed_c") - F.col("true_temperature_c"))))
 

@@ -8,6 +8,8 @@ forecast) is part of its input, so nothing ahead of it is ever seen.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,5 +71,21 @@ def processor(f: Facility):
 
 
 def simulate(stream: DataFrame, f: Facility | None = None) -> DataFrame:
-    """A streaming (or batch) frame of INPUT rows to one of OUT rows."""
+    """A streaming frame of INPUT rows to one of OUT rows."""
     return stream.groupBy("run_id").applyInPandasWithState(processor((f or Facility()).validated()), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def folder(spark) -> str:
+    """A new folder under the one that the cluster shares, or a temporary one where it names none."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+
+
+def replay(rows: DataFrame, f: Facility | None = None) -> DataFrame:
+    """Runs INPUT rows through the streaming loop to their end: written as files, read as
+    a stream, and what comes out written as files and read again."""
+    spark, at = rows.sparkSession, folder(rows.sparkSession)
+    rows.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+    query = simulate(stream, f).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{at}/out")
