@@ -25,6 +25,7 @@ from .shared import new_path, written
 
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+FIELD = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 #: Bytes read at a time.
 CHUNK = 1 << 20
 
@@ -79,8 +80,8 @@ def _headers(head: bytes) -> dict[str, str]:
     out = {}
     for line in head.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
-            raise Damaged("a header line without a colon")
+        if not colon or not FIELD.fullmatch(name):
+            raise Damaged("a line that is no header field")
         out[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     return out
 
