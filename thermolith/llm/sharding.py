@@ -49,7 +49,11 @@ def ring(shards: int, vnodes: int) -> tuple[list[int], list[int]]:
 
 
 def place(counts: dict[int, int], shards: int, vnodes: int) -> list[tuple[int, int, int, int]]:
-    """(cell, first rank, end rank, shard) for rows counted by cell; ``counts`` is bounded by CELLS."""
+    """(cell, first rank, end rank, shard) for rows counted by cell; ``counts`` is bounded by CELLS.
+
+    In rounds: every node takes what waits at it, in the order of cells and ranks, as far
+    as its shard has room; what is left over then goes on to the next node of a shard with room.
+    """
     total = sum(counts.values())
     room = [total // shards + (s < total % shards) for s in range(shards)]
     cells, owner = ring(shards, vnodes)
@@ -60,7 +64,7 @@ def place(counts: dict[int, int], shards: int, vnodes: int) -> list[tuple[int, i
             waiting[bisect.bisect_left(cells, cell) % n].append((cell, 0, counts[cell]))
     out = []
     while waiting:
-        onward: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        over = []
         for node in sorted(waiting):
             shard = owner[node]
             for cell, lo, hi in waiting[node]:
@@ -69,11 +73,13 @@ def place(counts: dict[int, int], shards: int, vnodes: int) -> list[tuple[int, i
                     out.append((cell, lo, lo + taken, shard))
                     room[shard] -= taken
                 if lo + taken < hi:
-                    step = 1
-                    while step < n and not room[owner[(node + step) % n]]:
-                        step += 1
-                    onward[(node + step) % n].append((cell, lo + taken, hi))
-        waiting = onward
+                    over.append((cell, lo + taken, hi, node))
+        waiting = defaultdict(list)
+        for cell, lo, hi, node in sorted(over):
+            node = (node + 1) % n
+            while not room[owner[node]]:
+                node = (node + 1) % n
+            waiting[node].append((cell, lo, hi))
     return sorted(out)
 
 
