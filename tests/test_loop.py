@@ -62,6 +62,17 @@ def test_external_action_and_ramp(spark):
     assert out["target_c"].isna().all()
 
 
+def test_own_controller(spark):
+    import numpy as np
+
+    def steady(lp, state, x, window):
+        assert window["price"].shape[1] <= lp.f.horizon_steps
+        return np.full(len(state.true), 90.0), np.full(len(state.true), 23.0), np.full(len(state.true), lp.f.min_temp_c)
+
+    out = loop.simulate(day_inputs(spark, controller=F.lit("steady"), condition=F.lit("ideal")), FAC, controllers={"steady": steady}).toPandas()
+    assert (out["proposed_cooling_kw"] == 90.0).all() and (out["target_c"] == 23.0).all()
+
+
 def test_gap_is_an_error(spark):
     broken = day_inputs(spark, controller=F.lit("baseline"), condition=F.lit("ideal")).where("step_index <> 5")
     with pytest.raises(Exception, match=TimeAlignmentError.__name__):

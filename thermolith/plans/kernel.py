@@ -37,6 +37,8 @@ class Loop:
     f: Facility
     c: Condition
     controller: str
+    #: A controller of the caller's own: (loop, state, inputs, window) to (request, target, floor), arrays over runs.
+    act: object = None
     alpha: float = field(init=False)
 
     def __post_init__(self):
@@ -169,7 +171,9 @@ class Loop:
         out["evaluations"] = np.zeros(runs, np.int64)
         target, floor, cold = at(f.setpoint_temp_c), at(f.min_temp_c), at(False)
         next_mpc = s.mpc_queue
-        if self.controller == "external":
+        if self.act is not None:
+            proposed, target, floor = self.act(self, s, x, window)
+        elif self.controller == "external":
             proposed, target, floor = x["action"].astype(float), at(np.nan), at(np.nan)
         elif self.controller == "finite_horizon":
             s.mpc_queue = s.mpc_queue if s.mpc_queue.shape[1] else s.queue

@@ -37,21 +37,26 @@ def advance(loop: Loop, table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     state = loop.start(runs, np.full(runs, noise[0]))
     outs = []
     for t in range(steps):
-        window = {k: table[k][:, t : t + loop.f.horizon_steps] for k in INPUT} if loop.controller == "finite_horizon" else None
+        window = {k: table[k][:, t : t + loop.f.horizon_steps] for k in INPUT} if loop.controller == "finite_horizon" or loop.act is not None else None
         state, out = loop.step(state, {k: v[:, t] for k, v in table.items()}, np.full(runs, noise[t + 1]), window)
         outs.append(out)
     return {k: np.stack([o[k] for o in outs], axis=1) for k in outs[0]}
 
 
-def simulate(inputs: DataFrame, f: Facility | None = None, conditions: dict[str, Condition] | None = None) -> DataFrame:
+def simulate(inputs: DataFrame, f: Facility | None = None, conditions: dict[str, Condition] | None = None, controllers: dict | None = None) -> DataFrame:
     """``inputs`` with the outputs of each step.
 
+    ``controllers``: controllers of the caller's own by name (see ``Loop.act``); they see
+    the forecast of ``horizon_steps`` and no more, and go through the same safety,
+    actuator and plant as the others.
+
     ``inputs``: run_id, step_index, timestamp, the five input columns of a step,
     ``controller`` and ``condition`` (constant in a run), and ``action`` for runs of the
     controller ``external``. Steps of a run must be the fixed step apart.
     """
     f = (f or Facility()).validated()
     known = {n: condition(n) for n in ("ideal", "rate_limited", "mild_mismatch", "rate_limited_mild_mismatch", "combined_nonideal")} | (conditions or {})
+    own = controllers or {}
     if "action" not in inputs.columns:
         inputs = inputs.withColumn("action", F.lit(None).cast("double"))
     ready = precool_flag(inputs, "run_id", f)
@@ -61,7 +66,7 @@ def simulate(inputs: DataFrame, f: Facility | None = None, conditions: dict[str,
     def group(runs: list[pd.DataFrame]) -> pd.DataFrame:
         key = runs[0]
         name, cond = key["controller"].iat[0], key["condition"].iat[0]
-        if name not in CONTROLLERS:
+        if name not in CONTROLLERS and name not in own:
             raise ConfigurationError(f"unknown controller: {name}")
         if cond not in known:
             raise ConfigurationError(f"unknown condition: {cond}")
@@ -72,7 +77,7 @@ def simulate(inputs: DataFrame, f: Facility | None = None, conditions: dict[str,
             raise TimeAlignmentError("a run's timestamps are not the fixed step apart")
         table = {k: whole[c].to_numpy(float).reshape(shape) for k, c in INPUT.items()}
         table |= {"precool": whole["precool"].to_numpy().reshape(shape), "action": whole["action"].to_numpy(float).reshape(shape)}
-        out = advance(Loop(f, known[cond].validated(), name), table)
+        out = advance(Loop(f, known[cond].validated(), name, own.get(name)), table)
         made = {"run_id": whole["run_id"], "step_index": whole["step_index"]}
         made |= {n: out[n].reshape(-1) for n in NUMBERS} | {n: out[n].reshape(-1).astype("int32") for n in ("evaluations", *FLAGS)}
         return pd.DataFrame(made)
