@@ -89,6 +89,7 @@ def test_stream_equals_batch_over_two_batches_and_rejects_late_rows(spark, tmp_p
     rows = rows_for_stream(spark, "heuristic", "combined_nonideal").cache()
     cut = rows.orderBy("at").limit(40).agg(F.max("at")).first()[0]
     late = rows.where(F.col("at") == cut)
+    rows.where("false").write.parquet(f"{tmp_path}/in")
     stream = live.simulate(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), FAC)
 
     def feed(part):

@@ -28,7 +28,7 @@ def moved(mode, target, applied, queue=(), **more):
 def test_actuators():
     assert moved("ideal", 150, 0)[0] == 150
     assert moved("rate_limited", 250, 100, ramp_up_kw=30.0, ramp_down_kw=50.0)[::2] == (130.0, True)
-    assert moved("rate_limited", 0, 100, ramp_up_kw=30.0, ramp_down_kw=50.0)[0] == 80.0
+    assert moved("rate_limited", 0, 130, ramp_up_kw=30.0, ramp_down_kw=50.0)[0] == 80.0
     one = moved("first_order", 200, 0)[0]
     two = moved("first_order", 200, one)[0]
     assert 0 < one < two < 200
