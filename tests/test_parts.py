@@ -142,3 +142,18 @@ def test_report_text(spark):
     df = spark.createDataFrame([("cost", 1.5), ("carbon", None)], "name string, value double")
     lines = [r[0] for r in reports.fixed_width(df, [("name", 8), ("value", 10)]).collect()]
     assert lines == ["cost        1.5000", "carbon     missing"]
+
+
+def test_sqlite_source(spark, tmp_path):
+    import sqlite3
+
+    from thermolith.sources import sqlite
+
+    path = str(tmp_path / "old.sqlite")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE run_metrics (run_id INTEGER, metric TEXT, value REAL)")
+        c.executemany("INSERT INTO run_metrics VALUES (?, ?, ?)", [(i % 3, f"m{i}", i / 2 if i % 5 else None) for i in range(50)])
+    sqlite.register(spark)
+    df = spark.read.format("thermolith_sqlite").option("path", path).option("table", "run_metrics").load()
+    assert [d for _, d in df.dtypes] == ["bigint", "string", "double"]
+    assert df.count() == 50 and df.where("value IS NULL").count() == 10 and df.agg(F.sum("value")).first()[0] == sum(i / 2 for i in range(50) if i % 5)

@@ -38,6 +38,20 @@ def legacy(df: DataFrame) -> DataFrame:
     return df.select(*[scale.get(old, lambda c: c)(F.col(new)).alias(old) for old, new in LEGACY_COLUMNS.items()])
 
 
+def fallback(df: DataFrame, canonical: str, older: str, default: float | None = None, scale: float = 1.0) -> Column:
+    """The canonical column, where it is missing or null the older one times ``scale``, else the default."""
+    tried = [F.col(c).cast("double") * F.lit(k) for c, k in ((canonical, 1.0), (older, scale)) if c in df.columns]
+    return F.coalesce(*tried, F.lit(default).cast("double"))
+
+
+def both_layouts(df: DataFrame) -> DataFrame:
+    """The time, and the values in the older and the canonical columns, each filled from the other."""
+    factor = {"carbon": 1 / 1000.0, "renewable": 100.0}
+    own = [fallback(df, new, old, 0.0, factor.get(old, 1.0)).alias(new) for old, new in LEGACY_COLUMNS.items() if old != "timestamp"]
+    older = [fallback(df, old, new, 0.0, 1 / factor.get(old, 1.0)).alias(old) for old, new in LEGACY_COLUMNS.items() if old != "timestamp"]
+    return df.select("timestamp", *older, *own)
+
+
 def read_csv(spark: SparkSession, path: str, zone: str = "Asia/Shanghai", source: str = "csv") -> tuple[DataFrame, str]:
     """A signal file in either layout, and its source tag."""
     raw = spark.read.option("header", True).csv(path)
