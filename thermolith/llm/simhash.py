@@ -189,6 +189,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates; in a larger one, each text and three texts of the bucket, the first in
     three orders of ids that all buckets share.
 
+    The ids of candidates, and those that go, grow with the data, so they are merged with
+    the texts and never broadcast, whatever their number.
+
     Equal texts are one text from the start. Null and empty texts are equal texts. Rows
     with a null id are not in the result. An id with several texts takes all their groups together.
     """
@@ -222,7 +225,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs, _ = written(pairs, "pairs")
 
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets, _ = written(rows.join(involved, "id", "left_semi").dropDuplicates(["id"]).select("id", set_of("text").alias("s")), "sets")
+    sets, _ = written(rows.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).select("id", set_of("text").alias("s")), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     alike = F.when(F.size("sa") + F.size("sb") == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9)
@@ -235,4 +238,4 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with one document of each group of :func:`near_copies`, that of the
     smallest id, in its own columns. Rows with a null id stay."""
     gone = near_copies(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("group")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["__gone"], "left_anti")
