@@ -116,6 +116,7 @@ def test_pieces_odd_rows(odd_docs, no_docs):
     assert len(out) == odd_docs.count()
     for r in out:
         assert r["decoded"] == (r["text"] or "").replace("▁", " ")
+    assert [tuple(r[c] for c in ("doc_id", "ids", "decoded")) for r in pieces.encode_and_decode(odd_docs).collect()] == [tuple(r[c] for c in ("doc_id", "ids", "decoded")) for r in out]
     assert pieces.encode(no_docs).count() == 0
 
 

@@ -28,15 +28,21 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_MODEL_BYTES = 64 << 20
 MARK = "▁"
-#: Words that a Python worker remembers with their pieces; it starts anew when there are more.
-REMEMBERED = 400_000
+#: Remembered pairs of pieces: 2 to this power.
+MEMO_BITS = 20
+#: Words that a Python worker remembers with their pieces, in each of two generations.
+REMEMBERED = 250_000
+#: Characters split into words together, and words of one length that advance together (characters).
+AT_ONCE, LOCKSTEP = 2_000_000, 400_000
+#: Rows that Arrow batches are cut into.
+ROWS = 1000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 _U = np.uint64
@@ -99,6 +105,8 @@ class Model:
         self.byte_fallback = len(self.byte_ids) == 256
         self.independent = not any(MARK in p.lstrip(MARK) for p, k in zip(self.pieces, kinds) if k in (NORMAL, USER))
         self.lattice = Lattice(self)
+        spell = {BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " \u2047 ".encode(), CONTROL: lambda p: b""}
+        self.spelling = [spell.get(k, lambda p: p.replace(MARK, " ").encode("utf-8"))(p) for p, k in zip(self.pieces, kinds)]
 
     def normal(self, text: str) -> str:
         """The text as the pieces spell it."""
@@ -115,16 +123,7 @@ class Model:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text that the pieces spell; bytes that are no UTF-8 become U+FFFD."""
-        out = bytearray()
-        for i in ids:
-            i = int(i)
-            if self.kinds[i] == BYTE:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif self.kinds[i] == UNKNOWN:
-                out += " ⁇ ".encode()
-            elif self.kinds[i] != CONTROL:
-                out += self.pieces[i].replace(MARK, " ").encode("utf-8")
-        text = out.decode("utf-8", "replace")
+        text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
@@ -145,6 +144,9 @@ class Lattice:
         self.begin = np.append(self.begin, np.int32(len(self.keys)))
         self.most = int(np.diff(self.begin).max(initial=0))
         self.codes = [np.array([ord(c) for c in p], np.uint32) for p in model.pieces]
+        #: Neighbouring characters that some piece holds; between any other two no piece can lie.
+        inside = {(ord(p[k]) << 21) | ord(p[k + 1]) for i in usable for p in (model.pieces[i],) for k in range(len(p) - 1)}
+        self.bigrams = np.array(sorted(inside), np.int64)
         self.floor = float(model.scores[usable].min()) - 10.0 if usable else -10.0
         if model.model_type == 2:
             self._merges(usable)
@@ -157,7 +159,7 @@ class Lattice:
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 for none."""
-        out = np.full(len(key), -1, np.int64)
+        out = np.full(len(key), -1, np.int32)
         upper = (key >> _U(46)).astype(np.int32)
         at, end = self.begin[upper], self.begin[upper + 1]
         live = np.flatnonzero(at < end)
@@ -185,9 +187,12 @@ class Lattice:
                 self.left[i], self.right[i] = parts
             elif len(m.pieces[i]) > 1:
                 self.rank[i] = 1 << 40  # the merges never arrive at this piece
-        self.reached = self.rank[:n] < 1 << 40
-        self.text_id = by_text
-        self.apart: np.ndarray = np.empty(0, np.int64)  # sorted pair * 2 + whether they stay apart
+        self.reached = self.rank[:n] < 1 << 40  # by piece; index -1 is never asked for alone
+        self.memo = np.full(1 << MEMO_BITS, -2, np.int64)  # pair * 2 + whether they stay apart
+        self.size = np.array([len(p) for p in m.pieces])
+        full = 2**64
+        self.raw = np.array([sum((ord(c) + 1) * int(self.powers[k]) for k, c in enumerate(p)) % full if len(p) <= self.longest else 0 for p in m.pieces], _U)
+        self.shift = np.concatenate(([_U(1)], self.powers))
 
     def _merge_alone(self, piece: str, by_text: dict[str, int], but: int) -> list[int]:
         """The merges on one piece's characters, without those that make the piece itself."""
@@ -205,22 +210,26 @@ class Lattice:
 
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the piece that a and b spell together, or a huge one."""
-        get, p, rank = self.text_id.get, self.m.pieces, self.rank
-        none = len(p)
-        return rank[np.array([get(p[x] + p[y], none) for x, y in zip(a.tolist(), b.tolist())], np.int64)]
+        size = self.size[a] + self.size[b]
+        fits = size <= self.longest
+        key = self.raw[a] + self.raw[b] * self.shift[np.where(fits, self.size[a], 0)]
+        return np.where(fits, self.rank[self.find(key ^ size.astype(_U))], 1 << 40)  # id -1: the last rank, a huge one
 
     def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether merging the text of pieces a and b gives a and b again."""
+        """Whether merging the text of pieces a and b gives a and b again. Answers are kept
+        in a table of fixed size, where a newer pair takes an older one's place."""
         pair = a * (len(self.m.pieces) + 1) + b
-        fresh = np.unique(pair)
-        if len(self.apart):
-            at = np.minimum(np.searchsorted(self.apart >> 1, fresh), len(self.apart) - 1)
-            fresh = fresh[(self.apart[at] >> 1) != fresh]
-        if len(fresh):
+        slot = ((pair.astype(_U) * _BASE) >> _U(64 - MEMO_BITS)).astype(np.int64)
+        held = self.memo[slot]
+        out = (held & 1).astype(bool)
+        missed = np.flatnonzero((held >> 1) != pair)
+        if len(missed):
+            fresh, back = np.unique(pair[missed], return_inverse=True)
             n = len(self.m.pieces) + 1
-            held = self._undo(fresh // n, fresh % n)
-            self.apart = np.sort(np.concatenate([self.apart, fresh * 2 + held]))
-        return (self.apart[np.searchsorted(self.apart >> 1, pair)] & 1).astype(bool)
+            answer = self._undo(fresh // n, fresh % n)
+            out[missed] = answer[back]
+            self.memo[slot[missed]] = pair[missed] * 2 + answer[back]
+        return out
 
     def _undo(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Undoes the later merge of the two again and again: they do not stay apart if
@@ -249,6 +258,21 @@ class Lattice:
             live = live[undo_x | undo_y]
         return held
 
+    def parts(self, words: list[str]) -> list[list[str]]:
+        """Each word cut wherever no piece could hold the two characters that meet."""
+        whole = "".join(words)
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        meet = (code[:-1] << 21) | code[1:]
+        at = np.minimum(np.searchsorted(self.bigrams, meet), max(0, len(self.bigrams) - 1))
+        cut = np.ones(len(code) + 1, bool)
+        cut[1:-1] = (self.bigrams[at] != meet) if len(self.bigrams) else True
+        ends = np.cumsum([len(w) for w in words])
+        cut[ends] = True
+        places = np.flatnonzero(cut)
+        spans = [whole[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+        last = np.searchsorted(places, ends).tolist()
+        return [spans[a:b] for a, b in zip([0, *last[:-1]], last)]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Piece ids of each word; -1 - code point where no piece spells a character."""
         out: list[list[int]] = [[] for _ in words]
@@ -256,7 +280,7 @@ class Lattice:
         for n in np.unique(lengths):
             if n:
                 where = np.flatnonzero(lengths == n)
-                block = max(1, (1 << 21) // int(n))
+                block = max(1, LOCKSTEP // int(n))
                 for i in range(0, len(where), block):
                     part = where[i : i + block]
                     for k, ids in zip(part.tolist(), self._advance([words[j] for j in part])):
@@ -264,74 +288,102 @@ class Lattice:
         return out
 
     def _advance(self, words: list[str]) -> list[list[int]]:
+        """All words, of one length, one position at a time."""
         n, rows = len(words[0]), len(words)
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(rows, n)
-        bpe = self.m.model_type == 2
-        none = len(self.m.pieces)
-        last = np.full((n + 1, rows), -1, np.int64)  # the piece that ends at each position
-        back = np.zeros((n + 1, rows), np.int32)  # its length: the backpointer
-        best = np.full((n + 1, rows), -np.inf)
-        best[0] = 0
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(rows, n).T.astype(_U) + _U(1)
+        last = np.full((n + 1, rows), -1, np.int32)  # the piece that ends at each position
+        back = np.zeros((n + 1, rows), np.int8 if self.longest < 128 else np.int32)  # its length: the backpointer
+        best = np.zeros((n + 1, rows)) if self.m.model_type == 1 else None
         window = min(self.longest, n)
         hashes = np.zeros((window, rows), _U)  # of the substrings that end here, by where they began
+        piece = np.empty((window, rows), np.int32)
         for end in range(1, n + 1):
-            c = code[:, end - 1].astype(_U) + _U(1)
-            value = np.full((window, rows), -np.inf)
-            piece = np.full((window, rows), -1, np.int64)
-            for size in range(min(window, end), 0, -1):
+            c, sizes = code[end - 1], min(window, end)
+            piece[:sizes] = -1
+            for size in range(sizes, 0, -1):
                 slot = (end - size) % window
-                hashes[slot] = c * self.powers[0] if size == 1 else hashes[slot] + c * self.powers[size - 1]
-                found = self.find(hashes[slot] ^ _U(size))
-                at = np.flatnonzero((found >= 0) & np.isfinite(best[end - size]))
-                if not len(at):
-                    continue
-                ids = found[at]
-                if bpe:
-                    at, ids = at[self.reached[ids]], ids[self.reached[ids]]
-                    value[size - 1, at] = size
+                if size == 1:
+                    hashes[slot] = c * self.powers[0]
                 else:
-                    value[size - 1, at] = best[end - size, at] + self.m.scores[ids]
-                piece[size - 1, at] = ids
-            if bpe:
-                # One piece alone can end this prefix; where there are several, those that the merges rule out go.
-                short, at = np.nonzero((piece >= 0) & (np.count_nonzero(piece >= 0, axis=0) > 1))
-                before, ids = last[end - 1 - short, at], piece[short, at]
-                test = np.flatnonzero((before >= 0) & (before < none))
-                out = test[~self.stay_apart(before[test], ids[test])]
-                value[short[out], at[out]] = -np.inf
-            alone = ~np.isfinite(value[0]) & np.isfinite(best[end - 1]) & (piece[0] < 0)
-            known = self.find(c * self.powers[0] ^ _U(1)) >= 0
-            alone &= ~known  # a character without a piece is a step of its own
-            value[0, alone] = 0 if bpe else best[end - 1, alone] + self.floor
-            piece[0, alone] = none
-            pick = value.argmax(0)
-            top = value[pick, np.arange(rows)]
-            ok = np.isfinite(top)
-            best[end, ok] = 0 if bpe else top[ok]
-            last[end] = np.where(ok, piece[pick, np.arange(rows)], -1)
-            back[end] = np.where(ok, pick + 1, 0)
+                    hashes[slot] += c * self.powers[size - 1]
+                piece[size - 1] = self.find(hashes[slot] ^ _U(size))
+            alone = piece[0] < 0  # a character without a piece is a step of its own
+            if self.m.model_type == 1:
+                self._best(end, sizes, piece, alone, last, back, best)
+            else:
+                self._only(end, sizes, piece, alone, last, back)
         if (back[n] == 0).any():
             raise ValueError("the model has no pieces for a word")
-        out = [[] for _ in range(rows)]
-        at = np.full(rows, n)
-        steps = []
-        live = np.arange(rows)
+        out: list[list[int]] = [[] for _ in range(rows)]
+        at, live, steps = np.full(rows, n), np.arange(rows), []
         while len(live):
-            steps.append((live, np.where(last[at[live], live] == none, -1 - code[live, at[live] - 1].astype(np.int64), last[at[live], live])))
-            at[live] -= back[at[live], live]
+            here = at[live]
+            ids = last[here, live]
+            steps.append((live, np.where(ids == len(self.m.pieces), -code[here - 1, live].astype(np.int64), ids)))
+            at[live] -= back[here, live]
             live = live[at[live] > 0]
         for rows_, ids in reversed(steps):
             for r, i in zip(rows_.tolist(), ids.tolist()):
                 out[r].append(i)
         return out
 
+    def _best(self, end, sizes, piece, alone, last, back, best) -> None:
+        """Unigram: the path of the largest sum of scores."""
+        value = np.where(piece[:sizes] >= 0, self.m.scores[piece[:sizes]] + best[end - 1 - np.arange(sizes)], -np.inf)
+        value[0, alone] = best[end - 1, alone] + self.floor
+        pick = value.argmax(0)
+        rows = np.arange(value.shape[1])
+        best[end] = value[pick, rows]
+        ids = piece[pick, rows]
+        last[end] = np.where(ids < 0, len(self.m.pieces), ids)
+        back[end] = pick + 1
+
+    def _only(self, end, sizes, piece, alone, last, back) -> None:
+        """BPE: the one piece that can end this prefix. Where a single one is there it is
+        that; where there are several, those that the merges rule out go, and the longest left wins."""
+        there = (piece[:sizes] >= 0) & self.reached[piece[:sizes]]
+        count = there.sum(0, dtype=np.int8)
+        pick = sizes - 1 - there[::-1].argmax(0)
+        many = np.flatnonzero(count + alone > 1)
+        if len(many):
+            short, k = np.nonzero(there[:, many])
+            at = many[k]
+            before, ids = last[end - 1 - short, at].astype(np.int64), piece[short, at].astype(np.int64)
+            test = np.flatnonzero((before >= 0) & (before < len(self.m.pieces)))
+            out = test[~self.stay_apart(before[test], ids[test])]
+            there[short[out], at[out]] = False
+            left = there[:, many]
+            pick[many] = sizes - 1 - left[::-1].argmax(0)
+            count[many] = left.any(0)
+        rows = np.arange(len(pick))
+        none = (count == 0) & alone
+        last[end] = np.where(none, len(self.m.pieces), piece[pick, rows])
+        back[end] = np.where(none, 1, np.where(count > 0, pick + 1, 0))
+
+
+class Memory:
+    """Two generations of REMEMBERED entries at most: what is used in the younger one lives on."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """Those that are in neither generation; the others are in the younger one now."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        missed = keys - self.young.keys()
+        again = missed & self.old.keys()
+        self.young.update((k, self.old[k]) for k in again)
+        return list(missed - again)
+
 
 class Encoder:
-    """Encodes whole texts, with a memory of the words it has met."""
+    """Encodes whole texts, with a memory of the words and parts of words it has met."""
 
     def __init__(self, data: bytes):
         self.model = Model(data)
-        self.known: dict[str, bytes] = {}
+        self.known, self.segments = Memory(), Memory()
 
     def _spell(self, ids: list[int]) -> bytes:
         """Final ids: a character without a piece becomes its bytes' pieces, or one unknown for a run of them."""
@@ -349,13 +401,26 @@ class Encoder:
         return array("i", out).tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        parts = [self.model.words(self.model.normal(t or "")) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list({w for p in parts for w in p} - self.known.keys())
-        for w, ids in zip(new, self.model.lattice.encode_words(new)):
-            self.known[w] = self._spell(ids)
-        get = self.known.__getitem__
+        """Some texts at a time, so that the words held do not grow with the batch."""
+        out, held, chars = [], [], 0
+        for t in texts:
+            held.append(t or "")
+            chars += len(held[-1])
+            if chars >= AT_ONCE:
+                out += self._encode(held)
+                held, chars = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [self.model.words(self.model.normal(t)) for t in texts]
+        new = self.known.lacking({w for p in parts for w in p})
+        if new:
+            cut = self.model.lattice.parts(new) if self.model.byte_fallback else [[w] for w in new]  # a run of unknown characters is one piece
+            fresh = self.segments.lacking({x for c in cut for x in c})
+            self.segments.young.update(zip(fresh, map(self._spell, self.model.lattice.encode_words(fresh))))
+            piece = self.segments.young.__getitem__
+            self.known.young.update((w, b"".join(map(piece, c))) for w, c in zip(new, cut))
+        get = self.known.young.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
 
 
@@ -379,23 +444,26 @@ def _encoder(data: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode_column(text: Column, model: bytes) -> Column:
-    """Piece ids of whole texts (null: none)."""
-    @F.pandas_udf("array<int>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(_encoder(model).encode(texts), dtype=object)
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int32), pa.int32()))
 
-    return of(text)
 
+def _some_at_a_time(docs: DataFrame, of, added: list[tuple[str, str, pa.DataType]], needs: str) -> DataFrame:
+    """``docs`` with columns that ``of`` makes from column ``needs``: Arrow in and out, and
+    never more than some rows of it, so what is held does not grow with the batch."""
+    names = [n for n, _, _ in added]
+    kept = [c for c in docs.columns if c not in names]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T._parse_datatype_string(kind)) for n, kind, _ in added])
 
-def decode_column(ids: Column, model: bytes) -> Column:
-    """Texts from piece ids (null: empty)."""
-    @F.pandas_udf("string")
-    def of(lists: pd.Series) -> pd.Series:
-        m = _encoder(model).model
-        return pd.Series([m.decode([] if x is None else x) for x in lists], dtype=object)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                made = of(part.column(needs))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, names=kept + names)
 
-    return of(ids)
+    return docs.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str = DEFAULT_MODEL, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -404,9 +472,28 @@ def encode(docs: DataFrame, path: str = DEFAULT_MODEL, text_col: str = "text", o
     Null and empty texts have no pieces. Texts are encoded whole. Other columns stay;
     one named ``out_col`` is replaced.
     """
-    return docs.withColumn(out_col, encode_column(F.col(text_col), read_model(path)))
+    model = read_model(path)
+    return _some_at_a_time(docs, lambda x: [_lists(_encoder(model).encode(x.to_pylist()))], [(out_col, "array<int>", pa.list_(pa.int32()))], text_col)
 
 
 def decode(docs: DataFrame, path: str = DEFAULT_MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``docs`` with the texts that the ids spell."""
-    return docs.withColumn(out_col, decode_column(F.col(ids_col), read_model(path)))
+    """``docs`` with the texts that the ids spell (null: empty)."""
+    model = read_model(path)
+
+    def of(x: pa.Array) -> list[pa.Array]:
+        m = _encoder(model).model
+        return [pa.array([m.decode(v or ()) for v in x.to_pylist()], pa.string())]
+
+    return _some_at_a_time(docs, of, [(out_col, "string", pa.string())], ids_col)
+
+
+def encode_and_decode(docs: DataFrame, path: str = DEFAULT_MODEL, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Both in one pass: ids, and the text spelt from these very ids."""
+    model = read_model(path)
+
+    def of(x: pa.Array) -> list[pa.Array]:
+        own = _encoder(model)
+        found = own.encode(x.to_pylist())
+        return [_lists(found), pa.array([own.model.decode(v.tolist()) for v in found], pa.string())]
+
+    return _some_at_a_time(docs, of, [(ids_col, "array<int>", pa.list_(pa.int32())), (out_col, "string", pa.string())], text_col)
