@@ -231,7 +231,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options
     """(id, item_id, score, overlap, question_overlap, answer_overlap): a row for each
     document and item that it holds. Repeated documents give repeated rows."""
     found = with_hits(docs.select(id_col, F.col(options.get("text_col", "text"))), items, **options)
-    return found.select(id_col, F.explode("hits").alias("hit")).select(id_col, "hit.*")
+    # An inner explode would have Spark search each text twice, once to see whether its array is empty.
+    return found.select(id_col, F.explode_outer("hits").alias("hit")).where("hit IS NOT NULL").select(id_col, "hit.*")
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
