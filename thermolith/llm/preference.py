@@ -1,15 +1,14 @@
 """Preference pairs: the longest common prefix of turns, once, and two masked completions.
 
-Turns are compared one by one in an equi-join on (pair, place), so the common prefix is
-a minimum over the places that differ, aggregated before the shuffle. A conversation's
-text is put together only where it is rendered.
+Both conversations of a pair meet in one shuffle, as sorted arrays of turns; the common
+prefix, the rendering and the spans are array functions over these two. A task holds
+pairs, each of which has to be held whole to be a training example at all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 
 def render(role: Column, text: Column) -> Column:
@@ -17,13 +16,6 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("\n<|end|>\n"))
 
 
-def numbered(turns: DataFrame, key: str, turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(key, place, role, text): places 0, 1, ... in the order of turn, role and text
-    (nulls first), so gaps and repeated turn numbers don't matter."""
-    order = Window.partitionBy(key).orderBy(turn_col, role_col, text_col)
-    return turns.select(key, (F.row_number().over(order) - 1).alias("place"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-
-
 def format_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -> DataFrame:
     """One row for each key of ``chosen`` or ``rejected``, both (key, turn, role, text).
 
@@ -37,42 +29,33 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -
     empty completions. A conversation on one side only has no common prefix and the
     other side is empty. Null keys are dropped; an empty table gives no rows.
     """
-    a = numbered(chosen.where(F.col(key).isNotNull()), key)
-    b = numbered(rejected.where(F.col(key).isNotNull()), key)
-    both = a.alias("a").join(b.alias("b"), [key, "place"], "full").select(
-        key, "place", F.col("a.role").alias("c_role"), F.col("a.text").alias("c_text"), F.col("b.role").alias("r_role"), F.col("b.text").alias("r_text"),
-        F.col("a.place").isNotNull().alias("in_c"), F.col("b.place").isNotNull().alias("in_r"),
-    )
-    same = F.col("in_c") & F.col("in_r") & F.col("c_role").eqNullSafe(F.col("r_role")) & F.col("c_text").eqNullSafe(F.col("r_text"))
-    run = Window.partitionBy(key)
-    marked = both.withColumn("cut", F.min(F.when(~same, F.col("place"))).over(run)).withColumn("shared", F.col("cut").isNull() | (F.col("place") < F.col("cut")))
+    sides = [df.where(F.col(key).isNotNull()).select(key, F.lit(i).alias("side"), F.struct("turn", "role", "text").alias("t")) for i, df in enumerate((chosen, rejected))]
+    turns_of = lambda i: F.array_sort(F.collect_list(F.when(F.col("side") == i, F.col("t"))))
+    d = sides[0].unionByName(sides[1]).groupBy(key).agg(turns_of(0).alias("c"), turns_of(1).alias("r"))
+
+    n = F.least(F.size("c"), F.size("r"))
+    same = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at("c", i)["role"].eqNullSafe(F.element_at("r", i)["role"]) & F.element_at("c", i)["text"].eqNullSafe(F.element_at("r", i)["text"]))
+    first = F.array_position(same, False).cast("int")  # 0: none differs
+    d = d.withColumn("shared", F.when(n == 0, F.lit(0)).otherwise(F.when(first == 0, n).otherwise(first - 1)))
+    head = lambda role: F.length(F.coalesce(role, F.lit(""))) + 5  # noqa: E731  the header's characters
+    whole = lambda turns: F.array_join(F.transform(turns, lambda t: render(t["role"], t["text"])), "")
+    rest = lambda c: F.slice(c, F.col("shared") + 1, F.greatest(F.size(c) - F.col("shared"), F.lit(0)))
+
+    def spans(c: str) -> Column:
+        """Spans of assistant turns after the prefix, counted from the conversation's first character."""
+        start = F.struct(F.length("prompt").alias("at"), F.array().cast("array<struct<first:int,end:int>>").alias("spans"))
 
-    def side(role: str, text: str, there: str) -> Column:
-        return F.struct("place", F.col(role).alias("role"), render(F.col(role), F.col(text)).alias("piece"), F.col("shared"), F.length(F.concat(F.lit("<|"), F.coalesce(F.col(role), F.lit("")), F.lit("|>\n"))).alias("header"), F.col(there).alias("there"))
+        def step(s: Column, t: Column) -> Column:
+            end = s["at"] + F.length(render(t["role"], t["text"]))
+            one = F.array(F.struct((s["at"] + head(t["role"])).alias("first"), end.alias("end")))
+            return F.struct(end.alias("at"), F.when(F.coalesce(t["role"], F.lit("")) == "assistant", F.concat(s["spans"], one)).otherwise(s["spans"]).alias("spans"))
 
-    grouped = marked.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("in_c"), side("c_role", "c_text", "in_c")))).alias("c"),
-        F.array_sort(F.collect_list(F.when(F.col("in_r"), side("r_role", "r_text", "in_r")))).alias("r"),
-    )
-    text_of = lambda turns: F.array_join(F.transform(turns, lambda t: t["piece"]), "")
-    tail = lambda turns: F.filter(turns, lambda t: ~t["shared"])
+        return F.aggregate(rest(c), start, step)["spans"]
 
-    def spans(turns: Column) -> Column:
-        """Spans of assistant turns after the prefix, counted from the conversation's first character."""
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,end:int>>").alias("spans"))
-        step = lambda s, t: F.struct(
-            (s["at"] + F.length(t["piece"])).alias("at"),
-            F.when(~t["shared"] & (F.coalesce(t["role"], F.lit("")) == "assistant"), F.concat(s["spans"], F.array(F.struct((s["at"] + t["header"]).alias("first"), (s["at"] + F.length(t["piece"])).alias("end"))))).otherwise(s["spans"]).alias("spans"),
-        )
-        return F.aggregate(turns, start, step)["spans"]
-
-    return grouped.select(
-        key,
-        text_of(F.filter(F.when(F.size("c") > 0, F.col("c")).otherwise(F.col("r")), lambda t: t["shared"])).alias("prompt"),
-        text_of(tail(F.col("c"))).alias("chosen"), text_of(tail(F.col("r"))).alias("rejected"),
-        F.size(F.filter(F.col("c"), lambda t: t["shared"])).alias("prompt_turns"),
-        F.size(tail(F.col("c"))).alias("chosen_turns"), F.size(tail(F.col("r"))).alias("rejected_turns"),
-        spans(F.col("c")).alias("chosen_mask"), spans(F.col("r")).alias("rejected_mask"),
+    d = d.withColumn("prompt", whole(F.slice("c", F.lit(1), F.col("shared"))))
+    return d.select(
+        key, "prompt", whole(rest("c")).alias("chosen"), whole(rest("r")).alias("rejected"), F.col("shared").alias("prompt_turns"),
+        (F.size("c") - F.col("shared")).alias("chosen_turns"), (F.size("r") - F.col("shared")).alias("rejected_turns"), spans("c").alias("chosen_mask"), spans("r").alias("rejected_mask"),
     )
 
 
