@@ -98,6 +98,44 @@ def test_near_copies_of_a_crowd(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(100, 120)]
 
 
+def edited(rng, base, share, tag):
+    """``base`` with single words changed, such that about ``share`` of the five-word shingles go."""
+    own = list(base)
+    for k in rng.sample(range(len(base) // 6), round(share * len(base) / 5)):
+        own[6 * k + 3] = f"{tag}_{k}"
+    return own
+
+
+@pytest.mark.parametrize("middle", [0, 500, 1000])
+def test_a_crowd_is_linked_by_its_original(spark, middle):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(504)]
+    others = [i for i in range(0, 1001, 7) if i != middle][:80]
+    rows = [(middle, " ".join(base))] + [(i, " ".join(edited(rng, base, 0.09, f"x{i}"))) for i in others]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(like(sets[0], s) > 0.81 for s in sets) and like(sets[1], sets[2]) < 0.75
+    kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["doc_id"] for r in kept.collect()] == [min(i for i, _ in rows)]
+
+
+@pytest.mark.parametrize("block", [1 << 18, 1 << 13])
+def test_crowds_by_brute_force(spark, monkeypatch, block):
+    """Chains, pairs and lone texts of one crowd, whose links pass by all leads."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(504)]
+    texts = [edited(rng, base, 0.11, f"x{i}") for i in range(60)]
+    for i in range(40):
+        texts.append(edited(rng, texts[rng.randrange(len(texts))], 0.05, f"z{i}"))
+    rng.shuffle(texts)
+    sets = [set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in texts]
+    want = components(range(100), [(i, j) for i in range(100) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert 10 < len(set(want.values())) < 90
+    kept = simhash.without_near_copies(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+
+
 def test_near_copies_odd_rows(odd_docs, no_docs):
     out = simhash.without_near_copies(odd_docs)
     assert out.columns == odd_docs.columns

@@ -177,6 +177,77 @@ def sampled_simhashes(text: str | None, views: int, sample: int, words_in: int)
     return [_signed(int(p) ^ int(by[v])) for v, p in enumerate(prints)]
 
 
+#: A block of a crowd holds about so much: the shingles of its texts, and ROW for each text.
+BLOCK, ROW = 1 << 18, 256
+
+
+def _linked(crowd: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Pairs (a, b) of components that texts of similarity ``similarity`` or more link, no
+    more than a forest has. Rows (component, s, side): those of side bit 1 are compared
+    with those of bit 2, by exact common counts of their sets ``s``."""
+    sets, side = crowd["s"].tolist(), crowd["side"].to_numpy()
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    part, names = pd.factorize(crowd["component"])
+    sizes = np.array([len(x) for x in sets])
+    _, token, times = np.unique(np.concatenate([np.asarray(x, np.int32) for x in sets]), return_inverse=True, return_counts=True)
+    at = np.repeat(np.arange(len(sets)), sizes)
+    again = times[token] > 1  # a shingle of one text is common to none
+    at, token = at[again], (np.cumsum(times > 1) - 1)[token[again]]
+    order = np.argsort(token, kind="stable")
+    at, token = at[order], token[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    width = max(64, (4 << 20) // len(sets))
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        a, b = np.searchsorted(token, (low, low + width))
+        has = np.zeros((len(sets), width), np.float32)
+        has[at[a:b], token[a:b] - low] = 1
+        common += has[left] @ has[right].T
+    either = sizes[left][:, None] + sizes[right][None, :] - common.astype(np.float64)
+    near = (common >= similarity * either - 1e-9) & (part[left][:, None] != part[right][None, :])
+    x, y = np.nonzero(near)
+    found = np.unique(np.sort(np.stack([part[left[x]], part[right[y]]], axis=1), axis=1), axis=0)
+    up, out = list(range(len(names))), []
+    for i, j in found.tolist():
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        while up[j] != j:
+            up[j] = j = up[up[j]]
+        if i != j:
+            up[j] = i
+            out.append((names[i], names[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _links_in_crowds(crowds: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of components of ``crowds`` (fp, rep, component, s) such that with
+    them every two texts of one ``fp`` that are ``similarity`` alike are in one component.
+
+    Only texts of different components are compared. A crowd is dealt into blocks of
+    bounded size, and each two blocks are one task, so no task grows with the crowd and
+    no pair of texts is ever a row. A large component has blocks of its own, which are
+    not held against one another.
+    """
+    mixed = crowds.groupBy("fp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("fp")
+    open_, _ = written(crowds.join(mixed, "fp", "left_semi"), "crowds")
+    kin = open_.groupBy("fp", "component").agg(F.sum(F.size("s") + F.lit(ROW)).alias("own"))
+    pool = kin.where(F.col("own") < BLOCK).groupBy("fp").agg(F.sum("own").alias("pooled"))
+    parts = lambda c: F.ceil(F.col(c) / F.lit(BLOCK))
+    large = F.col("own") >= BLOCK
+    block = F.struct(
+        F.when(large, F.array("component")).otherwise(F.slice(F.array("component"), 1, 0)).alias("of"),
+        F.when(large, F.pmod(F.xxhash64("rep"), parts("own"))).otherwise(F.pmod(F.xxhash64("component"), parts("pooled"))).alias("nth"),
+    )
+    dealt, _ = written(open_.join(kin, ["fp", "component"]).join(pool, "fp", "left").select("fp", "component", "s", block.alias("block")), "blocks")
+    blocks = dealt.select("fp", "block").distinct()
+    x, y = blocks.select("fp", F.col("block").alias("x")), blocks.select("fp", F.col("block").alias("y"))
+    two = x.join(y, "fp").where((F.col("x") <= F.col("y")) & ((F.size("x.of") == 0) | (F.col("x.of") != F.col("y.of")))).withColumn("task", F.xxhash64("fp", "x", "y"))
+    one = F.col("x") == F.col("y")
+    sides = two.select("fp", "task", F.explode(F.when(one, F.array(F.struct(F.col("x").alias("block"), F.lit(3).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y").alias("block"), F.lit(2).alias("side"))))).alias("e"))
+    compared = dealt.join(sides.select("fp", "task", "e.block", "e.side"), ["fp", "block"]).select("task", "component", "s", "side")
+    kind = crowds.schema["component"].dataType.simpleString()
+    return compared.groupBy("task").applyInPandas(lambda crowd: _linked(crowd, similarity), f"a {kind}, b {kind}")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words_in: int = 5, views: int = 12, sample: int = 4, bucket_cap: int = 6) -> DataFrame:
     """(id, group): for each id the smallest id of its group of exact and near copies.
 
@@ -186,8 +257,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of ``views`` samples (a whole text's fingerprint differs in up to 14 bits at 0.8,
     which no table of 64 bits can search). With 12 views of 4 shingles a pair at 0.8
     is missed with probability 0.002. All pairs of a bucket of ``bucket_cap`` texts are
-    candidates; in a larger one, each text and three texts of the bucket, the first in
-    three orders of ids that all buckets share.
+    candidates. Larger ones (crowds) first join each text to four leads: the first in
+    three orders of ids that all buckets share, and the one that shares its buckets with
+    most texts, as an original does. What that leaves apart is compared pair by pair, in
+    blocks (:func:`_links_in_crowds`), so a crowd loses no link whatever its size.
 
     The ids of candidates, and those that go, grow with the data, so they are merged with
     the texts and never broadcast, whatever their number.
@@ -220,8 +293,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members, _ = written(viewed.join(buckets, "fp"), "views")
     few = members.where(F.col("n") <= bucket_cap)
     inside = few.select("fp", F.col("rep").alias("a")).join(few.select("fp", F.col("rep").alias("b")), "fp").where("a < b").select("a", "b")
-    led = members.where(F.col("n") > bucket_cap).select(F.col("rep").alias("a"), F.explode(F.array("h0", "h1", "h2")).alias("b"))
-    pairs = near.unionByName(equal).unionByName(inside).unionByName(led).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    many = members.where(F.col("n") > bucket_cap)
+    led = many.select(F.col("rep").alias("a"), F.explode(F.array("h0", "h1", "h2")).alias("b"))
+    company = many.groupBy("rep").agg(F.sum("n").alias("company"))
+    middle = many.select("fp", "rep").join(company, "rep").groupBy("fp").agg(F.max(F.struct("company", "rep"))["rep"].alias("b"))
+    centred = many.select("fp", F.col("rep").alias("a")).join(middle, "fp").select("a", "b")
+    pairs = near.unionByName(equal).unionByName(inside).unionByName(led).unionByName(centred).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs, _ = written(pairs, "pairs")
 
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -231,7 +308,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = F.when(F.size("sa") + F.size("sb") == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9)
     edges = both.where(alike).select("a", "b").unionByName(copies)
     parts = connected_components(edges)
-    return parts.select(F.col("node").alias(id_col), F.col("component").alias("group"))
+
+    placed = many.select("fp", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    crowds = placed.join(sets.withColumnRenamed("id", "rep"), "rep")
+    merged = connected_components(_links_in_crowds(crowds, similarity)).select(F.col("node").alias("component"), F.col("component").alias("group"))
+    alone = merged.select(F.col("component").alias("node")).join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
+    whole = parts.unionByName(alone).join(merged, "component", "left")
+    return whole.select(F.col("node").alias(id_col), F.coalesce("group", "component").alias("group"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
