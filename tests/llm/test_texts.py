@@ -1,5 +1,6 @@
 """Quality, pieces, fingerprints by parsing, HTML, preference pairs, archives."""
 
+import base64
 import hashlib
 import io
 import random
@@ -302,3 +303,23 @@ def test_reader_logs_gaps_and_payloads(spark, tmp_path):
     gap = [r for r in rows if r["kind"] == "gap"]
     assert len(gap) == 1 and gap[0]["length"] == 4 and gap[0]["reason"]
     assert all(hashlib.sha256(r["payload"]).hexdigest() == r["payload_digest"] for r in rows if r["kind"] == "response")
+
+
+def test_reader_takes_other_digests_and_none(spark, tmp_path):
+    body = b"<p>some page"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    chunked = b"5\r\n<p>so\r\n7\r\nme page\r\n0\r\n\r\n"
+
+    def record(i, digest, content=body, http=b"HTTP/1.1 200 OK\r\n\r\n"):
+        named = f"WARC-Payload-Digest: {digest}\r\n" if digest else ""
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\n{named}Content-Length: {len(http + content)}\r\n\r\n".encode() + http + content + b"\r\n\r\n"
+
+    good = [f"sha1:{sha1}", f"SHA-1:{hashlib.sha1(body).hexdigest()}", None, "blake9:abc", f"md5:{hashlib.md5(body).hexdigest()}", f"sha256:{hashlib.sha256(body).hexdigest().upper()}"]
+    data = [record(i, d) for i, d in enumerate(good)] + [record(6, f"sha1:{sha1}", chunked, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"), record(7, f"sha1:{sha1}", body, b"")]
+    bad = [record(8, f"sha1:{sha1}", b"<p>some pagE"), record(9, "sha256:" + "0" * 64), record(10, "sha1:")]
+    (tmp_path / "b.warc").write_bytes(b"".join(data + bad))
+    rows = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/b.warc",)], "path string")).collect()
+    kept = {int(r["record_id"][9:]): r for r in rows if r["kind"] == "response"}
+    assert set(kept) == {0, 1, 2, 3, 4, 5, 6, 7, 10}
+    assert all(hashlib.sha256(r["payload"]).hexdigest() == r["payload_digest"] for r in kept.values())
+    assert [r["reason"] for r in rows if r["kind"] == "gap"] == ["wrong payload digest"] * 2

@@ -9,6 +9,7 @@ so they may lie wherever the cluster's shared folder does.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -26,6 +27,9 @@ from .shared import new_path, written
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 FIELD = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
+CHUNK_SIZE = re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r\n")
+#: Digest algorithms that are verified; by any other, a record stands as it is.
+DIGESTS = frozenset(["md5", "sha1", "sha256", "sha384", "sha512"])
 #: Bytes read at a time.
 CHUNK = 1 << 20
 
@@ -86,6 +90,41 @@ def _headers(head: bytes) -> dict[str, str]:
     return out
 
 
+def agrees(header: str, data: bytes) -> bool | None:
+    """Whether a digest header (``algorithm:value``, in hex, base32 or base64) is that of
+    ``data``; None if there is none or its algorithm isn't computed here."""
+    kind, _, value = header.partition(":")
+    kind, value = kind.strip().lower().replace("-", ""), value.strip()
+    if kind not in DIGESTS or not value:
+        return None
+    own = hashlib.new(kind, data)
+    if len(value) == 2 * own.digest_size:
+        return value.lower() == own.hexdigest()
+    base32, base64_ = (f(own.digest()).decode().rstrip("=") for f in (base64.b32encode, base64.urlsafe_b64encode))
+    value = value.rstrip("=")
+    return value.upper() == base32 or value.replace("+", "-").replace("/", "_") == base64_
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """``body`` without its chunked transfer coding; None if it isn't one."""
+    out, at = [], 0
+    while m := CHUNK_SIZE.match(body, at):
+        size, at = int(m[1], 16), m.end()
+        if size == 0:
+            return b"".join(out)
+        out.append(body[at : at + size])
+        at += size + 2
+    return None
+
+
+def payload_agrees(header: str, http: bytes, body: bytes) -> bool | None:
+    """As :func:`agrees` for a response's body as it is stored or, where that is in chunks, as they are joined."""
+    same = agrees(header, body)
+    if same is False and re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", http) and (joined := _unchunked(body)) is not None:
+        return agrees(header, joined)
+    return same
+
+
 def _parsed(pull, offset: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and number of bytes of the record that ``pull(n)`` gives the first n bytes of."""
     want, data = 4096, pull(4096)
@@ -107,8 +146,7 @@ def _parsed(pull, offset: int) -> tuple[dict[str, str], bytes, int]:
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("no end of record where the length says")
     block = data[begin:end]
-    kind, _, digest = headers.get("warc-block-digest", "").partition(":")
-    if kind == "sha256" and hashlib.sha256(block).hexdigest() != digest.lower():
+    if agrees(headers.get("warc-block-digest", ""), block) is False:
         raise Damaged("wrong block digest")
     return headers, block, end + 4
 
@@ -255,7 +293,11 @@ def read_archives(manifest: DataFrame, keep_payload: bool = True) -> DataFrame:
     ``gap`` for each quarantined range of bytes, with the reason.
 
     ``payload_bytes`` is the HTTP body's length as the record's headers give it, which
-    for a revisit is that of the full payload. Null paths are passed over.
+    for a revisit is that of the full payload. ``payload_digest`` is SHA-256 in hex, for a
+    response computed where its header gives none or another; other records, whose
+    payload isn't at hand, keep what another header says, with its algorithm. A response is
+    quarantined if its header's digest is of an algorithm in DIGESTS and differs. Null
+    paths are passed over.
     """
     def of(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [x.split()[0] for x in RECORDS.split(", ")]
@@ -269,14 +311,20 @@ def read_archives(manifest: DataFrame, keep_payload: bool = True) -> DataFrame:
                             rows.append((path, x.offset, x.length, "gap", None, None, None, None, None, None, x.reason))
                         else:
                             h = x.headers
-                            http, _, body = x.block.partition(b"\r\n\r\n")
+                            http, _, body = x.block.partition(b"\r\n\r\n") if x.block.startswith(b"HTTP/") else (b"", b"", x.block)
                             m = re.search(rb"(?im)^content-length:\s*(\d+)", http)
                             full = int(m[1]) if m else len(body)
                             kind = h.get("warc-type", "")
-                            digest = h.get("warc-payload-digest", "").partition(":")[2].lower()
-                            if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
+                            named = h.get("warc-payload-digest", "")
+                            same = payload_agrees(named, http, body) if kind == "response" else None
+                            if same is False:
                                 rows.append((path, x.offset, x.end - x.offset, "gap", None, None, None, None, None, None, "wrong payload digest"))
                                 continue
+                            sha256 = re.fullmatch(r"(?i)\s*sha-?256:\s*([0-9a-f]{64})\s*", named)
+                            if kind == "response":
+                                digest = sha256[1].lower() if sha256 else hashlib.sha256(body).hexdigest()
+                            else:
+                                digest = sha256[1].lower() if sha256 else named
                             rows.append((path, x.offset, x.end - x.offset, kind, h.get("warc-record-id", "").strip("<>"), h.get("warc-refers-to", "").strip("<>") or None, h.get("warc-target-uri"), digest, full, body if keep_payload and kind == "response" else None, None))
                             held += len(body) if keep_payload else 0
                         if len(rows) >= 2000 or held >= 16 << 20:
