@@ -186,6 +186,24 @@ def test_layout(page):
     assert html_layout.render(page) == PAGES[page]
 
 
+STYLES = {
+    "@media print{nav,.ads{display:none}}": True, "@media (max-width: 600px){.ads{display:none}}": True, "@media screen{.ads{display:none}}": False,
+    "@media screen and (min-width:900px){.ads{display:none}}": False, "@media print{p{color:red}} .ads{display:none}": False, ".ads{display:none}.ads{display:block}": True,
+    ".ads{display:block}.ads{display:none}": False, ".ads{display:none!important}.ads{display:block}": False, "#a{display:block} .ads{display:none}": True,
+    "@import 'x.css'; .ads{display:none}": False, "@keyframes k{from{x:y}} @supports (display:grid){.ads{visibility:hidden}}": False, ".ads{content:'}';display:none": False,
+}
+
+
+@pytest.mark.parametrize("style", sorted(STYLES))
+def test_styles_of_the_screen(style):
+    assert html_layout.render(f"<style>{style}</style><p id=a class=ads>text</p>") == ("text" if STYLES[style] else "")
+
+
+def test_inline_style_and_media_of_a_sheet():
+    assert html_layout.render("<style>.x{display:none}</style><p class=x style='display:block'>text") == "text"
+    assert html_layout.render("<style media=print>.x{display:none}</style><p class=x>text") == "text"
+
+
 def test_any_string_renders():
     rng = random.Random(1)
     bits = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "<b", "x y", "&amp;", "<!--", "-->", "<script>", "</script>", "\"", "'", ">", "<", "</", "<br/>", "<select><option>"]

@@ -6,7 +6,8 @@ open (paragraphs, list items, rows, cells, options), opens what they may leave o
 (table bodies and rows), and takes end tags without a start as nothing. Hidden are:
 elements that no browser shows (script, style, head and the like), those with
 ``hidden``, with ``display:none`` or ``visibility:hidden`` in their style or by a rule of a
-style sheet of the page for one tag, class or id, closed dialogs, and hidden inputs.
+style sheet of the page for one tag, class or id that applies to a screen and isn't
+overridden, closed dialogs, and hidden inputs.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+DECLARED = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
 UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -55,6 +56,8 @@ CLOSES = {
 SCOPE = frozenset("table td th caption html template object".split())
 #: Elements nested deeper than this are placed beside, not inside, the one at this depth.
 DEEPEST = 100
+#: The screen's width in pixels, for media queries.
+WIDE = 1280
 #: The widest column, in characters, that others are aligned to.
 WIDEST = 60
 
@@ -146,7 +149,7 @@ def build(page: str) -> tuple[Node, str]:
             inside = page[at : m.start() if m else len(page)]
             at = m.end() if m else len(page)
             if name == "style":
-                styles.append(inside)
+                styles.append(f"@media {attrs['media']} {{{inside}}}" if attrs.get("media") else inside)
             elif name == "textarea":
                 node.children.append(html.unescape(inside))
             elif name == "xmp":
@@ -169,27 +172,84 @@ def close_one(stack: list[Node], name: str) -> None:
             return
 
 
-def hiding_rules(styles: str) -> frozenset[str]:
-    """Selectors of one tag, class (``.x``) or id (``#x``) whose rule hides."""
-    out = set()
-    for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", styles, flags=re.S)):
-        if UNSEEN.search(body):
-            out |= {s.strip() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
-    return frozenset(out)
+def on_screen(query: str) -> bool:
+    """Whether a list of media queries holds on a screen WIDE pixels wide. Features other than the width count as not met."""
+    def holds(q: str) -> bool:
+        turned, kind, features = re.fullmatch(r"(?:(not|only)\s+)?([a-z][\w-]*)?\s*(.*)", q, re.S).groups()
+        met = kind in (None, "all", "screen") and "not" not in features.split("(")[0].split()
+        for f in re.findall(r"\(([^()]*)\)", features) if met else ():
+            m = re.fullmatch(r"\s*(min|max)-width\s*:\s*([\d.]+)\s*(px|em|rem)\s*", f)
+            width = float(m[2]) * (1 if m[3] == "px" else 16) if m and m[2].count(".") < 2 and m[2] != "." else None
+            met = met and width is not None and (width <= WIDE if m[1] == "min" else width >= WIDE)
+        return not met if turned == "not" else met
 
+    return not query.strip() or any(holds(q.strip()) for q in query.lower().split(","))
 
-def visible(node: Node, rules: frozenset[str]) -> bool:
+
+def declared(body: str) -> dict[str, tuple[bool, bool]]:
+    """Of ``display`` and ``visibility``: whether it is important, and whether it hides."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for name, value, important in DECLARED.findall(body):
+        name, now = name.lower(), (bool(important), value.lower() in ("none", "hidden", "collapse"))
+        if now[0] >= out.get(name, now)[0]:
+            out[name] = now
+    return out
+
+
+def hiding_rules(styles: str) -> dict[str, dict[str, tuple[bool, int, bool]]]:
+    """For selectors of one tag, class (``.x``) or id (``#x``), by property: whether the
+    rule that holds is important, its place, and whether it hides. Rules in at-rules that
+    don't apply to a screen are passed over. Empty if no rule hides."""
+    css = re.sub(r"/\*.*?\*/", "", styles, flags=re.S)
+    out: dict[str, dict[str, tuple[bool, int, bool]]] = {}
+    stack: list[tuple[str, bool]] = []  # selectors ("" for an at-rule), whether it applies
+    begin, bodies, hides = 0, [], False
+    for place, m in enumerate(re.finditer(r""""[^"\n]*"|'[^'\n]*'|[{};]|\Z""", css)):
+        mark = m[0]
+        if mark and mark not in "{};":
+            continue
+        part, applies = css[begin : m.start()].strip(), not stack or stack[-1][1]
+        begin = m.end()
+        if mark == "{":
+            if part.startswith("@"):
+                name, _, rest = part[1:].partition(" ") if "(" not in part.split(" ")[0] else (part[1 : part.index("(")], "", part[part.index("(") :])
+                stack.append(("", applies and (name.lower() in ("layer", "supports") and not rest.lower().startswith("not") or name.lower() == "media" and on_screen(rest))))
+            else:
+                nested = bool(stack and stack[-1][0])
+                stack.append((part or "?", applies and not nested))
+                bodies = bodies if nested else []
+            continue
+        if stack and stack[-1][0] and stack[-1][1]:
+            bodies.append(part)
+        while stack and mark != ";":
+            selectors, applies = stack.pop()
+            if selectors and applies:
+                for prop, (important, hidden) in declared(";".join(bodies)).items():
+                    hides = hides or hidden
+                    for one in selectors.split(","):
+                        if re.fullmatch(r"[.#]?[\w-]+", one := one.strip()):
+                            rule = out.setdefault(one if one[0] in ".#" else one.lower(), {})
+                            if (important, place) >= rule.get(prop, (important, place))[:2]:
+                                rule[prop] = (important, place, hidden)
+            if mark:
+                break
+    return out if hides else {}
+
+
+def visible(node: Node, rules: dict[str, dict[str, tuple[bool, int, bool]]]) -> bool:
+    """The rule that holds is the important one, else that of the style, id, class or tag, in this order, else the later one."""
     a = node.attrs
     if node.name in HIDDEN or "hidden" in a or (node.name == "dialog" and "open" not in a) or (node.name == "input" and a.get("type", "").lower() == "hidden"):
         return False
-    if a.get("style") and UNSEEN.search(a["style"]):
-        return False
-    if rules:
-        if node.name in rules or ("id" in a and "#" + a["id"] in rules):
-            return False
-        if "class" in a and any("." + c in rules for c in a["class"].split()):
-            return False
-    return True
+    style = a.get("style", "")
+    if not rules and not (style and UNSEEN.search(style)):
+        return True
+    held: dict[str, tuple[bool, int, int, bool]] = {prop: (important, 3, 0, hidden) for prop, (important, hidden) in declared(style).items()}
+    for rank, names in enumerate(([node.name], ["." + c for c in a.get("class", "").split()], ["#" + a["id"]] if "id" in a else [])):
+        for name in names:
+            for prop, (important, place, hidden) in rules.get(name, {}).items():
+                held[prop] = max(held.get(prop, (False, -1, 0, False)), (important, rank, place, hidden))
+    return not any(x[3] for x in held.values())
 
 
 class Canvas:
@@ -240,7 +300,7 @@ class Canvas:
 
 
 class Renderer:
-    def __init__(self, rules: frozenset[str]):
+    def __init__(self, rules: dict[str, dict[str, tuple[bool, int, bool]]]):
         self.rules = rules
 
     def lines(self, nodes: list, pre: bool = False) -> list[str]:
