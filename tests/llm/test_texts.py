@@ -186,6 +186,14 @@ def test_layout(page):
     assert html_layout.render(page) == PAGES[page]
 
 
+@pytest.mark.parametrize("deep", ["<div>", "<font>", "<b><span>"])
+def test_depth_keeps_the_tree(deep):
+    many = deep * 3000
+    assert html_layout.render(many + "a<div style=display:none>no<div>no</div>no</div><noscript>no</noscript><svg>no</svg>b") == "ab"
+    assert html_layout.render("<div hidden>" + many + "<div>no</div>no") == ""
+    assert html_layout.render(many + "<table><tr><td>a<td>b<tr><td>cc<td>d</table><ul><li>e</ul>") == "a   b\ncc  d\n\n* e"
+
+
 STYLES = {
     "@media print{nav,.ads{display:none}}": True, "@media (max-width: 600px){.ads{display:none}}": True, "@media screen{.ads{display:none}}": False,
     "@media screen and (min-width:900px){.ads{display:none}}": False, "@media print{p{color:red}} .ads{display:none}": False, ".ads{display:none}.ads{display:block}": True,

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -54,8 +56,6 @@ CLOSES = {
     "a": (frozenset(["a"]), frozenset("table td th li p div body".split())),
 }
 SCOPE = frozenset("table td th caption html template object".split())
-#: Elements nested deeper than this are placed beside, not inside, the one at this depth.
-DEEPEST = 100
 #: The screen's width in pixels, for media queries.
 WIDE = 1280
 #: The widest column, in characters, that others are aligned to.
@@ -76,13 +76,33 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def build(page: str) -> tuple[Node, str]:
-    """The tree of a page, and the text of its style sheets."""
+class Open(list):
+    """The open elements, outermost first; counts their names, so a search for one that isn't open costs nothing."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.names, self.deepest = Counter([root.name]), 1
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.names[node.name] += 1
+        self.deepest = max(self.deepest, len(self))
+
+    def cut(self, i: int) -> None:
+        for node in self[i:]:
+            self.names[node.name] -= 1
+        del self[i:]
+
+
+def build(page: str) -> tuple[Node, str, int]:
+    """The tree of a page, the text of its style sheets, and the tree's depth."""
     root = Node("html", {})
-    stack, styles, at = [root], [], 0
+    stack, styles, at = Open(root), [], 0
 
     def close(names: frozenset, bounds: frozenset) -> None:
         """Ends the outermost open element of ``names`` that lies inside the nearest one of ``bounds``."""
+        if not any(stack.names[n] for n in names):
+            return
         cut = None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in bounds:
@@ -90,13 +110,12 @@ def build(page: str) -> tuple[Node, str]:
             if stack[i].name in names:
                 cut = i
         if cut is not None:
-            del stack[cut:]
+            stack.cut(cut)
 
     def start(name: str, attrs: dict[str, str]) -> Node:
         node = Node(name, attrs)
         stack[-1].children.append(node)
-        if len(stack) < DEEPEST:
-            stack.append(node)
+        stack.push(node)
         return node
 
     while at < len(page):
@@ -106,7 +125,7 @@ def build(page: str) -> tuple[Node, str]:
         if text is not None:
             text = html.unescape(text) if "&" in text else text
             if stack[-1].name == "head" and not text.isspace():
-                stack.pop()
+                stack.cut(-1)
             stack[-1].children.append(text)
             continue
         name = m["name"]
@@ -116,7 +135,7 @@ def build(page: str) -> tuple[Node, str]:
         if m["end"]:
             if name == "br":
                 start("br", {})
-                stack.pop() if stack[-1].name == "br" else None
+                stack.cut(-1)
             elif name in HEADINGS:
                 close(HEADINGS, SCOPE)
             elif name == "p":
@@ -128,22 +147,21 @@ def build(page: str) -> tuple[Node, str]:
         attrs = attributes(raw) if "=" in raw or raw.strip(" /\n\t") else {}
         if name in ("html", "body"):
             if name == "body" and stack[-1].name == "head":
-                stack.pop()
+                stack.cut(-1)
             root.attrs = {**attrs, **root.attrs}
             continue
         if stack[-1].name == "head" and name not in HIDDEN:
-            stack.pop()
+            stack.cut(-1)
         if name in CLOSES_P:
             close(frozenset(["p"]), SCOPE | {"button"})
         if name in HEADINGS and stack[-1].name in HEADINGS:
-            stack.pop()
+            stack.cut(-1)
         if name in CLOSES:
             close(*CLOSES[name])
-        if name in ("td", "th", "tr") and any(n.name == "table" for n in stack):
+        if name in ("td", "th", "tr") and stack.names["table"]:
             if name != "tr" and stack[-1].name != "tr":
                 start("tr", {})
         node = start(name, attrs)
-        opened = stack[-1] is node
         if name in RAW:
             m = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             inside = page[at : m.start() if m else len(page)]
@@ -154,19 +172,20 @@ def build(page: str) -> tuple[Node, str]:
                 node.children.append(html.unescape(inside))
             elif name == "xmp":
                 node.children.append(inside)
-            if opened:
-                stack.pop()
-        elif name in VOID and opened:
-            stack.pop()
-    return root, "\n".join(styles)
+            stack.cut(-1)
+        elif name in VOID:
+            stack.cut(-1)
+    return root, "\n".join(styles), stack.deepest
 
 
-def close_one(stack: list[Node], name: str) -> None:
+def close_one(stack: Open, name: str) -> None:
     """Ends the nearest open element of this name, unless a table cell or table lies between."""
+    if not stack.names[name]:
+        return
     inner = name in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption")
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].name == name:
-            del stack[i:]
+            stack.cut(i)
             return
         if stack[i].name == "table" or (not inner and stack[i].name in SCOPE):
             return
@@ -438,8 +457,13 @@ def render(page: str | None) -> str:
     """The visible text of a page; empty for null or an empty one."""
     if not page:
         return ""
-    root, styles = build(page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "�"))
-    lines = Renderer(hiding_rules(styles)).lines(root.children)
+    root, styles, depth = build(page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "�"))
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + 6 * depth)  # calls between Python functions take no C stack
+    try:
+        lines = Renderer(hiding_rules(styles)).lines(root.children)
+    finally:
+        sys.setrecursionlimit(limit)
     out: list[str] = []
     for line in lines:
         if line or (out and out[-1]):
