@@ -50,6 +50,50 @@ def test_links_are_those_of_brute_force(spark, bits, cap):
     assert components(points, edges) == components(points, near)
 
 
+def test_the_table_discards_and_loses_nothing(spark):
+    """Random points with near ones: what the largest coordinate difference discards is most
+    of each bucket's pairs, and no link; what survives is then verified."""
+    rng = random.Random(12)
+    points = {rng.getrandbits(20) << 22 for _ in range(1500)}
+    points |= {x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in list(points)[:300]}
+    frame = spark.createDataFrame([(simhash._signed(p),) for p in points], "fp long")
+    pairs = simhash.bucket_pairs(simhash.bucket_members(frame), 2).distinct().toPandas()
+    bits = np.array([((a ^ b) % 2**64).bit_count() for a, b in zip(pairs["a"], pairs["b"])])
+    table = {simhash._signed(p): [(p ^ q).bit_count() for q in simhash.RANDOM_PIVOTS] for p in points}
+    differ = [max(abs(x - y) for x, y in zip(table[a], table[b])) for a, b in zip(pairs["a"], pairs["b"])]
+    assert (pairs["survives"] == (np.array(differ) <= 2)).all()
+    assert pairs["survives"][bits <= 2].all()
+    discarded = (~pairs["survives"]).sum()
+    assert (bits > 2).sum() > 1000 and discarded > 0.95 * (bits > 2).sum()
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_rows_of_the_query_by_brute_force(spark, size):
+    from thermolith.llm import queries
+
+    folder = f"/root/testdata/{size}"
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, folder, "documents").collect()]
+    prints = {i: plain_fingerprint(t) for i, t in rows}
+    ids = sorted(prints)
+    fp = np.array([prints[i] for i in ids], np.uint64)
+    pairs = [(ids[i], ids[int(j)]) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= 2)]
+    want = components(ids, pairs)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op1_simhash_pivot(spark, folder).collect()}
+    assert got == {i: (f"{prints[i]:016x}", want[i]) for i in ids}
+
+
+def plain_fingerprint(text):
+    """The contract, word for word."""
+    import re
+
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_simhash_by_definition():
     import re
 

@@ -1,17 +1,19 @@
 """SimHash near-duplicates by pivot distance tables.
 
 A fingerprint is a point of the 64-bit Hamming cube. Its table row holds its
-distances to many reference fingerprints (pivots). Two fingerprints that differ in
-``k`` bits have distances to any pivot that differ by ``k`` at most, so a pair whose
-largest coordinate difference is over ``k`` is discarded unseen; what survives is
-verified by the Hamming distance itself.
+distances to many reference fingerprints (pivots), computed once. Two fingerprints that
+differ in ``k`` bits have distances to any pivot that differ by ``k`` at most, so a pair
+whose largest coordinate difference is over ``k`` is discarded by the table alone; what
+survives is verified by the Hamming distance itself.
 
 The pivots are zero and one mask of two neighbouring bits for each of 32 blocks, plus
 pseudo-random ones. With d0 and dj the distances to zero and to mask j, ``(d0 + 2 -
 dj) / 2`` is the number of bits that a fingerprint has set in block j; a changed bit
 moves one such coordinate by one. Two changed bits leave at least three of five groups
 of blocks alone, so each of the ten choices of three groups gives a bucket key and no
-link is lost. A bucket of up to ``bucket_cap`` fingerprints is compared pair by pair.
+link is lost. Pairs of a bucket are discarded by the distances to the other pivots, seven
+of which are packed in one long, so that all seven are held against each other at once.
+A bucket of up to ``bucket_cap`` fingerprints is compared pair by pair.
 Larger ones (many near copies) go an exact linear way: fingerprints at most two bits
 apart share a fingerprint one bit or none from both, so each is joined to the smallest
 one under each of its 65 neighbours.
@@ -31,8 +33,10 @@ from .shared import connected_components, written
 
 BLOCKS = 32
 GROUPS, KEPT = 5, 3
-#: Pseudo-random reference fingerprints for the coordinate test: multiples of the golden ratio's odd 64-bit constant.
-RANDOM_PIVOTS = tuple((0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(16))
+#: Coordinates in a packed long, and longs: so many pseudo-random pivots.
+PACKED, LONGS = 7, 3
+#: Pseudo-random reference fingerprints for the coordinate test: multiples of the golden ratio's odd 64-bit constant, mixed.
+RANDOM_PIVOTS = tuple(((x := (0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64) ^ (x >> 29)) for i in range(PACKED * LONGS))
 
 
 def _signed(x: int) -> int:
@@ -75,13 +79,32 @@ def fingerprint_column(text: Column, words_in: int = 3) -> Column:
 
 def pivot_table(points: DataFrame) -> DataFrame:
     """Adds ``blocks`` (the coordinates from the block pivots, two bits each, packed)
-    and ``far`` (the distances to the random pivots, an array) to ``points`` (fp)."""
+    and ``far0`` and on (the distances to the random pivots, a byte each, PACKED of
+    them in a long) to ``points`` (fp)."""
     to = lambda pivot: F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(pivot)).cast("long")))
     packed = F.lit(0).cast("long")
     for j in range(BLOCKS):
         ones = ((to(0) + F.lit(2) - to(0b11 << (2 * j))) / 2).cast("long")
         packed = packed.bitwiseOR(F.shiftleft(ones, 2 * j))
-    return points.withColumn("blocks", packed).withColumn("far", F.array(*[to(p).cast("byte") for p in RANDOM_PIVOTS]))
+    out = points.withColumn("blocks", packed)
+    for n in range(LONGS):
+        far = F.lit(0).cast("long")
+        for i, pivot in enumerate(RANDOM_PIVOTS[n * PACKED : (n + 1) * PACKED]):
+            far = far.bitwiseOR(F.shiftleft(to(pivot).cast("long"), 8 * i))
+        out = out.withColumn(f"far{n}", far)
+    return out
+
+
+def coordinates_near(a: str, b: str, max_bits: int) -> Column:
+    """Whether no coordinate of the packed distances of rows ``a`` and ``b`` differs by more
+    than ``max_bits``. A byte holds 0 to 64, so 128 + k plus the one less the other stays
+    in its byte, and its upper bit tells whether the difference is -k or more."""
+    each = sum(1 << (8 * i) for i in range(PACKED))
+    near = F.lit(True)
+    for n in range(LONGS):
+        x, y, base, upper = F.col(f"{a}.far{n}"), F.col(f"{b}.far{n}"), F.lit((128 + max_bits) * each).cast("long"), F.lit(128 * each).cast("long")
+        near = near & ((x + base - y).bitwiseAND(y + base - x).bitwiseAND(upper) == upper)
+    return near
 
 
 def _keys() -> list[int]:
@@ -91,6 +114,22 @@ def _keys() -> list[int]:
     return [sum(part[g] for g in chosen) for chosen in combinations(range(GROUPS), KEPT)]
 
 
+def bucket_members(points: DataFrame) -> DataFrame:
+    """(choice, key, n, fp, far0 ...): the table's rows under each key that two or more share."""
+    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("choice"), F.col("blocks").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(_keys())])
+    table = pivot_table(points)
+    keyed = table.select("fp", *[f"far{n}" for n in range(LONGS)], F.explode(keys).alias("k")).select("k.choice", "k.key", "fp", *[f"far{n}" for n in range(LONGS)])
+    shared = table.select(F.explode(keys).alias("k")).groupBy("k.choice", "k.key").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(shared, ["choice", "key"])
+
+
+def bucket_pairs(members: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b, survives): the pairs of each bucket, and whether the table keeps them."""
+    left, right = members.alias("l"), members.alias("r")
+    same = (F.col("l.choice") == F.col("r.choice")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))
+    return left.join(right, same).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"), coordinates_near("l", "r", max_bits).alias("survives"))
+
+
 def links(points: DataFrame, max_bits: int = 2, bucket_cap: int = 64) -> DataFrame:
     """Edges (a, b) between different fingerprints of ``points`` (fp, distinct) such
     that the connected components are those of all links of at most ``max_bits``.
@@ -100,20 +139,9 @@ def links(points: DataFrame, max_bits: int = 2, bucket_cap: int = 64) -> DataFra
     """
     if not 0 <= max_bits <= GROUPS - KEPT:
         raise ValueError("max_bits must be 0, 1 or 2")
-    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("choice"), F.col("blocks").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(_keys())])
-    table = pivot_table(points)
-    keyed = table.select("fp", F.explode(keys).alias("k")).select("fp", "k.choice", "k.key")
-    shared = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members, _ = written(keyed.join(shared, ["choice", "key"]), "buckets")
-
-    near = members.where(F.col("n") <= bucket_cap)
-    left = near.select("choice", "key", F.col("fp").alias("a"))
-    right = near.select("choice", "key", F.col("fp").alias("b"))
-    apart = lambda pivot: F.abs(F.bit_count(F.col("a").bitwiseXOR(F.lit(_signed(pivot)).cast("long"))) - F.bit_count(F.col("b").bitwiseXOR(F.lit(_signed(pivot)).cast("long"))))
-    survive = F.greatest(*[apart(p) for p in RANDOM_PIVOTS]) <= max_bits
-    verified = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    same = (left["choice"] == right["choice"]) & (left["key"] == right["key"]) & (F.col("a") < F.col("b"))
-    pairs = left.join(right, same & survive & verified).select("a", "b")
+    members, _ = written(bucket_members(points), "buckets")
+    survivors = bucket_pairs(members.where(F.col("n") <= bucket_cap), max_bits).where("survives")
+    pairs = survivors.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
 
     # A fingerprint and its neighbours: for 2 bits they meet half way; for 1 or 0 the pair itself is tested.
     hot = members.where(F.col("n") > bucket_cap).select("fp").distinct()
@@ -129,7 +157,7 @@ def links(points: DataFrame, max_bits: int = 2, bucket_cap: int = 64) -> DataFra
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, bucket_cap: int = 64, words_in: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, ``fingerprint`` (bigint), ``component_id`` (the
-    smallest id reachable over links) and ``n_links`` (documents of the component).
+    smallest id reachable over links) and ``n_component`` (documents of the component).
 
     Null and empty texts have fingerprint 0 and link like any other. Rows without an
     id keep their row, take part in links, and never name a component (its id is null
