@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 from thermolith.llm import html_layout, lcp, pieces, preference, quality, warc
 from thermolith.llm.shared import table
 
-sentencepiece = pytest.importorskip("sentencepiece")
-
 
 # Quality -----------------------------------------------------------------------------------
 
@@ -62,7 +61,12 @@ def encoder():
     return pieces.Encoder(pieces.read_model())
 
 
-def test_bpe_ids_are_the_library_s(spark, folder, encoder):
+@pytest.fixture(scope="module")
+def sentencepiece():
+    return pytest.importorskip("sentencepiece")
+
+
+def test_bpe_ids_are_the_library_s(spark, folder, encoder, sentencepiece):
     own = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
     texts = odd_texts() + [r["text"] for r in table(spark, folder, "documents").collect()]
     for t, ids in zip(texts, encoder.encode(texts)):
@@ -70,6 +74,39 @@ def test_bpe_ids_are_the_library_s(spark, folder, encoder):
         assert encoder.model.decode(ids) == own.decode(ids.tolist())
 
 
+RUNS = {
+    "letters": lambda rng, n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), "one letter": lambda rng, n: "a" * n, "period": lambda rng, n: "thethetion" * (n // 10),
+    "base64": lambda rng, n: base64.b64encode(rng.randbytes(3 * n // 4)).decode(), "script": lambda rng, n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n)),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(RUNS))
+def test_long_runs_without_a_break(encoder, sentencepiece, kind):
+    text = RUNS[kind](random.Random(5), 100_000)
+    begin = time.process_time()
+    ids = encoder.encode([text])[0].tolist()
+    assert time.process_time() - begin < 5
+    assert ids == sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL).encode(text)
+    assert not any(len(name) > pieces.LONGEST_KEPT for name in encoder.known.young)
+
+
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 20_000)
+    own, rng = pieces.Encoder(pieces.read_model()), random.Random(4)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(60))]
+        assert own.encode(texts)[0].tolist() == own.encode(texts)[0].tolist()
+        assert own.known.held < 20_000 + 200 * 300 and len(own.known.old) < 200
+
+
+def test_one_at_a_time_is_the_batch(encoder, monkeypatch):
+    texts = odd_texts(200)
+    want = [x.tolist() for x in encoder.encode(texts)]
+    for few in (0, 10**9):
+        monkeypatch.setattr(pieces, "FEW", few)
+        assert [x.tolist() for x in pieces.Encoder(pieces.read_model()).encode(texts)] == want
+
+
 def varint(n):
     out = b""
     while True:
@@ -95,7 +132,9 @@ def toy_unigram():
     return body + field(2, field(3, 1)) + field(3, field(3, 1) + field(4, 0) + field(5, 1))
 
 
-def test_unigram_is_the_best_path():
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_unigram_is_the_best_path(monkeypatch, few):
+    monkeypatch.setattr(pieces, "FEW", few)
     data = toy_unigram()
     own = pieces.Encoder(data)
     m = own.model

@@ -15,6 +15,9 @@ Two kinds of model use the one lattice:
   pieces stay apart is decided by undoing their merges, for all open pairs at once, and
   remembered.
 
+Where fewer than ``FEW`` words have one length (a long run without a break, say), each
+goes by the same recurrence alone: arrays of a few places cost more than they save.
+
 A word is a run of the space mark ``▁`` and what follows up to the next one. Models with
 a piece that holds the mark after another character, where words would not be
 independent, are taken as one word a text. The model file is read on the driver and
@@ -29,6 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -37,12 +41,15 @@ MOST_MODEL_BYTES = 64 << 20
 MARK = "▁"
 #: Remembered pairs of pieces: 2 to this power.
 MEMO_BITS = 20
-#: Words that a Python worker remembers with their pieces, in each of two generations.
-REMEMBERED = 250_000
-#: Characters split into words together, and words of one length that advance together (characters).
-AT_ONCE, LOCKSTEP = 2_000_000, 400_000
-#: Rows that Arrow batches are cut into.
-ROWS = 1000
+#: Bytes of words, with their pieces, that a Python worker remembers in each of two generations; what an entry
+#: takes besides its text and ids; and the longest word (characters) that is remembered.
+REMEMBERED, ENTRY, LONGEST_KEPT = 48 << 20, 200, 100
+#: Bytes of text split into words together, and words of one length that advance together (characters).
+AT_ONCE, LOCKSTEP = 6 << 20, 400_000
+#: Fewer words of one length go one at a time.
+FEW = 6
+#: Longer words are cut where no piece can lie before they are looked at.
+SHORT = 24
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 _U = np.uint64
@@ -105,8 +112,13 @@ class Model:
         self.byte_fallback = len(self.byte_ids) == 256
         self.independent = not any(MARK in p.lstrip(MARK) for p, k in zip(self.pieces, kinds) if k in (NORMAL, USER))
         self.lattice = Lattice(self)
+        self.after_mark = self.escape and self.dummy_prefix and not self.squeeze and self.independent
         spell = {BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " \u2047 ".encode(), CONTROL: lambda p: b""}
         self.spelling = [spell.get(k, lambda p: p.replace(MARK, " ").encode("utf-8"))(p) for p, k in zip(self.pieces, kinds)]
+        self.spelt_size = np.array([len(x) for x in self.spelling], np.int32)
+        self.spelt_at = np.concatenate(([0], np.cumsum(self.spelt_size)[:-1])).astype(np.int32)
+        self.spelt = np.frombuffer(b"".join(self.spelling), np.uint8)
+        self.leads = np.array([x[:1] == b" " for x in self.spelling], np.int32)
 
     def normal(self, text: str) -> str:
         """The text as the pieces spell it."""
@@ -116,16 +128,43 @@ class Model:
             text = " " + text
         return text.replace(" ", MARK) if self.escape else text
 
-    def words(self, normal: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
+        """The words of a text, each named by what follows its first mark. A word without a
+        mark has one that no other can have, as none holds a mark inside."""
+        if self.after_mark and MARK not in text and "  " not in text and text[:1] != " " and text[-1:] != " ":
+            return text.split(" ") if text else []  # all words of plain prose follow one mark
+        normal = self.normal(text)
         if not self.independent:
-            return [normal] if normal else []
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", normal)
+            return [f"\0{MARK}{normal}"] if normal else []
+        return [w[1:] if w[0] == MARK else f"\0{MARK}{w}" for w in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", normal)]
+
+    @staticmethod
+    def word(name: str) -> str:
+        return name[2:] if name[:2] == f"\0{MARK}" else MARK + name
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text that the pieces spell; bytes that are no UTF-8 become U+FFFD."""
         text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
+    def decode_all(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts that ``flat`` spells, the k-th from ``ends[k]`` to ``ends[k + 1]``."""
+        size, at = self.spelt_size[flat], self.spelt_at[flat]
+        if self.dummy_prefix:
+            first = ends[:-1][ends[1:] > ends[:-1]]
+            lead = self.leads[flat[first]]
+            size[first] -= lead
+            at[first] += lead
+        end = np.concatenate(([0], np.cumsum(size, dtype=np.int32)))
+        place = np.repeat(at - end[:-1], size)
+        place += np.arange(end[-1], dtype=np.int32)
+        out = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(end[ends].astype(np.int32)), pa.py_buffer(self.spelt[place]))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            return pa.array([self.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string())
+        return out
+
 
 class Lattice:
     def __init__(self, model: Model):
@@ -139,15 +178,17 @@ class Lattice:
         self.keys, self.ids = keys[order], np.array(usable, np.int64)[order]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have one hash")
-        # Where in the sorted keys those with the same upper 18 bits begin, so that a probe reads one or two.
+        # Where in the sorted keys those with the same upper 18 bits begin, and whether there are any.
         self.begin = np.searchsorted(self.keys, np.arange(1 << 18, dtype=_U) << _U(46)).astype(np.int32)
         self.begin = np.append(self.begin, np.int32(len(self.keys)))
+        self.any = np.diff(self.begin) > 0
         self.most = int(np.diff(self.begin).max(initial=0))
-        self.codes = [np.array([ord(c) for c in p], np.uint32) for p in model.pieces]
+        self.by_text = {model.pieces[i]: i for i in usable}
         #: Neighbouring characters that some piece holds; between any other two no piece can lie.
         inside = {(ord(p[k]) << 21) | ord(p[k + 1]) for i in usable for p in (model.pieces[i],) for k in range(len(p) - 1)}
         self.bigrams = np.array(sorted(inside), np.int64)
         self.floor = float(model.scores[usable].min()) - 10.0 if usable else -10.0
+        self.score = model.scores.tolist()
         if model.model_type == 2:
             self._merges(usable)
 
@@ -161,15 +202,16 @@ class Lattice:
         """Ids of the pieces with these hashes, -1 for none."""
         out = np.full(len(key), -1, np.int32)
         upper = (key >> _U(46)).astype(np.int32)
-        at, end = self.begin[upper], self.begin[upper + 1]
-        live = np.flatnonzero(at < end)
-        for k in range(self.most):
-            here = at[live] + k
-            hit = self.keys[here] == key[live]
+        live = np.flatnonzero(self.any[upper])
+        key, upper = key[live], upper[live]
+        here, end = self.begin[upper], self.begin[upper + 1]
+        for _ in range(self.most):
+            hit = self.keys[here] == key
             out[live[hit]] = self.ids[here[hit]]
-            live = live[~hit & (here + 1 < end[live])]
-            if not len(live):
+            more = np.flatnonzero(~hit & (here + 1 < end))
+            if not len(more):
                 break
+            live, key, here, end = live[more], key[more], here[more] + 1, end[more]
         return out
 
     def _merges(self, usable: list[int]) -> None:
@@ -180,9 +222,8 @@ class Lattice:
         self.rank = np.full(n + 1, 1 << 40, np.int64)
         self.rank[by_rank] = np.arange(len(by_rank))
         self.left, self.right = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
-        by_text = {m.pieces[i]: i for i in usable}
         for i in by_rank:
-            parts = self._merge_alone(m.pieces[i], by_text, i)
+            parts = self._merge_alone(m.pieces[i], self.by_text, i)
             if len(parts) == 2:
                 self.left[i], self.right[i] = parts
             elif len(m.pieces[i]) > 1:
@@ -193,6 +234,8 @@ class Lattice:
         full = 2**64
         self.raw = np.array([sum((ord(c) + 1) * int(self.powers[k]) for k, c in enumerate(p)) % full if len(p) <= self.longest else 0 for p in m.pieces], _U)
         self.shift = np.concatenate(([_U(1)], self.powers))
+        self.rank_of, self.left_of, self.right_of = self.rank.tolist(), self.left.tolist(), self.right.tolist()
+        self.pairs: dict[tuple[int, int], bool] = {}
 
     def _merge_alone(self, piece: str, by_text: dict[str, int], but: int) -> list[int]:
         """The merges on one piece's characters, without those that make the piece itself."""
@@ -273,21 +316,31 @@ class Lattice:
         last = np.searchsorted(places, ends).tolist()
         return [spans[a:b] for a, b in zip([0, *last[:-1]], last)]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Piece ids of each word; -1 - code point where no piece spells a character."""
-        out: list[list[int]] = [[] for _ in words]
-        lengths = np.array([len(w) for w in words])
-        for n in np.unique(lengths):
-            if n:
-                where = np.flatnonzero(lengths == n)
-                block = max(1, LOCKSTEP // int(n))
-                for i in range(0, len(where), block):
-                    part = where[i : i + block]
-                    for k, ids in zip(part.tolist(), self._advance([words[j] for j in part])):
+    def encode_words(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """Piece ids (int32) of each word, -1 - code point where no piece spells a character,
+        and the indices of the words that have such a one."""
+        out, lacking = [b""] * len(words), []
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(lengths, kind="stable")
+        sizes, begin = np.unique(lengths[order], return_index=True)
+        for n, a, b in zip(sizes.tolist(), begin.tolist(), np.append(begin[1:], len(order)).tolist()):
+            if n and b - a < FEW:
+                for k in order[a:b].tolist():
+                    ids = self._alone(words[k])
+                    out[k] = array("i", ids).tobytes()
+                    if min(ids) < 0:
+                        lacking.append(k)
+            elif n:
+                block = max(1, LOCKSTEP // n)
+                for i in range(a, b, block):
+                    part = order[i : min(i + block, b)].tolist()
+                    found, bare = self._advance([words[j] for j in part])
+                    for k, ids in zip(part, found):
                         out[k] = ids
-        return out
+                    lacking += [part[k] for k in bare]
+        return out, lacking
 
-    def _advance(self, words: list[str]) -> list[list[int]]:
+    def _advance(self, words: list[str]) -> tuple[list[bytes], list[int]]:
         """All words, of one length, one position at a time."""
         n, rows = len(words[0]), len(words)
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(rows, n).T.astype(_U) + _U(1)
@@ -295,18 +348,14 @@ class Lattice:
         back = np.zeros((n + 1, rows), np.int8 if self.longest < 128 else np.int32)  # its length: the backpointer
         best = np.zeros((n + 1, rows)) if self.m.model_type == 1 else None
         window = min(self.longest, n)
-        hashes = np.zeros((window, rows), _U)  # of the substrings that end here, by where they began
-        piece = np.empty((window, rows), np.int32)
+        hashes, longer = np.zeros((window, rows), _U), np.zeros((window, rows), _U)  # of the substrings that end here, by size
+        marks = np.arange(1, window + 1, dtype=_U)[:, None]
         for end in range(1, n + 1):
             c, sizes = code[end - 1], min(window, end)
-            piece[:sizes] = -1
-            for size in range(sizes, 0, -1):
-                slot = (end - size) % window
-                if size == 1:
-                    hashes[slot] = c * self.powers[0]
-                else:
-                    hashes[slot] += c * self.powers[size - 1]
-                piece[size - 1] = self.find(hashes[slot] ^ _U(size))
+            np.multiply(self.powers[:sizes, None], c, out=longer[:sizes])
+            longer[1:sizes] += hashes[: sizes - 1]
+            hashes, longer = longer, hashes
+            piece = self.find((hashes[:sizes] ^ marks[:sizes]).reshape(-1)).reshape(sizes, rows)
             alone = piece[0] < 0  # a character without a piece is a step of its own
             if self.m.model_type == 1:
                 self._best(end, sizes, piece, alone, last, back, best)
@@ -314,7 +363,6 @@ class Lattice:
                 self._only(end, sizes, piece, alone, last, back)
         if (back[n] == 0).any():
             raise ValueError("the model has no pieces for a word")
-        out: list[list[int]] = [[] for _ in range(rows)]
         at, live, steps = np.full(rows, n), np.arange(rows), []
         while len(live):
             here = at[live]
@@ -322,10 +370,66 @@ class Lattice:
             steps.append((live, np.where(ids == len(self.m.pieces), -code[here - 1, live].astype(np.int64), ids)))
             at[live] -= back[here, live]
             live = live[at[live] > 0]
-        for rows_, ids in reversed(steps):
-            for r, i in zip(rows_.tolist(), ids.tolist()):
-                out[r].append(i)
-        return out
+        found = np.zeros((rows, len(steps)), np.int32)  # paths were followed from the end: they stand at the right
+        count = np.zeros(rows, np.int64)
+        for k, (those, ids) in enumerate(steps):
+            found[those, len(steps) - 1 - k] = ids
+            count[those] += 1
+        flat = found[np.arange(len(steps)) >= (len(steps) - count)[:, None]].tobytes()
+        ends = np.cumsum(4 * count).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)], np.flatnonzero((found < 0).any(1)).tolist()
+
+    def _alone(self, word: str) -> list[int]:
+        """One word, by the same recurrence."""
+        n, get, unigram = len(word), self.by_text.get, self.m.model_type == 1
+        last, back, best = [-1] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
+        for end in range(1, n + 1):
+            pick = 0
+            for size in range(min(self.longest, end), 0, -1):
+                i = get(word[end - size : end])
+                if i is None:
+                    continue
+                if unigram:
+                    value = self.score[i] + best[end - size]
+                    if not pick or value >= best[end]:
+                        best[end], pick, last[end] = value, size, i
+                elif self.rank_of[i] < 1 << 40 and (last[end - size] < 0 or self._apart(last[end - size], i)):
+                    pick, last[end] = size, i
+                    break
+            if get(word[end - 1]) is None and (not pick or unigram and best[end - 1] + self.floor > best[end]):
+                pick, last[end], best[end] = 1, -1 - ord(word[end - 1]), best[end - 1] + self.floor
+            back[end] = pick
+            if not pick and not unigram and end == n:
+                raise ValueError("the model has no pieces for a word")
+        ids, end = [], n
+        while end:
+            ids.append(last[end])
+            end -= back[end]
+        return ids[::-1]
+
+    def _apart(self, a: int, b: int) -> bool:
+        """:meth:`stay_apart` of one pair."""
+        held = self.pairs.get((a, b))
+        if held is None:
+            limit, x, y = 1 << 40, a, b
+            rank, get, pieces = self.rank_of, self.by_text.get, self.m.pieces
+            while True:
+                joined = get(pieces[x] + pieces[y])
+                if joined is not None and rank[joined] < limit:
+                    held = False
+                    break
+                more_x, more_y = self.right_of[x] >= 0, self.left_of[y] >= 0
+                if more_x and (not more_y or rank[x] > rank[y]):
+                    limit, x = min(limit, rank[x]), self.right_of[x]
+                elif more_y:
+                    limit, y = min(limit, rank[y] + 1), self.left_of[y]
+                else:
+                    held = True
+                    break
+            if len(self.pairs) >= 1 << MEMO_BITS - 2:
+                self.pairs.clear()
+            self.pairs[a, b] = held
+        return held
 
     def _best(self, end, sizes, piece, alone, last, back, best) -> None:
         """Unigram: the path of the largest sum of scores."""
@@ -362,35 +466,41 @@ class Lattice:
 
 
 class Memory:
-    """Two generations of REMEMBERED entries at most: what is used in the younger one lives on."""
+    """Two generations of about REMEMBERED bytes at most: what is used in the younger one lives on."""
 
     def __init__(self):
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
-    def lacking(self, keys: set[str]) -> list[str]:
+    def lacking(self, names: set[str]) -> list[str]:
         """Those that are in neither generation; the others are in the younger one now."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        missed = keys - self.young.keys()
-        again = missed & self.old.keys()
-        self.young.update((k, self.old[k]) for k in again)
-        return list(missed - again)
+        missed = names.difference(self.young)
+        again = missed.intersection(self.old) if self.old else ()
+        self.keep({name: self.old[name] for name in again})
+        return list(missed.difference(again)) if again else list(missed)
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        self.young.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
+
+    def turn(self) -> None:
+        """Between batches: a full generation becomes the old one."""
+        if self.held > REMEMBERED:
+            self.old, self.young, self.held = self.young, {}, 0
 
 
 class Encoder:
-    """Encodes whole texts, with a memory of the words and parts of words it has met."""
+    """Encodes whole texts, with a memory of the words it has met."""
 
     def __init__(self, data: bytes):
         self.model = Model(data)
-        self.known, self.segments = Memory(), Memory()
+        self.known = Memory()
 
-    def _spell(self, ids: list[int]) -> bytes:
+    def _spell(self, ids: bytes) -> bytes:
         """Final ids: a character without a piece becomes its bytes' pieces, or one unknown for a run of them."""
-        if min(ids, default=0) >= 0:
-            return array("i", ids).tobytes()
         m, out, unknown = self.model, [], False
-        for i in ids:
+        for i in array("i", ids):
             if i >= 0:
                 out.append(i)
             elif m.byte_fallback:
@@ -400,6 +510,27 @@ class Encoder:
             unknown = i < 0
         return array("i", out).tobytes()
 
+    def _new(self, words: list[str]) -> list[bytes]:
+        """The final ids of words. With byte fallback, a word longer than SHORT is first cut
+        where no piece can lie; without, a run of unknown characters is one piece."""
+        lattice = self.model.lattice
+        long = [k for k, w in enumerate(words) if len(w) > SHORT] if self.model.byte_fallback else []
+        if not long:
+            return self._final(words)
+        cut = lattice.parts([words[k] for k in long])
+        parts = list({x for c in cut for x in c})
+        spelt = dict(zip(parts, self._final(parts)))
+        whole = set(long)
+        short = iter(self._final([w for k, w in enumerate(words) if k not in whole]))
+        joined = iter(cut)
+        return [b"".join(map(spelt.__getitem__, next(joined))) if k in whole else next(short) for k in range(len(words))]
+
+    def _final(self, words: list[str]) -> list[bytes]:
+        found, lacking = self.model.lattice.encode_words(words)
+        for k in lacking:
+            found[k] = self._spell(found[k])
+        return found
+
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Some texts at a time, so that the words held do not grow with the batch."""
         out, held, chars = [], [], 0
@@ -409,19 +540,29 @@ class Encoder:
             if chars >= AT_ONCE:
                 out += self._encode(held)
                 held, chars = [], 0
-        return out + self._encode(held)
+        return [np.frombuffer(x, np.int32) for x in out + self._encode(held)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as int32 bytes."""
+        self.known.turn()
+        words = [self.model.words(t) for t in texts]
+        names = set()
+        for w in words:
+            names.update(w)
+        new, known = self.known.lacking(names), self.known.young
+        found = dict(zip(new, self._new(list(map(self.model.word, new)))))
+        once = [name for name in new if len(name) > LONGEST_KEPT]
+        known.update((name, found.pop(name)) for name in once)
+        self.known.keep(found)
+        out = [b"".join(map(known.__getitem__, w)) for w in words]
+        for name in once:
+            del known[name]
+        return out
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self.model.words(self.model.normal(t)) for t in texts]
-        new = self.known.lacking({w for p in parts for w in p})
-        if new:
-            cut = self.model.lattice.parts(new) if self.model.byte_fallback else [[w] for w in new]  # a run of unknown characters is one piece
-            fresh = self.segments.lacking({x for c in cut for x in c})
-            self.segments.young.update(zip(fresh, map(self._spell, self.model.lattice.encode_words(fresh))))
-            piece = self.segments.young.__getitem__
-            self.known.young.update((w, b"".join(map(piece, c))) for w, c in zip(new, cut))
-        get = self.known.young.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
+    def arrays(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and where each text's begin and end."""
+        found = self._encode([t or "" for t in texts])
+        return np.frombuffer(b"".join(found), np.int32), np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
 
 
 def read_model(path: str = DEFAULT_MODEL) -> bytes:
@@ -444,9 +585,20 @@ def _encoder(data: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
-def _lists(found: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int32), pa.int32()))
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+
+
+def _cuts(column: pa.Array) -> list[int]:
+    """Row numbers that part a column into pieces of about AT_ONCE bytes, or of one row that has more."""
+    size = (pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length)(column)
+    total = np.cumsum(np.nan_to_num(size.to_numpy(zero_copy_only=False)) + 1)
+    out = [0]
+    while out[-1] < len(column):
+        done = total[out[-1] - 1] if out[-1] else 0
+        out.append(max(out[-1] + 1, int(np.searchsorted(total, done + AT_ONCE))))
+    out[-1] = len(column)
+    return out
 
 
 def _some_at_a_time(docs: DataFrame, of, added: list[tuple[str, str, pa.DataType]], needs: str) -> DataFrame:
@@ -458,8 +610,9 @@ def _some_at_a_time(docs: DataFrame, of, added: list[tuple[str, str, pa.DataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
+            cuts = _cuts(batch.column(needs))
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
                 made = of(part.column(needs))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, names=kept + names)
 
@@ -469,11 +622,12 @@ def _some_at_a_time(docs: DataFrame, of, added: list[tuple[str, str, pa.DataType
 def encode(docs: DataFrame, path: str = DEFAULT_MODEL, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with the piece ids of each text in ``out_col`` (array<int>).
 
-    Null and empty texts have no pieces. Texts are encoded whole. Other columns stay;
-    one named ``out_col`` is replaced.
+    Null and empty texts have no pieces. Texts are encoded whole, however long they or
+    their words are; a row of itself is never split. Repeated rows give repeated rows, an
+    empty table an empty one. Other columns stay; one named ``out_col`` is replaced.
     """
     model = read_model(path)
-    return _some_at_a_time(docs, lambda x: [_lists(_encoder(model).encode(x.to_pylist()))], [(out_col, "array<int>", pa.list_(pa.int32()))], text_col)
+    return _some_at_a_time(docs, lambda x: [_lists(*_encoder(model).arrays(x.to_pylist()))], [(out_col, "array<int>", pa.list_(pa.int32()))], text_col)
 
 
 def decode(docs: DataFrame, path: str = DEFAULT_MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -481,8 +635,9 @@ def decode(docs: DataFrame, path: str = DEFAULT_MODEL, ids_col: str = "ids", out
     model = read_model(path)
 
     def of(x: pa.Array) -> list[pa.Array]:
-        m = _encoder(model).model
-        return [pa.array([m.decode(v or ()) for v in x.to_pylist()], pa.string())]
+        full = x.fill_null([]) if x.null_count else x
+        ends = full.offsets.to_numpy().astype(np.int64)
+        return [_encoder(model).model.decode_all(full.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int32), ends - ends[0])]
 
     return _some_at_a_time(docs, of, [(out_col, "string", pa.string())], ids_col)
 
@@ -493,7 +648,7 @@ def encode_and_decode(docs: DataFrame, path: str = DEFAULT_MODEL, text_col: str
 
     def of(x: pa.Array) -> list[pa.Array]:
         own = _encoder(model)
-        found = own.encode(x.to_pylist())
-        return [_lists(found), pa.array([own.model.decode(v.tolist()) for v in found], pa.string())]
+        flat, ends = own.arrays(x.to_pylist())
+        return [_lists(flat, ends), own.model.decode_all(flat, ends)]
 
     return _some_at_a_time(docs, of, [(ids_col, "array<int>", pa.list_(pa.int32())), (out_col, "string", pa.string())], text_col)
