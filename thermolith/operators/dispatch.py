@@ -1,16 +1,19 @@
-"""Batch work over time: an ordered fold of each series, in Catalyst alone.
+"""Batch work over time.
 
-The look-ahead columns are windows; only the backlog recurrence is a fold over the
-series' sorted array of steps.
+The look-ahead columns are windows. The backlog is a recurrence: all series of one length
+advance together (see ``plans.lockstep``), a step being a few array operations. One
+shuffle by series serves the windows and the recurrence.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Facility
-from ..errors import ConfigurationError
+from ..errors import ConfigurationError, InputValidationError
+from ..plans.lockstep import advance_together, numbers
 from .windows import forward_min_price, steps_left
 
 
@@ -18,54 +21,64 @@ def immediate(signals: DataFrame) -> DataFrame:
     return signals.withColumn("batch_service", F.col("batch_workload"))
 
 
-def _folded(df: DataFrame, by: str, columns: list[str], start: Column, step, out: str) -> DataFrame:
-    """``df`` with what ``step(state, row)`` (a struct with ``out`` and ``left``) gives for each row, in order."""
-    series = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("step_index", *columns))).alias("rows"))
-    kind = f"struct<left:double,made:array<struct<step_index:int,{out}:double,backlog:double>>>"
-    empty = F.struct(start.alias("left"), F.array().cast(kind.split("made:")[1][:-1]).alias("made"))
-
-    def merge(state: Column, row: Column) -> Column:
-        made, left = step(state["left"], row)
-        return F.struct(left.alias("left"), F.array_append(state["made"], F.struct(row["step_index"].cast("int").alias("step_index"), made.alias(out), left.alias("backlog"))).alias("made"))
-
-    folded = series.select(by, F.explode(F.aggregate("rows", empty, merge)["made"]).alias("m")).select(by, "m.*")
-    return df.join(folded, [by, "step_index"])
-
-
 def price_aware(signals: DataFrame, by: str, f: Facility) -> DataFrame:
     """Adds ``batch_service`` and ``backlog``: serve all when cheap, a quarter of the free
     capacity when dear, somewhat over half of it between; near the end, at least an even share."""
-    d = forward_min_price(signals, by, f.batch_lookahead_steps).withColumn("rem", steps_left(by).cast("double"))
-    d = d.withColumn("cap", F.greatest(F.lit(0.0), F.lit(f.max_service_per_step) - F.col("online_workload")))
-
-    def step(left: Column, r: Column):
-        waiting = left + r["batch_workload"]
-        cheap = (r["electricity_price"] <= f.batch_low_price) | (r["electricity_price"] <= r["forward_min_price"])
-        share = F.when(cheap, F.lit(1.0)).when(r["electricity_price"] >= f.batch_high_price, F.lit(0.25)).otherwise(F.lit(0.55))
-        served = F.least(waiting, share * r["cap"])
-        served = F.when(r["rem"] <= f.batch_lookahead_steps, F.least(waiting, r["cap"], F.greatest(served, waiting / r["rem"]))).otherwise(served)
-        return served, waiting - served
-
-    out = _folded(d, by, ["batch_workload", "electricity_price", "forward_min_price", "cap", "rem"], F.lit(0.0), step, "batch_service")
-    return out.drop("forward_min_price", "rem", "cap")
+    d = forward_min_price(signals.repartition(by), by, f.batch_lookahead_steps).withColumn("rem", steps_left(by).cast("double"))
+
+    def advance(kind: tuple, table, shape) -> dict[str, np.ndarray]:
+        arrive, price, low, rem, online = (numbers(table, c, shape) for c in ("batch_workload", "electricity_price", "forward_min_price", "rem", "online_workload"))
+        free = np.maximum(0.0, f.max_service_per_step - online)
+        share = np.where((price <= f.batch_low_price) | (price <= low), 1.0, np.where(price >= f.batch_high_price, 0.25, 0.55))
+        late = rem <= f.batch_lookahead_steps
+        left, served, backlog = np.zeros(shape[0]), np.empty(shape), np.empty(shape)
+        for t in range(shape[1]):
+            waiting = left + arrive[:, t]
+            plain = np.minimum(waiting, share[:, t] * free[:, t])
+            due = np.minimum(np.minimum(waiting, free[:, t]), np.maximum(plain, waiting / rem[:, t]))
+            served[:, t] = np.where(late[:, t], due, plain)
+            left = waiting - served[:, t]
+            backlog[:, t] = left
+        return {"batch_service": served, "backlog": backlog}
+
+    dealt = d.sortWithinPartitions(by, "step_index")
+    return advance_together(dealt, by, [], advance, "batch_service double, backlog double").drop("forward_min_price", "rem")
 
 
 def workload(served: DataFrame, by: str) -> DataFrame:
-    """Adds ``workload_fraction``: online work and what of the service there is work for."""
-    d = served.drop("backlog")
-
-    def step(left: Column, r: Column):
-        waiting = left + r["batch_workload"]
-        done = F.least(waiting, F.greatest(F.lit(0.0), r["batch_service"]))
-        return done, waiting - done
-
-    out = _folded(d, by, ["batch_workload", "batch_service"], F.lit(0.0), step, "done")
-    return out.withColumn("workload_fraction", F.greatest(F.lit(0.0), F.col("online_workload") + F.col("done"))).drop("done")
+    """Adds ``workload_fraction``: online work and what of any ``batch_service`` there is work for."""
+    def advance(kind: tuple, table, shape) -> dict[str, np.ndarray]:
+        arrive, service, online = (numbers(table, c, shape) for c in ("batch_workload", "batch_service", "online_workload"))
+        left, out = np.zeros(shape[0]), np.empty(shape)
+        for t in range(shape[1]):
+            waiting = left + arrive[:, t]
+            done = np.minimum(waiting, np.maximum(0.0, service[:, t]))
+            left = waiting - done
+            out[:, t] = np.maximum(0.0, online[:, t] + done)
+        return {"workload_fraction": out}
+
+    dealt = served.drop("backlog").repartition(by).sortWithinPartitions(by, "step_index")
+    return advance_together(dealt, by, [], advance, "workload_fraction double")
+
+
+def with_service(signals: DataFrame, service: DataFrame, by: str) -> DataFrame:
+    """``signals`` with the ``batch_service`` of ``service`` (by, step_index, batch_service), step by
+    step; the two must have the same steps of the same series."""
+    both = signals.join(service.select(by, "step_index", "batch_service", F.lit(True).alias("__there")), [by, "step_index"], "full")
+    first = next(c for c in signals.columns if c not in (by, "step_index"))
+    lacking = both.agg(F.count_if(F.col("__there").isNull()).alias("unserved"), F.count_if(F.col(first).isNull()).alias("unasked")).first()
+    if lacking["unserved"] or lacking["unasked"]:
+        raise InputValidationError(f"batch service and signals differ: {lacking['unserved']} steps without a service, {lacking['unasked']} services without a step")
+    return both.drop("__there")
 
 
 def dispatched(signals: DataFrame, by: str, strategy: str, f: Facility) -> DataFrame:
+    """Adds ``batch_service`` and ``workload_fraction``. Neither strategy serves more than
+    waits, so all service is work done and :func:`workload` would add nothing."""
     if strategy == "immediate":
-        return workload(immediate(signals), by)
-    if strategy == "price_aware_temporal_shift":
-        return workload(price_aware(signals, by, f), by)
-    raise ConfigurationError(f"unknown dispatch strategy: {strategy}")
+        served = immediate(signals)
+    elif strategy == "price_aware_temporal_shift":
+        served = price_aware(signals, by, f).drop("backlog")
+    else:
+        raise ConfigurationError(f"unknown dispatch strategy: {strategy}")
+    return served.withColumn("workload_fraction", F.greatest(F.lit(0.0), F.col("online_workload") + F.col("batch_service")))

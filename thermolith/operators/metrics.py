@@ -1,4 +1,4 @@
-"""Run metrics from records: one grouped aggregate, and the two streaks joined to it."""
+"""Run metrics from records: one grouped aggregate; the streaks it takes the largest of are windows of its own partitioning."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Facility
 from ..functions.physics import ratio
 from ..schema import METRIC_NAMES
-from .windows import longest_streak
+from .windows import with_streaks
 
 
 def wide(rec: DataFrame, f: Facility | None = None, by: str = "run_id") -> DataFrame:
@@ -43,10 +43,9 @@ def wide(rec: DataFrame, f: Facility | None = None, by: str = "run_id") -> DataF
     for kind in ("power", "renewable", "thermal"):
         aggs[f"max_abs_{kind}_balance_error"] = top(F.abs(f"{kind}_balance_error"))
         aggs[f"mean_abs_{kind}_balance_error"] = mean(F.abs(f"{kind}_balance_error"))
-    one = rec.groupBy(by).agg(*[v.alias(k) for k, v in aggs.items()])
-    low = longest_streak(rec, by, c("below_min_temperature") == 1, "longest_below_min_streak")
-    high = longest_streak(rec, by, c("above_max_temperature") == 1, "longest_above_max_streak")
-    one = one.join(low, by).join(high, by).withColumns({
+    streaks = {"longest_below_min_streak": c("below_min_temperature") == 1, "longest_above_max_streak": c("above_max_temperature") == 1}
+    aggs |= {name: top(name) for name in streaks}
+    one = with_streaks(rec, by, streaks).groupBy(by).agg(*[v.alias(k) for k, v in aggs.items()]).withColumns({
         "energy_kwh": c("total_grid_energy_kwh"), "total_energy_kwh": c("total_dc_energy_kwh"), "cost": c("energy_cost"), "max_temp_c": c("maximum_temperature_c"),
         "thermal_violations": c("temperature_violation_count"), "peak_grid_kw": c("peak_grid_power_kw"), "final_backlog": F.lit(0.0), "mean_actuator_lag_kw": c("mean_actuator_tracking_error_kw"),
         "renewable_utilization_rate": ratio(c("renewable_energy_used_kwh"), c("renewable_energy_available_kwh")),

@@ -25,10 +25,10 @@ def steps_left(by: str) -> Column:
     return F.count("*").over(Window.partitionBy(by)) - F.col("step_index")
 
 
-def precool_flag(df: DataFrame, by: str, f: Facility) -> DataFrame:
+def precool_flag(df: DataFrame, by: str, f: Facility, name: str = "precool") -> DataFrame:
     """Whether cooling ahead pays: cheap now, and dear within the lookahead."""
     dear = F.max("electricity_price").over(ahead(by, f.precool_lookahead_steps, skip=1)) >= f.high_price if f.precool_lookahead_steps > 1 else F.lit(False)
-    return df.withColumn("precool", (F.lit(f.precool_enabled) & (F.col("electricity_price") <= f.low_price) & F.coalesce(dear, F.lit(False))).cast("int"))
+    return df.withColumn(name, (F.lit(f.precool_enabled) & (F.col("electricity_price") <= f.low_price) & F.coalesce(dear, F.lit(False))).cast("int"))
 
 
 def increasing(times: Column) -> Column:
@@ -48,12 +48,18 @@ def movement(x: str, by: str, first: Column | float = 0.0) -> Column:
     return F.abs(step_change(x, by, first))
 
 
+def with_streaks(df: DataFrame, by: str, flags: dict[str, Column], order: str = "step_index") -> DataFrame:
+    """Adds, under each name, how many steps up to this one its flag has held without a break
+    (a null flag is a break): two windows of one partitioning, which a following aggregate by series keeps."""
+    w = Window.partitionBy(by).orderBy(order)
+    numbered = df.withColumn("__place", F.row_number().over(w))
+    last = lambda flag: F.last(F.when(~F.coalesce(flag, F.lit(False)), F.col("__place")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return numbered.withColumns({name: (F.col("__place") - F.coalesce(last(flag), F.lit(0))).cast("long") for name, flag in flags.items()}).drop("__place")
+
+
 def longest_streak(df: DataFrame, by: str, flag: Column, name: str = "longest_streak") -> DataFrame:
-    """The longest run of true steps by series, 0 if there is none: islands by the difference of two counts."""
-    w = Window.partitionBy(by).orderBy("step_index")
-    islands = df.select(by, "step_index", flag.alias("f")).withColumn("island", F.row_number().over(w) - F.sum(F.col("f").cast("int")).over(w))
-    runs = islands.groupBy(by, "island").agg(F.count_if("f").alias("n"))
-    return runs.groupBy(by).agg(F.max("n").alias(name))
+    """The longest run of true steps by series, 0 if there is none."""
+    return with_streaks(df.select(by, "step_index", flag.alias("f")), by, {"n": F.col("f")}).groupBy(by).agg(F.max("n").alias(name))
 
 
 def extreme(df: DataFrame, by: str, key: Column, what: list[str], largest: bool = True) -> DataFrame:

@@ -37,7 +37,8 @@ class Loop:
     f: Facility
     c: Condition
     controller: str
-    #: A controller of the caller's own: (loop, state, inputs, window) to (request, target, floor), arrays over runs.
+    #: A controller of the caller's own: (loop, state, inputs, window) to (request, target, floor), arrays over runs;
+    #: a function, or an object with ``act_all`` and, if it has them, ``max_forecast_steps`` and ``reset``.
     act: object = None
     alpha: float = field(init=False)
 
@@ -172,7 +173,7 @@ class Loop:
         target, floor, cold = at(f.setpoint_temp_c), at(f.min_temp_c), at(False)
         next_mpc = s.mpc_queue
         if self.act is not None:
-            proposed, target, floor = self.act(self, s, x, window)
+            proposed, target, floor = (self.act if callable(self.act) else self.act.act_all)(self, s, x, window)
         elif self.controller == "external":
             proposed, target, floor = x["action"].astype(float), at(np.nan), at(np.nan)
         elif self.controller == "finite_horizon":

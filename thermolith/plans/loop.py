@@ -1,7 +1,8 @@
 """The closed loop over a table of runs.
 
 Inputs are dealt by run and sorted by step once. In each partition, whole runs of the
-same length, controller and condition advance together by numpy (see ``kernel``); what
+same length, controller and condition advance together by numpy (see ``lockstep`` and
+``kernel``), and all columns of the inputs go through with them; what
 does not depend on the loop's state (heat, power, cost, carbon, diagnostics) is computed
 by Spark columns afterwards. A run's own steps can't be split, as each needs the state
 of the one before; a run is at most some thousand rows a year, so a hot run is bounded
@@ -10,10 +11,7 @@ by time, not by the number of facilities.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +19,10 @@ from ..config import CONTROLLERS, Condition, Facility, condition
 from ..errors import ConfigurationError, TimeAlignmentError
 from ..operators.windows import precool_flag
 from .kernel import FLAGS, NUMBERS, Loop
+from .lockstep import advance_together, numbers
 
-#: Rows of complete runs that advance together, about.
-LOCKSTEP_ROWS = 400_000
 INPUT = {"load": "workload_fraction", "price": "electricity_price", "ci": "carbon_intensity_kg_per_kwh", "outdoor": "outdoor_temperature_c", "renewable": "renewable_power_kw"}
-RESULT = "run_id long, step_index int, " + ", ".join(f"{n} double" for n in NUMBERS) + ", evaluations int, " + ", ".join(f"{n} int" for n in FLAGS)
+RESULT = ", ".join(f"{n} double" for n in NUMBERS) + ", evaluations int, " + ", ".join(f"{n} int" for n in FLAGS)
 
 
 def advance(loop: Loop, table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -35,9 +32,14 @@ def advance(loop: Loop, table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     if loop.c.measurement == "gaussian":
         noise = np.random.default_rng(loop.c.noise_seed).normal(0.0, loop.c.noise_std_c, steps + 1)  # draw 0 is of the start
     state = loop.start(runs, np.full(runs, noise[0]))
+    reach = loop.f.horizon_steps if loop.controller == "finite_horizon" else 0
+    if loop.act is not None:
+        reach = getattr(loop.act, "max_forecast_steps", loop.f.horizon_steps)
+        if hasattr(loop.act, "reset"):
+            loop.act.reset(loop.c.noise_seed)
     outs = []
     for t in range(steps):
-        window = {k: table[k][:, t : t + loop.f.horizon_steps] for k in INPUT} if loop.controller == "finite_horizon" or loop.act is not None else None
+        window = {k: table[k][:, t : t + reach] for k in INPUT} if reach else None
         state, out = loop.step(state, {k: v[:, t] for k, v in table.items()}, np.full(runs, noise[t + 1]), window)
         outs.append(out)
     return {k: np.stack([o[k] for o in outs], axis=1) for k in outs[0]}
@@ -46,9 +48,10 @@ def advance(loop: Loop, table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def simulate(inputs: DataFrame, f: Facility | None = None, conditions: dict[str, Condition] | None = None, controllers: dict | None = None) -> DataFrame:
     """``inputs`` with the outputs of each step.
 
-    ``controllers``: controllers of the caller's own by name (see ``Loop.act``); they see
-    the forecast of ``horizon_steps`` and no more, and go through the same safety,
-    actuator and plant as the others.
+    ``controllers``: controllers of the caller's own by name (see ``Loop.act``). Each sees the
+    forecast of its ``max_forecast_steps`` (a plain function: of ``horizon_steps``) and no
+    more, is reset where runs begin if it can be, and goes through the same safety, actuator
+    and plant as the others.
 
     ``inputs``: run_id, step_index, timestamp, the five input columns of a step,
     ``controller`` and ``condition`` (constant in a run), and ``action`` for runs of the
@@ -59,64 +62,25 @@ def simulate(inputs: DataFrame, f: Facility | None = None, conditions: dict[str,
     own = controllers or {}
     if "action" not in inputs.columns:
         inputs = inputs.withColumn("action", F.lit(None).cast("double"))
-    ready = precool_flag(inputs, "run_id", f)
-    narrow = ready.select("run_id", "step_index", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"), "controller", "condition", "action", "precool", *INPUT.values())
     step_us = f.step_minutes * 60_000_000
 
-    def group(runs: list[pd.DataFrame]) -> pd.DataFrame:
-        key = runs[0]
-        name, cond = key["controller"].iat[0], key["condition"].iat[0]
+    def group(kind: tuple, table, shape) -> dict[str, np.ndarray]:
+        name, cond = kind
         if name not in CONTROLLERS and name not in own:
             raise ConfigurationError(f"unknown controller: {name}")
         if cond not in known:
             raise ConfigurationError(f"unknown condition: {cond}")
-        whole = pd.concat(runs, ignore_index=True)
-        shape = (len(runs), len(key))
-        at = whole["at"].to_numpy().reshape(shape)
+        at = table.column("__at").to_numpy().reshape(shape)
         if (np.diff(at, axis=1) != step_us).any():
             raise TimeAlignmentError("a run's timestamps are not the fixed step apart")
-        table = {k: whole[c].to_numpy(float).reshape(shape) for k, c in INPUT.items()}
-        table |= {"precool": whole["precool"].to_numpy().reshape(shape), "action": whole["action"].to_numpy(float).reshape(shape)}
-        out = advance(Loop(f, known[cond].validated(), name, own.get(name)), table)
-        made = {"run_id": whole["run_id"], "step_index": whole["step_index"]}
-        made |= {n: out[n].reshape(-1) for n in NUMBERS} | {n: out[n].reshape(-1).astype("int32") for n in ("evaluations", *FLAGS)}
-        return pd.DataFrame(made)
-
-    def of(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_run: list[pd.DataFrame] = []
-        ready: dict[tuple, list[pd.DataFrame]] = {}
-        rows = 0
-
-        def flush():
-            for runs in ready.values():
-                yield group(runs)
-            ready.clear()
-
-        def finish():
-            run = pd.concat(open_run, ignore_index=True) if len(open_run) > 1 else open_run[0]
-            ready.setdefault((run["controller"].iat[0], run["condition"].iat[0], len(run)), []).append(run)
-            open_run.clear()
-            return len(run)
-
-        for frame in frames:
-            cuts = np.flatnonzero(np.diff(frame["run_id"].to_numpy())) + 1
-            for part in np.split(np.arange(len(frame)), cuts):
-                piece = frame.iloc[part]
-                if open_run and open_run[0]["run_id"].iat[0] != piece["run_id"].iat[0]:
-                    rows += finish()
-                    if rows >= LOCKSTEP_ROWS:
-                        yield from flush()
-                        rows = 0
-                open_run.append(piece)
-        if open_run:
-            finish()
-        yield from flush()
-
-    dealt = narrow.repartition("run_id").sortWithinPartitions("run_id", "step_index")
-    made = dealt.mapInPandas(of, RESULT)
-    nullable = [n for n in NUMBERS if n.startswith("objective") or n in ("target_c", "floor_c")]
-    made = made.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in nullable else F.col(c) for c in made.columns])
-    return inputs.join(made, ["run_id", "step_index"])
+        columns = {k: numbers(table, c, shape) for k, c in INPUT.items()}
+        columns |= {"precool": numbers(table, "__precool", shape).astype(np.int64), "action": numbers(table, "action", shape)}
+        out = advance(Loop(f, known[cond].validated(), name, own.get(name)), columns)
+        return {n: out[n] for n in NUMBERS} | {n: out[n].astype("int32") for n in ("evaluations", *FLAGS)}
+
+    # One shuffle: the look-ahead window and the loop both go by run and step.
+    dealt = precool_flag(inputs.repartition("run_id"), "run_id", f, "__precool").withColumn("__at", F.unix_micros(F.col("timestamp").cast("timestamp")))
+    return advance_together(dealt.sortWithinPartitions("run_id", "step_index"), "run_id", ["controller", "condition"], group, RESULT).drop("__precool", "__at")
 
 
 def runs_of(signals: DataFrame, by: str, scenarios: list[tuple[str, str]], conditions: list[str], f: Facility) -> DataFrame:
