@@ -121,6 +121,12 @@ def percent_change(base: Column, other: Column) -> Column:
     return F.when(base != 0, (other - base) / F.abs(base) * num(100))
 
 
+def signed(x: Column, places: int) -> Column:
+    """Rounded for a signed format; what rounds to zero has no minus."""
+    return F.round(x, places) + num(0)
+
+
 def degradation(ideal: Column, other: Column) -> Column:
     """Text: the change in percent, or the absolute one where ideal is 0."""
-    return F.when(ideal == 0, F.format_string("absolute change %+.4f", other - ideal)).otherwise(F.format_string("%+.2f%%", (other - ideal) / F.abs(F.when(ideal != 0, ideal)) * num(100)))
+    share = signed((other - ideal) / F.abs(F.when(ideal != 0, ideal)) * num(100), 2)
+    return F.when(ideal == 0, F.format_string("absolute change %+.4f", signed(other - ideal, 4))).otherwise(F.format_string("%+.2f%%", share))

@@ -58,3 +58,11 @@ def records(sim: DataFrame, f: Facility | None = None, conditions: dict[str, Con
     }
     keys = [k for k in sim.columns if k in ("run_id", "step_index", "center", "dataset_id", "controller", "condition")]
     return d.select(*keys, *[made[x].alias(x) if x in made else c(x) for x in RECORD_COLUMNS])
+
+
+def observations(sim: DataFrame) -> DataFrame:
+    """``sim`` with ``observation``: what the controller saw at each step of the loop."""
+    return sim.withColumn("observation", F.struct(
+        F.col("controller_measured_temperature_c").alias("measured_temperature_c"), F.col("prev_applied_kw").alias("previous_applied_cooling_kw"), "workload_fraction", "electricity_price",
+        "carbon_intensity_kg_per_kwh", "outdoor_temperature_c", "renewable_power_kw",
+    ))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics as P
@@ -52,15 +52,16 @@ def shown(x: Column) -> Column:
 
 
 def acceptance(metrics: DataFrame, group: str = "center", base: str = "baseline", best: str = "finite_horizon") -> DataFrame:
-    """PASS or FAIL by group; a missing metric fails its test. ``metrics``: (group, controller, metric, value)."""
+    """PASS or FAIL by group; a missing metric fails its test. ``metrics``: (group, controller, metric, value).
+    Sums are compared to nine places, so that equal runs tie whatever the order they were added in."""
     value = lambda who, m: F.max(F.when((F.col("controller") == who) & (F.col("metric") == m), F.col("value")))
     n = F.countDistinct("controller")
     holds = lambda m, ok: F.count_if((F.col("metric") == m) & ok) == n
     v = F.col("value")
     verdict = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL")
     return metrics.groupBy(group).agg(
-        verdict(value(best, "energy_cost") < value(base, "energy_cost")).alias("economic"),
-        verdict(value(best, "carbon_kg") <= value(base, "carbon_kg")).alias("carbon"),
+        verdict(F.round(value(best, "energy_cost"), 9) < F.round(value(base, "energy_cost"), 9)).alias("economic"),
+        verdict(F.round(value(best, "carbon_kg"), 9) <= F.round(value(base, "carbon_kg"), 9)).alias("carbon"),
         verdict(holds("temperature_violation_count", v == 0) & holds("thermal_infeasibility_count", v == 0)).alias("thermal"),
         verdict(holds("invalid_value_count", v == 0) & holds("max_abs_power_balance_error", v <= 1e-9) & holds("max_abs_renewable_balance_error", v <= 1e-9)).alias("numerical"),
     )
@@ -86,3 +87,73 @@ def fixed_width(df: DataFrame, columns: list[tuple[str, int]]) -> DataFrame:
     """One line of text a row; numbers right-aligned with four places, other values left-aligned."""
     cells = [F.lpad(shown(F.col(c)), w, " ") if df.schema[c].dataType.typeName() == "double" else F.rpad(F.col(c).cast("string"), w, " ") for c, w in columns]
     return df.select(F.concat(*cells).alias("line"))
+
+
+#: What an event shows, and the four events with their causes.
+EVENT_COLUMNS = ("timestamp", "true_temperature_c", "measured_temperature_c", "predicted_next_temperature_c", "proposed_cooling_kw", "constrained_cooling_kw", "applied_cooling_kw", "electricity_price", "carbon_intensity_kg_per_kwh", "outdoor_temperature_c", "renewable_available_kw")
+EVENTS = {
+    "maximum prediction error": (lambda: F.abs("one_step_temperature_prediction_error_c"), "model and plant differ, and the measurement is noisy"),
+    "maximum actuator tracking error": (lambda: F.col("actuator_tracking_error_kw"), "the actuator cannot follow its target at once"),
+    "smallest thermal safety margin": (lambda: -F.least(F.col("true_temperature_c") - F.col("temp_min_c"), F.col("temp_max_c") - F.col("true_temperature_c")), "the temperature is nearest to one of its limits"),
+    "maximum applied action change": (lambda: F.col("applied_control_movement_kw"), "the largest movement of the actuator between two steps"),
+}
+
+
+def events(records: DataFrame, by: str = "run_id") -> DataFrame:
+    """(by, event, step_index, columns of the step, cause): the four extreme steps of each run, the first of equal ones; one aggregate."""
+    row = F.struct("step_index", *EVENT_COLUMNS)
+    rank = lambda key: F.struct(key.alias("k"), (-F.col("step_index")).alias("i"))
+    found = records.groupBy(by).agg(*[F.max_by(row, rank(key())).alias(f"e{i}") for i, (key, _) in enumerate(EVENTS.values())])
+    each = F.array(*[F.struct(F.lit(name).alias("event"), F.col(f"e{i}").alias("row"), F.lit(cause).alias("cause")) for i, (name, (_, cause)) in enumerate(EVENTS.items())])
+    return found.select(by, F.explode(each).alias("e")).select(by, "e.event", "e.row.*", "e.cause")
+
+
+def thermal(records: DataFrame, by: str = "run_id") -> DataFrame:
+    """Steps outside of the limits, their longest stretches, and the extreme temperatures of each run."""
+    below, above = F.col("temp_c") < F.col("temp_min_c"), F.col("temp_c") > F.col("temp_max_c")
+    d = W.with_streaks(records, by, {"__below": below, "__above": above})
+    return d.groupBy(by).agg(
+        F.count_if(below).alias("below_min_count"), F.count_if(above).alias("above_max_count"), F.max("__below").alias("longest_below_min_streak"), F.max("__above").alias("longest_above_max_streak"),
+        F.min("temp_c").alias("minimum_temperature"), F.max("temp_c").alias("maximum_temperature"),
+    )
+
+
+def head(records: DataFrame, by: str, columns: list[str], n: int = 12) -> DataFrame:
+    """The first ``n`` steps of each run."""
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("step_index"))
+    return records.select(by, "step_index", *columns, nth.alias("__nth")).where(F.col("__nth") <= n).drop("__nth")
+
+
+#: Metrics of the comparison, with their labels, in order.
+LABELS = {
+    "energy_cost": "Energy cost", "carbon_kg": "Carbon (kg)", "total_grid_energy_kwh": "Grid energy (kWh)", "cooling_energy_kwh": "Cooling energy (kWh)", "renewable_utilization_rate": "Renewable utilization",
+    "peak_grid_power_kw": "Peak grid power (kW)", "average_temperature_c": "Average temperature (C)", "temperature_violation_count": "Temperature violations", "thermal_infeasibility_count": "Thermal infeasibility",
+}
+
+
+def comparison_lines(metrics: DataFrame, group: str = "center", scenarios=("baseline", "heuristic", "finite_horizon"), base: str = "baseline", best: str = "finite_horizon") -> DataFrame:
+    """(group, line_no, line): a table of the metrics in fixed widths, then the conclusions.
+
+    ``metrics``: (group, controller, metric, value). Where any scenario lacks a metric, its
+    whole line says so. One pivot and one aggregate, both by group.
+    """
+    names = metrics.sparkSession.createDataFrame([(i, m, t) for i, (m, t) in enumerate(LABELS.items())], "line_no int, metric string, label string")
+    wide = metrics.groupBy(group, "metric").pivot("controller", list(scenarios)).agg(F.max("value"))
+    grid = metrics.select(group).distinct().crossJoin(F.broadcast(names)).join(wide, [group, "metric"], "left")  # names: the nine above
+    lacking = F.lit(False)
+    for s in scenarios:
+        lacking = lacking | F.col(s).isNull()
+    cells = [F.lpad(F.when(lacking, "missing").otherwise(F.format_string("%.4f", F.round(s, 4) + F.lit(0.0))), 16, " ") for s in scenarios]
+    table = grid.select(group, F.col("line_no").cast("int").alias("line_no"), F.concat(F.rpad("label", 30, " "), *cells).alias("line"))
+    value = lambda who, m: F.max(F.when((F.col("controller") == who) & (F.col("metric") == m), F.col("value")))
+    share = lambda x: F.format_string("%.2f%%", F.round(F.coalesce(x, F.lit(0.0)) * 100, 2) + F.lit(0.0))
+    rates = metrics.groupBy(group).agg(*[value(s, "renewable_utilization_rate").alias(f"__{s}") for s in scenarios], P.percent_change(value(base, "energy_cost"), value(best, "energy_cost")).alias("__change"))
+    found = acceptance(metrics, group, base, best).join(rates, group)
+    change = F.when(F.col("__change").isNull(), "missing").otherwise(F.format_string("%.2f%%", P.signed(F.col("__change"), 2)))
+    said = [
+        F.concat(F.lit("Economic improvement: "), "economic"), F.concat(F.lit("Carbon improvement: "), "carbon"), F.concat(F.lit("Thermal feasibility: "), "thermal"),
+        F.concat(F.lit("Renewable utilization: "), F.concat_ws(", ", *[F.concat(F.lit(f"{s}="), share(F.col(f"__{s}"))) for s in scenarios])),
+        F.concat(F.lit("Numerical validity: "), "numerical"), F.concat(F.lit(f"{best} vs {base} cost: "), change),
+    ]
+    ends = found.select(group, F.posexplode(F.array(*said)).alias("k", "line")).select(group, (F.col("k") + len(LABELS)).cast("int").alias("line_no"), "line")
+    return table.unionByName(ends)

@@ -120,11 +120,22 @@ def metadata(df: DataFrame, by: str) -> DataFrame:
 
 
 def at_step(df: DataFrame, index: int) -> DataFrame:
-    if index < 0:
-        raise IndexError("steps count from 0")
+    """The row of one step; an error outside of the series."""
+    if index < 0 or df.where(F.col("step_index") == index).isEmpty():
+        raise IndexError("the step is outside of the series")
     return df.where(F.col("step_index") == index)
 
 
+def iso_text(time: Column, zone: str | None = None) -> Column:
+    """A time as ISO text with a space; an instant in ``zone`` has its offset, a wall-clock time has none."""
+    if zone is None:
+        return F.date_format(time, "yyyy-MM-dd HH:mm:ss")
+    wall = F.from_utc_timestamp(time, zone)
+    minutes = F.round((F.unix_micros(wall) - F.unix_micros(time)) / F.lit(60_000_000)).cast("int")
+    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60).cast("int"), F.abs(minutes) % 60)
+    return F.concat(F.date_format(wall, "yyyy-MM-dd HH:mm:ss"), offset)
+
+
 # The standard day's generator.
 GENERATOR = {
     "seed": 42, "start_timestamp": "2026-01-01T00:00:00", "timezone": "Asia/Shanghai", "steps": 96, "time_step_minutes": 15, "renewable_enabled": True, "renewable_peak_kw": 320.0,
@@ -162,11 +173,27 @@ def generate(spark: SparkSession, **options) -> DataFrame:
     )
 
 
+def prepared(spark: SparkSession, path: str, regenerate: bool = True, zone: str = "Asia/Shanghai", **options) -> DataFrame:
+    """The standard day's file, generated first (again, or with ``regenerate=False`` only if there is none), then read as any other."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if regenerate or not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        write_csv(generate(spark, **options).drop("step_index"), path)
+    df, _ = read_csv(spark, path, zone)
+    return steps(df.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
+def outside_grid(events: DataFrame, first_day: str = "2024-01-01", days: int = 30) -> int:
+    """How many events :func:`from_events` leaves out: those without a time or outside of its days."""
+    day = F.date_diff(F.col("ts").cast("date"), F.lit(first_day).cast("date"))
+    return events.where(~F.coalesce(day.between(0, days - 1), F.lit(False))).count()
+
+
 def from_events(events: DataFrame, first_day: str = "2024-01-01", days: int = 30) -> DataFrame:
     """Fifteen-minute signals from an event stream, one series (``center``) a day.
 
     Events are counted by slot before any shuffle of theirs; the full grid of slots is
-    joined to the counts. Scales are relative to the largest slot.
+    joined to the counts. Scales are relative to the largest slot. The grid's days are given:
+    events outside of them still count for the largest slot, and :func:`outside_grid` counts them.
     """
     slot = F.hour("ts") * 4 + F.floor(F.minute("ts") / 15).cast("int")
     counted = events.where(F.col("ts").isNotNull()).groupBy(F.date_diff(F.col("ts").cast("date"), F.lit(first_day).cast("date")).alias("day"), slot.alias("slot")).agg(
