@@ -12,10 +12,13 @@ from __future__ import annotations
 import json
 import subprocess
 from datetime import datetime, timezone
+from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Facility
 from ..errors import RunStateError, StorageError
 from ..schema import RECORD_COLUMNS, TRANSIENT_COLUMNS
 
@@ -70,50 +73,106 @@ def legacy_results(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*out)
 
 
+class Store(Protocol):
+    """What a store of runs can do; :class:`RunStore` and :class:`NullStore` both can."""
+
+    def initialize(self) -> "Store": ...
+
+    def create_run(self, name: str, scenario: str, dataset_id: int, **more) -> int: ...
+
+    def append_inputs(self, run_id: int, inputs: DataFrame) -> None: ...
+
+    def append_steps(self, run_id: int, records: DataFrame) -> None: ...
+
+    def finish_run(self, run_id: int, metrics: DataFrame) -> None: ...
+
+    def fail_run(self, run_id: int, error: Exception | str) -> None: ...
+
+
+RUN_COLUMNS = [c.split()[0] for c in TABLES["experiment_runs"].split(", ")]
+
+
 class RunStore:
-    """Runs under one folder."""
+    """Runs under one folder.
+
+    Ids and versions are claimed by creating a file that must not be there yet, so two
+    writers never get the same one. Whether a run is running is read from the table, so
+    another process may finish or fail it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, commit_each_step: bool = False):
         self.spark, self.folder, self.commit_each_step = spark, folder.rstrip("/"), commit_each_step
-        self._active: dict[int, str] = {}
-        self._ready = False
+        self._ready, self._config = False, "{}"
+
+    def __enter__(self) -> "RunStore":
+        return self.initialize()
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def path(self, table: str) -> str:
         return f"{self.folder}/{table}"
 
-    def exists(self, table: str) -> bool:
+    def _at(self, table: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, table: str) -> bool:
+        p, fs = self._at(table)
+        return fs.exists(p)
+
+    def bind_config(self, config: Facility) -> None:
+        """The configuration that runs are created with where none is given."""
+        self._config = config.snapshot()
 
     def initialize(self) -> "RunStore":
         for name, ddl in TABLES.items():
             if not self.exists(name):
                 self.spark.createDataFrame([], ddl).write.parquet(self.path(name))
+        self._ready = True
         if self.read("schema_versions").where(F.col("version") == SCHEMA_VERSION).isEmpty():
             self._append("schema_versions", [(SCHEMA_VERSION, self._now())])
-        self._ready = True
         return self
 
     def read(self, table: str) -> DataFrame:
+        if not self._ready:
+            raise StorageError("the store is not initialized")
         return widened(self.spark.read.option("mergeSchema", "true").parquet(self.path(table)), TABLES[table]) if table in TABLES else self.spark.read.parquet(self.path(table))
 
     def _now(self) -> datetime:
         return datetime.now(timezone.utc)
 
     def _append(self, table: str, rows: list[tuple]) -> None:
-        if not self.exists(table):
+        if not self._ready or not self.exists(table):
             raise StorageError(f"no table {table}: the store is not initialized")
         self.spark.createDataFrame(rows, TABLES[table]).coalesce(1).write.mode("append").parquet(self.path(table))
 
-    def _next(self, table: str) -> tuple[int, int]:
+    def _claim(self, kind: str, used: int) -> int:
+        """The first number after ``used`` that nobody has claimed."""
+        while True:
+            used += 1
+            p, fs = self._at(f"_claims/{kind}/{used}")
+            try:
+                fs.create(p, False).close()
+                return used
+            except Py4JJavaError:
+                if not fs.exists(p):
+                    raise
+
+    def _next(self, table: str, ids: int = 1) -> tuple[list[int], int]:
+        """Ids for so many new rows, and a version."""
         r = self.read(table).agg(F.coalesce(F.max("id"), F.lit(0)).alias("i"), F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()
-        return r["i"] + 1, r["v"] + 1
+        own, last = [], r["i"]
+        for _ in range(ids):
+            last = self._claim(f"{table}-id", last)
+            own.append(last)
+        return own, self._claim(f"{table}-version", r["v"])
 
     def upsert_dataset(self, name: str, signals: DataFrame, source: str = "", step_minutes: int = 15, meta: dict | None = None) -> int:
         """A new version of the dataset of this name; its rows replace the older ones of its id alone."""
         old = self.read("datasets").where(F.col("name") == name).agg(F.max("id")).first()[0]
-        fresh, version = self._next("datasets")
-        own = fresh if old is None else old
+        fresh, version = self._next("datasets", 1 if old is None else 0)
+        own = fresh[0] if old is None else old
         s = signals.agg(F.count("*"), F.min("timestamp"), F.max("timestamp")).first()
         signals.withColumn("dataset_id", F.lit(own).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").parquet(self.path("input_timeseries"))
         self._append("datasets", [(own, name, source, step_minutes, s[0], s[1], s[2], json.dumps(meta or {}, sort_keys=True, ensure_ascii=False), version)])
@@ -122,66 +181,113 @@ class RunStore:
     def datasets(self) -> DataFrame:
         return last_version(self.read("datasets"), ["name"])
 
-    def create_run(self, name: str, scenario: str, dataset_id: int, controller: str | None = None, condition: str | None = None, seed: int = 0, config: str = "{}", commit: str | None = None) -> int:
-        if not self._ready:
-            raise StorageError("the store is not initialized")
-        own, version = self._next("experiment_runs")
-        self._append("experiment_runs", [(own, name, scenario, dataset_id, controller or scenario, condition, seed, config, commit, "running", None, self._now(), version)])
-        self._active[own] = "running"
-        return own
+    def create_runs(self, rows: list[dict]) -> list[int]:
+        """Several runs in one append; each of ``rows`` names what it has of RUN_COLUMNS."""
+        ids, version = self._next("experiment_runs", len(rows))
+        plain = {"config": self._config, "seed": 0, "status": "running", "created_at": self._now(), "version": version}
+        full = [plain | {k: v for k, v in r.items() if v is not None} | {"id": i} for i, r in zip(ids, rows)]
+        self._append("experiment_runs", [tuple(({"controller_name": r.get("scenario")} | r).get(c) for c in RUN_COLUMNS) for r in full])
+        return ids
+
+    def create_run(self, name: str, scenario: str, dataset_id: int, controller: str | None = None, condition: str | None = None, seed: int = 0, config: str | None = None, commit: str | None = None) -> int:
+        return self.create_runs([{"name": name, "scenario": scenario, "dataset_id": dataset_id, "controller_name": controller or scenario, "condition_name": condition, "seed": seed, "config": config, "git_commit": commit}])[0]
 
     def runs(self) -> DataFrame:
         return last_version(self.read("experiment_runs"), ["id"])
 
-    def _require_running(self, run_id: int) -> None:
-        if self._active.get(run_id) != "running":
-            raise RunStateError(f"run {run_id} is not running")
+    def _running(self, ids: list[int]) -> list[dict]:
+        """The rows of these runs, all of which must be running."""
+        rows = [r.asDict() for r in self.runs().where(F.col("id").isin(*ids)).collect()]  # as many as ids
+        live = {r["id"] for r in rows if r["status"] == "running"}
+        for i in ids:
+            if i not in live:
+                raise RunStateError(f"run {i} is not running")
+        return rows
 
-    def _status(self, run_id: int, status: str, message: str | None) -> None:
-        row = self.runs().where(F.col("id") == run_id).first()
-        if row is None or row["status"] != "running":
-            raise RunStateError(f"run {run_id} is not running")
-        _, version = self._next("experiment_runs")
-        values = row.asDict() | {"status": status, "message": message, "version": version}
-        self._append("experiment_runs", [tuple(values[c.split()[0]] for c in TABLES["experiment_runs"].split(", "))])
-        self._active[run_id] = status
+    def _status(self, rows: list[dict], status: str, message: str | None) -> None:
+        _, version = self._next("experiment_runs", 0)
+        changed = [r | {"status": status, "message": message, "version": version} for r in rows]
+        self._append("experiment_runs", [tuple(r[c] for c in RUN_COLUMNS) for r in changed])
 
     def append_inputs(self, run_id: int, inputs: DataFrame) -> None:
-        self._require_running(run_id)
+        self._running([run_id])
         inputs.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("append").partitionBy("run_id").parquet(self.path("run_input_timeseries"))
 
     def append_steps(self, run_id: int, records: DataFrame) -> None:
-        """Records without their transient columns, into the result table or the run's stage."""
-        self._require_running(run_id)
-        kept = records.select("step_index", *[c for c in RECORD_COLUMNS if c not in TRANSIENT_COLUMNS and c in records.columns]).withColumn("run_id", F.lit(run_id).cast("long"))
-        kept.write.mode("append").partitionBy("run_id").parquet(self.path("simulation_results" if self.commit_each_step else f"_stage/{run_id}"))
+        self.append_steps_of([run_id], records.withColumn("run_id", F.lit(run_id).cast("long")))
+
+    def append_steps_of(self, ids: list[int], records: DataFrame) -> None:
+        """Records (with ``run_id``) of some runs without their transient columns, in one write: into
+        the result table or, until they are finished, the runs' stages."""
+        self._running(ids)
+        kept = records.select("step_index", *[c for c in RECORD_COLUMNS if c not in TRANSIENT_COLUMNS and c in records.columns], F.col("run_id").cast("long").alias("run_id"))
+        kept.write.mode("append").partitionBy("run_id").parquet(self.path("simulation_results" if self.commit_each_step else "_stage"))
 
     def finish_run(self, run_id: int, metrics: DataFrame) -> None:
-        """Promotes the steps, writes the metrics (metric, value), then the status."""
-        self._require_running(run_id)
-        if self.exists(f"_stage/{run_id}"):
-            staged = self.spark.read.parquet(self.path(f"_stage/{run_id}"))
-            staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self.path("simulation_results"))
-            self._drop(f"_stage/{run_id}")
-        self.upsert_metrics(run_id, metrics)
-        self._status(run_id, "completed", None)
+        self.finish_runs([run_id], metrics.withColumn("run_id", F.lit(run_id).cast("long")))
+
+    def finish_runs(self, ids: list[int], metrics: DataFrame) -> None:
+        """Promotes the steps, writes the metrics (run_id, metric, value), then the statuses, each in one write."""
+        rows = self._running(ids)
+        staged = [self.path(f"_stage/run_id={i}") for i in ids if self.exists(f"_stage/run_id={i}")]
+        if staged:
+            steps = self.spark.read.option("basePath", self.path("_stage")).option("mergeSchema", "true").parquet(*staged)
+            steps.withColumn("run_id", F.col("run_id").cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self.path("simulation_results"))
+        self._put_metrics(metrics)
+        self._status(rows, "completed", None)
+        for i in ids:
+            self._drop(f"_stage/run_id={i}")
 
     def fail_run(self, run_id: int, error: Exception | str) -> None:
-        self._require_running(run_id)
-        self._drop(f"_stage/{run_id}")
-        self._status(run_id, "failed", str(error))
+        self.fail_runs([run_id], error)
+
+    def fail_runs(self, ids: list[int], error: Exception | str) -> None:
+        rows = self._running(ids)
+        for i in ids:
+            self._drop(f"_stage/run_id={i}")
+        self._status(rows, "failed", str(error))
 
     def _drop(self, table: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = self._at(table)
+        fs.delete(p, True)
+
+    def _put_metrics(self, metrics: DataFrame) -> None:
+        used = self.read("run_metrics").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        version = self._claim("run_metrics-version", used)
+        metrics.select(F.col("run_id").cast("long").alias("run_id"), "metric", "value", F.lit(version).cast("long").alias("version")).write.mode("append").parquet(self.path("run_metrics"))
 
     def upsert_metrics(self, run_id: int, metrics: DataFrame) -> None:
-        version = self.read("run_metrics").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
-        metrics.select(F.lit(run_id).cast("long").alias("run_id"), "metric", "value", F.lit(version).cast("long").alias("version")).write.mode("append").parquet(self.path("run_metrics"))
+        self._put_metrics(metrics.withColumn("run_id", F.lit(run_id)))
 
     def metrics(self) -> DataFrame:
         return last_version(self.read("run_metrics"), ["run_id", "metric"]).drop("version")
 
+    def migrate(self, older: dict[str, DataFrame]) -> dict[str, int]:
+        """Takes over a whole older store, given as tables by name (from files, SQLite or JDBC); rows by table.
+
+        What an older run table lacks is null; its runs count as completed and go by their
+        scenario where no controller is named. Older results and metrics keep their ids, so the store must be new.
+        """
+        self.initialize()
+        if not self.read("experiment_runs").isEmpty():
+            raise StorageError("an older store can only be taken over by an empty one")
+        taken = {}
+        for name, df in older.items():
+            if name == "schema_versions":
+                continue
+            if name in TABLES:
+                df = df.withColumn("version", F.lit(1).cast("long")) if "version" not in df.columns else df
+                df = widened(df, TABLES[name], {"status": "completed"} if name == "experiment_runs" else None)
+                if name == "experiment_runs":
+                    df = df.withColumn("controller_name", F.coalesce("controller_name", "scenario"))
+                df.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("append").parquet(self.path(name))
+            elif name == "simulation_results":
+                legacy_results(df, ["run_id", "step_index", *[c for c in RECORD_COLUMNS if c not in TRANSIENT_COLUMNS]]).write.mode("append").partitionBy("run_id").parquet(self.path(name))
+            else:
+                df.write.mode("append").parquet(self.path(name))
+            taken[name] = df.count()
+        return taken
+
     def close(self) -> None:
         self._ready = False
 
