@@ -1,0 +1,136 @@
+"""One facility stepped from outside, contracts of inputs and forecasts, controllers under one protocol."""
+
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from thermolith.config import SCENARIO_TABLE, Condition, Facility, condition
+from thermolith.errors import ControllerError, InputValidationError, RunStateError, TimeAlignmentError
+from thermolith.operators import contracts
+from thermolith.operators import windows as W
+from thermolith.plans import environment as E
+from thermolith.plans import loop
+from thermolith.sources import signals as S
+
+FAC = Facility()
+
+
+def signal(i, load=0.5, price=0.5):
+    return E.Input(datetime(2026, 1, 1) + timedelta(minutes=15 * i), load, price, 0.4, 25.0, 100.0)
+
+
+def system(name="baseline", c=None):
+    return E.System(E.Environment(FAC, c), E.BuiltIn(name, FAC, c))
+
+
+def test_baseline_rejects_future_information():
+    with pytest.raises(TimeAlignmentError):
+        system().step(signal(0), (signal(0), signal(1)))
+    with pytest.raises(TimeAlignmentError):
+        system("finite_horizon").step(signal(0), (signal(1), signal(2)))
+    with pytest.raises(InputValidationError):
+        system("finite_horizon").step(signal(0), (signal(0), signal(0)))
+    system("finite_horizon").step(signal(0), tuple(signal(i) for i in range(8)))
+    with pytest.raises(TimeAlignmentError):
+        system("finite_horizon").step(signal(0), tuple(signal(i) for i in range(9)))
+
+
+def test_environment_without_a_controller():
+    env = E.Environment(FAC)
+    assert env.reset(3, signal(0)).measured_temperature_c == FAC.initial_temp_c
+    out = env.step(140.0, signal(0))
+    assert out["proposed_cooling_kw"] == 140.0 and env.snapshot().step_index == 1 and env.snapshot().last_at == signal(0).at
+    with pytest.raises(TimeAlignmentError):
+        env.step(140.0, signal(2))
+    with pytest.raises(ControllerError):
+        env.step(float("nan"), signal(1))
+
+
+def test_reset_with_one_seed_repeats():
+    env = E.Environment(FAC, Condition("n", measurement="gaussian", noise_std_c=0.2, noise_seed=1))
+    runs = []
+    for seed in (17, 17, 18):
+        env.reset(seed)
+        runs.append([env.step(140.0, signal(i))["measured_temperature_c"] for i in range(3)])
+    assert runs[0] == runs[1] != runs[2]
+
+
+def test_instances_have_their_own_state_and_runs_their_life():
+    a, b = system(), system()
+    a.start()
+    a.step(signal(0))
+    assert b.environment.snapshot().step_index == 0
+    with pytest.raises(RunStateError):
+        a.reset()
+    assert len(a.finish()) == 1
+    with pytest.raises(RunStateError):
+        a.finish()
+    assert a.reset(1, signal(0)).previous_applied_cooling_kw == 0
+
+
+@pytest.mark.parametrize("bad", [{"load": float("nan")}, {"load": -0.1}, {"price": -1.0}])
+def test_inputs_are_checked(bad):
+    with pytest.raises(InputValidationError):
+        signal(0, **bad)
+
+
+def test_timeline_windows():
+    line = E.Timeline(tuple(signal(i) for i in range(5)))
+    assert len(line) == 5 and [x.at for x in line.window(3, 8)] == [signal(3).at, signal(4).at]
+    with pytest.raises(IndexError):
+        line.window(5, 1)
+    with pytest.raises(InputValidationError):
+        line.window(0, 0)
+
+
+def test_controllers_share_one_interface():
+    for name, _, most in SCENARIO_TABLE:
+        own = E.BuiltIn(name, FAC)
+        own.reset(4)
+        assert own.name == own.metadata()["name"] == name and own.max_forecast_steps == most
+        asked = own.act(E.Environment(FAC).observation(signal(0)), tuple(signal(i) for i in range(own.max_forecast_steps)))
+        assert 0 <= asked[0] <= FAC.max_cooling_kw
+
+
+@pytest.mark.parametrize("cond", ["ideal", "rate_limited", "combined_nonideal"])
+@pytest.mark.parametrize("name", ["baseline", "heuristic", "finite_horizon"])
+def test_a_stepped_run_is_the_batch_run(spark, name, cond):
+    d = S.generate(spark).withColumn("run_id", F.lit(1).cast("long")).withColumn("workload_fraction", F.col("online_workload") + F.col("batch_workload"))
+    whole = loop.simulate(d.withColumns({"controller": F.lit(name), "condition": F.lit(cond)}), FAC).orderBy("step_index").toPandas()
+    rows = d.select(F.col("timestamp").alias("at"), *[F.col(v).alias(k) for k, v in loop.INPUT.items()]).orderBy("at").collect()
+    steps = system(name, condition(cond)).run(E.timeline(rows))
+    for column in ("proposed_cooling_kw", "applied_cooling_kw", "true_temperature_c", "measured_temperature_c"):
+        assert np.abs(whole[column].to_numpy() - np.array([x[column] for x in steps])).max() < 1e-9
+
+
+def test_own_controller_sees_no_more_than_it_may(spark):
+    class Far:
+        max_forecast_steps = 3
+        seen, resets = [], []
+
+        def reset(self, seed=None):
+            self.resets.append(seed)
+
+        def act_all(self, lp, state, x, window):
+            assert window["price"].shape[1] <= 3 and self.resets
+            return window["price"].max(1) * 100, np.full(len(state.true), 24.0), np.full(len(state.true), 18.0)
+
+    d = S.generate(spark).withColumn("run_id", F.lit(1).cast("long")).withColumn("workload_fraction", F.col("online_workload")).withColumns({"controller": F.lit("far"), "condition": F.lit("ideal")})
+    assert loop.simulate(d, FAC, controllers={"far": Far()}).count() == 96
+
+
+def test_window_access(spark):
+    d = W.forecast(S.generate(spark).withColumn("k", F.lit(1)), "k", 4, ["electricity_price"])
+    last = d.where("step_index = 95")
+    assert d.where("step_index = 3").select(contracts.window_row("forecast", 3)).first()[0] is not None
+    for bad in (1, -1):
+        with pytest.raises(Exception, match="outside of the forecast window"):
+            last.select(contracts.window_row("forecast", bad)).collect()
+    assert d.select(contracts.window_values(d, "forecast", "electricity_price").alias("v")).where("size(v) = 4").count() == 93
+    with pytest.raises(InputValidationError):
+        contracts.window_values(d, "forecast", "none")
+    for index in (-1, 96):
+        with pytest.raises(IndexError):
+            S.at_step(d, index)

@@ -80,9 +80,9 @@ def test_gap_is_an_error(spark):
 
 
 def rows_for_stream(spark, controller, cond):
-    d = W.precool_flag(day_inputs(spark), "run_id", FAC).select("*", *[F.col(v).alias(k) for k, v in loop.INPUT.items()])
-    d = W.forecast(d, "run_id", FAC.horizon_steps, ["load", "price", "ci", "outdoor", "renewable"])
-    return d.select("run_id", F.lit(controller).alias("controller"), F.lit(cond).alias("condition"), F.col("timestamp").alias("at"), "load", "price", "ci", "outdoor", "renewable", "precool", F.lit(None).cast("double").alias("action"), "forecast")
+    d = W.precool_flag(day_inputs(spark), "run_id", FAC).select("*", F.col("timestamp").alias("at"), *[F.col(v).alias(k) for k, v in loop.INPUT.items()])
+    d = W.forecast(d, "run_id", FAC.horizon_steps, ["at", "load", "price", "ci", "outdoor", "renewable"])
+    return d.select("run_id", F.lit(controller).alias("controller"), F.lit(cond).alias("condition"), "at", "load", "price", "ci", "outdoor", "renewable", "precool", F.lit(None).cast("double").alias("action"), "forecast")
 
 
 def test_stream_equals_batch_over_two_batches_and_rejects_late_rows(spark, tmp_path):

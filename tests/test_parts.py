@@ -61,6 +61,35 @@ def test_simple_files():
     assert C.read_simple(text) == {"a": {"b": 1, "c": 0.5, "d": True, "e": "x: y"}, "f": "2026-01-01T00:00:00"}
 
 
+@pytest.mark.parametrize("text,want", [
+    ("a:\n      b: 1\n   c: 2\nd: 3", {"a": {"b": 1, "c": 2}, "d": 3}), ("a: 1\n    b: 2", {"a": 1, "b": 2}), ("  # x\n\n  a:\n    b:\n      c: -1.5e3\n  d: +7", {"a": {"b": {"c": -1500.0}}, "d": 7}),
+    ("a: \"1\"\nb: 'true'\nc: TRUE\nd: hello\ne: 1.2.3\nf: .5\ng: 5.", {"a": "1", "b": "true", "c": True, "d": "hello", "e": "1.2.3", "f": 0.5, "g": 5.0}), ("a:\nb:\n", {"a": {}, "b": {}}), ("", {}), ("a : x # y\n", {"a": "x # y"}),
+])
+def test_odd_simple_files(text, want):
+    assert C.read_simple(text) == want
+
+
+def test_a_line_without_a_colon():
+    with pytest.raises(ConfigurationError, match="no colon in: b"):
+        C.read_simple("a: 1\n  b\n")
+
+
+def test_conditions_and_scenarios_from_mappings():
+    own = {
+        "actuators": {"slow": {"mode": "rate_limited", "max_ramp_up_kw_per_step": 30}}, "mismatch_scenarios": {"m": {"thermal_capacity_scale": 1.1}}, "measurements": {"n": {"mode": "gaussian", "temperature_noise_std_c": 0.1, "seed": 5}},
+        "conditions": {"x": {"actuator": "slow", "mismatch": "m", "measurement": "n"}},
+    }
+    c = C.conditions(own)["x"]
+    assert (c.actuator, c.ramp_up_kw, c.capacity_scale, c.measurement, c.noise_seed) == ("rate_limited", 30.0, 1.1, "gaussian", 5)
+    with pytest.raises(ConfigurationError):
+        C.conditions(own | {"measurements": {}})
+    assert C.scenarios({}) == C.SCENARIO_TABLE and C.scenarios({"scenarios": {"s": {"dispatch_strategy": "immediate", "cooling_strategy": "finite_horizon"}}}) == [("finite_horizon", "immediate", 8)]
+    with pytest.raises(ConfigurationError):
+        C.scenarios({"scenarios": {"s": {"dispatch_strategy": "immediate", "cooling_strategy": "?"}}})
+    f = C.Facility()
+    assert C.thawed(f, beam_width=3).beam_width == 3 and f.beam_width == 24
+
+
 def test_csv_round_trip_and_legacy(spark, tmp_path):
     day = S.generate(spark)
     S.write_csv(day.drop("step_index"), f"{tmp_path}/a")
@@ -122,6 +151,83 @@ def test_store(spark, tmp_path):
     assert [r["value"] for r in store.metrics().collect()] == [2.0]
 
 
+def test_two_writers_and_a_second_process(spark, tmp_path):
+    one, two = (RunStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    with one, two:
+        two.bind_config(C.Facility())
+        ids = [w.create_run("r", "baseline", 1) for w in (one, two, one)]
+        assert sorted(ids) == [1, 2, 3] and one._claim("experiment_runs-id", 0) == 4
+        one.append_steps(1, spark.range(3).select(F.col("id").cast("int").alias("step_index"), F.lit(1.0).alias("temp_c")))
+        two.finish_run(1, spark.createDataFrame([("m", 1.0)], "metric string, value double"))
+        assert one.runs().where("id = 1").first()["status"] == "completed" and one.read("simulation_results").count() == 3
+        assert "beam_width" in one.runs().where("id = 2").first()["config"]
+    with pytest.raises(StorageError):
+        one.runs()
+
+
+def test_a_whole_older_store_is_taken_over(spark, tmp_path):
+    old = {
+        "experiment_runs": spark.createDataFrame([(4, "r", "optimized", 1, 7, "{}", "abc")], "id long, name string, scenario string, dataset_id long, seed long, config string, git_commit string"),
+        "simulation_results": spark.createDataFrame([(4, 0, 21.5)], "run_id long, step_index int, temp_c double"), "run_metrics": spark.createDataFrame([(4, "energy_cost", 2.5)], "run_id long, metric string, value double"),
+    }
+    store = RunStore(spark, f"file://{tmp_path}/new")
+    assert store.migrate(old) == {"experiment_runs": 1, "simulation_results": 1, "run_metrics": 1}
+    r = store.runs().first()
+    assert (r["status"], r["controller_name"], r["condition_name"], r["seed"]) == ("completed", "optimized", None, 7)
+    row = store.read("simulation_results").first()
+    assert (row["temp_c"], row["applied_cooling_kw"], row["fallback_reason"]) == (21.5, 0.0, "") and store.metrics().first()["value"] == 2.5
+    assert store.create_run("r", "baseline", 1) == 5
+    with pytest.raises(StorageError):
+        store.migrate(old)
+
+
+def test_prepared_signals(spark, tmp_path):
+    path = f"file://{tmp_path}/day"
+    first = S.prepared(spark, path, renewable_enabled=False)
+    assert first.count() == 96 and first.agg(F.max("renewable_power_kw")).first()[0] == 0
+    assert S.prepared(spark, path, regenerate=False).agg(F.max("renewable_power_kw")).first()[0] == 0
+    assert S.prepared(spark, path).agg(F.max("renewable_power_kw")).first()[0] > 300
+
+
+def test_events_outside_the_grid_are_counted(spark):
+    rows = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'2024-01-01 00:00:00', 'view', 1.0D), (TIMESTAMP_NTZ'2024-02-05 00:00:00', 'view', 1.0D), (NULL, 'view', 1.0D) AS t(ts, event_type, value)")
+    assert S.outside_grid(rows) == 2 and S.from_events(rows).count() == 2880
+
+
+def test_services_must_fit_the_signals(spark):
+    from thermolith.errors import InputValidationError as Wrong
+    from thermolith.operators import dispatch
+
+    day = S.generate(spark).withColumn("center", F.lit(1))
+    service = day.select("center", "step_index", (F.col("batch_workload") * 2).alias("batch_service"))
+    own = dispatch.workload(dispatch.with_service(day, service, "center"), "center")
+    assert own.count() == 96 and own.agg(F.max(F.abs(F.col("workload_fraction") - F.col("online_workload") - F.col("batch_workload")))).first()[0] < 1e-9
+    for bad in (service.where("step_index > 3"), service.unionByName(service.limit(1).withColumn("step_index", F.lit(200)))):
+        with pytest.raises(Wrong):
+            dispatch.with_service(day, bad, "center")
+
+
+def test_a_year_is_dispatched_in_linear_time(spark):
+    import time
+
+    year = spark.range(35_040).select(F.lit(1).alias("center"), F.col("id").cast("int").alias("step_index"), (F.lit(0.4) + 0.3 * F.sin("id")).alias("online_workload"), F.lit(0.2).alias("batch_workload"), (F.lit(0.6) + 0.4 * F.cos(F.col("id") / 9)).alias("electricity_price"))
+    begin = time.perf_counter()
+    from thermolith.operators import dispatch
+
+    out = dispatch.dispatched(year, "center", "price_aware_temporal_shift", C.Facility()).agg(F.count("*"), F.sum("batch_service")).first()
+    assert out[0] == 35_040 and 0 < out[1] <= 0.2 * 35_040 + 1e-6
+    assert time.perf_counter() - begin < 20
+
+
+def test_one_loop_and_one_shuffle_a_run(spark, folder):
+    from thermolith import queries as Q
+
+    plan = Q.run_metrics_wide(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the dispatch and the loop
+    plan = Q.loop_baseline(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning(run_id") == 1
+
+
 def test_null_store(spark):
     store = NullStore().initialize()
     run = store.create_run()

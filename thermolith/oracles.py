@@ -83,8 +83,10 @@ inp AS (SELECT s.*, v.batch_service, greatest({_D(0.0)}, s.online_workload + w.d
 MISMATCH = {"ideal": (1.0, 1.0, 1.0), "mild": (1.05, 0.95, 1.05)}
 
 
-def loop(controller: str = "baseline", actuator: str = "ideal", mismatch: str = "ideal", name: str = "lp") -> str:
-    """A recursive table of the closed loop over ``inp``; the true temperature is the measured one."""
+def loop(controller: str = "baseline", actuator: str = "ideal", mismatch: str = "ideal", name: str = "lp", noise: list[float] | None = None) -> str:
+    """A recursive table of the closed loop over ``inp``: t is the true temperature, m the measured one."""
+    nz = "[" + ", ".join(_D(x) for x in noise) + "]" if noise else None
+    first, later = (f" + {_D(noise[0])}", f" + list_extract({nz}, step_index + 2)") if noise else ("", "")
     cap, hs, cs = MISMATCH[mismatch]
     alpha = 1.0 - math.exp(-15 / 30.0)
     if controller == "heuristic":
@@ -105,17 +107,17 @@ def loop(controller: str = "baseline", actuator: str = "ideal", mismatch: str =
     keep = "true" if actuator == "delayed" else "lo2 > hi2 + 1e-9 OR abs(w - m0) <= 1e-9"
     return f"""
 {name} AS (
-  SELECT center, CAST(-1 AS INTEGER) AS step_index, {_D(24.0)} AS t, {_D(0.0)} AS a, {_D(0.0)} AS q, {_D(0.0)} AS p, {_D(0.0)} AS g, {_D(0.0)} AS lo, {_D(0.0)} AS hi, {_D(0.0)} AS tp, {_D(0.0)} AS pt, {_D(0.0)} AS pa, {_D(0.0)} AS pp, {_D(0.0)} AS safe, false AS none FROM (SELECT DISTINCT center FROM sig)
+  SELECT center, CAST(-1 AS INTEGER) AS step_index, {_D(24.0)} AS t, {_D(24.0)}{first} AS m, {_D(0.0)} AS a, {_D(0.0)} AS q, {_D(0.0)} AS p, {_D(0.0)} AS g, {_D(0.0)} AS lo, {_D(0.0)} AS hi, {_D(0.0)} AS tp, {_D(0.0)} AS pt, {_D(0.0)} AS pa, {_D(0.0)} AS pp, {_D(0.0)} AS safe, false AS none FROM (SELECT DISTINCT center FROM sig)
   UNION ALL
-  SELECT center, step_index, {thermal('t', 'h', 'x', 'o', cap, hs, cs)}, x, q2, p, g, lo, hi, {thermal('t', 'h', 'x', 'o')}, t, a, p0, safe, none FROM (
+  SELECT center, step_index, {thermal('t', 'h', 'x', 'o', cap, hs, cs)}, {thermal('t', 'h', 'x', 'o', cap, hs, cs)}{later}, x, q2, p, g, lo, hi, {thermal('m', 'h', 'x', 'o')}, t, a, p0, safe, none FROM (
     SELECT *, least(greatest({move('g')}, 0.0), 280.0) AS x, g AS q2 FROM (
       SELECT *, least(greatest(CASE WHEN {keep} THEN safe ELSE {aware} END, 0.0), 280.0) AS g, lo2 > hi2 + 1e-9 AS none FROM (
         SELECT *, least(greatest(m0, lo2), hi2) AS w FROM (
           SELECT *, least(greatest({move('safe')}, 0.0), 280.0) AS m0, greatest({reach[0]}, lo) AS lo2, least({reach[1]}, hi) AS hi2 FROM (
             SELECT *, CASE WHEN lo <= hi + 1e-9 THEN least(greatest(least(greatest(p, 0.0), 280.0), lo), hi) WHEN lo > 280.0 THEN 280.0 ELSE 0.0 END AS safe FROM (
-              SELECT *, {proposed} AS p, greatest(0.0, {bound('t', 'h', 'o', _D(32.0))}) AS lo, least(280.0, {bound('t', 'h', 'o', f'greatest({_D(18.0)}, fl)')}) AS hi FROM (
-                SELECT *, h - (tg - o) / {_D(0.18)} AS ff, t - tg AS e FROM (
-                  SELECT l.center, i.step_index, l.t, l.a, l.q, l.p AS p0, i.online_workload, i.outdoor_temperature_c AS o, {heat('i.wl')} AS h, {target.replace('precool', 'i.precool')} AS tg, {floor.replace('precool', 'i.precool')} AS fl
+              SELECT *, {proposed} AS p, greatest(0.0, {bound('m', 'h', 'o', _D(32.0))}) AS lo, least(280.0, {bound('m', 'h', 'o', f'greatest({_D(18.0)}, fl)')}) AS hi FROM (
+                SELECT *, h - (tg - o) / {_D(0.18)} AS ff, m - tg AS e FROM (
+                  SELECT l.center, i.step_index, l.t, l.m, l.a, l.q, l.p AS p0, i.online_workload, i.outdoor_temperature_c AS o, {heat('i.wl')} AS h, {target.replace('precool', 'i.precool')} AS tg, {floor.replace('precool', 'i.precool')} AS fl
                   FROM {name} l JOIN inp i ON i.center = l.center AND i.step_index = l.step_index + 1)))))))))"""
 
 
@@ -275,7 +277,59 @@ def _best_window(col: str) -> str:
   SELECT center, step_index, avg({col}) OVER (PARTITION BY center ORDER BY step_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m FROM sig) WHERE step_index >= 3) WHERE k = 1"""
 
 
-_DEG = "CASE WHEN ideal_value = 0 THEN printf('absolute change %+.4f', value - ideal_value) ELSE printf('%+.2f%%', (value - ideal_value) / abs(ideal_value) * 100.0) END"
+#: Records with faults: run 3 is absent, run 5 has a value that is no number, 6 an infinite one, 7 negative powers, 8 steps twice, 9 steps missing.
+_DIRTY = """dirty AS (SELECT * REPLACE (
+    CASE WHEN center = 5 AND step_index = 10 THEN CAST('nan' AS DOUBLE) ELSE grid_power_kw END AS grid_power_kw, CASE WHEN center = 6 AND step_index IN (4, 9) THEN CAST('inf' AS DOUBLE) ELSE temp_c END AS temp_c,
+    CASE WHEN center = 7 AND step_index < 5 THEN -1.0 ELSE cooling_power_kw END AS cooling_power_kw)
+  FROM (SELECT * FROM rec WHERE center <> 3 AND NOT (center = 9 AND step_index % 10 = 0) UNION ALL SELECT * FROM rec WHERE center = 8 AND step_index < 7))"""
+
+_EVENTS = (
+    ("maximum prediction error", "abs(one_step_temperature_prediction_error_c)", "model and plant differ, and the measurement is noisy"), ("maximum actuator tracking error", "actuator_tracking_error_kw", "the actuator cannot follow its target at once"),
+    ("smallest thermal safety margin", "-least(true_temperature_c - temp_min_c, temp_max_c - true_temperature_c)", "the temperature is nearest to one of its limits"),
+    ("maximum applied action change", "applied_control_movement_kw", "the largest movement of the actuator between two steps"),
+)
+_SHOWN = ("true_temperature_c", "measured_temperature_c", "predicted_next_temperature_c", "proposed_cooling_kw", "constrained_cooling_kw", "applied_cooling_kw", "electricity_price", "carbon_intensity_kg_per_kwh", "outdoor_temperature_c", "renewable_available_kw")
+
+
+def _event(name: str, key: str, cause: str) -> str:
+    return f"SELECT center, '{name}' AS event, step_index, timestamp, {', '.join(_r(c, c) for c in _SHOWN)}, '{cause}' AS cause FROM rec QUALIFY row_number() OVER (PARTITION BY center ORDER BY {key} DESC, step_index) = 1"
+
+
+def _streak_of(flag: str) -> str:
+    return f"(SELECT center, max(n) AS n FROM (SELECT center, k, count(*) FILTER (WHERE f) AS n FROM (SELECT center, f, step_index - count(*) FILTER (WHERE f) OVER (PARTITION BY center ORDER BY step_index) AS k FROM (SELECT center, step_index, {flag} AS f FROM rec)) GROUP BY 1, 2) GROUP BY 1)"
+
+
+def _comparison_report() -> str:
+    """Two scenarios' metrics by center, from their records, then text."""
+    m = {
+        "energy_cost": ("Energy cost", "sum(energy_cost_step)"), "carbon_kg": ("Carbon (kg)", "sum(carbon_kg_step)"), "total_grid_energy_kwh": ("Grid energy (kWh)", "sum(grid_energy_kwh)"),
+        "cooling_energy_kwh": ("Cooling energy (kWh)", "sum(cooling_energy_kwh)"), "renewable_utilization_rate": ("Renewable utilization", "CASE WHEN sum(renewable_available_kw) > 0 THEN sum(renewable_used_kw * 0.25) / sum(renewable_available_kw * 0.25) ELSE 0.0 END"),
+        "peak_grid_power_kw": ("Peak grid power (kW)", "max(grid_power_kw)"), "average_temperature_c": ("Average temperature (C)", "avg(temp_c)"),
+        "temperature_violation_count": ("Temperature violations", "sum(temperature_violation)"), "thermal_infeasibility_count": ("Thermal infeasibility", "sum(thermal_infeasible)"),
+    }
+    side = lambda who: f"(SELECT center, " + ", ".join(f"CAST({x} AS DOUBLE) AS {k}" for k, (_, x) in m.items()) + f", max(abs(power_balance_error)) AS pe, max(abs(renewable_balance_error)) AS re FROM allrec WHERE controller = '{who}' GROUP BY 1)"
+    cell = lambda t, k: f"lpad(printf('%.4f', round({t}.{k}, 4) + 0.0), 16, ' ')"
+    verdict = lambda ok: f"CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END"
+    rate = lambda t: f"printf('%.2f%%', round({t}.renewable_utilization_rate * 100, 2) + 0.0)"
+    lines = [f"rpad('{label}', 30, ' ') || {cell('b', k)} || {cell('h', k)}" for k, (label, _) in m.items()]
+    lines += [
+        "'Economic improvement: ' || " + verdict("round(h.energy_cost, 9) < round(b.energy_cost, 9)"), "'Carbon improvement: ' || " + verdict("round(h.carbon_kg, 9) <= round(b.carbon_kg, 9)"),
+        "'Thermal feasibility: ' || " + verdict("b.temperature_violation_count + b.thermal_infeasibility_count + h.temperature_violation_count + h.thermal_infeasibility_count = 0"),
+        f"'Renewable utilization: baseline=' || {rate('b')} || ', heuristic=' || {rate('h')}", "'Numerical validity: ' || " + verdict("greatest(b.pe, b.re, h.pe, h.re) <= 1e-9"),
+        "'heuristic vs baseline cost: ' || printf('%.2f%%', round((h.energy_cost - b.energy_cost) / abs(b.energy_cost) * 100.0, 2) + 0.0)",
+    ]
+    parts = " UNION ALL ".join(f"SELECT b.center, {i} AS line_no, {x} AS line FROM b JOIN h USING (center)" for i, x in enumerate(lines))
+    return _matrix(("ideal",)) + f",\nb AS {side('baseline')},\nh AS {side('heuristic')}\n{parts}"
+
+
+def _noise() -> list[float]:
+    """The draws of the noisy condition: fixed by its seed, so stated as values."""
+    import numpy as np
+
+    return np.random.default_rng(2026).normal(0.0, 0.15, 97).tolist()
+
+
+_DEG = "CASE WHEN ideal_value = 0 THEN printf('absolute change %+.4f', round(value - ideal_value, 4) + 0.0) ELSE printf('%+.2f%%', round((value - ideal_value) / abs(ideal_value) * 100.0, 2) + 0.0) END"
 _ACCEPT = lambda ok, name: f"CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS {name}"
 
 ORACLES: dict[str, str] = {
@@ -303,6 +357,21 @@ ORACLES: dict[str, str] = {
     "workload_fraction": _with(SIG, served("price")) + f"\nSELECT center, step_index, {_r('wl', 'workload_fraction')} FROM inp",
     "actuator_ideal": _loop_query(), "actuator_rate_limited": _loop_query(actuator="rate_limited"), "actuator_first_order": _loop_query(actuator="first_order"), "actuator_delayed": _loop_query(actuator="delayed"),
     "loop_baseline": _loop_query(), "loop_heuristic": _loop_query("heuristic", strategy="price"), "loop_external_action": _loop_query("external"),
+    "measurement_noise": _with(SIG, served("immediate"), loop("baseline", "first_order", "mild", noise=_noise())) + f"\nSELECT center, step_index, {_r('t', 'true_temperature_c')}, {_r('m', 'measured_temperature_c')} FROM lp WHERE step_index >= 0",
+    "streaming_loop": _with(SIG, served("immediate"), loop("heuristic")) + f"\nSELECT CAST(center AS BIGINT) AS run_id, step_index, {_r('p', 'proposed_cooling_kw')}, {_r('a', 'applied_cooling_kw')}, {_r('t', 'true_temperature_c')}, CAST(NULL AS VARCHAR) AS error FROM lp WHERE step_index >= 0",
+    "stream_rejections": _with(SIG) + """
+SELECT CAST(center AS BIGINT) AS run_id, CAST(95 AS BIGINT) AS steps, CASE center % 6 WHEN 0 THEN 'load is not finite' WHEN 1 THEN 'price is negative' WHEN 2 THEN 'the forecast does not begin at the current step'
+  WHEN 3 THEN 'the forecast''s times do not increase' WHEN 4 THEN 'the controller may see 8 steps at most' ELSE 'time does not follow the last step' END AS error FROM (SELECT DISTINCT center FROM sig)""",
+    "observation_series": _with(SIG, served("immediate"), loop(actuator="rate_limited")) + f"\nSELECT l.center, l.step_index, {_r('l.pt', 'measured_temperature_c')}, {_r('l.pa', 'previous_applied_cooling_kw')}, {_r('i.wl', 'workload_fraction')}, " + ", ".join(_r("i." + c, c) for c in ("electricity_price", "carbon_intensity_kg_per_kwh", "outdoor_temperature_c", "renewable_power_kw")) + " FROM lp l JOIN inp i ON i.center = l.center AND i.step_index = l.step_index WHERE l.step_index >= 0",
+    "event_report": _with(*_REC) + "\nSELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(_event(*e) for e in _EVENTS) + ")",
+    "thermal_report": _with(*_REC) + f"\nSELECT a.*, coalesce(l.n, 0) AS longest_below_min_streak, coalesce(h.n, 0) AS longest_above_max_streak FROM (SELECT center, count(*) FILTER (WHERE temp_c < temp_min_c) AS below_min_count, count(*) FILTER (WHERE temp_c > temp_max_c) AS above_max_count, {_r('min(temp_c)', 'minimum_temperature')}, {_r('max(temp_c)', 'maximum_temperature')} FROM rec GROUP BY 1) a JOIN {_streak_of('temp_c < temp_min_c')} l USING (center) JOIN {_streak_of('temp_c > temp_max_c')} h USING (center)",
+    "thermal_head": _with(*_REC) + f"\nSELECT center, step_index, {', '.join(_r(c, c) for c in ('temp_c', 'temp_min_c', 'temp_max_c', 'cooling_kw'))} FROM rec WHERE step_index < 12",
+    "comparison_report": _comparison_report(),
+    "scenario_listing": _with(_RUNS) + "\nSELECT controller_name AS scenario, max(id) AS run_id FROM runs GROUP BY 1 ORDER BY 1",
+    "iso_times": _with(SIG) + "\nSELECT center, step_index, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS text, strftime(timestamp + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') || '+08:00' AS local_text FROM sig",
+    "forecast_contract": _with(SIG) + """
+SELECT center, step_index, controller, CASE WHEN least(center, 30, 96 - step_index) > reach THEN printf('the controller may see %d steps at most', reach) END AS error
+FROM sig CROSS JOIN (VALUES ('baseline', 1), ('heuristic', 24), ('finite_horizon', 8)) AS c(controller, reach) WHERE step_index % 24 = 7""",
     "mpc_open_loop_solve": _mpc(),
     "robustness_matrix": _matrix(("ideal", "rate_limited", "mild_mismatch", "rate_limited_mild_mismatch")) + "\nSELECT center, controller, condition, " + ", ".join(_r(c, c, 5) for c in ("energy_cost", "carbon_kg", "max_temp_c", "grid_kwh")) + " FROM tot",
     "step_records": _records_query(), "run_metrics_wide": _metrics_query(False), "run_metrics_long": _metrics_query(True),
@@ -323,11 +392,16 @@ ORACLES: dict[str, str] = {
     "scenario_pivot": _matrix(("ideal",)) + f",\nm AS (UNPIVOT (SELECT center, controller, energy_cost, carbon_kg FROM tot) ON energy_cost, carbon_kg INTO NAME metric VALUE value)\nSELECT center, metric, {_r('b', 'baseline', 4)}, {_r('h', 'heuristic', 4)}, {_r('CASE WHEN b <> 0 THEN (h - b) / abs(b) * 100 END', 'heuristic_change_pct', 4)} FROM (SELECT center, metric, max(value) FILTER (WHERE controller = 'baseline') AS b, max(value) FILTER (WHERE controller = 'heuristic') AS h FROM m GROUP BY 1, 2)",
     "pct_change": _with(_RUNS) + f"\nSELECT controller_name, {_r('(o - b) / abs(b) * 100', 'pct')}, CAST(NULL AS DOUBLE) AS no_base FROM (SELECT controller_name, CAST(sum(CAST(round(value, 2) AS DECIMAL(18, 2))) FILTER (WHERE condition_name = 'O') AS DOUBLE) AS b, CAST(sum(CAST(round(value, 2) AS DECIMAL(18, 2))) FILTER (WHERE condition_name = 'F') AS DOUBLE) AS o FROM runs GROUP BY 1)",
     "degradation_matrix": _matrix(("ideal", "rate_limited")) + f",\nm AS (SELECT center, controller, condition, 'energy_cost' AS metric, energy_cost AS value FROM tot UNION ALL SELECT center, controller, condition, 'carbon_kg', carbon_kg FROM tot UNION ALL SELECT center, controller, condition, 'absent', 0.0 FROM tot),\nd AS (SELECT m.*, i.value AS ideal_value FROM m JOIN m i ON i.center = m.center AND i.controller = m.controller AND i.metric = m.metric AND i.condition = 'ideal')\nSELECT center, controller, condition, metric, {_r('value', 'value', 4)}, {_DEG} AS degradation FROM d",
-    "acceptance_checks": _matrix(("ideal",)) + ",\nx AS (SELECT center, max(energy_cost) FILTER (WHERE controller = 'heuristic') AS hc, max(energy_cost) FILTER (WHERE controller = 'baseline') AS bc, max(carbon_kg) FILTER (WHERE controller = 'heuristic') AS hk, max(carbon_kg) FILTER (WHERE controller = 'baseline') AS bk FROM tot GROUP BY 1),\ny AS (SELECT center, sum(temperature_violation) + sum(thermal_infeasible) AS bad, max(abs(power_balance_error)) AS pe, max(abs(renewable_balance_error)) AS re FROM allrec GROUP BY 1)\nSELECT center, " + ", ".join((_ACCEPT("hc < bc", "economic"), _ACCEPT("hk <= bk", "carbon"), _ACCEPT("bad = 0", "thermal"), _ACCEPT("pe <= 1e-9 AND re <= 1e-9", "numerical"))) + " FROM x JOIN y USING (center)",
-    "health_counters": _with(*_REC, _metric_ctes()) + """
-SELECT CAST(n_nationkey + 1 AS BIGINT) AS run_id, coalesce(r.steps, 0) AS steps, CASE WHEN met.center IS NULL THEN 0 ELSE 66 END AS metrics, CAST(0 AS BIGINT) AS invalid_values, coalesce(neg, 0) AS negative_power, 96 - coalesce(r.steps, 0) AS missing_steps, CAST(0 AS BIGINT) AS duplicate_steps,
+    "acceptance_checks": _matrix(("ideal",)) + ",\nx AS (SELECT center, max(energy_cost) FILTER (WHERE controller = 'heuristic') AS hc, max(energy_cost) FILTER (WHERE controller = 'baseline') AS bc, max(carbon_kg) FILTER (WHERE controller = 'heuristic') AS hk, max(carbon_kg) FILTER (WHERE controller = 'baseline') AS bk FROM tot GROUP BY 1),\ny AS (SELECT center, sum(temperature_violation) + sum(thermal_infeasible) AS bad, max(abs(power_balance_error)) AS pe, max(abs(renewable_balance_error)) AS re FROM allrec GROUP BY 1)\nSELECT center, " + ", ".join((_ACCEPT("round(hc, 9) < round(bc, 9)", "economic"), _ACCEPT("round(hk, 9) <= round(bk, 9)", "carbon"), _ACCEPT("bad = 0", "thermal"), _ACCEPT("pe <= 1e-9 AND re <= 1e-9", "numerical"))) + " FROM x JOIN y USING (center)",
+    "health_counters": _with(*_REC, _metric_ctes(), _DIRTY) + """
+SELECT CAST(n_nationkey + 1 AS BIGINT) AS run_id, coalesce(r.steps, 0) AS steps, coalesce(mt.metrics, 0) AS metrics, coalesce(r.bad, 0) AS invalid_values, coalesce(neg, 0) AS negative_power,
+  greatest(0, 96 - coalesce(r.steps, 0)) AS missing_steps, coalesce(r.steps - r.times, 0) AS duplicate_steps,
   CAST(coalesce(tv, 0) AS BIGINT) AS temperature_violations, CAST(coalesce(ti, 0) AS BIGINT) AS thermal_infeasible, CAST(coalesce(ci, 0) AS BIGINT) AS cooling_interventions
-FROM nation LEFT JOIN met ON met.center = n_nationkey + 1 LEFT JOIN (SELECT center, count(*) AS steps, count(*) FILTER (WHERE it_power_kw < -1e-9 OR cooling_power_kw < -1e-9 OR grid_power_kw < -1e-9) AS neg, sum(temperature_violation) AS tv, sum(thermal_infeasible) AS ti, sum(cooling_constraint_intervention) AS ci FROM rec WHERE center <> 3 GROUP BY 1) r ON r.center = n_nationkey + 1""",
+FROM nation LEFT JOIN (SELECT center, count(*) AS metrics FROM (UNPIVOT met ON COLUMNS(* EXCLUDE (center)) INTO NAME metric VALUE value) GROUP BY 1) mt ON mt.center = n_nationkey + 1
+LEFT JOIN (SELECT center, count(*) AS steps, count(DISTINCT timestamp) AS times,
+    count(*) FILTER (WHERE NOT (isfinite(total_load) AND isfinite(it_power_kw) AND isfinite(heat_kw) AND isfinite(cooling_power_kw) AND isfinite(grid_power_kw) AND isfinite(temp_c))) AS bad,
+    count(*) FILTER (WHERE it_power_kw < -1e-9 OR heat_kw < -1e-9 OR cooling_power_kw < -1e-9 OR grid_power_kw < -1e-9) AS neg,
+    sum(temperature_violation) AS tv, sum(thermal_infeasible) AS ti, sum(cooling_constraint_intervention) AS ci FROM dirty GROUP BY 1) r ON r.center = n_nationkey + 1""",
     "dataset_upsert": _with(_RUNS) + f"\nSELECT dataset_id, id, {_r('value', 'value')} FROM runs QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY id DESC) = 1",
     "metric_upsert": _with(_RUNS) + f"\nSELECT dataset_id, controller_name AS metric, {_r('value', 'value')} FROM runs QUALIFY row_number() OVER (PARTITION BY dataset_id, controller_name ORDER BY id DESC) = 1",
     "schema_evolution": "SELECT r_regionkey, r_name, 'completed' AS status, CAST(NULL AS DOUBLE) AS weight FROM region",

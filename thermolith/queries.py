@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .config import CONDITION_TABLE, Condition, Facility, condition
 from .functions import physics as P
-from .operators import dispatch, metrics, records, reports
+from .operators import contracts, dispatch, metrics, records, reports
 from .operators import windows as W
 from .operators.store import last_version, widened
 from .plans import loop, open_loop
@@ -342,10 +342,18 @@ def acceptance_checks(s, d):
 
 
 def health_counters(s, d):
+    """Health of runs with every kind of fault: run 3 is absent, 5 has a value that is no number, 6 infinite ones, 7 negative powers, 8 steps twice, 9 steps missing."""
     rec = _records(s, d)
+    at = lambda run, steps: (F.col("run_id") == run) & steps
+    step = F.col("step_index")
+    dirty = rec.where((F.col("run_id") != 3) & ~at(9, step % 10 == 0)).withColumn("__copies", F.when(at(8, step < 7), 2).otherwise(1)).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    dirty = dirty.withColumns({
+        "grid_power_kw": F.when(at(5, step == 10), F.lit(float("nan"))).otherwise(F.col("grid_power_kw")), "temp_c": F.when(at(6, step.isin(4, 9)), F.lit(float("inf"))).otherwise(F.col("temp_c")),
+        "cooling_power_kw": F.when(at(7, step < 5), F.lit(-1.0)).otherwise(F.col("cooling_power_kw")),
+    })
     runs = read(s, d, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("run_id"), (F.col("n_nationkey") + 1).alias("dataset_id"))
     long = metrics.long(metrics.wide(rec, FAC))
-    return reports.health(rec.where("run_id <> 3"), long, runs, sig(s, d).withColumnRenamed("center", "dataset_id"))
+    return reports.health(dirty, long, runs, sig(s, d).withColumnRenamed("center", "dataset_id"))
 
 
 def dataset_upsert(s, d):
@@ -383,16 +391,79 @@ def mini_summary(s, d):
     return rounded(_records(s, d).groupBy("center").agg(F.sum("grid_energy_kwh").alias("energy_kwh"), F.sum("energy_cost_step").alias("cost"), F.sum("carbon_kg_step").alias("carbon_kg")), 5)
 
 
+def _stream_rows(s, d, controller, cond) -> DataFrame:
+    ready = W.precool_flag(_inputs(s, d), "center", FAC)
+    ready = ready.select("center", "step_index", "precool", F.col("timestamp").cast("timestamp").alias("at"), *[F.col(v).alias(k) for k, v in loop.INPUT.items()])
+    ready = W.forecast(ready, "center", FAC.horizon_steps, ["at", "load", "price", "ci", "outdoor", "renewable"])
+    return ready.select(F.col("center").cast("long").alias("run_id"), "step_index", F.lit(controller).alias("controller"), F.lit(cond).alias("condition"), "at", "load", "price", "ci", "outdoor", "renewable", "precool", F.lit(None).cast("double").alias("action"), "forecast")
+
+
 def streaming_loop_equals_batch(s, d):
     """The stateful processor over the same inputs as a batch; ``difference`` is against the lockstep plan."""
-    ready = W.precool_flag(_inputs(s, d), "center", FAC)
-    ready = W.forecast(ready.select("*", *[F.col(v).alias(k) for k, v in loop.INPUT.items()]), "center", FAC.horizon_steps, ["load", "price", "ci", "outdoor", "renewable"])
-    rows = ready.select(F.col("center").cast("long").alias("run_id"), F.lit("finite_horizon").alias("controller"), F.lit("combined_nonideal").alias("condition"), F.col("timestamp").cast("timestamp").alias("at"), "load", "price", "ci", "outdoor", "renewable", "precool", F.lit(None).cast("double").alias("action"), "forecast")
+    rows = _stream_rows(s, d, "finite_horizon", "combined_nonideal").drop("step_index")
     stepped = live.replay(rows, FAC).select("run_id", "step_index", F.col("true_temperature_c").alias("streamed_c"), "error")
     whole = _simulated(s, d, controller="finite_horizon", cond="combined_nonideal").select("run_id", "step_index", "true_temperature_c")
     return rounded(stepped.join(whole, ["run_id", "step_index"]).withColumn("difference", F.abs(F.col("streamed_c") - F.col("true_temperature_c"))))
 
 
+def streaming_loop(s, d):
+    """The feedback loop as a stream: the temperatures that it puts out."""
+    return rounded(live.replay(_stream_rows(s, d, "heuristic", "ideal").drop("step_index"), FAC).select("run_id", "step_index", "proposed_cooling_kw", "applied_cooling_kw", "true_temperature_c", "error"))
+
+
+def stream_rejections(s, d):
+    """The last step of each series with another fault: what the stream says of it, and how many steps it took."""
+    rows = _stream_rows(s, d, "finite_horizon", "ideal")
+    fault = F.when(F.col("step_index") == 95, F.pmod("run_id", F.lit(6)))
+    later = F.transform("forecast", lambda w: w.withField("at", F.timestamp_add("MINUTE", F.lit(15), w["at"])))
+    broken = rows.withColumns({
+        "load": F.when(fault == 0, F.lit(float("nan"))).otherwise(F.col("load")), "price": F.when(fault == 1, F.lit(-0.5)).otherwise(F.col("price")),
+        "forecast": F.when(fault == 2, later).when(fault == 3, F.array_repeat(F.element_at("forecast", 1), 2)).when(fault == 4, F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.element_at("forecast", 1).withField("at", F.timestamp_add("MINUTE", i * 15, F.col("at"))))).otherwise(F.col("forecast")),
+        "at": F.when(fault == 5, F.timestamp_add("MINUTE", F.lit(15), F.col("at"))).otherwise(F.col("at")),
+    }).withColumn("forecast", F.when(fault == 5, later).otherwise(F.col("forecast")))
+    out = live.replay(broken.drop("step_index"), FAC)
+    return out.groupBy("run_id").agg(F.count_if(F.col("error").isNull()).alias("steps"), F.max("error").alias("error"))
+
+
+def observation_series(s, d):
+    """What the controller sees at each step: the last measurement, the action before, and the step's own values."""
+    seen = records.observations(_simulated(s, d, cond="act_rate_limited"))
+    return rounded(seen.select("center", "step_index", "observation.*"))
+
+
+def event_report(s, d):
+    return rounded(reports.events(_records(s, d), "center"))
+
+
+def thermal_report(s, d):
+    return rounded(reports.thermal(_records(s, d), "center"))
+
+
+def thermal_head(s, d):
+    return rounded(reports.head(_records(s, d), "center", ["temp_c", "temp_min_c", "temp_max_c", "cooling_kw"], 12))
+
+
+def comparison_report(s, d):
+    """The comparison as lines of text, with its conclusions, by center."""
+    return reports.comparison_lines(_long(s, d, conditions=("ideal",)), scenarios=("baseline", "heuristic"), best="heuristic")
+
+
+def scenario_listing(s, d):
+    """The latest run of each scenario, in the order of their names."""
+    return _runs(s, d).groupBy(F.col("controller_name").alias("scenario")).agg(F.max("id").alias("run_id")).orderBy("scenario")
+
+
+def iso_times(s, d):
+    return sig(s, d).select("center", "step_index", S.iso_text(F.col("timestamp")).alias("text"), S.iso_text(F.col("timestamp").cast("timestamp"), "Asia/Shanghai").alias("local_text"))
+
+
+def forecast_contract(s, d):
+    """Windows of each length from one to thirty steps, held against what each controller may see."""
+    x = W.forecast(sig(s, d).withColumn("at", F.col("timestamp")), "center", 30, ["at", "electricity_price"]).where("step_index % 24 = 7")
+    x = x.withColumn("controller", F.explode(F.array(*[F.lit(n) for n in ("baseline", "heuristic", "finite_horizon")]))).withColumn("forecast", F.slice("forecast", 1, F.least(F.col("center"), F.lit(30))))
+    return x.select("center", "step_index", "controller", contracts.forecast_error().alias("error"))
+
+
 QUERIES = {f.__name__: f for f in (
     signals_canonical, signals_legacy_normalized, signals_legacy_roundtrip, signal_quality, step_gap_check, duplicate_steps, dataset_metadata, it_power, cooling_cop_power, renewable_alloc,
     energy_accounting, plant_step, feasible_bounds, model_bounds, safety_clamp, safety_clamp_legacy, forecast_window_array, forward_min_price, precool_flag, dispatch_immediate,
@@ -400,5 +471,6 @@ QUERIES = {f.__name__: f for f in (
     loop_finite_horizon, measurement_noise, mpc_open_loop_solve, robustness_matrix, robustness_matrix_full, step_records, control_movement, step_change, run_metrics_wide, run_metrics_long,
     conditional_means, prediction_error_stats, longest_streak, extreme_events, safety_margin, key_windows, key_window_by_scenario, latest_run_per_group, asof_comparable_run, latest_ten_runs,
     null_tolerant_filter, in_list_filter, scenario_pivot, pct_change, degradation_matrix, acceptance_checks, health_counters, dataset_upsert, metric_upsert, schema_evolution, candidate_grid,
-    union_scenarios, coordination_series, mini_summary, streaming_loop_equals_batch,
+    union_scenarios, coordination_series, mini_summary, streaming_loop_equals_batch, streaming_loop, stream_rejections, observation_series, event_report, thermal_report, thermal_head,
+    comparison_report, scenario_listing, iso_times, forecast_contract,
 )}
