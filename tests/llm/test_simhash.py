@@ -189,6 +189,38 @@ def test_near_copies_odd_rows(odd_docs, no_docs):
     assert simhash.without_near_copies(no_docs).count() == 0
 
 
+def test_ids_with_several_texts_and_repeated_rows(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(3, a, "x"), (7, a, "y"), (7, b, "y"), (9, b + " more", "z"), (3, a, "x"), (3, a, "other"), (11, c, "u"), (11, c, "u"), (5, None, "n"), (4, "", "n"), (None, a, "null"), (None, a, "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = [tuple(r) for r in simhash.without_near_copies(docs).collect()]
+    assert sorted((r[:2] for r in kept), key=str) == sorted([(3, a), (7, b), (11, c), (4, ""), (None, a), (None, a)], key=str)
+
+
+def test_hubs_and_a_chain(spark, monkeypatch):
+    """One node of very many edges beside a chain: the hub is joined apart and nothing is lost."""
+    from thermolith.llm import shared
+
+    monkeypatch.setattr(shared, "HUBS", 10)
+    pairs = [(5000 if i % 2 else 1, i) for i in range(2, 900)] + [(i, i + 1) for i in range(10_000, 10_040)]
+    want = components({x for p in pairs for x in p}, pairs)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == want
+
+
+def test_no_table_is_left_behind(spark, folder):
+    import glob
+
+    from thermolith.llm import shared
+
+    shared.clean(spark)
+    simhash.without_near_copies(table(spark, folder, "documents")).count()
+    left = glob.glob(shared.application_folder(spark).removeprefix("file://") + "/*")
+    assert {x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in left} <= {"copies", "edges"} and len(left) <= 3
+
+
 def test_pivot_distances_bound_the_hamming_distance():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, written
+from .shared import Scratch, connected_components, joined_with_hubs, written
 
 BLOCKS = 32
 GROUPS, KEPT = 5, 3
@@ -130,7 +130,7 @@ def bucket_pairs(members: DataFrame, max_bits: int) -> DataFrame:
     return left.join(right, same).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"), coordinates_near("l", "r", max_bits).alias("survives"))
 
 
-def links(points: DataFrame, max_bits: int = 2, bucket_cap: int = 64) -> DataFrame:
+def links(points: DataFrame, max_bits: int = 2, bucket_cap: int = 64, tmp: Scratch | None = None) -> DataFrame:
     """Edges (a, b) between different fingerprints of ``points`` (fp, distinct) such
     that the connected components are those of all links of at most ``max_bits``.
 
@@ -139,7 +139,7 @@ def links(points: DataFrame, max_bits: int = 2, bucket_cap: int = 64) -> DataFra
     """
     if not 0 <= max_bits <= GROUPS - KEPT:
         raise ValueError("max_bits must be 0, 1 or 2")
-    members, _ = written(bucket_members(points), "buckets")
+    members = (tmp or Scratch(points.sparkSession)).written(bucket_members(points), "buckets")
     survivors = bucket_pairs(members.where(F.col("n") <= bucket_cap), max_bits).where("survives")
     pairs = survivors.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
 
@@ -165,13 +165,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``docs`` aren't touched or returned. Copies share one fingerprint, which is one
     point of the table however many they are.
     """
+    tmp = Scratch(docs.sparkSession)
     prints, _ = written(docs.select(F.col(id_col).alias("doc"), fingerprint_column(F.col(text_col), words_in).alias("fp")), "fingerprints")
-    points, _ = written(prints.groupBy("fp").agg(F.min("doc").alias("low"), F.count("*").alias("n_docs")), "points")
-    parts = connected_components(links(points.select("fp"), max_bits, bucket_cap))
+    points = tmp.written(prints.groupBy("fp").agg(F.min("doc").alias("low"), F.count("*").alias("n_docs")), "points")
+    parts = connected_components(links(points.select("fp"), max_bits, bucket_cap, tmp))
     named = points.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     whole = named.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n_docs").alias("n_component"))
-    by_print = named.select("fp", "component").join(whole, "component").select("fp", "component_id", "n_component")
-    return prints.join(by_print, "fp").select(F.col("doc").alias(id_col), F.col("fp").alias("fingerprint"), "component_id", "n_component")
+    by_print = tmp.result(named.select("fp", "component", F.col("n_docs").alias("n")).join(whole, "component").select("fp", "component_id", "n_component", "n"), "groups")
+    total = prints.count()
+    return joined_with_hubs(prints, by_print, "fp", total).select(F.col("doc").alias(id_col), F.col("fp").alias("fingerprint"), "component_id", "n_component")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -246,7 +248,7 @@ def _linked(crowd: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _links_in_crowds(crowds: DataFrame, similarity: float) -> DataFrame:
+def _links_in_crowds(crowds: DataFrame, similarity: float, tmp: Scratch) -> DataFrame:
     """Pairs (a, b) of components of ``crowds`` (fp, rep, component, s) such that with
     them every two texts of one ``fp`` that are ``similarity`` alike are in one component.
 
@@ -256,7 +258,7 @@ def _links_in_crowds(crowds: DataFrame, similarity: float) -> DataFrame:
     not held against one another.
     """
     mixed = crowds.groupBy("fp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("fp")
-    open_, _ = written(crowds.join(mixed, "fp", "left_semi"), "crowds")
+    open_ = tmp.written(crowds.join(mixed, "fp", "left_semi"), "crowds")
     kin = open_.groupBy("fp", "component").agg(F.sum(F.size("s") + F.lit(ROW)).alias("own"))
     pool = kin.where(F.col("own") < BLOCK).groupBy("fp").agg(F.sum("own").alias("pooled"))
     parts = lambda c: F.ceil(F.col(c) / F.lit(BLOCK))
@@ -265,7 +267,7 @@ def _links_in_crowds(crowds: DataFrame, similarity: float) -> DataFrame:
         F.when(large, F.array("component")).otherwise(F.slice(F.array("component"), 1, 0)).alias("of"),
         F.when(large, F.pmod(F.xxhash64("rep"), parts("own"))).otherwise(F.pmod(F.xxhash64("component"), parts("pooled"))).alias("nth"),
     )
-    dealt, _ = written(open_.join(kin, ["fp", "component"]).join(pool, "fp", "left").select("fp", "component", "s", block.alias("block")), "blocks")
+    dealt = tmp.written(open_.join(kin, ["fp", "component"]).join(pool, "fp", "left").select("fp", "component", "s", block.alias("block")), "blocks")
     blocks = dealt.select("fp", "block").distinct()
     x, y = blocks.select("fp", F.col("block").alias("x")), blocks.select("fp", F.col("block").alias("y"))
     two = x.join(y, "fp").where((F.col("x") <= F.col("y")) & ((F.size("x.of") == 0) | (F.col("x.of") != F.col("y.of")))).withColumn("task", F.xxhash64("fp", "x", "y"))
@@ -276,8 +278,16 @@ def _links_in_crowds(crowds: DataFrame, similarity: float) -> DataFrame:
     return compared.groupBy("task").applyInPandas(lambda crowd: _linked(crowd, similarity), f"a {kind}, b {kind}")
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that equal texts share; null is an empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words_in: int = 5, views: int = 12, sample: int = 4, bucket_cap: int = 6) -> DataFrame:
-    """(id, group): for each id the smallest id of its group of exact and near copies.
+    """(id, key, n, group, keeps): for each id and text of it (``key``, see :func:`text_key`), how
+    many rows have both, the smallest id of its group of exact and near copies, and
+    whether this is the text that the group keeps: that of the smallest id, of several the
+    one of the smallest key.
 
     Near copies have word shingles of Jaccard similarity ``similarity`` or more, which
     is computed exactly for every candidate pair. Candidates are texts whose
@@ -286,15 +296,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     which no table of 64 bits can search). With 12 views of 4 shingles a pair at 0.8
     is missed with probability 0.002. All pairs of a bucket of ``bucket_cap`` texts are
     candidates. Larger ones (crowds) first join each text to four leads: the first in
-    three orders of ids that all buckets share, and the one that shares its buckets with
+    three orders of texts that all buckets share, and the one that shares its buckets with
     most texts, as an original does. What that leaves apart is compared pair by pair, in
     blocks (:func:`_links_in_crowds`), so a crowd loses no link whatever its size.
 
-    The ids of candidates, and those that go, grow with the data, so they are merged with
-    the texts and never broadcast, whatever their number.
-
-    Equal texts are one text from the start. Null and empty texts are equal texts. Rows
-    with a null id are not in the result. An id with several texts takes all their groups together.
+    Texts are linked, not ids: an id with several texts is in several groups. Equal texts are one text
+    from the start, so copies are never joined to one another. Null and empty texts are
+    equal texts. Rows with a null id are not in the result. An empty table gives no rows.
     """
     @F.pandas_udf("array<long>")
     def prints_of(texts: pd.Series) -> pd.Series:
@@ -304,21 +312,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def set_of(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, words_in).astype(np.uint32).view(np.int32)) for t in texts], dtype=object)
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    printed, _ = written(rows.select("id", F.md5("text").alias("key"), prints_of("text").alias("prints")), "prints")
-    texts, _ = written(printed.groupBy("key").agg(F.min("id").alias("rep"), F.first("prints").alias("prints")), "texts")
-    copies = printed.join(texts.select("key", "rep"), "key").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    tmp = Scratch(docs.sparkSession)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_key(F.col(text_col)).alias("key"))
+    printed = tmp.written(rows.select("id", "key", prints_of("text").alias("prints")), "prints")
+    texts = tmp.written(printed.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("prints").alias("prints")), "texts")
 
-    whole = texts.select("rep", F.col("prints")[0].alias("fp"))
-    heads = whole.groupBy("fp").agg(F.min("rep").alias("head"))
-    far = links(heads.select("fp"), 2)
+    whole = texts.select(F.col("key").alias("rep"), F.col("prints")[0].alias("fp"))
+    heads = tmp.written(whole.groupBy("fp").agg(F.min("rep").alias("head"), F.count("*").alias("n")), "heads")
+    far = links(heads.select("fp"), 2, tmp=tmp)
     near = far.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    equal = whole.join(heads, "fp").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    shared = heads.where("n > 1")
+    equal = joined_with_hubs(whole, shared, "fp", max(1, shared.agg(F.sum("n")).first()[0] or 1)).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
 
-    viewed = texts.select("rep", F.explode(F.slice("prints", 2, views)).alias("fp"))
+    viewed = texts.select(F.col("key").alias("rep"), F.explode(F.slice("prints", 2, views)).alias("fp"))
     orders = [F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("at"), F.col("rep").alias("rep")))["rep"].alias(f"h{i}") for i in range(3)]
     buckets = viewed.groupBy("fp").agg(F.count("*").alias("n"), *orders).where("n > 1")
-    members, _ = written(viewed.join(buckets, "fp"), "views")
+    members = tmp.written(viewed.join(buckets, "fp"), "views")
     few = members.where(F.col("n") <= bucket_cap)
     inside = few.select("fp", F.col("rep").alias("a")).join(few.select("fp", F.col("rep").alias("b")), "fp").where("a < b").select("a", "b")
     many = members.where(F.col("n") > bucket_cap)
@@ -327,26 +336,40 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     middle = many.select("fp", "rep").join(company, "rep").groupBy("fp").agg(F.max(F.struct("company", "rep"))["rep"].alias("b"))
     centred = many.select("fp", F.col("rep").alias("a")).join(middle, "fp").select("a", "b")
     pairs = near.unionByName(equal).unionByName(inside).unionByName(led).unionByName(centred).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs, _ = written(pairs, "pairs")
+    pairs = tmp.written(pairs, "pairs")
 
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets, _ = written(rows.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).select("id", set_of("text").alias("s")), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    # The sets of each text once: its row of the smallest id.
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "low"), "key")
+    first = rows.join(involved.select(F.col("low").alias("id"), F.col("key").alias("wanted")).hint("merge"), "id").where("key = wanted").select("key", "text")
+    sets = tmp.written(first.select(F.col("key").alias("rep"), set_of("text").alias("s")).dropDuplicates(["rep"]), "sets")
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     alike = F.when(F.size("sa") + F.size("sb") == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9)
-    edges = both.where(alike).select("a", "b").unionByName(copies)
-    parts = connected_components(edges)
+    parts = tmp.written(connected_components(both.where(alike).select("a", "b")), "parts")
 
     placed = many.select("fp", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    crowds = placed.join(sets.withColumnRenamed("id", "rep"), "rep")
-    merged = connected_components(_links_in_crowds(crowds, similarity)).select(F.col("node").alias("component"), F.col("component").alias("group"))
+    crowds = placed.join(sets, "rep")
+    merged = tmp.written(connected_components(_links_in_crowds(crowds, similarity, tmp)).select(F.col("node").alias("component"), F.col("component").alias("group")), "merged")
     alone = merged.select(F.col("component").alias("node")).join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
-    whole = parts.unionByName(alone).join(merged, "component", "left")
-    return whole.select(F.col("node").alias(id_col), F.coalesce("group", "component").alias("group"))
+    linked = parts.unionByName(alone).join(merged, "component", "left").select(F.col("node").alias("key"), F.coalesce("group", "component").alias("part"))
+
+    placed = texts.select("key", "low", "n").join(linked, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    kept = placed.groupBy("part").agg(F.min(F.struct("low", "key")).alias("kept"))
+    groups = tmp.written(placed.join(kept, "part").select("key", F.col("kept.low").alias("group"), (F.col("kept.key") == F.col("key")).alias("first"), "n"), "named")
+    every = joined_with_hubs(printed.select("id", "key"), groups, "key", max(1, printed.count()))
+    found = every.groupBy("id", "key", "group", "first").agg(F.count("*").alias("n")).select(F.col("id").alias(id_col), "key", "n", "group", (F.col("first") & (F.col("id") == F.col("group"))).alias("keeps"))
+    return tmp.result(found, "copies")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group of :func:`near_copies`, that of the
-    smallest id, in its own columns. Rows with a null id stay."""
-    gone = near_copies(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("group")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone.hint("merge"), docs[id_col] == gone["__gone"], "left_anti")
+    """``docs`` with one row of each group of :func:`near_copies`: its smallest id with the
+    text that the group keeps, in its own columns. Of repeated rows of that id and text one
+    stays, any of them. Rows with a null id stay all."""
+    found = near_copies(docs, id_col, text_col, **options)
+    gone = found.where("NOT keeps").select(F.col(id_col).alias("__id"), F.col("key").alias("__key"))
+    again = found.where("keeps AND n > 1").select(F.col(id_col).alias("__id"), F.col("key").alias("__key"))
+    same = (docs[id_col] == F.col("__id")) & (text_key(docs[text_col]) == F.col("__key"))
+    # What goes grows with the data, so it is merged with the rows and never sent to them, whatever its number.
+    single = docs.join(gone.unionByName(again).hint("merge"), same, "left_anti")
+    one = docs.join(again.hint("merge"), same).groupBy("__id", "__key").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("__row"))
+    return single.unionByName(one.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
