@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from thermolith.llm import decontaminate, pieces, quality, simhash
-from thermolith.llm.shared import table, written
+from thermolith.llm.shared import drop_path, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written as Parquet and read again, and
+    dropped once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop_path(spark, before)
+        before = path
     return docs
