@@ -4,32 +4,36 @@ renderer that keeps block spacing, lists and aligned table cells.
 The builder reads tags with one pass over the page, closes what HTML lets authors leave
 open (paragraphs, list items, rows, cells, options), opens what they may leave out
 (table bodies and rows), and takes end tags without a start as nothing. Hidden are:
-elements that no browser shows (script, style, head and the like), those with
-``hidden``, with ``display:none`` or ``visibility:hidden`` in their style or by a rule of a
-style sheet of the page for one tag, class or id that applies to a screen and isn't
-overridden, closed dialogs, and hidden inputs.
+elements that no browser shows (script, style, head and the like), closed dialogs, hidden
+inputs, and what the cascade hides: ``hidden``, the style of the element, and the rules of
+the page's style sheets that apply to a screen, for selectors of tags, classes and ids, compound or by
+ancestors (``div.x``, ``ul .y``, ``nav > a``). ``display:none`` hides all inside;
+``visibility`` is inherited and may be turned back on by a child. Other selectors
+(attributes, pseudo-classes, siblings) hide nothing.
+
+Builder and renderer hold their open elements in lists of their own, so depth costs no
+recursion, and neither looks back over the page or over what is open: time goes with the
+length of page and text.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
-import sys
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|<[!?/][^>]*+>?|(?P<text>[^<]++)|(?P<lone><)""",
-    re.S,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/><]*")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 DECLARED = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
-UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
+COMPOUND = re.compile(r"(?:[\w-]+|\*)?(?:[.#][\w-]+)*")
 
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,8 +62,10 @@ CLOSES = {
 SCOPE = frozenset("table td th caption html template object".split())
 #: The screen's width in pixels, for media queries.
 WIDE = 1280
-#: The widest column, in characters, that others are aligned to.
-WIDEST = 60
+#: A table's columns are as wide as their widest cells while that takes so many times the table's own text and a
+#: little more; where it would take more (one very wide cell over very many rows), columns count as WIDEST at most
+#: for the alignment. No text is lost either way.
+PADDING, LITTLE, WIDEST = 16, 1 << 16, 60
 
 
 @dataclass(slots=True)
@@ -77,118 +83,155 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 class Open(list):
-    """The open elements, outermost first; counts their names, so a search for one that isn't open costs nothing."""
+    """The open elements, outermost first, and where each name is among them."""
 
     def __init__(self, root: Node):
         super().__init__([root])
-        self.names, self.deepest = Counter([root.name]), 1
+        self.places: dict[str, list[int]] = defaultdict(list)
 
     def push(self, node: Node) -> None:
+        self.places[node.name].append(len(self))
         self.append(node)
-        self.names[node.name] += 1
-        self.deepest = max(self.deepest, len(self))
 
     def cut(self, i: int) -> None:
-        for node in self[i:]:
-            self.names[node.name] -= 1
-        del self[i:]
+        """Ends all from the i-th on."""
+        while len(self) > i:
+            self.places[self.pop().name].pop()
 
+    def nearest(self, names) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
 
-def build(page: str) -> tuple[Node, str, int]:
-    """The tree of a page, the text of its style sheets, and the tree's depth."""
-    root = Node("html", {})
-    stack, styles, at = Open(root), [], 0
-
-    def close(names: frozenset, bounds: frozenset) -> None:
+    def close(self, names: frozenset, bounds: frozenset) -> None:
         """Ends the outermost open element of ``names`` that lies inside the nearest one of ``bounds``."""
-        if not any(stack.names[n] for n in names):
+        inside = [n for n in names if self.places.get(n)]
+        if inside:
+            bound = self.nearest(bounds)
+            first = [self.places[n][k] for n in inside if (k := bisect.bisect_right(self.places[n], bound)) < len(self.places[n])]
+            if first:
+                self.cut(min(first))
+
+    def close_one(self, name: str) -> None:
+        """Ends the nearest open element of this name, unless a table cell or table lies between."""
+        at = self.nearest((name,))
+        walls = ("table",) if name in TABLE_PARTS else SCOPE | {"table"}
+        if at and self.nearest(w for w in walls if w != name) < at:
+            self.cut(at)
+
+
+TABLE_PARTS = frozenset("table tr td th thead tbody tfoot caption".split())
+BODIES = frozenset("thead tbody tfoot".split())
+
+
+def tokens(page: str):
+    """(kind, name, rest) of the page in order: ``text``, ``start`` (rest: the attributes' text) or
+    ``end``. After a start tag of RAW the text up to its end tag comes as one ``raw``.
+
+    Quotes of a tag that never end are no quotes, and from there on none of the page's tags has any.
+    """
+    at, size, quoted, last = 0, len(page), True, page.rfind(">")
+    bang: int | None = 0  # the next place of the rarer end of a comment, None if there is none left
+    while at < size:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:  # no tag ends any more; a comment goes on to the end
+            yield "text", page[at:].partition("<!--")[0], ""
             return
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in bounds:
+        if begin > at:
+            yield "text", page[at:begin], ""
+        if page.startswith("<!--", begin):
+            if bang is not None and bang < begin + 4:
+                bang = found if (found := page.find("--!>", begin + 4)) >= 0 else None
+            end = found if (found := page.find("-->", begin + 2)) >= 0 else size
+            at = bang + 4 if bang is not None and bang < end else end + 3
+            continue
+        closing = page.startswith("/", begin + 1)
+        m = NAME.match(page, begin + 1 + closing)
+        if not m:
+            if begin + 1 < size and page[begin + 1] in "!?/":
+                at = page.find(">", begin) + 1
+            else:
+                yield "text", "<", ""
+                at = begin + 1
+            continue
+        end = m.end()
+        while quoted:  # to the first > outside of quotes
+            stop = STOP.search(page, end)
+            if stop is None or stop[0] == ">":
+                end = stop.start() if stop else -1
                 break
-            if stack[i].name in names:
-                cut = i
-        if cut is not None:
-            stack.cut(cut)
+            end = page.find(stop[0], stop.end()) + 1
+            if not end:
+                quoted = False
+        if not quoted:
+            end = page.find(">", m.end())
+        if end < 0:  # all that is left is quotes
+            quoted, end = False, page.find(">", m.end())
+        name = m[0].lower()
+        yield ("end" if closing else "start"), name, page[m.end() : end]
+        at = end + 1
+        if not closing and name in RAW:
+            m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            yield "raw", name, page[at : m.start() if m else size]
+            at = page.find(">", m.end()) + 1 if m and m.end() <= last else size
+
+
+def build(page: str) -> tuple[Node, str]:
+    """The tree of a page, and the text of its style sheets."""
+    root = Node("html", {})
+    stack, styles = Open(root), []
 
-    def start(name: str, attrs: dict[str, str]) -> Node:
+    def start(name: str, attrs: dict[str, str]) -> None:
         node = Node(name, attrs)
         stack[-1].children.append(node)
         stack.push(node)
-        return node
-
-    while at < len(page):
-        m = TOKEN.match(page, at)
-        at = m.end()
-        text = m["text"] or m["lone"]
-        if text is not None:
-            text = html.unescape(text) if "&" in text else text
+
+    for kind, name, rest in tokens(page):
+        if kind == "text":
+            text = html.unescape(name) if "&" in name else name
             if stack[-1].name == "head" and not text.isspace():
-                stack.cut(-1)
+                stack.cut(len(stack) - 1)
             stack[-1].children.append(text)
-            continue
-        name = m["name"]
-        if name is None:
-            continue
-        name = name.lower()
-        if m["end"]:
+        elif kind == "raw":
+            node = stack[-1]
+            if name == "style":
+                styles.append(f"@media {node.attrs['media']} {{{rest}}}" if node.attrs.get("media") else rest)
+            elif name in ("textarea", "xmp"):
+                node.children.append(html.unescape(rest) if name == "textarea" else rest)
+            stack.cut(len(stack) - 1)
+        elif kind == "end":
             if name == "br":
                 start("br", {})
-                stack.cut(-1)
+                stack.cut(len(stack) - 1)
             elif name in HEADINGS:
-                close(HEADINGS, SCOPE)
+                stack.close(HEADINGS, SCOPE)
             elif name == "p":
-                close(frozenset(["p"]), SCOPE)
+                stack.close(frozenset(["p"]), SCOPE)
             elif name not in ("html", "body"):
-                close_one(stack, name)
-            continue
-        raw = m["attrs"]
-        attrs = attributes(raw) if "=" in raw or raw.strip(" /\n\t") else {}
-        if name in ("html", "body"):
-            if name == "body" and stack[-1].name == "head":
-                stack.cut(-1)
-            root.attrs = {**attrs, **root.attrs}
-            continue
-        if stack[-1].name == "head" and name not in HIDDEN:
-            stack.cut(-1)
-        if name in CLOSES_P:
-            close(frozenset(["p"]), SCOPE | {"button"})
-        if name in HEADINGS and stack[-1].name in HEADINGS:
-            stack.cut(-1)
-        if name in CLOSES:
-            close(*CLOSES[name])
-        if name in ("td", "th", "tr") and stack.names["table"]:
-            if name != "tr" and stack[-1].name != "tr":
-                start("tr", {})
-        node = start(name, attrs)
-        if name in RAW:
-            m = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            inside = page[at : m.start() if m else len(page)]
-            at = m.end() if m else len(page)
-            if name == "style":
-                styles.append(f"@media {attrs['media']} {{{inside}}}" if attrs.get("media") else inside)
-            elif name == "textarea":
-                node.children.append(html.unescape(inside))
-            elif name == "xmp":
-                node.children.append(inside)
-            stack.cut(-1)
-        elif name in VOID:
-            stack.cut(-1)
-    return root, "\n".join(styles), stack.deepest
-
-
-def close_one(stack: Open, name: str) -> None:
-    """Ends the nearest open element of this name, unless a table cell or table lies between."""
-    if not stack.names[name]:
-        return
-    inner = name in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption")
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name == name:
-            stack.cut(i)
-            return
-        if stack[i].name == "table" or (not inner and stack[i].name in SCOPE):
-            return
+                stack.close_one(name)
+        else:
+            attrs = attributes(rest) if "=" in rest or rest.strip(" /\n\t") else {}
+            if name in ("html", "body"):
+                if name == "body" and stack[-1].name == "head":
+                    stack.cut(len(stack) - 1)
+                root.attrs = {**attrs, **root.attrs}
+                continue
+            if stack[-1].name == "head" and name not in HIDDEN:
+                stack.cut(len(stack) - 1)
+            if name in CLOSES_P:
+                stack.close(frozenset(["p"]), SCOPE | {"button"})
+            if name in HEADINGS and stack[-1].name in HEADINGS:
+                stack.cut(len(stack) - 1)
+            if name in CLOSES:
+                stack.close(*CLOSES[name])
+            if name in ("td", "th", "tr") and stack.places.get("table"):
+                if stack[-1].name == "table":
+                    start("tbody", {})
+                if name != "tr" and stack[-1].name in BODIES:
+                    start("tr", {})
+            start(name, attrs)
+            if name in VOID:
+                stack.cut(len(stack) - 1)
+    return root, "\n".join(styles)
 
 
 def on_screen(query: str) -> bool:
@@ -205,24 +248,21 @@ def on_screen(query: str) -> bool:
     return not query.strip() or any(holds(q.strip()) for q in query.lower().split(","))
 
 
-def declared(body: str) -> dict[str, tuple[bool, bool]]:
-    """Of ``display`` and ``visibility``: whether it is important, and whether it hides."""
-    out: dict[str, tuple[bool, bool]] = {}
+def declared(body: str) -> dict[str, tuple[bool, str]]:
+    """Of ``display`` and ``visibility``: whether it is important, and the value."""
+    out: dict[str, tuple[bool, str]] = {}
     for name, value, important in DECLARED.findall(body):
-        name, now = name.lower(), (bool(important), value.lower() in ("none", "hidden", "collapse"))
+        name, now = name.lower(), (bool(important), value.lower())
         if now[0] >= out.get(name, now)[0]:
             out[name] = now
     return out
 
 
-def hiding_rules(styles: str) -> dict[str, dict[str, tuple[bool, int, bool]]]:
-    """For selectors of one tag, class (``.x``) or id (``#x``), by property: whether the
-    rule that holds is important, its place, and whether it hides. Rules in at-rules that
-    don't apply to a screen are passed over. Empty if no rule hides."""
-    css = re.sub(r"/\*.*?\*/", "", styles, flags=re.S)
-    out: dict[str, dict[str, tuple[bool, int, bool]]] = {}
+def style_rules(styles: str):
+    """(selector, declared, place) of each rule that applies to a screen, in order."""
+    css = re.sub(r"/\*.*?(?:\*/|\Z)", "", styles, flags=re.S)
     stack: list[tuple[str, bool]] = []  # selectors ("" for an at-rule), whether it applies
-    begin, bodies, hides = 0, [], False
+    begin, bodies = 0, []
     for place, m in enumerate(re.finditer(r""""[^"\n]*"|'[^'\n]*'|[{};]|\Z""", css)):
         mark = m[0]
         if mark and mark not in "{};":
@@ -242,42 +282,105 @@ def hiding_rules(styles: str) -> dict[str, dict[str, tuple[bool, int, bool]]]:
             bodies.append(part)
         while stack and mark != ";":
             selectors, applies = stack.pop()
-            if selectors and applies:
-                for prop, (important, hidden) in declared(";".join(bodies)).items():
-                    hides = hides or hidden
-                    for one in selectors.split(","):
-                        if re.fullmatch(r"[.#]?[\w-]+", one := one.strip()):
-                            rule = out.setdefault(one if one[0] in ".#" else one.lower(), {})
-                            if (important, place) >= rule.get(prop, (important, place))[:2]:
-                                rule[prop] = (important, place, hidden)
+            if selectors and applies and (found := declared(";".join(bodies))):
+                for one in selectors.split(","):
+                    yield one.strip(), found, place
             if mark:
                 break
-    return out if hides else {}
 
 
-def visible(node: Node, rules: dict[str, dict[str, tuple[bool, int, bool]]]) -> bool:
-    """The rule that holds is the important one, else that of the style, id, class or tag, in this order, else the later one."""
+class Rules:
+    """The rules of a page that set display or visibility, as one automaton over the path from the root.
+
+    A selector of compounds c1 c2 ... ck is a run of k bits; bit i of an element is set if
+    ci fits it and the compounds before fit ancestors of it in order. A compound that must be
+    a child's is one whose predecessor has to be the parent. An element's bits follow from
+    its parent's and from all its ancestors' in a few operations on whole masks.
+    """
+
+    def __init__(self, styles: str):
+        selectors: dict[str, dict[str, tuple]] = {}
+        for text, found, place in style_rules(styles):
+            parts = re.sub(r"\s*>\s*", " >", text).split()
+            if not parts or not all(COMPOUND.fullmatch(p.lstrip(">")) and p.lstrip(">") for p in parts) or parts[0][0] == ">":
+                continue
+            weight = (text.count("#"), text.count("."), sum(p.lstrip(">")[0] not in ".#*" for p in parts))
+            own = selectors.setdefault(" ".join(parts), {})
+            for prop, (important, value) in found.items():
+                now = (important, *weight, place, value)
+                own[prop] = max(own.get(prop, now), now)
+        self.any = any(v[-1] in ("none", "hidden", "collapse") for own in selectors.values() for v in own.values())
+        self.first = self.child = 0  # bits of first compounds, and of those that must be a child's
+        self.last: dict[int, dict[str, tuple]] = {}  # bit of a last compound: what its rule sets
+        uses: Counter = Counter()
+        compounds: dict[frozenset, int] = defaultdict(int)  # the bits of equal compounds
+        bit = 0
+        for text, own in selectors.items() if self.any else ():
+            parts = text.split()
+            self.first |= 1 << bit
+            for p in parts:
+                if p[0] == ">":
+                    self.child |= 1 << bit
+                tag, *rest = re.findall(r"^[\w-]+|\*|[.#][\w-]+", p.lstrip(">"))
+                simple = frozenset([tag.lower() if tag[0] not in ".#*" else tag, *rest])
+                if simple not in compounds:
+                    uses.update(simple)
+                compounds[simple] |= 1 << bit
+                bit += 1
+            self.last[bit - 1] = own
+        self.ends = sum(1 << b for b in self.last)
+        self.by: dict[str, list[tuple[frozenset, int]]] = defaultdict(list)  # by the rarest part of a compound
+        for simple, mask in compounds.items():
+            self.by[min(simple, key=lambda x: (uses[x], x))].append((simple, mask))
+
+    def bits(self, node: Node, parent: int, above: int) -> int:
+        """Bits of an element, from its parent's and those that any ancestor has."""
+        own = {node.name, "*", *("." + c for c in node.attrs.get("class", "").split())}
+        if node.attrs.get("id"):
+            own.add("#" + node.attrs["id"].strip())
+        fits = 0
+        for name in own & self.by.keys():
+            for simple, mask in self.by[name]:
+                if simple <= own:
+                    fits |= mask
+        return fits & (self.first | ((above << 1) & ~self.child & ~self.first) | ((parent << 1) & self.child))
+
+    def set_by(self, bits: int) -> list[dict[str, tuple]]:
+        bits, out = bits & self.ends, []
+        while bits:
+            b = bits & -bits
+            out.append(self.last[b.bit_length() - 1])
+            bits ^= b
+        return out
+
+
+def cascade(node: Node, found: list[dict[str, tuple]]) -> tuple[bool, str | None]:
+    """(whether it is displayed, the visibility set for it): the rule that holds is the important
+    one, else that of the style, of the more specific selector, or the later one."""
     a = node.attrs
-    if node.name in HIDDEN or "hidden" in a or (node.name == "dialog" and "open" not in a) or (node.name == "input" and a.get("type", "").lower() == "hidden"):
-        return False
-    style = a.get("style", "")
-    if not rules and not (style and UNSEEN.search(style)):
-        return True
-    held: dict[str, tuple[bool, int, int, bool]] = {prop: (important, 3, 0, hidden) for prop, (important, hidden) in declared(style).items()}
-    for rank, names in enumerate(([node.name], ["." + c for c in a.get("class", "").split()], ["#" + a["id"]] if "id" in a else [])):
-        for name in names:
-            for prop, (important, place, hidden) in rules.get(name, {}).items():
-                held[prop] = max(held.get(prop, (False, -1, 0, False)), (important, rank, place, hidden))
-    return not any(x[3] for x in held.values())
+    if node.name in HIDDEN or (node.name == "dialog" and "open" not in a) or (node.name == "input" and a.get("type", "").lower() == "hidden"):
+        return False, None
+    held: dict[str, tuple] = {"display": (False, -1, 0, 0, 0, "none")} if "hidden" in a else {}
+    for own in found:
+        for prop, now in own.items():
+            held[prop] = max(held.get(prop, now), now)
+    if a.get("style"):
+        for prop, (important, value) in declared(a["style"]).items():
+            now = (important, 1 << 30, 0, 0, 0, value)
+            held[prop] = max(held.get(prop, now), now)
+    return held.get("display", ("",))[-1] != "none", held["visibility"][-1] if "visibility" in held else None
 
 
 class Canvas:
-    """Lines of text; collapses white space and asked-for blank lines."""
+    """Lines of text; collapses white space and asked-for blank lines. Inside an indent, lines
+    begin with its pad, the first of them with its head; the prefixes are only joined where a line has text."""
 
     def __init__(self):
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = False  # a space is due before the next text
+        self.indents: list[list] = []  # head (None once it is used), pad, lines before
+        self.base = self.unused = 0  # lines before the innermost indent; the outermost indents up to this one have used their heads
 
     def text(self, s: str) -> None:
         parts = SPACE.split(s)
@@ -300,130 +403,60 @@ class Canvas:
             self.line.append(x)
         self.gap = False
 
+    def put(self, text: str, bare: bool = False) -> None:
+        """A line; ``bare``: even if it is empty, for its head."""
+        if (text or bare) and self.indents:
+            text = "".join([pad if head is None else head for head, pad, _ in self.indents]) + text
+            while self.unused < len(self.indents):
+                self.indents[self.unused][0] = None
+                self.unused += 1
+        self.lines.append(text.rstrip())
+
     def end_line(self) -> None:
-        self.lines.append("".join(self.line).rstrip())
+        self.put("".join(self.line).rstrip())
         self.line, self.gap = [], False
 
     def block(self, blank: bool = False) -> None:
         if self.line:
             self.end_line()
         self.gap = False
-        if blank and self.lines and self.lines[-1] != "":
+        if blank and len(self.lines) > self.base and self.lines[-1] != "":
             self.lines.append("")
 
-    def done(self) -> list[str]:
+    def indent(self, head: str, pad: str) -> None:
+        self.block()
+        self.indents.append([head, pad, self.base])
+        self.base = len(self.lines)
+
+    def outdent(self, bare: bool = False) -> None:
+        """Ends an indent and drops the blank lines at its end; ``bare``: the head stands even without a line."""
         self.block()
-        while self.lines and not self.lines[-1]:
+        self.trim()
+        if bare and len(self.lines) == self.base:
+            self.put("", True)
+        self.base = self.indents.pop()[2]
+        self.unused = min(self.unused, len(self.indents))
+
+    def trim(self) -> None:
+        while len(self.lines) > self.base and not self.lines[-1]:
             self.lines.pop()
-        return self.lines
 
 
-class Renderer:
-    def __init__(self, rules: dict[str, dict[str, tuple[bool, int, bool]]]):
-        self.rules = rules
-
-    def lines(self, nodes: list, pre: bool = False) -> list[str]:
-        canvas = Canvas()
-        self.put(nodes, canvas, pre)
-        return canvas.done()
-
-    def put(self, nodes: list, canvas: Canvas, pre: bool) -> None:
-        for node in nodes:
-            if isinstance(node, str):
-                canvas.exact(node) if pre else canvas.text(node)
-            elif visible(node, self.rules):
-                self.element(node, canvas, pre)
-
-    def indented(self, canvas: Canvas, lines: list[str], head: str, pad: str) -> None:
-        for i, line in enumerate(lines):
-            canvas.lines.append(((head if i == 0 else pad) + line).rstrip())
-
-    def element(self, node: Node, canvas: Canvas, pre: bool) -> None:
-        name = node.name
-        if name == "br":
-            canvas.end_line()
-        elif name == "input":
-            if node.attrs.get("type", "").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
-                canvas.text(node.attrs["value"])
-        elif name in ("ul", "ol", "menu", "dir"):
-            self.listing(node, canvas)
-        elif name == "table":
-            canvas.block(True)
-            self.table(node, canvas)
-            canvas.block(True)
-        elif name == "blockquote" or name == "dd":
-            canvas.block(name == "blockquote")
-            self.indented(canvas, self.lines(node.children), "  ", "  ")
-            canvas.block(name == "blockquote")
-        elif name in ("pre", "listing", "xmp", "textarea"):
-            canvas.block(True)
-            first = node.children[:1]
-            if first and isinstance(first[0], str) and first[0].startswith("\n"):
-                node.children[0] = first[0][1:]
-            canvas.lines += self.lines(node.children, True)
-            canvas.block(True)
-        elif name in ("td", "th"):  # a cell outside of a table's rows
-            canvas.gap = True
-            self.put(node.children, canvas, pre)
-            canvas.gap = True
-        elif name in BLOCK or name == "tr":
-            canvas.block(name in SPACED)
-            self.put(node.children, canvas, pre)
-            canvas.block(name in SPACED)
-        else:
-            self.put(node.children, canvas, pre)
-
-    def listing(self, node: Node, canvas: Canvas) -> None:
-        canvas.block(True)
-        try:
-            n = int(node.attrs.get("start", 1))
-        except ValueError:
-            n = 1
-        for child in node.children:
-            if isinstance(child, str):
-                canvas.text(child)
-            elif visible(child, self.rules):
-                canvas.block()
-                if child.name == "li":
-                    head = f"{n}. " if node.name == "ol" else "* "
-                    n += 1
-                    self.indented(canvas, self.lines(child.children) or [""], head, " " * len(head))
-                elif child.name in ("ul", "ol", "menu", "dir"):
-                    self.indented(canvas, self.lines([child]), "  ", "  ")
-                else:
-                    self.element(child, canvas, False)
-        canvas.block(True)
-
-    def rows(self, node: Node) -> list[list[tuple[list[str], int, int]]]:
-        out = []
-        for child in node.children:
-            if isinstance(child, str):
-                if child.strip():
-                    out.append([(self.lines([child]), 1, 1)])
-            elif not visible(child, self.rules):
-                continue
-            elif child.name in ("thead", "tbody", "tfoot"):
-                out += self.rows(child)
-            elif child.name == "tr":
-                cells = []
-                for cell in child.children:
-                    if isinstance(cell, str):
-                        if cell.strip():
-                            cells.append((self.lines([cell]), 1, 1))
-                    elif visible(cell, self.rules):
-                        span = [min(1000, int(cell.attrs.get(k, "1"))) if cell.attrs.get(k, "1").isdecimal() else 1 for k in ("colspan", "rowspan")]
-                        cells.append((self.lines(cell.children if cell.name in ("td", "th") else [cell]), max(1, span[0]), max(1, span[1])))
-                out.append(cells)
-            else:
-                lines = self.lines([child])
-                if lines:
-                    out.append([(lines, 1, 1)])
-        return out
+LISTS = frozenset("ul ol menu dir".split())
+PREFORMATTED = frozenset("pre listing xmp textarea".split())
 
-    def table(self, node: Node, canvas: Canvas) -> None:
+
+class Table:
+    def __init__(self):
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+
+    def row(self) -> None:
+        self.rows.append([])
+
+    def lay(self, canvas: Canvas) -> None:
         placed: list[list[tuple[int, list[str], int]]] = []
         taken: dict[int, int] = {}  # column: rows, from this one on, that a cell above reaches into
-        for cells in self.rows(node):
+        for cells in self.rows:
             row, column, new = [], 0, {}
             for lines, across, down in cells:
                 while taken.get(column, 0) > 0:
@@ -434,43 +467,218 @@ class Renderer:
                 column += across
             taken = {k: v - 1 for k, v in (taken | new).items() if v > 1}
             placed.append(row)
-        width: dict[int, int] = {}
+        width: Counter = Counter()
         for row in placed:
             for column, lines, across in row:
                 if across == 1:
-                    width[column] = max(width.get(column, 0), min(WIDEST, max(map(len, lines), default=0)))
+                    width[column] = max(width[column], max(map(len, lines), default=0))
+        said = sum(len(x) + 1 for row in placed for _, lines, _ in row for x in lines)
+        tall = sum(max((len(lines) for _, lines, _ in row), default=0) for row in placed)
+        if tall * sum(width.values()) > PADDING * said + LITTLE:
+            width = Counter({k: min(WIDEST, v) for k, v in width.items()})
         starts, at = {}, 0
         for column in range(max((c + a for row in placed for c, _, a in row), default=0)):
             starts[column] = at
-            at += width.get(column, 0) + (2 if width.get(column, 0) else 0)
+            at += width[column] + (2 if width[column] else 0)
         for row in placed:
             for i in range(max((len(lines) for _, lines, _ in row), default=0)):
-                line = ""
+                parts, length = [], 0
                 for column, lines, _ in row:
                     if i < len(lines) and lines[i]:
-                        line = line.ljust(starts[column]) if len(line) < starts[column] or not line else line + "  "
-                        line += lines[i]
-                canvas.lines.append(line.rstrip())
+                        room = starts[column] - length if length < starts[column] or not length else 2
+                        parts += [" " * room, lines[i]]
+                        length += room + len(lines[i])
+                canvas.put("".join(parts).rstrip())
+
+
+def span(cell: Node, name: str) -> int:
+    said = cell.attrs.get(name, "1").strip()
+    return max(1, min(1000, int(said))) if said.isascii() and said.isdecimal() and len(said) < 6 else 1
+
+
+class Renderer:
+    """Walks the tree with a list of what is still to do, last first: an element puts down what ends it, then its children."""
+
+    def __init__(self, styles: str):
+        rules = Rules(styles)
+        self.rules = rules if rules.any else None
+        self.canvas, self.todo = Canvas(), []
+
+    def lines(self, root: Node) -> list[str]:
+        self.children(root.children, (False, True, 0, 0))
+        while self.todo:
+            do, *args = self.todo.pop()
+            do(*args)
+        self.canvas.block()
+        self.canvas.trim()
+        return self.canvas.lines
+
+    def children(self, nodes: list, state: tuple, handle=None) -> None:
+        """``state``: preformatted, visible, bits of the parent and of all ancestors."""
+        handle = handle or self.node
+        self.todo += [(handle, node, state) for node in reversed(nodes)]
+
+    def later(self, do, *args) -> None:
+        self.todo.append((do, *args))
+
+    def shown(self, node: Node, state: tuple) -> tuple | None:
+        """The state inside an element, None if it isn't displayed."""
+        pre, seen, parent, above = state
+        found = []
+        if self.rules:
+            parent = self.rules.bits(node, parent, above)
+            above |= parent
+            found = self.rules.set_by(parent)
+        displayed, visibility = cascade(node, found)
+        if not displayed:
+            return None
+        if visibility is not None and visibility != "inherit":
+            seen = visibility not in ("hidden", "collapse")
+        return pre, seen, parent, above
+
+    def text(self, text: str, state: tuple) -> None:
+        if state[1]:
+            self.canvas.exact(text) if state[0] else self.canvas.text(text)
+
+    def node(self, node, state: tuple) -> None:
+        if isinstance(node, str):
+            self.text(node, state)
+        elif (inner := self.shown(node, state)) is not None:
+            self.element(node, inner)
+
+    def element(self, node: Node, state: tuple) -> None:
+        name, canvas = node.name, self.canvas
+        if name == "br":
+            canvas.end_line()
+        elif name == "input":
+            if state[1] and node.attrs.get("type", "").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
+                canvas.text(node.attrs["value"])
+        elif name in LISTS:
+            self.listing(node, state)
+        elif name == "table":
+            canvas.block(True)
+            table = Table()
+            self.later(self.lay, table)
+            self.children(node.children, state, lambda n, s: self.in_table(table, n, s))
+        elif name in ("blockquote", "dd"):
+            canvas.block(name == "blockquote")
+            canvas.indent("  ", "  ")
+            self.later(self.end_indent, name == "blockquote")
+            self.children(node.children, state)
+        elif name in PREFORMATTED:
+            canvas.block(True)
+            canvas.indent("", "")
+            self.later(self.end_indent, True)
+            inside = node.children
+            if inside and isinstance(inside[0], str) and inside[0].startswith("\n"):
+                inside = [inside[0][1:], *inside[1:]]
+            self.children(inside, (True, *state[1:]))
+        elif name in ("td", "th"):  # a cell outside of a table's rows
+            canvas.gap = True
+            self.later(self.due)
+            self.children(node.children, state)
+        elif name in BLOCK or name in BODIES or name == "tr":
+            canvas.block(name in SPACED)
+            self.later(canvas.block, name in SPACED)
+            self.children(node.children, state)
+        else:
+            self.children(node.children, state)
+
+    def due(self) -> None:
+        self.canvas.gap = True
+
+    def end_indent(self, blank: bool, bare: bool = False) -> None:
+        self.canvas.outdent(bare)
+        if blank:
+            self.canvas.block(True)
+
+    def listing(self, node: Node, state: tuple) -> None:
+        self.canvas.block(True)
+        self.later(self.canvas.block, True)
+        said = node.attrs.get("start", "1").strip()
+        number = [int(said) if re.fullmatch(r"-?\d{1,9}", said) else 1]
+
+        def item(child, state: tuple) -> None:
+            if isinstance(child, str):
+                self.text(child, state)
+                return
+            inner = self.shown(child, state)
+            if inner is None:
+                return
+            inner = (False, *inner[1:])
+            self.canvas.block()
+            if child.name == "li":
+                head = f"{number[0]}. " if node.name == "ol" else "* "
+                number[0] += 1
+                self.canvas.indent(head if inner[1] else " " * len(head), " " * len(head))
+                self.later(self.end_indent, False, inner[1])
+                self.children(child.children, inner)
+            elif child.name in LISTS:
+                self.canvas.indent("  ", "  ")
+                self.later(self.end_indent, False)
+                self.listing(child, inner)
+            else:
+                self.element(child, inner)
+
+        self.children(node.children, state, item)
+
+    # Tables --------------------------------------------------------------------------------
+
+    def in_table(self, table: Table, child, state: tuple) -> None:
+        if isinstance(child, str):
+            if child.strip():
+                table.row()
+                self.cell(table, [child], state)
+            return
+        inner = self.shown(child, state)
+        if inner is None:
+            return
+        if child.name in BODIES:
+            self.children(child.children, inner, lambda n, s: self.in_table(table, n, s))
+        elif child.name == "tr":
+            table.row()
+            self.children(child.children, inner, lambda n, s: self.in_row(table, n, s))
+        else:
+            table.row()
+            self.cell(table, [child], state, empty=False)
+
+    def in_row(self, table: Table, child, state: tuple) -> None:
+        if isinstance(child, str):
+            if child.strip():
+                self.cell(table, [child], state)
+        elif child.name not in ("td", "th"):
+            if self.shown(child, state) is not None:
+                self.cell(table, [child], state)
+        elif (inner := self.shown(child, state)) is not None:
+            self.cell(table, child.children, inner, span(child, "colspan"), span(child, "rowspan"))
+
+    def cell(self, table: Table, nodes: list, state: tuple, across: int = 1, down: int = 1, empty: bool = True) -> None:
+        outer, self.canvas = self.canvas, Canvas()
+        self.later(self.end_cell, table, outer, across, down, empty)
+        self.children(nodes, (False, *state[1:]))
+
+    def end_cell(self, table: Table, outer: Canvas, across: int, down: int, empty: bool) -> None:
+        self.canvas.block()
+        self.canvas.trim()
+        if self.canvas.lines or empty:
+            table.rows[-1].append((self.canvas.lines, across, down))
+        self.canvas = outer
+
+    def lay(self, table: Table) -> None:
+        table.lay(self.canvas)
+        self.canvas.block(True)
 
 
 def render(page: str | None) -> str:
     """The visible text of a page; empty for null or an empty one."""
     if not page:
         return ""
-    root, styles, depth = build(page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "�"))
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(limit + 6 * depth)  # calls between Python functions take no C stack
-    try:
-        lines = Renderer(hiding_rules(styles)).lines(root.children)
-    finally:
-        sys.setrecursionlimit(limit)
+    root, styles = build(page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "\ufffd"))
     out: list[str] = []
-    for line in lines:
+    for line in Renderer(styles).lines(root):
         if line or (out and out[-1]):
             out.append(line)
-    while out and not out[0]:
-        out.pop(0)
-    return "\n".join(out)
+    return "\n".join(out).rstrip("\n")
 
 
 def text_column(page: Column) -> Column:
@@ -484,7 +692,8 @@ def text_column(page: Column) -> Column:
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with the visible text of each in ``out_col``.
 
-    A null or empty page has an empty text. Pages are read whole. Any string gives a
-    text: what isn't a tag is text. Other columns stay; one named ``out_col`` is replaced.
+    A null or empty page has an empty text. Pages are read whole, however long or deep.
+    Any string gives a text: what isn't a tag is text. Repeated rows give repeated rows, an
+    empty table an empty one. Other columns stay; one named ``out_col`` is replaced.
     """
     return pages.withColumn(out_col, text_column(F.col(html_col)))
