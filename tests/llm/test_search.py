@@ -54,6 +54,36 @@ def test_edited_and_cut_leaks(spark):
     assert got == want and len(want) > 60
 
 
+@pytest.mark.parametrize("threshold", [0.3, 1.0, 2.5])
+def test_wand_is_exhaustive_scoring_with_skips(threshold, monkeypatch):
+    rng = random.Random(int(threshold * 10))
+    scored = [0]
+    for _ in range(60):
+        lists = []
+        for _ in range(rng.randint(1, 12)):
+            items = sorted(rng.sample(range(300), rng.randint(1, 120)))
+            lists.append(dc.Postings.of([(j, rng.choice([0.02, 0.05, 0.1, 0.9]) * rng.random()) for j in items]))
+        scores = {}
+        for own in lists:
+            for j, w in zip(own.items, own.weights):
+                scores[j] = scores.get(j, 0) + w
+        got = dict(dc.wand(lists, threshold))
+        assert got.keys() == {j for j, x in scores.items() if x >= threshold} and all(abs(got[j] - scores[j]) < 1e-12 for j in got)
+        assert list(got) == sorted(got)
+    seeks = []
+    monkeypatch.setattr(dc, "_seek", lambda c, t, real=dc._seek: seeks.append(t) or real(c, t))
+    rare, common = dc.Postings.of([(5000, 0.6)]), dc.Postings.of([(j, 0.5) for j in range(10_000)])
+    assert dict(dc.wand([rare, common], 1.0)) == {5000: 1.1} and len(seeks) < 5  # thousands of postings are passed over
+
+
+def test_large_indexes_are_read_part_by_part(spark, folder, monkeypatch):
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    whole = sorted(map(tuple, dc.matches(docs, items).select("doc_id", "item_id", "overlap").collect()))
+    monkeypatch.setattr(dc, "SENT_BYTES", 0)
+    monkeypatch.setattr(dc, "PART_ITEMS", 7)
+    assert sorted(map(tuple, dc.matches(docs, items).select("doc_id", "item_id", "overlap").collect())) == whole
+
+
 def test_parts_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(dc, "PART_ITEMS", 2)
     items = spark.createDataFrame([(1, "one two"), (2, None), (3, ""), (4, "words again and again and again"), (5, "one two")], "item_id long, text string")
@@ -61,6 +91,9 @@ def test_parts_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert out.columns == odd_docs.columns
     assert {r["doc_id"] for r in out.collect()} == {1, 2, 3, 4, 5, 9, None}
     assert dc.matches(odd_docs.where("doc_id = 6"), items).count() == 2
+    nameless = items.unionByName(spark.createDataFrame([(None, "one two"), (None, "one two")], items.schema))
+    assert sorted(str(r["item_id"]) for r in dc.matches(odd_docs.where("doc_id = 6"), nameless).collect()) == ["1", "5", "None", "None"]
+    assert dc.matches(odd_docs.where("doc_id = 7"), items).count() == 4  # repeated rows
     assert dc.clean(no_docs, items).count() == 0 and dc.clean(odd_docs, items.where("false")).count() == odd_docs.count()
     own = spark.createDataFrame([(7, "what is asked here today friend", "the answer text")], "item_id long, q string, a string")
     doc = spark.createDataFrame([(1, "so what is asked here today friend the answer text ok"), (2, "what is asked here today friend and no more")], "doc_id long, text string")

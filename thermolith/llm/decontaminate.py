@@ -8,35 +8,47 @@ its word shingles: the item's full score less its heaviest terms, as many as can
 missing then. So retrieving everything at 1 or above loses nothing that would pass the
 verification.
 
-Retrieval is block-max WAND over whole batches: a passage whose terms' upper bounds add
-up to less than 1 is skipped; for the rest the bounds inside each block of items are
-added, and blocks below 1 are skipped; only items of blocks left are scored. What
-scores 1 or above is verified by its five-word shingles, of the question's part and of
-the answer's part.
-
-The test items are read in parts of bounded size, and each part's index is sent to the
-executors; every part is queried by all passages.
+Retrieval is block-max WAND with the fixed threshold 1. A term's postings are items in
+order with weights, in blocks with their largest weight. Cursors of a passage's terms stand
+in the order of their items; the pivot is the first at which the terms' bounds add up to the
+threshold, and nothing before it can be a result. If the bounds of the blocks at the pivot
+fall short too, all cursors skip past the nearest block end; else they move to the pivot,
+which is scored. Whether a passage has any pivot at all is asked first, for all passages of
+a batch by running sums of bounds, as most have none. What scores 1 or above is verified by
+its five-word shingles, of the question's part and of the answer's part.
+
+The index is in parts of bounded size, built by the executors and written to the shared
+folder. All parts are sent to the executors if they are SENT_BYTES at most together;
+beyond that each Python worker reads them one after the other for each of its batches.
 """
 
 from __future__ import annotations
 
+import bisect
+import pickle
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, written
 
 SHINGLE = 5
 K1, B = 1.2, 0.75
+#: Postings in a block.
 BLOCK = 8
-#: Bounds of one part of the index.
-PART_ITEMS, PART_BYTES = 4096, 8 << 20
+#: Bounds of one part of the index, and of all parts that are sent to the executors at once.
+PART_ITEMS, PART_BYTES, SENT_BYTES = 4096, 8 << 20, 64 << 20
 #: Where no answer is given: the last quarter of an item's words.
 ANSWER_SHARE = 0.25
+#: What a score may lack of the threshold by rounding.
+SLACK = 1e-6
 
 _SPACE = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
@@ -46,6 +58,23 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACE).split()
 
 
+@dataclass
+class Postings:
+    """A term's items in order, with weights, and of each block the last item and the largest weight."""
+
+    items: list[int]
+    weights: list[float]
+    last: list[int]
+    most: list[float]
+    bound: float
+
+    @classmethod
+    def of(cls, found: list[tuple[int, float]]) -> "Postings":
+        items, weights = [j for j, _ in found], [w for _, w in found]
+        cuts = range(0, len(items), BLOCK)
+        return cls(items, weights, [items[min(i + BLOCK, len(items)) - 1] for i in cuts], [max(weights[i : i + BLOCK]) for i in cuts], max(weights))
+
+
 @dataclass
 class LengthClass:
     """The index of the items of one length class."""
@@ -53,8 +82,7 @@ class LengthClass:
     window: int
     items: list[int]
     bound: np.ndarray  # term: the largest weight in any item
-    block_bound: np.ndarray  # term x block
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]]  # block: term: items in the block, weights
+    postings: dict[int, Postings]
 
 
 @dataclass
@@ -97,27 +125,69 @@ def build_index(items: list[tuple[int, str, str | None]], similarity: float = 0.
         by_class.setdefault(max(2, (len(ids) - 1).bit_length()), []).append(k)
     classes = []
     for size, members in sorted(by_class.items()):
-        blocks = -(-len(members) // BLOCK)
-        bound = np.zeros(len(terms) + 1, np.float32)
-        block_bound = np.zeros((len(terms) + 1, blocks), np.float32)
-        lists: list[dict[int, tuple[list, list]]] = [{} for _ in range(blocks)]
+        lists: dict[int, list[tuple[int, float]]] = {}
         for j, k in enumerate(members):
             ids = coded[k]
             weights = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ids) / mean)) for t, f in Counter(ids).items()}
             may_lack = int((1 - similarity) * len(shingles[k][0] | shingles[k][1]) + 1e-9)
             least = sum(sorted(weights.values())[: max(1, len(weights) - may_lack)])
             for t, w in weights.items():
-                w = w / least * (1 + 1e-5)
-                bound[t] = max(bound[t], w)
-                block_bound[t, j // BLOCK] = max(block_bound[t, j // BLOCK], w)
-                held = lists[j // BLOCK].setdefault(t, ([], []))
-                held[0].append(j % BLOCK)
-                held[1].append(w)
-        postings = [{t: (np.array(a), np.array(w)) for t, (a, w) in part.items()} for part in lists]
-        classes.append(LengthClass(2 * (-(-5 * (1 << size) // 4)), members, bound, block_bound, postings))
+                lists.setdefault(t, []).append((j, float(w / least * (1 + 1e-5))))
+        postings = {t: Postings.of(found) for t, found in lists.items()}
+        bound = np.zeros(len(terms) + 1, np.float32)
+        for t, own in postings.items():
+            bound[t] = own.bound * (1 + 1e-6)
+        classes.append(LengthClass(2 * (-(-5 * (1 << size) // 4)), members, bound, postings))
     return Index(terms, classes, [s[0] for s in split], shingles)
 
 
+def _seek(cursor: list, target: int) -> bool:
+    """Moves a cursor [item, place, postings] to its first item of ``target`` or more; False if it has none. Whole blocks are passed over."""
+    own = cursor[2]
+    block = bisect.bisect_left(own.last, target, cursor[1] // BLOCK)
+    if block == len(own.last):
+        return False
+    place = bisect.bisect_left(own.items, target, max(cursor[1], block * BLOCK))
+    cursor[0], cursor[1] = own.items[place], place
+    return True
+
+
+def wand(lists: list[Postings], threshold: float = 1 - SLACK) -> Iterator[tuple[int, float]]:
+    """(item, score) of all items that score ``threshold`` or more, in order of items, by block-max WAND."""
+    live = [[own.items[0], 0, own] for own in lists]
+    while live:
+        live.sort(key=lambda c: c[0])
+        total, pivot = 0.0, -1
+        for i, c in enumerate(live):
+            total += c[2].bound
+            if total >= threshold:
+                pivot = i
+                break
+        if pivot < 0:
+            return
+        item = live[pivot][0]
+        while pivot + 1 < len(live) and live[pivot + 1][0] == item:
+            pivot += 1
+        most, target = 0.0, live[pivot + 1][0] if pivot + 1 < len(live) else None
+        for _, place, own in live[: pivot + 1]:
+            block = bisect.bisect_left(own.last, item, place // BLOCK)
+            if block < len(own.last):
+                most += own.most[block]
+                target = own.last[block] + 1 if target is None else min(target, own.last[block] + 1)
+        if most < threshold:  # nothing up to the nearest block end, nor before the next cursor
+            behind = pivot + 1
+        elif live[0][0] == item:
+            score = sum(own.weights[place] for _, place, own in live[: pivot + 1])
+            if score >= threshold:
+                yield item, score
+            behind, target = pivot + 1, item + 1
+        else:
+            behind, target = pivot, item
+        if target is None:
+            return
+        live = [c for c in live[:behind] if c[0] >= target or _seek(c, target)] + live[behind:]
+
+
 class Searcher:
     def __init__(self, index: Index, similarity: float):
         self.index, self.similarity = index, similarity
@@ -139,32 +209,23 @@ class Searcher:
             doc = np.repeat(np.arange(len(parts)), count)
             first = begin[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * half
             last = np.minimum(first + c.window, begin[doc + 1])
-            may = np.flatnonzero(added[last] - added[first] >= 1 - 1e-6)
-            step = max(1, (1 << 22) // (c.window * c.block_bound.shape[1]))
+            may = np.flatnonzero(added[last] - added[first] >= 1 - SLACK)
+            step = max(1, (1 << 22) // c.window)
             for i in range(0, len(may), step):
-                self._blocks(c, ids, doc, first, last, may[i : i + step], none, out)
-        return [sorted(d.values(), key=lambda r: (-r[1], r[0])) for d in out]
+                self._passages(c, ids, doc, first, last, may[i : i + step], none, out)
+        return [sorted(d.values(), key=lambda r: (-r[1], r[0] is None, r[0] or 0)) for d in out]
 
-    def _blocks(self, c, ids, doc, first, last, chosen, none, out) -> None:
+    def _passages(self, c, ids, doc, first, last, chosen, none, out) -> None:
+        """Queries the index with each of the chosen passages that has a pivot at all."""
         place = first[chosen][:, None] + np.arange(c.window)
         terms = np.where(place < last[chosen][:, None], ids[np.minimum(place, len(ids) - 1)], none)
         terms = np.sort(terms, axis=1)
-        terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = none
-        keep = c.bound[terms].sum(1) >= 1 - 1e-6  # each term once
-        terms, chosen = terms[keep], chosen[keep]
-        if not len(chosen):
-            return
-        bounds = c.block_bound[terms].sum(axis=1)
-        for w, block in zip(*np.nonzero(bounds >= 1 - 1e-6)):
-            postings = c.postings[block]
-            scores = np.zeros(BLOCK)
-            for t in terms[w].tolist():
-                if t in postings:
-                    at, weight = postings[t]
-                    scores[at] += weight
-            for j in np.flatnonzero(scores >= 1 - 1e-6).tolist():
-                k = c.items[block * BLOCK + j]
-                self._verify(k, float(scores[j]), ids[first[chosen[w]] : last[chosen[w]]].tolist(), out[doc[chosen[w]]])
+        terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = none  # each term once
+        keep = c.bound[terms].sum(1) >= 1 - SLACK
+        for passage, own in zip(chosen[keep].tolist(), terms[keep]):
+            lists = [c.postings[t] for t in own[c.bound[own] > 0].tolist()]
+            for j, score in wand(lists):
+                self._verify(c.items[j], score, ids[first[passage] : last[passage]].tolist(), out[doc[passage]])
 
     def _verify(self, k: int, score: float, passage: list[int], found: dict[int, tuple]) -> None:
         question, answer = self.index.shingles[k]
@@ -179,37 +240,78 @@ class Searcher:
 
 
 HITS = "array<struct<item_id:bigint,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
+_NAMES = ("item_id", "score", "overlap", "question_overlap", "answer_overlap")
 
 
-def hits_column(text: Column, spark, index: Index, similarity: float = 0.8) -> Column:
-    sent = spark.sparkContext.broadcast(index)
+def index_parts(items: DataFrame, id_col: str, text_col: str, answer_col: str | None, similarity: float) -> tuple[DataFrame, str]:
+    """The index as a written table, and its path (part binary, bytes long): parts of at most PART_ITEMS items
+    and about PART_BYTES of text, each built by the task that has its items."""
+    answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), answer.alias("answer")).where("text IS NOT NULL")
+    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0))), F.lit(0)).alias("chars")).first()
+    parts = max(1, -(-seen["n"] // PART_ITEMS), -(-4 * seen["chars"] // PART_BYTES))
+
+    def build(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, size = [], 0
+
+        def done() -> pd.DataFrame:
+            data = pickle.dumps(build_index(part, similarity))
+            return pd.DataFrame({"part": [data], "bytes": [len(data)]})
+
+        for frame in frames:
+            for i, t, a in zip(frame["id"], frame["text"], frame["answer"]):
+                a = a if isinstance(a, str) else None
+                part.append((int(i) if not pd.isna(i) else None, t, a))
+                size += 4 * (len(t) + len(a or ""))
+                if len(part) >= PART_ITEMS or size >= PART_BYTES:
+                    yield done()
+                    part, size = [], 0
+        if part:
+            yield done()
+
+    dealt = rows.repartitionByRange(parts, "id", "text").sortWithinPartitions("id", "text") if parts > 1 else rows.coalesce(1).sortWithinPartitions("id", "text")
+    return written(dealt.mapInPandas(build, "part binary, bytes long"), "index")
+
+
+def _found(searchers: Callable[[], Iterable[Searcher]], texts: list) -> list[list[dict]]:
+    """The hits of some texts in all parts of the index."""
+    out: list[list[dict]] = [[] for _ in texts]
+    for own in searchers():
+        for i in range(0, len(texts), 500):  # some hundred texts at a time, whatever the batch
+            for k, rows in enumerate(own.search(texts[i : i + 500]), i):
+                out[k] += [dict(zip(_NAMES, r)) for r in rows]
+    return out
+
+
+def hits_column(text: Column, items: DataFrame, similarity: float, id_col: str, text_col: str, answer_col: str | None) -> Column:
+    parts, path = index_parts(items, id_col, text_col, answer_col, similarity)
+    spark = items.sparkSession
+    if (parts.agg(F.sum("bytes")).first()[0] or 0) <= SENT_BYTES:
+        sent = spark.sparkContext.broadcast([bytes(r["part"]) for r in parts.select("part").collect()])  # SENT_BYTES at most
+
+        def searchers() -> Iterator[Searcher]:
+            if not _OPEN.get("of") == (path, similarity):
+                _OPEN.clear()
+                _OPEN.update(of=(path, similarity), searchers=[Searcher(pickle.loads(p), similarity) for p in sent.value])
+            yield from _OPEN["searchers"]
+    else:
+
+        def searchers() -> Iterator[Searcher]:
+            fs, root = pafs.FileSystem.from_uri(path)
+            for info in fs.get_file_info(pafs.FileSelector(root)):
+                if info.path.endswith(".parquet"):
+                    for batch in pq.ParquetFile(fs.open_input_file(info.path)).iter_batches(1, columns=["part"]):
+                        yield Searcher(pickle.loads(batch.column(0)[0].as_py()), similarity)
 
     @F.pandas_udf(HITS)
     def of(texts: pd.Series) -> pd.Series:
-        searcher = Searcher(sent.value, similarity)
-        names = ("item_id", "score", "overlap", "question_overlap", "answer_overlap")
-        texts = texts.tolist()
-        out = []
-        for i in range(0, len(texts), 500):  # some thousand words each, whatever the batch
-            out += [[dict(zip(names, r)) for r in rows] for rows in searcher.search(texts[i : i + 500])]
-        return pd.Series(out, dtype=object)
+        return pd.Series(_found(searchers, texts.tolist()), dtype=object)
 
     return of(text)
 
 
-def parts_of(items: DataFrame, id_col: str, text_col: str, answer_col: str | None):
-    """The test items in lists of at most PART_ITEMS rows and about PART_BYTES, in the order of their ids."""
-    answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), answer.alias("answer")).where("text IS NOT NULL")
-    part, size = [], 0
-    for r in rows.orderBy("id", "text").toLocalIterator():
-        part.append((r["id"], r["text"], r["answer"]))
-        size += 4 * (len(r["text"]) + len(r["answer"] or ""))
-        if len(part) >= PART_ITEMS or size >= PART_BYTES:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+#: The searchers of the index that a Python worker last met, kept for the next batch.
+_OPEN: dict = {}
 
 
 def with_hits(docs: DataFrame, items: DataFrame, similarity: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, out_col: str = "hits") -> DataFrame:
@@ -218,13 +320,11 @@ def with_hits(docs: DataFrame, items: DataFrame, similarity: float = 0.8, text_c
     An item is held if a passage has at least ``similarity`` of its five-word shingles,
     some of the question's and some of the answer's among them. Null and empty texts
     hold none; items without words are held by none; an item shorter than five words is
-    one shingle. Repeated items are separate items. Texts are read to their end.
+    one shingle. Repeated items are separate items, an item without an id is named null.
+    Texts are read to their end. Repeated documents give repeated rows, empty tables no
+    rows or no hits. Other columns stay; one named ``out_col`` is replaced.
     """
-    spark = docs.sparkSession
-    found = [hits_column(F.col(text_col), spark, build_index(part, similarity), similarity) for part in parts_of(items, item_col, item_text_col, answer_col)]
-    if not found:
-        return docs.withColumn(out_col, F.array().cast(HITS))
-    return docs.withColumn(out_col, F.concat(*found) if len(found) > 1 else found[0])
+    return docs.withColumn(out_col, hits_column(F.col(text_col), items, similarity, item_col, item_text_col, answer_col))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
