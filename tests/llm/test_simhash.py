@@ -163,10 +163,13 @@ def test_a_crowd_is_linked_by_its_original(spark, middle):
     assert [r["doc_id"] for r in kept.collect()] == [min(i for i, _ in rows)]
 
 
-@pytest.mark.parametrize("block", [1 << 18, 1 << 13])
-def test_crowds_by_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,hubs", [(1 << 18, 1000), (1 << 13, 5)])
+def test_crowds_by_brute_force(spark, monkeypatch, block, hubs):
     """Chains, pairs and lone texts of one crowd, whose links pass by all leads."""
+    from thermolith.llm import shared
+
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(shared, "HUBS", hubs)
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(504)]
     texts = [edited(rng, base, 0.11, f"x{i}") for i in range(60)]
@@ -180,6 +183,39 @@ def test_crowds_by_brute_force(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_twins_in_boilerplate(spark):
+    """Pairs of Jaccard similarity 0.83 that all share a long text (0.7 across pairs): none is lost in the crowd."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(420)]
+    rows = []
+    for i in range(40):
+        own = base + [f"o{i}_{k}" for k in range(85)]
+        for k in range(2):
+            twin = list(own)
+            twin[100 + 150 * k] = f"t{i}_{k}"
+            rows.append((2 * i + k, " ".join(twin)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(like(sets[2 * i], sets[2 * i + 1]) >= 0.8 for i in range(40)) and max(like(sets[0], s) for s in sets[2:]) < 0.8
+    kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 80, 2))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at a similarity of 0.8 to 0.83, among others: all but 1 % are found (a pair at 0.8 is missed with probability 0.002)."""
+    rng = random.Random(8)
+    rows, near = [], 0
+    for i in range(250):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(200)]
+        own = edited(rng, base, 0.095, f"x{i}")
+        a, b = (set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in (base, own))
+        near += len(a & b) >= 0.8 * len(a | b)
+        assert 0.8 <= len(a & b) / len(a | b) < 0.85
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(own))]
+    kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert near == 250 and 250 <= kept <= 252
+
+
 def test_near_copies_odd_rows(odd_docs, no_docs):
     out = simhash.without_near_copies(odd_docs)
     assert out.columns == odd_docs.columns

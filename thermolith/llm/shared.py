@@ -102,6 +102,25 @@ def joined_with_hubs(rows: DataFrame, one: DataFrame, key: str, total: int) -> D
     return rows.join(hubs, key).unionByName(rows.join(hubs.select(key), key, "left_anti").join(one.where(~hub).drop("n"), key)).select(*rows.columns, *names)
 
 
+def joined_salted(rows: DataFrame, one: DataFrame, key: str, by: str, hubs: DataFrame) -> DataFrame:
+    """``rows`` joined with ``one`` (each key once, rows of any size) on ``key``; the rows of a hub
+    are dealt over several tasks by ``by``, each of which gets its row of ``one``.
+
+    ``hubs``: (key, copies) from :func:`hub_copies`, which is all that is sent to all tasks.
+    """
+    few = F.broadcast(hubs.select(F.col(key).alias("__hub"), "copies"))
+    left = rows.join(few, rows[key] == F.col("__hub"), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("copies")), F.lit(0).cast("long"))).drop("__hub", "copies")
+    right = one.join(few, one[key] == F.col("__hub"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("copies"), F.lit(1).cast("long")) - 1))).drop("__hub", "copies")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
+def hub_copies(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, copies): keys of over one in HUBS of the ``total`` rows, fewer than HUBS, and in how many parts
+    of about so many rows each is dealt."""
+    counted = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * HUBS > F.lit(total))
+    return counted.select(key, F.ceil(F.col("n") * HUBS / F.lit(max(1, total))).cast("long").alias("copies")).limit(HUBS)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the
     smallest node reachable.

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, connected_components, joined_with_hubs, written
+from .shared import Scratch, connected_components, hub_copies, joined_salted, joined_with_hubs, written
 
 BLOCKS = 32
 GROUPS, KEPT = 5, 3
@@ -248,33 +248,38 @@ def _linked(crowd: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _links_in_crowds(crowds: DataFrame, similarity: float, tmp: Scratch) -> DataFrame:
-    """Pairs (a, b) of components of ``crowds`` (fp, rep, component, s) such that with
+def _links_in_crowds(placed: DataFrame, sets: DataFrame, similarity: float, tmp: Scratch) -> DataFrame:
+    """Pairs (a, b) of components of ``placed`` (fp, rep, component, own) such that with
     them every two texts of one ``fp`` that are ``similarity`` alike are in one component.
+    ``sets`` (rep, s) has the texts' shingles, ``own`` is their number.
 
     Only texts of different components are compared. A crowd is dealt into blocks of
     bounded size, and each two blocks are one task, so no task grows with the crowd and
     no pair of texts is ever a row. A large component has blocks of its own, which are
-    not held against one another.
+    not held against one another. Crowds and components are hubs while their rows are
+    narrow; the shingles join last, by text.
     """
-    mixed = crowds.groupBy("fp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("fp")
-    open_ = tmp.written(crowds.join(mixed, "fp", "left_semi"), "crowds")
-    kin = open_.groupBy("fp", "component").agg(F.sum(F.size("s") + F.lit(ROW)).alias("own"))
-    pool = kin.where(F.col("own") < BLOCK).groupBy("fp").agg(F.sum("own").alias("pooled"))
+    mixed = placed.groupBy("fp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("fp", "n")
+    open_ = tmp.written(joined_with_hubs(placed, mixed, "fp", placed.count()), "crowds").withColumn("kin", F.struct("fp", "component"))
+    kin = open_.groupBy("kin", "fp", "component").agg(F.sum(F.col("own") + F.lit(ROW)).alias("size"), F.count("*").alias("rows"))
+    kin = tmp.written(kin, "kin")
+    pool = kin.groupBy("fp").agg(F.sum(F.when(F.col("size") < BLOCK, F.col("size"))).alias("pooled"), F.count("*").alias("n"))
+    sized = joined_with_hubs(kin, pool, "fp", max(1, kin.count())).select("kin", "size", "pooled", F.col("rows").alias("n"))
     parts = lambda c: F.ceil(F.col(c) / F.lit(BLOCK))
-    large = F.col("own") >= BLOCK
+    large = F.col("size") >= BLOCK
     block = F.struct(
         F.when(large, F.array("component")).otherwise(F.slice(F.array("component"), 1, 0)).alias("of"),
-        F.when(large, F.pmod(F.xxhash64("rep"), parts("own"))).otherwise(F.pmod(F.xxhash64("component"), parts("pooled"))).alias("nth"),
+        F.when(large, F.pmod(F.xxhash64("rep"), parts("size"))).otherwise(F.pmod(F.xxhash64("component"), parts("pooled"))).alias("nth"),
     )
-    dealt = tmp.written(open_.join(kin, ["fp", "component"]).join(pool, "fp", "left").select("fp", "component", "s", block.alias("block")), "blocks")
+    dealt = joined_with_hubs(open_, tmp.written(sized, "sized"), "kin", max(1, open_.count()))
+    dealt = tmp.written(dealt.select("fp", "rep", "component", block.alias("block")), "blocks")
     blocks = dealt.select("fp", "block").distinct()
     x, y = blocks.select("fp", F.col("block").alias("x")), blocks.select("fp", F.col("block").alias("y"))
     two = x.join(y, "fp").where((F.col("x") <= F.col("y")) & ((F.size("x.of") == 0) | (F.col("x.of") != F.col("y.of")))).withColumn("task", F.xxhash64("fp", "x", "y"))
     one = F.col("x") == F.col("y")
     sides = two.select("fp", "task", F.explode(F.when(one, F.array(F.struct(F.col("x").alias("block"), F.lit(3).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y").alias("block"), F.lit(2).alias("side"))))).alias("e"))
-    compared = dealt.join(sides.select("fp", "task", "e.block", "e.side"), ["fp", "block"]).select("task", "component", "s", "side")
-    kind = crowds.schema["component"].dataType.simpleString()
+    compared = dealt.join(sides.select("fp", "task", "e.block", "e.side"), ["fp", "block"]).select("task", "rep", "component", "side").join(sets, "rep").drop("rep")
+    kind = placed.schema["component"].dataType.simpleString()
     return compared.groupBy("task").applyInPandas(lambda crowd: _linked(crowd, similarity), f"a {kind}, b {kind}")
 
 
@@ -325,31 +330,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal = joined_with_hubs(whole, shared, "fp", max(1, shared.agg(F.sum("n")).first()[0] or 1)).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
 
     viewed = texts.select(F.col("key").alias("rep"), F.explode(F.slice("prints", 2, views)).alias("fp"))
-    orders = [F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("at"), F.col("rep").alias("rep")))["rep"].alias(f"h{i}") for i in range(3)]
-    buckets = viewed.groupBy("fp").agg(F.count("*").alias("n"), *orders).where("n > 1")
-    members = tmp.written(viewed.join(buckets, "fp"), "views")
+    buckets = viewed.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+    members = tmp.written(viewed.join(buckets, "fp"), "views")  # texts that share a view: few of all
     few = members.where(F.col("n") <= bucket_cap)
     inside = few.select("fp", F.col("rep").alias("a")).join(few.select("fp", F.col("rep").alias("b")), "fp").where("a < b").select("a", "b")
     many = members.where(F.col("n") > bucket_cap)
-    led = many.select(F.col("rep").alias("a"), F.explode(F.array("h0", "h1", "h2")).alias("b"))
     company = many.groupBy("rep").agg(F.sum("n").alias("company"))
-    middle = many.select("fp", "rep").join(company, "rep").groupBy("fp").agg(F.max(F.struct("company", "rep"))["rep"].alias("b"))
-    centred = many.select("fp", F.col("rep").alias("a")).join(middle, "fp").select("a", "b")
-    pairs = near.unionByName(equal).unionByName(inside).unionByName(led).unionByName(centred).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    orders = [F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("at"), F.col("rep").alias("rep")))["rep"].alias(f"h{i}") for i in range(3)]
+    leads = many.join(company, "rep").groupBy("fp").agg(*orders, F.max(F.struct("company", "rep"))["rep"].alias("h3"), F.first("n").alias("n"))
+    leads = tmp.written(leads.select("fp", F.array("h0", "h1", "h2", "h3").alias("leads"), "n"), "leads")
+    crowded = max(1, leads.agg(F.sum("n")).first()[0] or 1)
+    led = joined_with_hubs(many.select("fp", F.col("rep").alias("a")), leads, "fp", crowded).select("a", F.explode("leads").alias("b"))
+    pairs = near.unionByName(equal).unionByName(inside).unionByName(led).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = tmp.written(pairs, "pairs")
 
     # The sets of each text once: its row of the smallest id.
     involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "low"), "key")
     first = rows.join(involved.select(F.col("low").alias("id"), F.col("key").alias("wanted")).hint("merge"), "id").where("key = wanted").select("key", "text")
     sets = tmp.written(first.select(F.col("key").alias("rep"), set_of("text").alias("s")).dropDuplicates(["rep"]), "sets")
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    n_pairs = pairs.count()
+    by_a, by_b = (tmp.written(hub_copies(pairs, c, n_pairs), "hubs") for c in ("a", "b"))
+    both = joined_salted(pairs, sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a", "b", by_a)
+    both = joined_salted(both, sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b", "a", by_b)
     common = F.size(F.array_intersect("sa", "sb"))
     alike = F.when(F.size("sa") + F.size("sb") == 0, F.lit(True)).otherwise(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9)
     parts = tmp.written(connected_components(both.where(alike).select("a", "b")), "parts")
 
-    placed = many.select("fp", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    crowds = placed.join(sets, "rep")
-    merged = tmp.written(connected_components(_links_in_crowds(crowds, similarity, tmp)).select(F.col("node").alias("component"), F.col("component").alias("group")), "merged")
+    apart = many.select("fp", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart = tmp.written(apart.join(sets.select("rep", F.size("s").alias("own")), "rep"), "placed")
+    merged = tmp.written(connected_components(_links_in_crowds(apart, sets, similarity, tmp)).select(F.col("node").alias("component"), F.col("component").alias("group")), "merged")
     alone = merged.select(F.col("component").alias("node")).join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
     linked = parts.unionByName(alone).join(merged, "component", "left").select(F.col("node").alias("key"), F.coalesce("group", "component").alias("part"))
 
