@@ -163,26 +163,108 @@ def test_pieces_odd_rows(odd_docs, no_docs):
 # Locally consistent parsing ----------------------------------------------------------------
 
 
+MASK = 2**64 - 1
+
+
+def mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
+
+
+def tossed(x, before):
+    """Twice the place of the lowest differing bit, plus x's bit there."""
+    place = next(i for i in range(64) if (x ^ before) >> i & 1)
+    return 2 * place + (x >> place & 1)
+
+
+def plain_level(symbols):
+    """Names of the next level, one symbol at a time: runs, three rounds of coins, a phrase at each inner local maximum."""
+    runs = []
+    for x in symbols:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    label = [x for x, _ in runs]
+    for _ in range(3):
+        label = [tossed(x, label[i - 1] if i else x ^ 1) for i, x in enumerate(label)]
+    starts = [0] + [i for i in range(2, len(runs) - 1) if label[i - 1] < label[i] > label[i + 1]]
+    names = []
+    for a, b in zip(starts, starts[1:] + [len(runs)]):
+        total, power = 0, 1
+        for x, times in runs[a:b]:
+            power = power * 0x9E3779B97F4A7C15 & MASK
+            term = x + (times << 32) & MASK
+            term = (term ^ (term >> 29)) * 0xBF58476D1CE4E5B9 & MASK
+            total = total + (term ^ (term >> 32)) * power & MASK
+        names.append(mixed(total + (b - a) & MASK))
+    return names
+
+
+def plain_fingerprint(text):
+    symbols, level, low = [ord(c) for c in text], 0, [None] * lcp.BINS
+    while symbols:
+        symbols, level = plain_level(symbols), level + 1
+        for x in symbols if level >= lcp.FIRST_LEVEL or len(symbols) == 1 else ():
+            name = mixed(x ^ level)
+            k = name % lcp.BINS
+            low[k] = name >> 32 if low[k] is None else min(low[k], name >> 32)
+        if len(symbols) == 1:
+            break
+    return "".join("----" if x is None else f"{x & 0xFFFF:04x}" for x in low)
+
+
+def alike(a, b):
+    pairs = [(a[i : i + 4], b[i : i + 4]) for i in range(0, len(a), 4)]
+    either = [p for p in pairs if p != ("----", "----")]
+    return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+
+def compared_plainly(rows):
+    """The rows of the contract for (id, text) in the order of descending ids."""
+    out = {}
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+        k = len(t) // 3
+        want = t[: len(t) - k] + n[:k]
+        mine, edit, after = map(plain_fingerprint, (t, want, n))
+        out[i] = (len(t), hashlib.sha256(want.encode()).hexdigest(), mine, edit, alike(mine, edit), alike(mine, after))
+    return out
+
+
+def test_rows_of_the_lcp_query_by_brute_force(spark, folder):
+    from thermolith.llm import queries
+
+    docs = [(r["doc_id"], r["text"] or "") for r in table(spark, folder, "documents").select("doc_id", "text").collect()]
+    want = compared_plainly(sorted(docs, reverse=True))
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op8_locally_consistent(spark, folder).collect()}
+    assert got == want
+
+
 def test_edit_and_order(spark, odd_docs, no_docs):
     docs = odd_docs.select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    texts = [r["text"] or "" for r in docs.orderBy(F.col("doc_id").desc()).collect()]
-    ids = [r["doc_id"] for r in docs.orderBy(F.col("doc_id").desc()).collect()]
-    for buckets in (1, 3, 20):
-        got = {r["doc_id"]: r for r in lcp.compare_with_next(docs, buckets=buckets).collect()}
-        assert len(got) == len(ids)
-        for i, t, n in zip(ids, texts, texts[1:] + texts[:1]):
-            k = len(t) // 3
-            want = t[: len(t) - k] + n[:k]
-            assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(want.encode()).hexdigest()
-            mine = lcp.sketches([t, want, n])
-            assert [got[i]["fingerprint"], got[i]["edited_fingerprint"]] == [lcp.as_text(x) for x in mine[:2]]
-            assert got[i]["near_edited"] == lcp.likeness(mine[:1], mine[1:2])[0] and got[i]["near_next"] == lcp.likeness(mine[:1], mine[2:])[0]
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.orderBy(F.col("doc_id").desc()).collect()]
+    want = compared_plainly(rows)
+    for partitions in (1, 3, 20):
+        got = {r["doc_id"]: tuple(r)[1:] for r in lcp.compare_with_next(docs, partitions=partitions).collect()}
+        assert got == want
     assert lcp.compare_with_next(odd_docs).count() == odd_docs.count()
     assert lcp.compare_with_next(no_docs).count() == 0
     one = lcp.compare_with_next(docs.where("doc_id = 4")).first()
     assert one["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_without_an_id_and_repeated_ids_are_spread(spark, key):
+    texts = [f"text number {i} of them all" for i in range(300)] + ["the same"] * 300
+    docs = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string").repartition(8)
+    out = lcp.compare_with_next(docs, partitions=8)
+    assert out.count() == 600 and out.where("doc_id IS NULL").count() == (600 if key is None else 0)
+    assert out.where("fingerprint IS NULL OR near_next IS NULL").count() == 0
+    same = out.where(F.col("n_chars") == 8).select("near_next").collect()
+    assert len(same) == 300 and sum(r[0] == 1.0 for r in same) >= 299  # copies follow one another
+
+
 def test_phrases_do_not_depend_on_offset():
     rng = random.Random(8)
     body = "".join(rng.choice("abcdefghij klmnop") for _ in range(4000))

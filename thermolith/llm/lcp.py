@@ -21,9 +21,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 ROUNDS = 3
 #: Phrases of this level and above (about ten characters and more) count; and the name of a whole text.
 FIRST_LEVEL = 2
@@ -180,85 +183,85 @@ def edited(text: str, following: str) -> str:
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Bytes of text in a partition, about.
+PARTITION_BYTES = 64 << 20
+
+
+def _compared(ids: list, texts: list[str], nexts: list[str]) -> pd.DataFrame:
+    """Rows of OUT for texts whose next is known; a next that is also the following text is parsed once."""
+    changed = [edited(t, n) for t, n in zip(texts, nexts)]
+    chained = [i + 1 < len(texts) and nexts[i] is texts[i + 1] for i in range(len(texts))]
+    mine = sketches(texts + [n for n, c in zip(nexts, chained) if not c])
+    extra = iter(range(len(texts), len(mine)))
+    place = [i + 1 if c else next(extra) for i, c in enumerate(chained)]
+    own, following, edit = mine[: len(texts)], mine[place], sketches(changed)
+    return pd.DataFrame({
+        "doc_id": pd.array(ids, dtype="Int64"), "n_chars": [len(t) for t in texts],
+        "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
+        "fingerprint": [as_text(s) for s in own], "edited_fingerprint": [as_text(s) for s in edit],
+        "near_edited": likeness(own, edit), "near_next": likeness(own, following),
+    })
+
+
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """One row per row of ``docs`` in the columns of ``OUT``.
 
+    The next document is that of the next smaller id (after the last: the first). Equal
+    ids follow in the order of their texts' hashes; null ids come last. A null text is
+    empty; the next document of the only one is itself. Fingerprints of empty texts are
+    all ``----``. Repeated rows give repeated rows; other columns aren't read.
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """(bucket, id, tie, text, own) such that, inside a bucket, each row with ``own`` is
-    followed by the next document in descending id order (the first after the last).
-
-    Buckets are ranges of ids; the first row of each is sent to the one before it as
-    well. Of the table itself the driver gets the bounds and first ids only, a few for
-    each bucket. Equal ids follow in the order of their texts' hashes; null ids come last.
+    Texts are dealt once, by ranges of (id, hash of the text, partition that it was read in), so
+    rows that repeat an id, or have none, go to as many tasks as it takes. Of each partition
+    only the last row lacks its next; it is compared with the first text of the following one
+    afterwards. The driver gets the numbers of the partitions that have rows, and no ids or texts.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low = keyed.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(low), reverse=True)
-    bucket = F.lit(0)
-    if bounds:  # the number of bounds over the id: ids at a bound or above it come before it
-        bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b > F.col("id"))), F.lit(len(bounds) + 1))
-    rows = keyed.withColumn("bucket", bucket.cast("int"))
-    heads = sorted(((r["bucket"], r["top"]) for r in rows.groupBy("bucket").agg(F.max("id").alias("top")).collect()), key=lambda r: r[0])
-    full = [b for b, _ in heads]
-    pairs = [(full[i - 1], b, top) for i, (b, top) in enumerate(heads)]  # to, from, id; the first goes to the last
-    tops = F.create_map(*[x for to, b, top in pairs for x in (F.lit(b), F.struct(F.lit(to).alias("to"), F.lit(top).cast("long").alias("top")))]) if pairs else None
-    if tops is None:
-        return rows.select("bucket", "id", F.lit(0).cast("long").alias("tie"), "text", F.lit(True).alias("own"))
-    at = F.element_at(tops, F.col("bucket"))
-    is_first = F.col("id").eqNullSafe(at["top"])
-    places = F.when(is_first, F.array(F.struct(F.col("bucket").alias("to"), F.lit(True).alias("own")), F.struct(at["to"].alias("to"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("bucket").alias("to"), F.lit(True).alias("own"))))
-    spread = rows.withColumn("place", F.explode(places))
-    return spread.select(F.col("place.to").alias("bucket"), "id", F.xxhash64("text").alias("tie"), "text", F.col("place.own").alias("own"))
-
-
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """One row per row of ``docs`` in the columns of ``OUT``.
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.spark_partition_id().alias("part")).withColumn("tie", F.xxhash64("text"))
+    if partitions is None:
+        size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(64))).first()[0] or 0
+        partitions = max(spark.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))
 
-    A null text is empty; the next document of the only one is itself. Fingerprints of
-    empty texts are all ``----``. Repeated rows, equal ids and null ids keep their rows:
-    see :func:`with_next`. Where ids repeat, every row of a bucket's top id is sent on,
-    and the first of them in order is the one used.
-    """
     def of(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = TaskContext.get().partitionId()
         held: list[tuple] = []  # rows whose next is known: (id, text, next)
         chars, last = 0, None
 
-        def flush():
-            ids, texts, nexts = ([h[i] for h in held] for i in range(3))
-            changed = [edited(t, n) for t, n in zip(texts, nexts)]
-            chain = texts + [n for i, n in enumerate(nexts) if i + 1 == len(texts) or n is not texts[i + 1]]
-            mine = sketches(chain)
-            place, extra = [], len(texts)
-            for i in range(len(texts)):
-                if i + 1 == len(texts) or nexts[i] is not texts[i + 1]:
-                    place.append(extra)
-                    extra += 1
-                else:
-                    place.append(i + 1)
-            own_sketch, next_sketch, edit_sketch = mine[: len(texts)], mine[place], sketches(changed)
-            return pd.DataFrame({
-                "doc_id": pd.array(ids, dtype="Int64"), "n_chars": [len(t) for t in texts],
-                "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
-                "fingerprint": [as_text(s) for s in own_sketch], "edited_fingerprint": [as_text(s) for s in edit_sketch],
-                "near_edited": likeness(own_sketch, edit_sketch), "near_next": likeness(own_sketch, next_sketch),
-            })
+        def end(kind: str, i, text: str) -> pd.DataFrame:
+            return pd.DataFrame({c: pd.Series([{"doc_id": i, "place": place, "end": kind, "text": text}.get(c)], dtype=object) for c in columns})
+
+        def between() -> pd.DataFrame:
+            made = _compared(*map(list, zip(*held)))
+            return made.assign(**{c: pd.Series([None] * len(made), dtype=object) for c in columns[-3:]})
 
         for frame in frames:
-            for b, i, text, mine in zip(frame["bucket"], frame["id"], frame["text"], frame["own"]):
+            for i, text in zip(frame["id"], frame["text"]):
                 i = None if pd.isna(i) else int(i)
-                if last is not None and last[0] == b and last[3]:
-                    held.append((last[1], last[2], text))
-                    chars += len(last[2])
+                if last is None:
+                    yield end("head", i, text)
+                else:
+                    held.append((*last, text))
+                    chars += len(last[1])
                     if chars >= BATCH_CHARS:
-                        yield flush()
+                        yield between()
                         held, chars = [], 0
-                last = (b, i, text, mine)
+                last = (i, text)
         if held:
-            yield flush()
+            yield between()
+        if last is not None:
+            yield end("tail", *last)
 
-    rows = with_next(docs, id_col, text_col, buckets)
-    n = buckets or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Rows sent on come after a bucket's own.
-    ordered = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("own").desc(), F.col("id").desc_nulls_last(), "tie", "text")
-    return ordered.mapInPandas(of, OUT)
+    def pairs(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield _compared([None if pd.isna(i) else int(i) for i in frame["doc_id"]], frame["text"].tolist(), frame["next"].tolist())
+
+    columns = [c.split()[0] for c in OUT.split(", ")] + ["place", "end", "text"]
+    order = [F.col("id").desc_nulls_last(), F.col("tie"), F.col("part")]
+    dealt = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select("id", "text")
+    found, _ = written(dealt.mapInPandas(of, f"{OUT}, place int, end string, text string"), "compared")
+    heads = found.where("end = 'head'").select(F.col("place").alias("following"), F.col("text").alias("next"))
+    tails = found.where("end = 'tail'").select("doc_id", "place", "text")
+    filled = sorted(r["place"] for r in tails.select("place").collect())  # as many as partitions
+    after = spark.createDataFrame(list(zip(filled, filled[1:] + filled[:1])), "place int, following int")
+    return found.where("end IS NULL").select(*columns[:-3]).unionByName(tails.join(after, "place").join(heads, "following").select("doc_id", "text", "next").mapInPandas(pairs, OUT))
