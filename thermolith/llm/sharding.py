@@ -7,12 +7,14 @@ continues clockwise to the next shard that has room. The bounds add up to the nu
 of rows (the first shards take the remainder), so every shard is full in the end and
 counts differ by one at most.
 
-Only counts by cell and sub-cell are brought to the driver: ``CELLS * SUBS`` numbers at
-most, however many rows there are. Which rows of a cell a shard takes is a range of
+Only counts by cell and sub-cell are brought to the driver: ``CELLS * SUBS`` numbers and
+``HOT * SPLITS`` more at most, however many rows there are. Which rows of a cell a shard takes is a range of
 their order inside the cell, so the placement is a table of ranges with that same
 bound, and it joins back by cell. The order inside a cell is (sub-cell, id, checksum);
-sub-cells come from the text's checksum, so rows that share an id, or have none, are
-ordered by several tasks.
+sub-cells come from the text's checksum, so rows that share an id are ordered by several
+tasks. Rows without an id lie in the cell that their checksum names. A sub-cell of over one in ``HOT`` of the
+rows, such as one of equal rows, is ordered by as many as ``SPLITS`` tasks: the rows' keys are written once, with
+the number of the partition that each was read in, and such a sub-cell is split by it.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from .shared import written
+
 CELLS = 8192
 SUBS = 8
+HOT, SPLITS = 1000, 64
 
 
 def ring(shards: int, vnodes: int) -> tuple[list[int], list[int]]:
@@ -100,31 +105,41 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Size is the text's UTF-8 bytes plus 16, and a null text has none and checksum 0.
     Rows with a null id, and repeated rows, are placed like any other. An empty table
-    gives an empty result. Slots count from 0 in each shard without gaps.
+    gives an empty result. Slots count from 0 in each shard without gaps. Other columns aren't read.
     """
-    sized = docs.select(
-        F.col(id_col).alias("id"),
-        (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-    ).withColumn("cell", cell_of(F.col("id"))).withColumn("sub", F.pmod(F.col("text_crc32"), F.lit(SUBS)).cast("int"))
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    sized, _ = written(docs.select(
+        F.col(id_col).alias("id"), (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 16).cast("long").alias("size"), crc.alias("text_crc32"),
+        F.pmod(F.spark_partition_id(), F.lit(SPLITS)).alias("part"),
+    ), "keys")
+    cell = F.when(F.col("id").isNull(), cell_of(F.col("text_crc32"))).otherwise(cell_of(F.col("id")))
+    sized = sized.withColumn("cell", cell).withColumn("sub", F.pmod(F.col("text_crc32"), F.lit(SUBS)).cast("int"))
 
     counted = sized.groupBy("cell", "sub").count().collect()  # CELLS * SUBS rows at most
+    total = sum(r["count"] for r in counted)
+    hot = [r["cell"] * SUBS + r["sub"] for r in counted if r["count"] * HOT > total]  # fewer than HOT
+    split = F.when((F.col("cell") * SUBS + F.col("sub")).isin(hot), F.col("part")).otherwise(F.lit(0)) if hot else F.lit(0)
+    sized = sized.withColumn("split", split)
+    held = {(r["cell"], r["sub"], 0): r["count"] for r in counted if r["cell"] * SUBS + r["sub"] not in set(hot)}
+    if hot:
+        parts = sized.where((F.col("cell") * SUBS + F.col("sub")).isin(hot)).groupBy("cell", "sub", "split").count().collect()  # HOT * SPLITS rows at most
+        held |= {(r["cell"], r["sub"], r["split"]): r["count"] for r in parts}
     whole: dict[int, int] = defaultdict(int)
     starts = []
-    for r in sorted(counted):
-        starts.append((r["cell"], r["sub"], whole[r["cell"]]))
-        whole[r["cell"]] += r["count"]
+    for (c, sub, part), n in sorted(held.items()):
+        starts.append((c, sub, part, whole[c]))
+        whole[c] += n
     base = [0] * shards
     ranges = []
     for cell, lo, hi, shard in place(whole, shards, vnodes):
         ranges.append((cell, lo, hi, shard, base[shard]))
         base[shard] += hi - lo
 
-    start = _literal_table(docs, "s", starts, "cell int, sub int, start long")
+    start = _literal_table(docs, "s", starts, "cell int, sub int, split int, start long")
     where = _literal_table(docs, "w", ranges, "cell int, lo long, hi long, shard int, base long")
-    order = Window.partitionBy("cell", "sub").orderBy("id", "text_crc32", "size")
+    order = Window.partitionBy("cell", "sub", "split").orderBy("id", "text_crc32", "size")
     ranked = sized.withColumn("nth", F.row_number().over(order) - 1)
-    ranked = ranked.join(F.broadcast(start), ["cell", "sub"]).withColumn("rank", F.col("start") + F.col("nth"))
+    ranked = ranked.join(F.broadcast(start), ["cell", "sub", "split"]).withColumn("rank", F.col("start") + F.col("nth"))
     placed = ranked.join(F.broadcast(where), (ranked["cell"] == where["cell"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard",
