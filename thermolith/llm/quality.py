@@ -5,6 +5,10 @@ text of the good kind packs smaller with the first. The difference of the two si
 normalised by the text's length, is the main feature; a logistic calibration turns it,
 with how far the text packs at all (which shows repetition), into a probability. The
 calibration is fitted on labelled rows that the dictionaries have not seen.
+
+Long texts are packed in pieces of ``PIECE`` bytes, each from the dictionary alone, and the
+sizes added up: in one go, what comes late would be packed by the text before it, and a
+text would be judged by its opening.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from .shared import fresh
 DICTIONARY_ROWS, CALIBRATION_ROWS, LONGEST_SAMPLE = 1200, 2400, 20_000
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
+#: Bytes packed from the dictionary alone.
+PIECE = 8192
 
 
 @dataclass
@@ -52,7 +58,7 @@ class Scorer:
         out = []
         for t in texts:
             data = (t or "").encode("utf-8", "surrogatepass")
-            good, bad = (len(p.compress(data)) for p in self.packers)
+            good, bad = (sum(len(p.compress(data[i : i + PIECE])) for i in range(0, max(1, len(data)), PIECE)) for p in self.packers)
             n = len(data) + 1
             share = np.log((good + bad) / (2 * n))
             out.append((((bad - good) / n), (bad - good) / (bad + good) * np.log(n), share, share * np.log(n)))
@@ -135,8 +141,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """``docs`` plus ``held_out``, ``score`` and ``predicted`` (1 if the score is 0.5 or more).
 
     Fitted on ``labels`` (id, label) by :func:`training_rows`. Rows with a null id are
-    scored and not held out; repeated rows are scored alike; without usable labels the
-    score is the constant that they leave.
+    scored and not held out; repeated rows are scored alike; a null text scores as an empty one;
+    without usable labels the score is the constant that they leave. An empty table gives
+    no rows. Other columns stay; those named ``held_out``, ``score`` or ``predicted`` are replaced.
     """
     model = fit(training_rows(docs, labels, id_col, text_col, label_col))
     scored = score(docs.withColumn("held_out", held_out(F.col(id_col))), model, text_col)
