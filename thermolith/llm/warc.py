@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, written
+from .shared import drop_path, new_path, written
 
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -351,12 +351,20 @@ def round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     A null html is an empty payload. A page whose id is null is written and read as one
     with no id. Rows that repeat an id with an equal payload are all responses if that
     id is the smallest. An empty table gives no rows. Columns beyond these three are
-    not read.
+    not read. A gap in an archive that was just written, or a record too few, is an error that
+    names the gaps; the archives are dropped once they were read.
     """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
-    records = read_archives(write_archives(deduplicated(pages, least_bytes=least_bytes), folder), keep_payload=False)
+    manifest = write_archives(deduplicated(pages, least_bytes=least_bytes), folder)
+    records, _ = written(read_archives(manifest, keep_payload=False), "records")
+    gaps = records.where("kind = 'gap'")
+    wrote, read = manifest.agg(F.sum("records")).first()[0] or 0, records.where("kind <> 'gap'").count()
+    if wrote != read or not gaps.isEmpty():
+        lost = gaps.select("archive", "offset", "length", "reason").orderBy("archive", "offset").take(10)
+        raise ValueError(f"{wrote} records were written and {read} read back; the first gaps: {[tuple(r) for r in lost]}")
     number = lambda c: F.when(page_number(F.col(c)) != "", page_number(F.col(c)).cast("long"))
-    return records.where("kind <> 'gap'").select(
+    drop_path(spark, folder)
+    return records.select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"),
     )
