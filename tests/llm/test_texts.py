@@ -46,6 +46,47 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     assert quality.classify(no_docs, labels).count() == 0
 
 
+def test_scores_of_the_query_by_brute_force(spark):
+    """Every score again from the fitted dictionaries and weights, by plain calls of the compressor."""
+    import math
+
+    import zstandard
+
+    from thermolith.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.fit(quality.training_rows(docs.select("doc_id", "text"), labels, "doc_id", "text", "quality"))
+    got = {r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in queries.op4_compression_quality(spark, folder).collect()}
+
+    def packed(data, book):
+        pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(book), write_content_size=False, write_checksum=False)
+        return sum(len(pack.compress(data[i : i + 8192])) for i in range(0, max(1, len(data)), 8192))
+
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        data = (r["text"] or "").encode()
+        good, bad, n = packed(data, model.good), packed(data, model.bad), len(data) + 1
+        share = math.log((good + bad) / 2 / n)
+        x = [(bad - good) / n, (bad - good) / (bad + good) * math.log(n), share, share * math.log(n)]
+        z = model.weights[4] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale))
+        score = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        held, mine, predicted = got[r["doc_id"]]
+        assert held == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and abs(mine - score) < 1e-9 and predicted == (mine >= 0.5)
+
+
+def test_a_late_bad_part_counts_like_an_early_one(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id")
+    rows = labels.select("quality", "text").collect()
+    good, bad = (" ".join(r["text"] for r in rows if r["quality"] == k and 200 < len(r["text"]) < 4000) for k in (1, 0))
+    model = quality.fit(quality.training_rows(docs, table(spark, folder, "labels"), "doc_id", "text", "quality"))
+    mixed = spark.createDataFrame([(i, t) for i, t in enumerate([good[:8192] + bad[:24576], bad[:24576] + good[:8192]])], "doc_id long, text string")
+    a, b = (r["score"] for r in quality.score(mixed, model).orderBy("doc_id").collect())
+    assert abs(a - b) < 0.2
+
+
 # Pieces ------------------------------------------------------------------------------------
 
 ALPHABET = "abcdehinorstuáé 日本▁<>0123456789  \n\t(){}_-.,🤗"
@@ -437,24 +478,60 @@ def test_preference_pairs(spark):
     assert preference.format_pairs(chosen.where("false"), rejected.where("false")).count() == 0
 
 
-def test_partners(spark, folder):
-    turns = table(spark, folder, "conversations")
-    out = preference.format_pairs(*preference.partner_pairs(turns)).collect()
+def plain_pair(own, bad):
+    """Prompt, completions, numbers of turns and masks of two lists of (turn, role, text)."""
+    import re
+
+    esc = lambda t: re.sub(r"<(\\*)\|", lambda m: "<" + m[1] + "\\|", t or "")
+    piece = lambda t: f"<|{esc(t[1])}|>\n{esc(t[2])}\n<|end|>\n"
+    n = 0
+    while n < min(len(own), len(bad)) and own[n][1:] == bad[n][1:]:
+        n += 1
+    prompt = "".join(map(piece, own[:n]))
+
+    def mask(turns):
+        at, out = len(prompt), []
+        for t in turns[n:]:
+            if t[1] == "assistant":
+                out.append((at + len(f"<|{esc(t[1])}|>\n"), at + len(piece(t))))
+            at += len(piece(t))
+        return out
+
+    return prompt, "".join(map(piece, own[n:])), "".join(map(piece, bad[n:])), n, len(own) - n, len(bad) - n, mask(own), mask(bad)
+
+
+def test_rows_of_the_preference_query_by_brute_force(spark):
+    from thermolith.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    out = {r["conv_id"]: (*tuple(r)[1:7], *([tuple(x) for x in r[m]] for m in ("chosen_mask", "rejected_mask"))) for r in queries.op10_preference_pairs(spark, folder).collect()}
     by = {}
-    for r in turns.collect():
-        by.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"]))
-    assert {r["pair_id"] for r in out} == set(by)
-    piece = lambda t: f"<|{t[1]}|>\n{t[2]}\n<|end|>\n"
-    for r in out:
-        own = sorted(by[r["pair_id"]])
-        other = sorted(by.get(r["pair_id"] ^ 1, []))
-        last = max((i for i, t in enumerate(own) if t[1] == "assistant"), default=None)
+    for r in table(spark, folder, "conversations").collect():
+        by.setdefault(r["conv_id"], set()).add((r["turn"], r["role"], r["text"]))
+    want = {}
+    for i, turns in by.items():
+        own, other = sorted(turns), sorted(by.get(i ^ 1, ()))
+        last = max((k for k, t in enumerate(own) if t[1] == "assistant"), default=None)
         reply = next((t[2] for t in reversed(other) if t[1] == "assistant"), None)
-        bad = [(t[0], t[1], reply) if i == last else t for i, t in enumerate(own) if i != last or reply is not None]
-        n = 0
-        while n < min(len(own), len(bad)) and own[n][1:] == bad[n][1:]:
-            n += 1
-        assert r["prompt"] == "".join(map(piece, own[:n])) and r["chosen"] == "".join(map(piece, own[n:])) and r["rejected"] == "".join(map(piece, bad[n:]))
+        want[i] = plain_pair(own, [(t[0], t[1], reply) if k == last else t for k, t in enumerate(own) if k != last or reply is not None])
+    assert out == want
+
+
+def test_preference_odd_rows(spark):
+    kind = "pair_id long, turn long, role string, text string, side int, t string"
+    rng = random.Random(3)
+    rows = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "b"), (2, None, "user", None), (2, 0, None, "x<|end|>y<\\|"), (2, 1, "assistant", "<|user|>"), (3, 0, "assistant", "long " * 100_000), (None, 0, "user", "x")]
+    rows += [(4, i, rng.choice(["user", "assistant"]), f"turn {i}") for i in range(1500)]
+    other = [(i, t, r, x + "!" if i == 4 and t is not None and t > 700 else x) for i, t, r, x in rows]
+    chosen, rejected = (spark.createDataFrame([(*x, 9, "z") for x in y], kind) for y in (rows, other))
+    got = {r["pair_id"]: (*tuple(r)[1:7], *([tuple(x) for x in r[m]] for m in ("chosen_mask", "rejected_mask"))) for r in preference.format_pairs(chosen, rejected).collect()}
+    order = lambda t: ((t[0] is not None, t[0] or 0), (t[1] is not None, t[1] or ""), (t[2] is not None, t[2] or ""))
+    for i in (1, 2, 3, 4):
+        a, b = (sorted({x[1:] for x in y if x[0] == i}, key=order) for y in (rows, other))
+        assert got[i] == plain_pair(a, b)
+    assert set(got) == {1, 2, 3, 4} and got[4][3] == 701 and got[1][:3] == (got[1][0], "", "")
+    assert preference.format_pairs(*preference.partner_pairs(chosen, "pair_id")).count() == 4
+    assert preference.format_pairs(*preference.partner_pairs(chosen.where("false"), "pair_id")).count() == 0
 
 
 # Archives ----------------------------------------------------------------------------------
