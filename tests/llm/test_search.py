@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,25 +56,34 @@ def test_edited_and_cut_leaks(spark):
 
 
 @pytest.mark.parametrize("threshold", [0.3, 1.0, 2.5])
-def test_wand_is_exhaustive_scoring_with_skips(threshold, monkeypatch):
+def test_wand_is_exhaustive_scoring(threshold):
     rng = random.Random(int(threshold * 10))
-    scored = [0]
-    for _ in range(60):
-        lists = []
-        for _ in range(rng.randint(1, 12)):
-            items = sorted(rng.sample(range(300), rng.randint(1, 120)))
-            lists.append(dc.Postings.of([(j, rng.choice([0.02, 0.05, 0.1, 0.9]) * rng.random()) for j in items]))
-        scores = {}
-        for own in lists:
-            for j, w in zip(own.items, own.weights):
-                scores[j] = scores.get(j, 0) + w
-        got = dict(dc.wand(lists, threshold))
-        assert got.keys() == {j for j, x in scores.items() if x >= threshold} and all(abs(got[j] - scores[j]) < 1e-12 for j in got)
-        assert list(got) == sorted(got)
-    seeks = []
-    monkeypatch.setattr(dc, "_seek", lambda c, t, real=dc._seek: seeks.append(t) or real(c, t))
-    rare, common = dc.Postings.of([(5000, 0.6)]), dc.Postings.of([(j, 0.5) for j in range(10_000)])
-    assert dict(dc.wand([rare, common], 1.0)) == {5000: 1.1} and len(seeks) < 5  # thousands of postings are passed over
+    for _ in range(20):
+        lists = [[(j, rng.choice([0.02, 0.05, 0.1, 0.9]) * rng.random()) for j in sorted(rng.sample(range(300), rng.randint(1, 120)))] for _ in range(30)]
+        own = dc.Postings([*lists, []], 300)
+        queries = [rng.sample(range(30), rng.randint(0, 12)) for _ in range(25)]
+        terms = np.array([q + [30] * (12 - len(q)) for q in queries])
+        want = {}
+        for p, q in enumerate(queries):
+            for t in q:
+                for j, w in lists[t]:
+                    want[p, j] = want.get((p, j), 0) + w
+        got = {(p, j): x for p, j, x in zip(*(v.tolist() for v in own.wand(terms, threshold)))}
+        assert got.keys() == {k for k, x in want.items() if x >= threshold} and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_wand_passes_over_what_cannot_score(monkeypatch):
+    """A rare term and one of all items: few postings are ever looked at, and blocks with small weights are skipped whole."""
+    common = [(j, 0.5) for j in range(10_000)]
+    own = dc.Postings([[(5000, 0.6)], common, []], 10_000)
+    steps = []
+    real = np.argsort
+    monkeypatch.setattr(dc.np, "argsort", lambda *a, **k: steps.append(1) or real(*a, **k))
+    assert [x.tolist() for x in own.wand(np.array([[0, 1]]), 1.0)] == [[0], [5000], [1.1]] and len(steps) < 6
+    steps.clear()
+    uneven = [(j, 0.6 if j == 7777 else 0.1) for j in range(10_000)]
+    own = dc.Postings([uneven, [(j, 0.5 if j % 997 == 801 or j == 7777 else 0.01) for j in range(10_000)], []], 10_000)
+    assert own.wand(np.array([[0, 1]]), 1.0)[1].tolist() == [7777] and len(steps) < 10_000 / dc.BLOCK + 20
 
 
 def test_large_indexes_are_read_part_by_part(spark, folder, monkeypatch):

@@ -13,8 +13,9 @@ order with weights, in blocks with their largest weight. Cursors of a passage's
 in the order of their items; the pivot is the first at which the terms' bounds add up to the
 threshold, and nothing before it can be a result. If the bounds of the blocks at the pivot
 fall short too, all cursors skip past the nearest block end; else they move to the pivot,
-which is scored. Whether a passage has any pivot at all is asked first, for all passages of
-a batch by running sums of bounds, as most have none. What scores 1 or above is verified by
+which is scored. All passages of a batch take their steps at the same time, each with its own cursors
+and pivot, as numpy arrays. Whether a passage has any pivot at all is asked first,
+by running sums of bounds, as most have none. What scores 1 or above is verified by
 its five-word shingles, of the question's part and of the answer's part.
 
 The index is in parts of bounded size, built by the executors and written to the shared
@@ -24,7 +25,6 @@ beyond that each Python worker reads them one after the other for each of its ba
 
 from __future__ import annotations
 
-import bisect
 import pickle
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -58,21 +58,78 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACE).split()
 
 
-@dataclass
 class Postings:
-    """A term's items in order, with weights, and of each block the last item and the largest weight."""
-
-    items: list[int]
-    weights: list[float]
-    last: list[int]
-    most: list[float]
-    bound: float
-
-    @classmethod
-    def of(cls, found: list[tuple[int, float]]) -> "Postings":
-        items, weights = [j for j, _ in found], [w for _, w in found]
-        cuts = range(0, len(items), BLOCK)
-        return cls(items, weights, [items[min(i + BLOCK, len(items)) - 1] for i in cuts], [max(weights[i : i + BLOCK]) for i in cuts], max(weights))
+    """Inverted lists: by term its items in order with weights, in blocks of BLOCK with their last item and
+    largest weight. All lists lie in one array of keys, ``term * span + item``, each closed by an
+    item that is none, so one binary search moves any number of cursors."""
+
+    def __init__(self, lists: list[list[tuple[int, float]]], items: int):
+        self.span = items + 1
+        kind = np.int32 if (len(lists) + 1) * self.span < 2**31 else np.int64
+        sizes = np.array([len(x) for x in lists], np.int64)
+        closed = sizes + 1
+        self.start = np.concatenate(([0], np.cumsum(closed)[:-1])).astype(np.int32)
+        self.items = np.full(int(closed.sum()), items, kind)
+        self.weights = np.zeros(len(self.items))
+        place = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(lists)), sizes)
+        self.items[place] = [j for x in lists for j, _ in x]
+        self.weights[place] = [w for x in lists for _, w in x]
+        self.keys = (np.repeat(np.arange(len(lists)), closed) * self.span + self.items).astype(kind)
+        nth = np.arange(len(self.items)) - np.repeat(self.start, closed)
+        closing = self.items == items
+        self.block = (np.cumsum((nth % BLOCK == 0) | closing) - 1).astype(np.int32)  # of each posting; what closes a list is one of its own
+        first = np.flatnonzero(np.diff(self.block, prepend=-1))
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.last = np.maximum.reduceat(self.items, first) if len(first) else np.zeros(0, kind)
+        #: By term the largest weight; the last, for places without a term, has none.
+        self.bound = np.array([max((w for _, w in x), default=0.0) for x in lists])
+
+    def wand(self, terms: np.ndarray, threshold: float = 1 - SLACK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of all items that score ``threshold`` or more, by block-max WAND.
+
+        ``terms``: passages x terms, each term once in a row, filled up with a term whose list is empty. Each
+        passage has its own cursors and pivot; all that are not done take a step at the same time.
+        """
+        passage, pos, bound = np.arange(len(terms)), self.start[terms], self.bound[terms]
+        base = (terms * self.span).astype(self.keys.dtype)  # of each term's keys
+        out: list[tuple] = []
+        while len(passage):
+            item = self.items[pos]
+            order = np.argsort(item, axis=1, kind="stable")
+            order += np.arange(len(order))[:, None] * order.shape[1]
+            item, pos, base, bound = (x.reshape(-1)[order] for x in (item, pos, base, bound))
+            bound[item == self.span - 1] = 0.0
+            reached = np.cumsum(bound, axis=1) >= threshold
+            live = reached[:, -1]
+            if not live.all():
+                passage, item, pos, base, bound, reached = (x[live] for x in (passage, item, pos, base, bound, reached))
+                if not len(passage):
+                    break
+            row = np.arange(len(passage))
+            pivot = item[row, reached.argmax(1)][:, None]
+            upto = item <= pivot  # the cursors up to the pivot, and those at its item
+            behind = item < pivot
+            there = pos.copy()  # where each would stand at the pivot or after it
+            there[behind] = np.searchsorted(self.keys, (base + pivot)[behind])
+            block = self.block[there]
+            possible = np.where(upto, self.most[block], 0.0).sum(1) >= threshold
+            aligned = item[:, 0] == pivot[:, 0]
+            scored = np.flatnonzero(possible & aligned)
+            if len(scored):
+                score = np.where(upto[scored], self.weights[pos[scored]], 0.0).sum(1)
+                good = score >= threshold
+                out.append((passage[scored[good]], pivot[scored[good], 0], score[good]))
+            # No item before the nearest block end, nor before the next cursor, can reach the threshold where the blocks don't.
+            beyond = np.where(upto, self.last[block] + 1, item).min(1)
+            target = np.where(possible, pivot[:, 0] + aligned, np.maximum(beyond, pivot[:, 0] + 1))
+            target = np.minimum(target, self.span - 1).astype(self.keys.dtype)[:, None]
+            stay = possible & ~aligned  # these move to the pivot, which was looked up
+            pos[stay] = np.where(behind[stay], there[stay], pos[stay])
+            move = (item < target) & ~stay[:, None]
+            pos[move] = np.searchsorted(self.keys, (base + target)[move])
+        if not out:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 @dataclass
@@ -81,8 +138,8 @@ class LengthClass:
 
     window: int
     items: list[int]
-    bound: np.ndarray  # term: the largest weight in any item
-    postings: dict[int, Postings]
+    list_of: np.ndarray  # term: its list in the postings; terms without one have the last, which is empty
+    postings: Postings
 
 
 @dataclass
@@ -133,61 +190,12 @@ def build_index(items: list[tuple[int, str, str | None]], similarity: float = 0.
             least = sum(sorted(weights.values())[: max(1, len(weights) - may_lack)])
             for t, w in weights.items():
                 lists.setdefault(t, []).append((j, float(w / least * (1 + 1e-5))))
-        postings = {t: Postings.of(found) for t, found in lists.items()}
-        bound = np.zeros(len(terms) + 1, np.float32)
-        for t, own in postings.items():
-            bound[t] = own.bound * (1 + 1e-6)
-        classes.append(LengthClass(2 * (-(-5 * (1 << size) // 4)), members, bound, postings))
+        list_of = np.full(len(terms) + 1, len(lists), np.int64)
+        list_of[list(lists)] = np.arange(len(lists))
+        classes.append(LengthClass(2 * (-(-5 * (1 << size) // 4)), members, list_of, Postings([*lists.values(), []], len(members))))
     return Index(terms, classes, [s[0] for s in split], shingles)
 
 
-def _seek(cursor: list, target: int) -> bool:
-    """Moves a cursor [item, place, postings] to its first item of ``target`` or more; False if it has none. Whole blocks are passed over."""
-    own = cursor[2]
-    block = bisect.bisect_left(own.last, target, cursor[1] // BLOCK)
-    if block == len(own.last):
-        return False
-    place = bisect.bisect_left(own.items, target, max(cursor[1], block * BLOCK))
-    cursor[0], cursor[1] = own.items[place], place
-    return True
-
-
-def wand(lists: list[Postings], threshold: float = 1 - SLACK) -> Iterator[tuple[int, float]]:
-    """(item, score) of all items that score ``threshold`` or more, in order of items, by block-max WAND."""
-    live = [[own.items[0], 0, own] for own in lists]
-    while live:
-        live.sort(key=lambda c: c[0])
-        total, pivot = 0.0, -1
-        for i, c in enumerate(live):
-            total += c[2].bound
-            if total >= threshold:
-                pivot = i
-                break
-        if pivot < 0:
-            return
-        item = live[pivot][0]
-        while pivot + 1 < len(live) and live[pivot + 1][0] == item:
-            pivot += 1
-        most, target = 0.0, live[pivot + 1][0] if pivot + 1 < len(live) else None
-        for _, place, own in live[: pivot + 1]:
-            block = bisect.bisect_left(own.last, item, place // BLOCK)
-            if block < len(own.last):
-                most += own.most[block]
-                target = own.last[block] + 1 if target is None else min(target, own.last[block] + 1)
-        if most < threshold:  # nothing up to the nearest block end, nor before the next cursor
-            behind = pivot + 1
-        elif live[0][0] == item:
-            score = sum(own.weights[place] for _, place, own in live[: pivot + 1])
-            if score >= threshold:
-                yield item, score
-            behind, target = pivot + 1, item + 1
-        else:
-            behind, target = pivot, item
-        if target is None:
-            return
-        live = [c for c in live[:behind] if c[0] >= target or _seek(c, target)] + live[behind:]
-
-
 class Searcher:
     def __init__(self, index: Index, similarity: float):
         self.index, self.similarity = index, similarity
@@ -203,29 +211,34 @@ class Searcher:
         begin = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         for c in index.classes:
             half = c.window // 2
-            added = np.concatenate(([0.0], np.cumsum(c.bound[ids], dtype=np.float64)))
+            lists = c.list_of[ids]
+            added = np.concatenate(([0.0], np.cumsum(c.postings.bound[lists])))
             n = np.diff(begin)
             count = np.where(n > 0, np.maximum(1, -(-n // half) - 1), 0)
             doc = np.repeat(np.arange(len(parts)), count)
             first = begin[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * half
             last = np.minimum(first + c.window, begin[doc + 1])
             may = np.flatnonzero(added[last] - added[first] >= 1 - SLACK)
-            step = max(1, (1 << 22) // c.window)
+            step = max(1, (1 << 19) // c.window)
             for i in range(0, len(may), step):
-                self._passages(c, ids, doc, first, last, may[i : i + step], none, out)
+                self._passages(c, ids, lists, doc, first, last, may[i : i + step], out)
         return [sorted(d.values(), key=lambda r: (-r[1], r[0] is None, r[0] or 0)) for d in out]
 
-    def _passages(self, c, ids, doc, first, last, chosen, none, out) -> None:
+    def _passages(self, c, ids, lists, doc, first, last, chosen, out) -> None:
         """Queries the index with each of the chosen passages that has a pivot at all."""
+        empty = len(c.postings.bound) - 1
         place = first[chosen][:, None] + np.arange(c.window)
-        terms = np.where(place < last[chosen][:, None], ids[np.minimum(place, len(ids) - 1)], none)
-        terms = np.sort(terms, axis=1)
-        terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = none  # each term once
-        keep = c.bound[terms].sum(1) >= 1 - SLACK
-        for passage, own in zip(chosen[keep].tolist(), terms[keep]):
-            lists = [c.postings[t] for t in own[c.bound[own] > 0].tolist()]
-            for j, score in wand(lists):
-                self._verify(c.items[j], score, ids[first[passage] : last[passage]].tolist(), out[doc[passage]])
+        terms = np.where(place < last[chosen][:, None], lists[np.minimum(place, len(ids) - 1)], empty)
+        terms.sort(axis=1)
+        terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = empty  # each term once
+        keep = c.postings.bound[terms].sum(1) >= 1 - SLACK
+        terms, chosen = np.sort(terms[keep], axis=1), chosen[keep]
+        if not len(chosen):
+            return
+        terms = terms[:, : max(1, int((terms < empty).sum(1).max()))]
+        for p, j, score in zip(*(x.tolist() for x in c.postings.wand(terms))):
+            passage = chosen[p]
+            self._verify(c.items[j], score, ids[first[passage] : last[passage]].tolist(), out[doc[passage]])
 
     def _verify(self, k: int, score: float, passage: list[int], found: dict[int, tuple]) -> None:
         question, answer = self.index.shingles[k]
