@@ -134,28 +134,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     spark = edges.sparkSession
 
-    def stored(df: DataFrame) -> tuple[DataFrame, str, tuple]:
-        out, path = written(df, "edges")
-        seen = out.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return out, path, tuple(seen)
+    def state_of(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    current, path, state = stored(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    current, path = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    state = state_of(current)
     for _ in range(max_rounds):
         # Large star: larger neighbours of u move to the smallest of u and its neighbours.
         sym = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0").select("u", F.least("u", "m").alias("m"), "n")
         moved = joined_with_hubs(sym.where("v > u"), low, "u", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large, large_path, half = stored(moved.where("u <> v").distinct())
-        # Small star: smaller neighbours of u, and u, move to the smallest of them.
+        large, large_path = written(moved.where("u <> v").distinct(), "edges")
+        # Small star: smaller neighbours of u, and u, move to the smallest of them. There are no more edges than before.
         low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            joined_with_hubs(large, low2, "u", half[0])
+            joined_with_hubs(large, low2, "u", state[0])
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.*")
             .where("u <> v")
             .distinct()
         )
-        nxt, nxt_path, after = stored(small)
+        nxt, nxt_path = written(small, "edges")
+        after = state_of(nxt)
         drop_path(spark, path)
         drop_path(spark, large_path)
         current, path = nxt, nxt_path

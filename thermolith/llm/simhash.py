@@ -324,7 +324,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     whole = texts.select(F.col("key").alias("rep"), F.col("prints")[0].alias("fp"))
     heads = tmp.written(whole.groupBy("fp").agg(F.min("rep").alias("head"), F.count("*").alias("n")), "heads")
-    far = links(heads.select("fp"), 2, tmp=tmp)
+    far = tmp.written(links(heads.select("fp"), 2, tmp=tmp), "links")
     near = far.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
     shared = heads.where("n > 1")
     equal = joined_with_hubs(whole, shared, "fp", max(1, shared.agg(F.sum("n")).first()[0] or 1)).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
@@ -360,11 +360,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = tmp.written(apart.join(sets.select("rep", F.size("s").alias("own")), "rep"), "placed")
     merged = tmp.written(connected_components(_links_in_crowds(apart, sets, similarity, tmp)).select(F.col("node").alias("component"), F.col("component").alias("group")), "merged")
     alone = merged.select(F.col("component").alias("node")).join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
-    linked = parts.unionByName(alone).join(merged, "component", "left").select(F.col("node").alias("key"), F.coalesce("group", "component").alias("part"))
-
-    placed = texts.select("key", "low", "n").join(linked, "key", "left").withColumn("part", F.coalesce("part", "key"))
-    kept = placed.groupBy("part").agg(F.min(F.struct("low", "key")).alias("kept"))
-    groups = tmp.written(placed.join(kept, "part").select("key", F.col("kept.low").alias("group"), (F.col("kept.key") == F.col("key")).alias("first"), "n"), "named")
+    linked = tmp.written(parts.unionByName(alone), "linked")
+    named = linked.groupBy("component").agg(F.count("*").alias("n")).join(merged, "component", "left").select("component", F.coalesce("group", "component").alias("part"), "n")
+    linked = joined_with_hubs(linked, tmp.written(named, "components"), "component", max(1, linked.count())).select(F.col("node").alias("key"), "part")
+
+    placed = tmp.written(texts.select("key", "low", F.col("n").alias("rows")).join(linked, "key", "left").withColumn("part", F.coalesce("part", "key")), "parts")
+    kept = placed.groupBy("part").agg(F.min(F.struct("low", "key")).alias("kept"), F.count("*").alias("n"))
+    groups = joined_with_hubs(placed, tmp.written(kept, "kept"), "part", max(1, placed.count()))
+    groups = tmp.written(groups.select("key", F.col("kept.low").alias("group"), (F.col("kept.key") == F.col("key")).alias("first"), F.col("rows").alias("n")), "named")
     every = joined_with_hubs(printed.select("id", "key"), groups, "key", max(1, printed.count()))
     found = every.groupBy("id", "key", "group", "first").agg(F.count("*").alias("n")).select(F.col("id").alias(id_col), "key", "n", "group", (F.col("first") & (F.col("id") == F.col("group"))).alias("keeps"))
     return tmp.result(found, "copies")
