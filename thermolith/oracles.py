@@ -94,6 +94,9 @@ def loop(controller: str = "baseline", actuator: str = "ideal", mismatch: str =
     else:
         target, floor = _D(24.0), _D(18.0)
     proposed = "least(greatest(ff + CASE WHEN e > 0.5 THEN 30.0 * (e - 0.5) WHEN e < -0.5 THEN 30.0 * (e + 0.5) ELSE 0.0 END, 0.0), 280.0)"
+    if controller == "finite_horizon":
+        proposed, floor = f"CASE WHEN first IS NOT NULL THEN first ELSE {proposed} END", f"CASE WHEN b.first IS NOT NULL THEN {_D(20.5)} ELSE {_D(18.0)} END"
+    best, joined = (", b.first AS first", f" LEFT JOIN {_search(name)} b ON b.center = l.center") if controller == "finite_horizon" else ("", "")
     if controller == "external":
         proposed = f"({_D(60.0)} + online_workload * {_D(150.0)})"
     reach = {
@@ -117,8 +120,8 @@ def loop(controller: str = "baseline", actuator: str = "ideal", mismatch: str =
             SELECT *, CASE WHEN lo <= hi + 1e-9 THEN least(greatest(least(greatest(p, 0.0), 280.0), lo), hi) WHEN lo > 280.0 THEN 280.0 ELSE 0.0 END AS safe FROM (
               SELECT *, {proposed} AS p, greatest(0.0, {bound('m', 'h', 'o', _D(32.0))}) AS lo, least(280.0, {bound('m', 'h', 'o', f'greatest({_D(18.0)}, fl)')}) AS hi FROM (
                 SELECT *, h - (tg - o) / {_D(0.18)} AS ff, m - tg AS e FROM (
-                  SELECT l.center, i.step_index, l.t, l.m, l.a, l.q, l.p AS p0, i.online_workload, i.outdoor_temperature_c AS o, {heat('i.wl')} AS h, {target.replace('precool', 'i.precool')} AS tg, {floor.replace('precool', 'i.precool')} AS fl
-                  FROM {name} l JOIN inp i ON i.center = l.center AND i.step_index = l.step_index + 1)))))))))"""
+                  SELECT l.center, i.step_index, l.t, l.m, l.a, l.q, l.p AS p0, i.online_workload, i.outdoor_temperature_c AS o, {heat('i.wl')} AS h, {target.replace('precool', 'i.precool')} AS tg, {floor.replace('precool', 'i.precool')} AS fl{best}
+                  FROM {name} l JOIN inp i ON i.center = l.center AND i.step_index = l.step_index + 1{joined})))))))))"""
 
 
 def _with(*ctes: str) -> str:
@@ -254,6 +257,25 @@ def _model_bound(limit: float) -> str:
     return f"(h * {_D(0.9)} - (t - o) / {_D(0.18)} - ({_D(limit)} - t) * {_D(55.0 * 1.12)} / {_D(0.25)}) / {_D(1.12)}"
 
 
+def _search(name: str) -> str:
+    """The first action of the best plan from each row of the recursive table ``name``, by eight levels of candidates; a window that ends early keeps its plans."""
+    z = _D(0.0)
+    grid = f"list_transform(range(7), lambda i: round({_D(280.0)} * i / {_D(6.0)}, 9))"
+    parts = [f"p0 AS (SELECT center, step_index + 1 AS s, 1 AS place, m AS temp, a AS applied, CAST(NULL AS DOUBLE) AS first, {z} AS cost, {z} AS carbon, {z} AS comfort, {z} AS move FROM {name} WHERE step_index < 95)"]
+    for k in range(8):
+        parts.append(f"""
+e{k} AS (SELECT p.*, i.electricity_price AS pr, i.carbon_intensity_kg_per_kwh AS ci, i.outdoor_temperature_c AS o, i.renewable_power_kw AS ren, {heat('i.wl')} AS h,
+  unnest(list_distinct(list_concat({grid}, [round(least(greatest(p.applied, 0.0), 280.0), 9)]))) AS action FROM p{k} p JOIN inp i ON i.center = p.center AND i.step_index = p.s + {k}),
+f{k} AS (SELECT *, {thermal('temp', 'h', 'action', 'o')} AS nxt, h + {cooling('action', 'o')} + {_D(12.0)} AS pw FROM e{k}),
+g{k} AS (SELECT *, (pw - least(ren, pw)) * {_D(0.25)} AS en FROM f{k} WHERE nxt >= 20.5 - 1e-9 AND nxt <= 32.0 + 1e-9),
+h{k} AS (SELECT center, s, place, action, nxt AS temp, coalesce(first, action) AS first, cost + {_D(1.0)} * pr * en AS cost, carbon + {_D(0.15)} * ci * en AS carbon,
+  comfort + {_D(0.5)} * ((nxt - 24.0) * (nxt - 24.0)) AS comfort, move + {_D(2.0)} * (((action - applied) / 280.0) * ((action - applied) / 280.0)) AS move FROM g{k}),
+p{k + 1} AS (SELECT center, s, CAST(rk AS INTEGER) AS place, temp, action AS applied, first, cost, carbon, comfort, move FROM (
+  SELECT *, row_number() OVER (PARTITION BY center ORDER BY ((cost + carbon) + comfort) + move, place, action) AS rk FROM h{k}) WHERE rk <= 24
+  UNION ALL SELECT * FROM p{k} WHERE s + {k} > 95)""")
+    return "(WITH " + ",\n".join(parts) + "\nSELECT center, first FROM p8 WHERE place = 1)"
+
+
 def _mpc() -> str:
     z = _D(0.0)
     grid = f"list_transform(range(7), lambda i: round({_D(280.0)} * i / {_D(6.0)}, 9))"
@@ -332,6 +354,25 @@ def _noise() -> list[float]:
 _DEG = "CASE WHEN ideal_value = 0 THEN printf('absolute change %+.4f', round(value - ideal_value, 4) + 0.0) ELSE printf('%+.2f%%', round((value - ideal_value) / abs(ideal_value) * 100.0, 2) + 0.0) END"
 _ACCEPT = lambda ok, name: f"CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS {name}"
 
+def _standard_day() -> str:
+    """The generator's shapes over a range of steps; its five runs of draws are fixed by the seed, so stated as values."""
+    import numpy as np
+
+    rng = np.random.default_rng(42)
+    e = ["[" + ", ".join(repr(x) for x in rng.normal(0.0, sd, 96).tolist()) + "][i + 1]" for sd in (0.012, 0.008, 0.012, 0.010, 0.15)]
+    bump = lambda at, width: f"exp(-0.5 * pow((h - {at}) / {width}, 2.0))"
+    m, v, sun = bump(8.0, 2.0), bump(17.0, 2.3), "pow(greatest(sin(pi() * (h - 6.0) / 12.0), 0.0), 1.6)"
+    values = {
+        "online_workload": f"least(greatest(0.32 + 0.28 * {m} + 0.34 * {v} + {e[0]}, 0.22), 0.82)", "batch_workload": f"least(greatest(0.12 + 0.13 * {bump(5.5, 2.4)} + 0.10 * {bump(13.0, 3.0)} + {e[1]}, 0.05), 0.34)",
+        "electricity_price": f"least(greatest(0.43 + 0.32 * {m} + 0.50 * {v} - 0.14 * {bump(2.0, 2.7)} + {e[2]}, 0.20), 1.10)",
+        "carbon_intensity_kg_per_kwh": f"least(greatest(0.49 + 0.05 * {m} + 0.16 * {v} - 0.11 * {sun} + 0.025 * sin(2.0 * pi() * (h + 1.5) / 24.0) + {e[3]}, 0.25), 0.80)",
+        "outdoor_temperature_c": f"15.0 + 10.5 * sin(2.0 * pi() * (h - 7.0) / 24.0) + {e[4]}", "renewable_power_kw": f"320.0 * {sun}",
+    }
+    return "SELECT CAST(i AS INTEGER) AS step_index, TIMESTAMP '2025-12-31 16:00:00' + to_minutes(i * 15) AS timestamp, " + ", ".join(_r(f"CAST({x} AS DOUBLE)", k) for k, x in values.items()) + " FROM (SELECT i, CAST(i AS DOUBLE) * 15.0 / 60.0 AS h FROM range(96) AS r(i))"
+
+
+_LEGACY = (("online_workload", "online_load", "{}", "{}"), ("batch_workload", "batch_load", "{}", "{}"), ("electricity_price", "price", "{}", "{}"), ("carbon_intensity_kg_per_kwh", "carbon", "{} * 1000.0", "{} / 1000.0"), ("outdoor_temperature_c", "outdoor_temp", "{}", "{}"), ("renewable_power_kw", "renewable", "{} / 100.0", "{} * 100.0"))
+
 ORACLES: dict[str, str] = {
     "signals_canonical": _with(SIG) + "\nSELECT center, step_index, timestamp, " + ", ".join(_r(c, c) for c in _VALUES) + " FROM sig",
     "signals_legacy_normalized": _with(SIG) + "\nSELECT timestamp, " + ", ".join(_r({"carbon_intensity_kg_per_kwh": "carbon_intensity_kg_per_kwh * 1000.0 / 1000.0", "renewable_power_kw": "renewable_power_kw / 100.0 * 100.0"}.get(c, c), c) for c in _VALUES) + " FROM sig",
@@ -357,6 +398,7 @@ ORACLES: dict[str, str] = {
     "workload_fraction": _with(SIG, served("price")) + f"\nSELECT center, step_index, {_r('wl', 'workload_fraction')} FROM inp",
     "actuator_ideal": _loop_query(), "actuator_rate_limited": _loop_query(actuator="rate_limited"), "actuator_first_order": _loop_query(actuator="first_order"), "actuator_delayed": _loop_query(actuator="delayed"),
     "loop_baseline": _loop_query(), "loop_heuristic": _loop_query("heuristic", strategy="price"), "loop_external_action": _loop_query("external"),
+    "loop_finite_horizon": _loop_query("finite_horizon"),
     "measurement_noise": _with(SIG, served("immediate"), loop("baseline", "first_order", "mild", noise=_noise())) + f"\nSELECT center, step_index, {_r('t', 'true_temperature_c')}, {_r('m', 'measured_temperature_c')} FROM lp WHERE step_index >= 0",
     "streaming_loop": _with(SIG, served("immediate"), loop("heuristic")) + f"\nSELECT CAST(center AS BIGINT) AS run_id, step_index, {_r('p', 'proposed_cooling_kw')}, {_r('a', 'applied_cooling_kw')}, {_r('t', 'true_temperature_c')}, CAST(NULL AS VARCHAR) AS error FROM lp WHERE step_index >= 0",
     "stream_rejections": _with(SIG) + """
@@ -372,6 +414,24 @@ SELECT CAST(center AS BIGINT) AS run_id, CAST(95 AS BIGINT) AS steps, CASE cente
     "forecast_contract": _with(SIG) + """
 SELECT center, step_index, controller, CASE WHEN least(center, 30, 96 - step_index) > reach THEN printf('the controller may see %d steps at most', reach) END AS error
 FROM sig CROSS JOIN (VALUES ('baseline', 1), ('heuristic', 24), ('finite_horizon', 8)) AS c(controller, reach) WHERE step_index % 24 = 7""",
+    "csv_canonical": _with(SIG) + "\nSELECT timestamp, 'csv' AS source, " + ", ".join(_r(c, c) for c in _VALUES) + " FROM sig",
+    "csv_legacy": _with(SIG) + "\nSELECT timestamp, 'csv:legacy-normalized' AS source, " + ", ".join(_r(c, c) for c in _VALUES) + " FROM sig",
+    "csv_sorted": _with(SIG) + f"\nSELECT timestamp, step_index, {_r('electricity_price', 'price')}, {_r('carbon_intensity_kg_per_kwh * 1000.0', 'carbon')} FROM sig",
+    "both_layouts": _with(SIG) + "\nSELECT timestamp, " + ", ".join(_r(old.format(c), n) for c, n, old, _ in _LEGACY) + ", " + ", ".join(_r("CASE WHEN minute(timestamp) % 30 = 0 THEN electricity_price + 1.0 ELSE electricity_price END" if c == "electricity_price" else back.format("(" + old.format(c) + ")"), c) for c, _, old, back in _LEGACY) + " FROM sig",
+    "standard_day": _standard_day(),
+    "batch_service_alignment": _with(SIG, f"""
+wrk AS (SELECT center, CAST(-1 AS INTEGER) AS step_index, {_D(0.0)} AS done, {_D(0.0)} AS waiting FROM (SELECT DISTINCT center FROM sig)
+  UNION ALL SELECT center, step_index, CAST(d AS DOUBLE), CAST(b - d AS DOUBLE) FROM (SELECT *, least(b, greatest({_D(0.0)}, want)) AS d FROM (
+    SELECT g.center, g.step_index, g.electricity_price * {_D(0.4)} - {_D(0.1)} AS want, w.waiting + g.batch_workload AS b FROM wrk w JOIN sig g ON g.center = w.center AND g.step_index = w.step_index + 1)))""") + f"\nSELECT s.center, s.step_index, {_r('greatest(0.0, s.online_workload + w.done)', 'workload_fraction')} FROM sig s JOIN wrk w ON w.center = s.center AND w.step_index = s.step_index",
+    "metric_map": _with(*_REC) + f"\nSELECT center, CAST(66 AS INTEGER) AS n, {_r('sum(energy_cost_step)', 'energy_cost', 5)}, CAST(0 AS DOUBLE) AS final_backlog FROM rec GROUP BY 1",
+    "stream_slots": """
+SELECT slot_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, round(round(sum(value), 2), 2) + 0.0 AS value
+FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS slot_start, (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE AS closed FROM events)
+WHERE slot_start + INTERVAL 15 MINUTE <= closed GROUP BY slot_start""",
+    "run_store": _with(SIG) + """
+SELECT CAST(nth AS BIGINT) AS nth, CAST(0 AS BIGINT) AS dataset, scenario, status, message, (SELECT count(*) FROM sig WHERE center <= 2) AS n_steps, CASE WHEN nth = 0 THEN (SELECT count(*) FROM sig WHERE center = 1) END AS steps,
+  CASE WHEN nth = 0 THEN (SELECT round(sum(electricity_price), 6) FROM sig WHERE center = 1) END AS price, CASE WHEN nth = 0 THEN CAST(2 AS BIGINT) END AS metrics, CASE WHEN nth = 0 THEN CAST(5.0 AS DOUBLE) END AS largest
+FROM (VALUES (0, 'baseline', 'completed', NULL), (1, 'heuristic', 'failed', 'no power'), (2, 'finite_horizon', 'running', NULL)) AS r(nth, scenario, status, message)""",
     "mpc_open_loop_solve": _mpc(),
     "robustness_matrix": _matrix(("ideal", "rate_limited", "mild_mismatch", "rate_limited_mild_mismatch")) + "\nSELECT center, controller, condition, " + ", ".join(_r(c, c, 5) for c in ("energy_cost", "carbon_kg", "max_temp_c", "grid_kwh")) + " FROM tot",
     "step_records": _records_query(), "run_metrics_wide": _metrics_query(False), "run_metrics_long": _metrics_query(True),

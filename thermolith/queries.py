@@ -9,9 +9,10 @@ from .config import CONDITION_TABLE, Condition, Facility, condition
 from .functions import physics as P
 from .operators import contracts, dispatch, metrics, records, reports
 from .operators import windows as W
-from .operators.store import last_version, widened
+from .operators.store import RunStore, last_version, widened
 from .plans import loop, open_loop
 from .sources import signals as S
+from .streaming import events as stream_events
 from .streaming import loop as live
 
 FAC = Facility()
@@ -464,6 +465,90 @@ def forecast_contract(s, d):
     return x.select("center", "step_index", "controller", contracts.forecast_error().alias("error"))
 
 
+def _kept(s, df: DataFrame, name: str, fmt: str = "csv") -> str:
+    """Writes a file of a source query into the shared folder; its path."""
+    path = f"{live.folder(s)}/{name}"
+    if fmt == "csv":
+        S.write_csv(df, path)
+    else:
+        df.write.parquet(path)
+    return path
+
+
+def csv_canonical(s, d):
+    """The signals as a CSV of the canonical layout, read back by its own reader."""
+    day = sig(s, d).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    back, tag = S.read_csv(s, _kept(s, day.select(*S.SIGNAL_COLUMNS), "canonical"), zone="UTC")
+    return rounded(back.withColumn("source", F.lit(tag)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
+def csv_legacy(s, d):
+    """The same through the older layout, with wall-clock times eight hours ahead."""
+    day = S.legacy(sig(s, d)).withColumn("timestamp", F.date_format(F.timestamp_add("HOUR", F.lit(8), F.col("timestamp")), "yyyy-MM-dd HH:mm:ss"))
+    back, tag = S.read_csv(s, _kept(s, day, "legacy"))
+    return rounded(back.withColumn("source", F.lit(tag)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
+def csv_sorted(s, d):
+    """The older layout in the order of times; the place of each row in it."""
+    day = S.legacy(sig(s, d)).where("carbon IS NOT NULL").withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    back = S.read_sorted(s, _kept(s, day.repartition(5, "price"), "sorted"))
+    return rounded(S.steps(back.withColumn("dataset_id", F.date_trunc("day", "timestamp"))).select("timestamp", "step_index", "price", "carbon"))
+
+
+def both_layouts(s, d):
+    return rounded(S.both_layouts(S.legacy(sig(s, d)).withColumn("electricity_price", F.when(F.pmod(F.minute("timestamp"), F.lit(30)) == 0, F.col("price") + 1.0))))
+
+
+def standard_day(s, d):
+    return rounded(S.generate(s).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
+def batch_service_alignment(s, d):
+    """Any service, joined step by step, as far as there is work for it."""
+    x = sig(s, d)
+    wanted = x.select("center", "step_index", (F.col("electricity_price") * 0.4 - 0.1).alias("batch_service"))
+    return rounded(dispatch.workload(dispatch.with_service(x, wanted, "center"), "center").select("center", "step_index", "workload_fraction"))
+
+
+def metric_map(s, d):
+    """Metrics as one map a run, and two of its values."""
+    wide = metrics.with_last_backlog(metrics.wide(_records(s, d), FAC, "center"), _records(s, d), "center")
+    mapped = metrics.as_map(metrics.long(wide, "center"), "center")
+    return rounded(mapped.select("center", F.size("metrics").alias("n"), F.element_at("metrics", F.lit("energy_cost")).alias("energy_cost"), F.element_at("metrics", F.lit("final_backlog")).alias("final_backlog")), 5)
+
+
+def stream_slots(s, d):
+    """Events through a stream of fifteen-minute slots; those that the watermark has closed."""
+    rows = read(s, d, "events").select("ts", "event_type", "value")
+    at = _kept(s, rows, "events", "parquet")
+    out = stream_events.slots(s.readStream.schema(rows.schema).parquet(at))
+    out.writeStream.format("parquet").option("path", f"{at}-out").option("checkpointLocation", f"{at}-log").trigger(availableNow=True).start().awaitTermination()
+    return rounded(s.read.schema(out.schema).parquet(f"{at}-out").withColumn("slot_start", F.col("slot_start").cast("timestamp_ntz")), 2)
+
+
+def run_store(s, d):
+    """The life of runs in a store: one finished, one failed, one that still runs; a dataset written twice and metrics three times."""
+    x = sig(s, d).where("center <= 2")
+    store = RunStore(s, live.folder(s)).initialize()
+    first = store.upsert_dataset("day", x.where("center = 1"))
+    dataset = store.upsert_dataset("day", x)
+    runs = store.create_runs([{"name": "r", "scenario": n, "dataset_id": dataset} for n in ("baseline", "heuristic", "finite_horizon")])
+    steps = x.where("center = 1").select("step_index", F.col("electricity_price").alias("price"))
+    for run in runs[:2]:
+        store.append_inputs(run, x.where("center = 1"))
+        store.append_steps(run, steps)
+    metric = lambda v: s.createDataFrame([("energy_cost", v), ("carbon_kg", 2 * v)], "metric string, value double")
+    store.finish_run(runs[0], metric(1.0))
+    store.upsert_metrics(runs[0], metric(5.0).where("metric = 'energy_cost'"))
+    store.fail_run(runs[1], "no power")
+    kept = store.read("simulation_results").groupBy("run_id").agg(F.count("*").alias("steps"), F.sum("price").alias("price"))
+    said = store.metrics().groupBy("run_id").agg(F.count("*").alias("metrics"), F.max("value").alias("largest"))
+    sets = store.datasets().select(F.col("id").alias("dataset_id"), "n_steps")
+    out = store.runs().join(kept, F.col("id") == kept["run_id"], "left").join(said, F.col("id") == said["run_id"], "left").join(sets, "dataset_id")
+    return rounded(out.select((F.col("id") - runs[0]).alias("nth"), (F.col("dataset_id") - first).alias("dataset"), "scenario", "status", "message", "n_steps", "steps", "price", "metrics", "largest"))
+
+
 QUERIES = {f.__name__: f for f in (
     signals_canonical, signals_legacy_normalized, signals_legacy_roundtrip, signal_quality, step_gap_check, duplicate_steps, dataset_metadata, it_power, cooling_cop_power, renewable_alloc,
     energy_accounting, plant_step, feasible_bounds, model_bounds, safety_clamp, safety_clamp_legacy, forecast_window_array, forward_min_price, precool_flag, dispatch_immediate,
@@ -472,5 +557,5 @@ QUERIES = {f.__name__: f for f in (
     conditional_means, prediction_error_stats, longest_streak, extreme_events, safety_margin, key_windows, key_window_by_scenario, latest_run_per_group, asof_comparable_run, latest_ten_runs,
     null_tolerant_filter, in_list_filter, scenario_pivot, pct_change, degradation_matrix, acceptance_checks, health_counters, dataset_upsert, metric_upsert, schema_evolution, candidate_grid,
     union_scenarios, coordination_series, mini_summary, streaming_loop_equals_batch, streaming_loop, stream_rejections, observation_series, event_report, thermal_report, thermal_head,
-    comparison_report, scenario_listing, iso_times, forecast_contract,
+    comparison_report, scenario_listing, iso_times, forecast_contract, csv_canonical, csv_legacy, csv_sorted, both_layouts, standard_day, batch_service_alignment, metric_map, stream_slots, run_store,
 )}
