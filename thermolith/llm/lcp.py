@@ -184,7 +184,7 @@ def edited(text: str, following: str) -> str:
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 #: Bytes of text in a partition, about.
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES = 32 << 20
 
 
 def _compared(ids: list, texts: list[str], nexts: list[str]) -> pd.DataFrame:
