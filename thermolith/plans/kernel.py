@@ -84,28 +84,23 @@ class Loop:
         return clip(now, 0.0, top), np.concatenate([queue[..., 1:], target[..., None]], axis=-1), no, no
 
     def reach(self, s: State):
-        c, top, x = self.c, self.f.max_cooling_kw, s.applied
-        if c.actuator == "ideal":
-            return np.zeros_like(x), np.full_like(x, top)
-        if c.actuator == "rate_limited":
-            return np.maximum(0.0, x - c.ramp_down_kw), np.minimum(top, x + c.ramp_up_kw)
-        if c.actuator == "first_order":
-            return x * (1.0 - self.alpha), x + self.alpha * (top - x)
-        return s.queue[:, 0], s.queue[:, 0]
+        """What one step can bring about: a step's result never falls as its target rises, so the ends are those of no cooling and of all of it."""
+        return tuple(self.move(np.full_like(s.applied, end), s.applied, s.queue)[0] for end in (0.0, self.f.max_cooling_kw))
 
     def aware_target(self, request, s: State, least, most):
-        """The target whose reachable result lies in the bounds, and where there is none."""
-        top = self.f.max_cooling_kw
-        low, high = self.reach(s)
-        low, high = np.maximum(low, least), np.minimum(high, most)
-        none = low > high + EPS
-        result = self.move(request, s.applied, s.queue)[0]
-        wanted = clip(result, low, high)
-        target = wanted
-        if self.c.actuator == "first_order":
-            target = s.applied + (wanted - s.applied) / self.alpha
-        keep = none | (np.abs(wanted - result) <= EPS) | (self.c.actuator == "delayed")
-        return clip(np.where(keep, request, target), 0.0, top), none
+        """The target nearest to ``request`` whose result lies in the bounds, and where no result does.
+
+        The result of the request is brought into what is both reachable and allowed; what
+        it takes to get there undoes the actuator's lag. A delayed actuator's result is settled already, so its target stands.
+        """
+        nearest, farthest = self.reach(s)
+        low, high = np.maximum(nearest, least), np.minimum(farthest, most)
+        unreachable = low > high + EPS
+        plain = self.move(request, s.applied, s.queue)[0]
+        result = clip(plain, low, high)
+        changed = ~unreachable & (np.abs(result - plain) > EPS) if self.c.actuator != "delayed" else np.zeros_like(unreachable)
+        lagged = s.applied + (result - s.applied) / self.alpha if self.alpha < 1.0 else result
+        return clip(np.where(changed, lagged, request), 0.0, self.f.max_cooling_kw), unreachable
 
     # Controllers -------------------------------------------------------------------------
 
