@@ -51,7 +51,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     not again if an executor is lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
