@@ -64,7 +64,8 @@ def test_instances_have_their_own_state_and_runs_their_life():
     assert b.environment.snapshot().step_index == 0
     with pytest.raises(RunStateError):
         a.reset()
-    assert len(a.finish()) == 1
+    done = a.finish()
+    assert len(done.steps) == 1 and done.metrics["steps"] == 1 and (done.controller, done.status) == ("baseline", "completed")
     with pytest.raises(RunStateError):
         a.finish()
     assert a.reset(1, signal(0)).previous_applied_cooling_kw == 0
@@ -100,7 +101,9 @@ def test_a_stepped_run_is_the_batch_run(spark, name, cond):
     d = S.generate(spark).withColumn("run_id", F.lit(1).cast("long")).withColumn("workload_fraction", F.col("online_workload") + F.col("batch_workload"))
     whole = loop.simulate(d.withColumns({"controller": F.lit(name), "condition": F.lit(cond)}), FAC).orderBy("step_index").toPandas()
     rows = d.select(F.col("timestamp").alias("at"), *[F.col(v).alias(k) for k, v in loop.INPUT.items()]).orderBy("at").collect()
-    steps = system(name, condition(cond)).run(E.timeline(rows))
+    done = system(name, condition(cond)).run(E.timeline(rows))
+    steps = done.steps
+    assert done.condition == cond and (name, cond) != ("baseline", "ideal") or done.to_frame(spark).count() == 96
     for column in ("proposed_cooling_kw", "applied_cooling_kw", "true_temperature_c", "measured_temperature_c"):
         assert np.abs(whole[column].to_numpy() - np.array([x[column] for x in steps])).max() < 1e-9
 

@@ -67,3 +67,11 @@ def with_last_backlog(metrics: DataFrame, rec: DataFrame, by: str = "run_id") ->
 def as_map(metrics: DataFrame, by: str = "run_id") -> DataFrame:
     """One map a run from the long form."""
     return metrics.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
+
+
+def legacy(rec: DataFrame, f: Facility | None = None, by: str = "run_id") -> DataFrame:
+    """The older summary, of the same 66 names: energies from powers and the step's length, and the last step's backlog."""
+    h = (f or Facility()).step_hours
+    power = {"dc_energy_kwh": "total_power_kw", "grid_energy_kwh": "grid_power_kw", "cooling_energy_kwh": "cooling_power_kw"}
+    again = rec.withColumns({energy: F.col(kw) * h for energy, kw in power.items()})
+    return with_last_backlog(wide(again, f, by), rec, by).select(by, *METRIC_NAMES)

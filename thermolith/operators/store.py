@@ -139,6 +139,11 @@ class RunStore:
             raise StorageError("the store is not initialized")
         return widened(self.spark.read.option("mergeSchema", "true").parquet(self.path(table)), TABLES[table]) if table in TABLES else self.spark.read.parquet(self.path(table))
 
+    def columns(self) -> DataFrame:
+        """(table, position, column, type) of every table that is there."""
+        rows = [(t, i, f.name, f.dataType.simpleString()) for t in (*TABLES, "input_timeseries", "run_input_timeseries", "simulation_results") if self.exists(t) for i, f in enumerate(self.read(t).schema, 1)]
+        return self.spark.createDataFrame(rows, "table string, position int, column string, type string")
+
     def _now(self) -> datetime:
         return datetime.now(timezone.utc)
 

@@ -424,6 +424,8 @@ wrk AS (SELECT center, CAST(-1 AS INTEGER) AS step_index, {_D(0.0)} AS done, {_D
   UNION ALL SELECT center, step_index, CAST(d AS DOUBLE), CAST(b - d AS DOUBLE) FROM (SELECT *, least(b, greatest({_D(0.0)}, want)) AS d FROM (
     SELECT g.center, g.step_index, g.electricity_price * {_D(0.4)} - {_D(0.1)} AS want, w.waiting + g.batch_workload AS b FROM wrk w JOIN sig g ON g.center = w.center AND g.step_index = w.step_index + 1)))""") + f"\nSELECT s.center, s.step_index, {_r('greatest(0.0, s.online_workload + w.done)', 'workload_fraction')} FROM sig s JOIN wrk w ON w.center = s.center AND w.step_index = s.step_index",
     "metric_map": _with(*_REC) + f"\nSELECT center, CAST(66 AS INTEGER) AS n, {_r('sum(energy_cost_step)', 'energy_cost', 5)}, CAST(0 AS DOUBLE) AS final_backlog FROM rec GROUP BY 1",
+    "legacy_summary": _metrics_query(False).replace("sum(grid_energy_kwh)", "sum(grid_power_kw * 0.25)").replace("sum(dc_energy_kwh)", "sum(total_power_kw * 0.25)").replace("sum(cooling_energy_kwh)", "sum(cooling_power_kw * 0.25)"),
+    "schema_columns": "SELECT table_name, CAST(ordinal_position AS INTEGER) AS position, column_name FROM information_schema.columns WHERE table_name IN ('orders', 'nation', 'events')",
     "stream_slots": """
 SELECT slot_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, round(round(sum(value), 2), 2) + 0.0 AS value
 FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS slot_start, (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE AS closed FROM events)

@@ -518,6 +518,16 @@ def metric_map(s, d):
     return rounded(mapped.select("center", F.size("metrics").alias("n"), F.element_at("metrics", F.lit("energy_cost")).alias("energy_cost"), F.element_at("metrics", F.lit("final_backlog")).alias("final_backlog")), 5)
 
 
+def legacy_summary(s, d):
+    return rounded(metrics.legacy(_records(s, d), FAC, "center"), 5)
+
+
+def schema_columns(s, d):
+    """The columns of some tables, as a catalogue lists them."""
+    rows = [(t, i, f.name) for t in ("orders", "nation", "events") for i, f in enumerate(read(s, d, t).schema, 1)]
+    return s.createDataFrame(rows, "table_name string, position int, column_name string")
+
+
 def stream_slots(s, d):
     """Events through a stream of fifteen-minute slots; those that the watermark has closed."""
     rows = read(s, d, "events").select("ts", "event_type", "value")
@@ -557,5 +567,5 @@ QUERIES = {f.__name__: f for f in (
     conditional_means, prediction_error_stats, longest_streak, extreme_events, safety_margin, key_windows, key_window_by_scenario, latest_run_per_group, asof_comparable_run, latest_ten_runs,
     null_tolerant_filter, in_list_filter, scenario_pivot, pct_change, degradation_matrix, acceptance_checks, health_counters, dataset_upsert, metric_upsert, schema_evolution, candidate_grid,
     union_scenarios, coordination_series, mini_summary, streaming_loop_equals_batch, streaming_loop, stream_rejections, observation_series, event_report, thermal_report, thermal_head,
-    comparison_report, scenario_listing, iso_times, forecast_contract, csv_canonical, csv_legacy, csv_sorted, both_layouts, standard_day, batch_service_alignment, metric_map, stream_slots, run_store,
+    comparison_report, scenario_listing, iso_times, forecast_contract, csv_canonical, csv_legacy, csv_sorted, both_layouts, standard_day, batch_service_alignment, metric_map, legacy_summary, schema_columns, stream_slots, run_store,
 )}
