@@ -504,7 +504,8 @@ def test_rows_of_the_preference_query_by_brute_force(spark):
     from thermolith.llm import queries
 
     folder = "/root/testdata/sf0.01"
-    out = {r["conv_id"]: (*tuple(r)[1:7], *([tuple(x) for x in r[m]] for m in ("chosen_mask", "rejected_mask"))) for r in queries.op10_preference_pairs(spark, folder).collect()}
+    spans = lambda text: [tuple(map(int, x.split("-"))) for x in text.split(",") if x]
+    out = {r["conv_id"]: (*tuple(r)[1:7], *(spans(r[m]) for m in ("chosen_mask", "rejected_mask"))) for r in queries.op10_preference_pairs(spark, folder).collect()}
     by = {}
     for r in table(spark, folder, "conversations").collect():
         by.setdefault(r["conv_id"], set()).add((r["turn"], r["role"], r["text"]))

@@ -61,7 +61,12 @@ def op9_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.format_pairs(*preference.partner_pairs(table(spark, sf_dir, "conversations"))).withColumnRenamed("pair_id", "conv_id")
+    """Each conversation against its own copy ending in its partner's last reply; the masks' spans as text, ``first-end`` by commas."""
+    pairs = preference.format_pairs(*preference.partner_pairs(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["first"].cast("string"), s["end"].cast("string"))), ",")
+    return pairs.select(
+        F.col("pair_id").alias("conv_id"), "prompt", "chosen", "rejected", "prompt_turns", "chosen_turns", "rejected_turns", spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask")
+    )
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_bm25_wand, op3_warc_salvage, op4_compression_quality, op5_bounded_ring, op6_piece_viterbi, op7_url_automaton, op8_locally_consistent, op9_layout_text, op10_preference_pairs)}
@@ -96,4 +101,26 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op3_warc_salvage": _WARC_SQL, "op7_url_automaton": _URL_SQL}
+_PREFERENCE_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+replies AS (SELECT conv_id, turn, text FROM t WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) = 1),
+changed AS (
+  SELECT DISTINCT t.conv_id, t.turn, t.role, CASE WHEN coalesce(t.turn = l.turn AND t.role = 'assistant', false) THEN o.text ELSE t.text END AS text
+  FROM t LEFT JOIN replies l ON l.conv_id = t.conv_id LEFT JOIN replies o ON o.conv_id = xor(t.conv_id, 1)
+  WHERE NOT coalesce(t.turn = l.turn AND t.role = 'assistant', false) OR o.conv_id IS NOT NULL),
+sides AS (SELECT 'c' AS side, * FROM t UNION ALL SELECT 'r', * FROM changed),
+esc AS (SELECT *, regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\1\\|', 'g') AS who, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') AS said FROM sides),
+n AS (SELECT *, '<|' || who || '|>' || chr(10) || said || chr(10) || '<|end|>' || chr(10) AS piece, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM esc),
+sizes AS (SELECT conv_id, count(*) FILTER (WHERE side = 'c') AS nc, count(*) FILTER (WHERE side = 'r') AS nr FROM n GROUP BY 1),
+differs AS (SELECT c.conv_id, min(c.k) AS k FROM n c JOIN n r ON r.conv_id = c.conv_id AND r.k = c.k AND c.side = 'c' AND r.side = 'r' WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY 1),
+shared AS (SELECT s.*, coalesce(d.k - 1, least(nc, nr)) AS shared FROM sizes s LEFT JOIN differs d USING (conv_id)),
+placed AS (SELECT n.*, s.shared, sum(length(piece)) OVER (PARTITION BY n.conv_id, side ORDER BY k) AS upto FROM n JOIN shared s ON s.conv_id = n.conv_id)
+SELECT s.conv_id, coalesce(string_agg(piece, '' ORDER BY k) FILTER (WHERE side = 'c' AND k <= s.shared), '') AS prompt,
+  coalesce(string_agg(piece, '' ORDER BY k) FILTER (WHERE side = 'c' AND k > s.shared), '') AS chosen, coalesce(string_agg(piece, '' ORDER BY k) FILTER (WHERE side = 'r' AND k > s.shared), '') AS rejected,
+  CAST(s.shared AS INTEGER) AS prompt_turns, CAST(any_value(s.nc) - s.shared AS INTEGER) AS chosen_turns, CAST(any_value(s.nr) - s.shared AS INTEGER) AS rejected_turns,
+  coalesce(string_agg(CAST(upto - length(piece) + length(who) + 5 AS BIGINT) || '-' || CAST(upto AS BIGINT), ',' ORDER BY k) FILTER (WHERE side = 'c' AND k > s.shared AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(CAST(upto - length(piece) + length(who) + 5 AS BIGINT) || '-' || CAST(upto AS BIGINT), ',' ORDER BY k) FILTER (WHERE side = 'r' AND k > s.shared AND role = 'assistant'), '') AS rejected_mask
+FROM shared s JOIN placed p ON p.conv_id = s.conv_id GROUP BY s.conv_id, s.shared
+"""
+
+ORACLES: dict[str, str] = {"op3_warc_salvage": _WARC_SQL, "op7_url_automaton": _URL_SQL, "op10_preference_pairs": _PREFERENCE_SQL}
