@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_layout, lcp, pieces, preference, quality, sharding, simhash, urlfilter, warc
-from .shared import table
+from .shared import spread, table
 
 
 def op1_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def op2_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it holds."""
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op5_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and hash of the ids of each whole text, and whether they spell it again."""
-    spelt = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spelt = pieces.encode_and_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return spelt.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"),
         (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARK), F.lit(" "))).alias("round_trip"),
@@ -56,7 +56,7 @@ def op8_locally_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html_layout.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = html_layout.extract(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
     return pages.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
 
 
