@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_layout, lcp, pieces, preference, quality, sharding, simhash, urlfilter, warc
+from . import decontaminate, html_layout, lcp, lexical, pieces, preference, quality, sharding, simhash, urlfilter, warc
 from .shared import spread, table
 
 
@@ -69,7 +69,12 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_bm25_wand, op3_warc_salvage, op4_compression_quality, op5_bounded_ring, op6_piece_viterbi, op7_url_automaton, op8_locally_consistent, op9_layout_text, op10_preference_pairs)}
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    return lexical.search(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_bm25_wand, op3_warc_salvage, op4_compression_quality, op5_bounded_ring, op6_piece_viterbi, op7_url_automaton, op8_locally_consistent, op9_layout_text, op10_preference_pairs, op11_block_max)}
 
 #: Host and path as in the query; each rule's test in order of its length.
 _URL_SQL = r"""
@@ -123,4 +128,18 @@ SELECT s.conv_id, coalesce(string_agg(piece, '' ORDER BY k) FILTER (WHERE side =
 FROM shared s JOIN placed p ON p.conv_id = s.conv_id GROUP BY s.conv_id, s.shared
 """
 
-ORACLES: dict[str, str] = {"op3_warc_salvage": _WARC_SQL, "op7_url_automaton": _URL_SQL, "op10_preference_pairs": _PREFERENCE_SQL}
+_SEARCH_SQL = r"""
+WITH said AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT *, len(terms) AS n FROM said WHERE len(terms) > 0),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM docs) GROUP BY 1, 2),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY 1),
+gains AS (SELECT d, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)) AS gain FROM tf JOIN docs USING (d), whole),
+items AS (SELECT item_id, row_number() OVER () AS q, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(terms) AS term FROM items) GROUP BY 1, 2),
+scored AS (SELECT q, d, CAST(sum(times * w * gain) AS BIGINT) AS score FROM asked JOIN weights USING (term) JOIN gains USING (term) GROUP BY 1, 2),
+ranked AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored JOIN docs USING (d) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN items USING (q) WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op11_block_max": _SEARCH_SQL, "op3_warc_salvage": _WARC_SQL, "op7_url_automaton": _URL_SQL, "op10_preference_pairs": _PREFERENCE_SQL}
