@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_layout, lcp, lexical, pieces, preference, quality, sharding, simhash, urlfilter, warc
+from . import decontaminate, html_layout, lcp, lexical, pieces, pii, preference, prefix_trie, quality, sharding, simhash, urlfilter, warc
 from .shared import spread, table
 
 
@@ -74,7 +74,22 @@ def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_bm25_wand, op3_warc_salvage, op4_compression_quality, op5_bounded_ring, op6_piece_viterbi, op7_url_automaton, op8_locally_consistent, op9_layout_text, op10_preference_pairs, op11_block_max)}
+def op12_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each whole text: numbers and hash of what the rules find, and all spans."""
+    found = pii.extract(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations, rebuilt with the heads that they share."""
+    nodes = prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_bm25_wand, op3_warc_salvage, op4_compression_quality, op5_bounded_ring, op6_piece_viterbi, op7_url_automaton, op8_locally_consistent, op9_layout_text, op10_preference_pairs, op11_block_max, op12_bootstrapped_pii, op13_prefix_trie)}
 
 #: Host and path as in the query; each rule's test in order of its length.
 _URL_SQL = r"""
@@ -142,4 +157,27 @@ ranked AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY s
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN items USING (q) WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op11_block_max": _SEARCH_SQL, "op3_warc_salvage": _WARC_SQL, "op7_url_automaton": _URL_SQL, "op10_preference_pairs": _PREFERENCE_SQL}
+#: Turns go by digests, prefixes by their joined digests; crc32 by its table, which comes from the polynomial.
+_TRIE_SQL = """
+WITH entries AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) AS r(i)),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, strlen(coalesce(text, '')) AS bytes, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'digest': digest, 'bytes': bytes} ORDER BY turn NULLS FIRST, digest[:32]) AS turns FROM turns GROUP BY 1),
+hashed AS (
+  SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 9 AS h FROM own, entries),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(o.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+  FROM hashed c LEFT JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 5),
+paths AS (SELECT conv_id, len(turns) AS len, turns, unnest(range(len(turns) + 1)) AS depth FROM built),
+keyed AS (SELECT conv_id, len, depth, list_reduce(list_prepend('', list_transform(turns[1:depth], lambda t: t.digest)), lambda a, b: md5(a || b)) AS key,
+  CASE WHEN depth > 0 THEN list_reduce(list_prepend('', list_transform(turns[1:depth - 1], lambda t: t.digest)), lambda a, b: md5(a || b)) END AS parent, CASE WHEN depth > 0 THEN turns[depth].bytes ELSE 0 END AS bytes FROM paths),
+nodes AS (SELECT key, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len = depth), '')) AS ends_sha256 FROM keyed GROUP BY 1),
+children AS (SELECT parent AS key, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+above AS (SELECT DISTINCT n.key AS below, k.key FROM nodes n JOIN keyed o ON o.conv_id = n.conv_id AND o.depth = n.depth JOIN keyed k ON k.conv_id = n.conv_id AND k.depth <= n.depth),
+sums AS (SELECT a.key, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, CAST(sum(n.saved) AS BIGINT) AS saved_tokens FROM above a JOIN nodes n ON n.key = a.below LEFT JOIN children c ON c.key = n.key GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.key = n.parent LEFT JOIN children c ON c.key = n.key JOIN sums s ON s.key = n.key
+"""
+
+ORACLES: dict[str, str] = {"op13_prefix_trie": _TRIE_SQL, "op11_block_max": _SEARCH_SQL, "op3_warc_salvage": _WARC_SQL, "op7_url_automaton": _URL_SQL, "op10_preference_pairs": _PREFERENCE_SQL}
