@@ -223,7 +223,7 @@ def test_one_loop_and_one_shuffle_a_run(spark, folder):
     from thermolith import queries as Q
 
     plan = Q.run_metrics_wide(spark, folder)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 2  # the dispatch and the loop
+    assert plan.count("MapInArrow") == 1  # the loop
     plan = Q.loop_baseline(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning(run_id") == 1
 

@@ -1,4 +1,4 @@
-"""Run metrics from records: one grouped aggregate; the streaks it takes the largest of are windows of its own partitioning."""
+"""Run metrics from records: one grouped aggregate, made by block of time first; streaks are mergeable summaries."""
 
 from __future__ import annotations
 
@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from ..config import Facility
 from ..functions.physics import ratio
 from ..schema import METRIC_NAMES
-from .windows import with_streaks
+from .blocks import STEPS, TwoLevels
 
 
-def wide(rec: DataFrame, f: Facility | None = None, by: str = "run_id") -> DataFrame:
-    """One row a run, the metrics as columns."""
+def wide(rec: DataFrame, f: Facility | None = None, by: str = "run_id", steps: int = STEPS, keys: tuple[str, ...] = (), last_backlog: bool = False) -> DataFrame:
+    """One row a run, the metrics as columns; before them ``keys``, columns that have one value a run.
+    ``final_backlog`` is 0, or with ``last_backlog`` the last step's backlog, as in the older form."""
     h = (f or Facility()).step_hours
-    c, total, mean, top = F.col, F.sum, F.avg, F.max
-    flags = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("double")
-    only = lambda x, flag: F.coalesce(F.avg(F.when(c(flag) == 1, c(x))), F.lit(0.0))
+    t = TwoLevels(steps)
+    c, total, mean, top = F.col, t.sum, t.avg, t.max
+    flags = lambda x: F.coalesce(t.sum(x), F.lit(0)).cast("double")
+    only = lambda x, flag: F.coalesce(t.avg(F.when(c(flag) == 1, c(x))), F.lit(0.0))
     err = c("one_step_temperature_prediction_error_c")
     aggs = {
         "total_grid_energy_kwh": total("grid_energy_kwh"), "total_dc_energy_kwh": total("dc_energy_kwh"), "cooling_energy_kwh": total("cooling_energy_kwh"),
         "renewable_energy_available_kwh": total(c("renewable_available_kw") * h), "renewable_energy_used_kwh": total(c("renewable_used_kw") * h),
         "renewable_energy_curtailed_kwh": total(c("renewable_curtailed_kw") * h), "energy_cost": total("energy_cost_step"), "carbon_kg": total("carbon_kg_step"),
-        "average_temperature_c": mean("temp_c"), "maximum_temperature_c": top("temp_c"), "minimum_temperature_c": F.min("temp_c"), "temperature_violation_count": flags("temperature_violation"),
+        "average_temperature_c": mean("temp_c"), "maximum_temperature_c": top("temp_c"), "minimum_temperature_c": t.min("temp_c"), "temperature_violation_count": flags("temperature_violation"),
         "peak_grid_power_kw": top("grid_power_kw"), "mean_cooling_command": mean("cooling_kw"), "max_cooling_command": top("cooling_kw"), "control_movement_total": total("control_movement_kw"),
         "proposed_control_movement_total": total("proposed_control_movement_kw"), "applied_control_movement_total": total("applied_control_movement_kw"),
         "mean_actuator_tracking_error_kw": mean("actuator_tracking_error_kw"), "max_actuator_tracking_error_kw": top("actuator_tracking_error_kw"),
@@ -43,25 +45,19 @@ def wide(rec: DataFrame, f: Facility | None = None, by: str = "run_id") -> DataF
     for kind in ("power", "renewable", "thermal"):
         aggs[f"max_abs_{kind}_balance_error"] = top(F.abs(f"{kind}_balance_error"))
         aggs[f"mean_abs_{kind}_balance_error"] = mean(F.abs(f"{kind}_balance_error"))
-    streaks = {"longest_below_min_streak": c("below_min_temperature") == 1, "longest_above_max_streak": c("above_max_temperature") == 1}
-    aggs |= {name: top(name) for name in streaks}
-    one = with_streaks(rec, by, streaks).groupBy(by).agg(*[v.alias(k) for k, v in aggs.items()]).withColumns({
+    aggs |= {"longest_below_min_streak": t.longest_streak(c("below_min_temperature") == 1), "longest_above_max_streak": t.longest_streak(c("above_max_temperature") == 1)}
+    aggs |= {k: t.max(k) for k in keys} | {"final_backlog": t.last("backlog") if last_backlog else F.max(F.lit(0.0))}
+    one = t.of(rec, by, aggs).withColumns({
         "energy_kwh": c("total_grid_energy_kwh"), "total_energy_kwh": c("total_dc_energy_kwh"), "cost": c("energy_cost"), "max_temp_c": c("maximum_temperature_c"),
-        "thermal_violations": c("temperature_violation_count"), "peak_grid_kw": c("peak_grid_power_kw"), "final_backlog": F.lit(0.0), "mean_actuator_lag_kw": c("mean_actuator_tracking_error_kw"),
+        "thermal_violations": c("temperature_violation_count"), "peak_grid_kw": c("peak_grid_power_kw"), "mean_actuator_lag_kw": c("mean_actuator_tracking_error_kw"),
         "renewable_utilization_rate": ratio(c("renewable_energy_used_kwh"), c("renewable_energy_available_kwh")),
     })
-    return one.select(by, *[c(n).cast("double").alias(n) for n in METRIC_NAMES])
+    return one.select(by, *keys, *[c(n).cast("double").alias(n) for n in METRIC_NAMES])
 
 
-def long(metrics: DataFrame, by: str = "run_id") -> DataFrame:
-    """(run, metric, value)."""
-    return metrics.unpivot([by], [c for c in metrics.columns if c != by], "metric", "value")
-
-
-def with_last_backlog(metrics: DataFrame, rec: DataFrame, by: str = "run_id") -> DataFrame:
-    """The older form: ``final_backlog`` is the last step's backlog."""
-    last = rec.groupBy(by).agg(F.max_by("backlog", "step_index").alias("final_backlog"))
-    return metrics.drop("final_backlog").join(last, by)
+def long(metrics: DataFrame, by: str = "run_id", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(run, keys, metric, value)."""
+    return metrics.unpivot([by, *keys], [c for c in metrics.columns if c not in (by, *keys)], "metric", "value")
 
 
 def as_map(metrics: DataFrame, by: str = "run_id") -> DataFrame:
@@ -74,4 +70,4 @@ def legacy(rec: DataFrame, f: Facility | None = None, by: str = "run_id") -> Dat
     h = (f or Facility()).step_hours
     power = {"dc_energy_kwh": "total_power_kw", "grid_energy_kwh": "grid_power_kw", "cooling_energy_kwh": "cooling_power_kw"}
     again = rec.withColumns({energy: F.col(kw) * h for energy, kw in power.items()})
-    return with_last_backlog(wide(again, f, by), rec, by).select(by, *METRIC_NAMES)
+    return wide(again, f, by, last_backlog=True)

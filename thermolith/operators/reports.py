@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics as P
 from . import windows as W
+from .blocks import TwoLevels
 
 HEALTH_VALUES = ("total_load", "it_power_kw", "heat_kw", "cooling_power_kw", "grid_power_kw", "temp_c")
 
@@ -51,30 +52,39 @@ def shown(x: Column) -> Column:
     return F.when(x.isNull(), "missing").otherwise(F.format_string("%.4f", x))
 
 
-def acceptance(metrics: DataFrame, group: str = "center", base: str = "baseline", best: str = "finite_horizon") -> DataFrame:
-    """PASS or FAIL by group; a missing metric fails its test. ``metrics``: (group, controller, metric, value).
-    Sums are compared to nine places, so that equal runs tie whatever the order they were added in."""
-    value = lambda who, m: F.max(F.when((F.col("controller") == who) & (F.col("metric") == m), F.col("value")))
-    n = F.countDistinct("controller")
+def _value(who: str, metric: str) -> Column:
+    return F.max(F.when((F.col("controller") == who) & (F.col("metric") == metric), F.col("value")))
+
+
+def _verdicts(base: str, best: str) -> list[Column]:
+    """PASS or FAIL of each test, as aggregates over the metrics of a group."""
+    n = F.size(F.collect_set("controller"))  # as many as there are scenarios
     holds = lambda m, ok: F.count_if((F.col("metric") == m) & ok) == n
     v = F.col("value")
     verdict = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL")
-    return metrics.groupBy(group).agg(
-        verdict(F.round(value(best, "energy_cost"), 9) < F.round(value(base, "energy_cost"), 9)).alias("economic"),
-        verdict(F.round(value(best, "carbon_kg"), 9) <= F.round(value(base, "carbon_kg"), 9)).alias("carbon"),
+    return [
+        verdict(F.round(_value(best, "energy_cost"), 9) < F.round(_value(base, "energy_cost"), 9)).alias("economic"),
+        verdict(F.round(_value(best, "carbon_kg"), 9) <= F.round(_value(base, "carbon_kg"), 9)).alias("carbon"),
         verdict(holds("temperature_violation_count", v == 0) & holds("thermal_infeasibility_count", v == 0)).alias("thermal"),
         verdict(holds("invalid_value_count", v == 0) & holds("max_abs_power_balance_error", v <= 1e-9) & holds("max_abs_renewable_balance_error", v <= 1e-9)).alias("numerical"),
-    )
+    ]
+
+
+def acceptance(metrics: DataFrame, group: str = "center", base: str = "baseline", best: str = "finite_horizon") -> DataFrame:
+    """PASS or FAIL by group; a missing metric fails its test. ``metrics``: (group, controller, metric, value).
+    Sums are compared to nine places, so that equal runs tie whatever the order they were added in."""
+    return metrics.groupBy(group).agg(*_verdicts(base, best))
 
 
 def degradation_matrix(metrics: DataFrame, names: list[str], group: str = "center") -> DataFrame:
-    """(group, controller, condition, metric, value, degradation) against the same controller's ideal run; a missing value is 0."""
-    grid = metrics.select(group, "controller", "condition").distinct().crossJoin(F.broadcast(metrics.sparkSession.createDataFrame([(n,) for n in names], "metric string")))
-    full = grid.join(metrics, [group, "controller", "condition", "metric"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    ideal = full.where(F.col("condition") == "ideal").select(group, "controller", "metric", F.col("value").alias("ideal_value"))
-    return full.join(ideal, [group, "controller", "metric"], "left").select(
-        group, "controller", "condition", "metric", "value", P.degradation(F.coalesce("ideal_value", F.lit(0.0)), F.col("value")).alias("degradation")
-    )
+    """(group, controller, condition, metric, value, degradation) against the same controller's ideal run; a missing value is 0.
+    One aggregate makes a row of each run, one window over a controller's few runs finds the ideal one."""
+    value = lambda n: F.coalesce(F.max(F.when(F.col("metric") == n, F.col("value"))), F.lit(0.0))
+    runs = metrics.groupBy(group, "controller", "condition").agg(*[value(n).alias(f"__{i}") for i, n in enumerate(names)])
+    ideal = lambda c: F.coalesce(F.max(F.when(F.col("condition") == "ideal", F.col(c))).over(Window.partitionBy(group, "controller")), F.lit(0.0))
+    each = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"__{i}").alias("value"), F.col(f"__ideal{i}").alias("ideal")) for i, n in enumerate(names)])
+    both = runs.withColumns({f"__ideal{i}": ideal(f"__{i}") for i in range(len(names))}).select(group, "controller", "condition", F.explode(each).alias("m"))
+    return both.select(group, "controller", "condition", "m.metric", "m.value", P.degradation(F.col("m.ideal"), F.col("m.value")).alias("degradation"))
 
 
 def safety_margin(records: DataFrame, by: str = "run_id") -> DataFrame:
@@ -111,11 +121,11 @@ def events(records: DataFrame, by: str = "run_id") -> DataFrame:
 def thermal(records: DataFrame, by: str = "run_id") -> DataFrame:
     """Steps outside of the limits, their longest stretches, and the extreme temperatures of each run."""
     below, above = F.col("temp_c") < F.col("temp_min_c"), F.col("temp_c") > F.col("temp_max_c")
-    d = W.with_streaks(records, by, {"__below": below, "__above": above})
-    return d.groupBy(by).agg(
-        F.count_if(below).alias("below_min_count"), F.count_if(above).alias("above_max_count"), F.max("__below").alias("longest_below_min_streak"), F.max("__above").alias("longest_above_max_streak"),
-        F.min("temp_c").alias("minimum_temperature"), F.max("temp_c").alias("maximum_temperature"),
-    )
+    t = TwoLevels()
+    return t.of(records, by, {
+        "below_min_count": t.count_if(below), "above_max_count": t.count_if(above), "longest_below_min_streak": t.longest_streak(below), "longest_above_max_streak": t.longest_streak(above),
+        "minimum_temperature": t.min("temp_c"), "maximum_temperature": t.max("temp_c"),
+    })
 
 
 def head(records: DataFrame, by: str, columns: list[str], n: int = 12) -> DataFrame:
@@ -135,25 +145,22 @@ def comparison_lines(metrics: DataFrame, group: str = "center", scenarios=("base
     """(group, line_no, line): a table of the metrics in fixed widths, then the conclusions.
 
     ``metrics``: (group, controller, metric, value). Where any scenario lacks a metric, its
-    whole line says so. One pivot and one aggregate, both by group.
+    whole line says so. One aggregate by group has all values and verdicts; the lines are an array.
     """
-    names = metrics.sparkSession.createDataFrame([(i, m, t) for i, (m, t) in enumerate(LABELS.items())], "line_no int, metric string, label string")
-    wide = metrics.groupBy(group, "metric").pivot("controller", list(scenarios)).agg(F.max("value"))
-    grid = metrics.select(group).distinct().crossJoin(F.broadcast(names)).join(wide, [group, "metric"], "left")  # names: the nine above
-    lacking = F.lit(False)
-    for s in scenarios:
-        lacking = lacking | F.col(s).isNull()
-    cells = [F.lpad(F.when(lacking, "missing").otherwise(F.format_string("%.4f", F.round(s, 4) + F.lit(0.0))), 16, " ") for s in scenarios]
-    table = grid.select(group, F.col("line_no").cast("int").alias("line_no"), F.concat(F.rpad("label", 30, " "), *cells).alias("line"))
-    value = lambda who, m: F.max(F.when((F.col("controller") == who) & (F.col("metric") == m), F.col("value")))
+    values = F.array(*[F.array(*[_value(s, m) for s in scenarios]) for m in LABELS])
+    rates = F.array(*[_value(s, "renewable_utilization_rate") for s in scenarios])
+    change = P.percent_change(_value(base, "energy_cost"), _value(best, "energy_cost"))
+    one = metrics.groupBy(group).agg(values.alias("__values"), rates.alias("__rates"), change.alias("__change"), *_verdicts(base, best))
     share = lambda x: F.format_string("%.2f%%", F.round(F.coalesce(x, F.lit(0.0)) * 100, 2) + F.lit(0.0))
-    rates = metrics.groupBy(group).agg(*[value(s, "renewable_utilization_rate").alias(f"__{s}") for s in scenarios], P.percent_change(value(base, "energy_cost"), value(best, "energy_cost")).alias("__change"))
-    found = acceptance(metrics, group, base, best).join(rates, group)
-    change = F.when(F.col("__change").isNull(), "missing").otherwise(F.format_string("%.2f%%", P.signed(F.col("__change"), 2)))
-    said = [
+    lines = []
+    for i, label in enumerate(LABELS.values()):
+        own = F.col("__values")[i]
+        cell = lambda k, own=own: F.lpad(F.when(F.exists(own, F.isnull), "missing").otherwise(F.format_string("%.4f", F.round(own[k], 4) + F.lit(0.0))), 16, " ")
+        lines.append(F.concat(F.rpad(F.lit(label), 30, " "), *[cell(k) for k in range(len(scenarios))]))
+    changed = F.when(F.col("__change").isNull(), "missing").otherwise(F.format_string("%.2f%%", P.signed(F.col("__change"), 2)))
+    lines += [
         F.concat(F.lit("Economic improvement: "), "economic"), F.concat(F.lit("Carbon improvement: "), "carbon"), F.concat(F.lit("Thermal feasibility: "), "thermal"),
-        F.concat(F.lit("Renewable utilization: "), F.concat_ws(", ", *[F.concat(F.lit(f"{s}="), share(F.col(f"__{s}"))) for s in scenarios])),
-        F.concat(F.lit("Numerical validity: "), "numerical"), F.concat(F.lit(f"{best} vs {base} cost: "), change),
+        F.concat(F.lit("Renewable utilization: "), F.concat_ws(", ", *[F.concat(F.lit(f"{s}="), share(F.col("__rates")[k])) for k, s in enumerate(scenarios)])),
+        F.concat(F.lit("Numerical validity: "), "numerical"), F.concat(F.lit(f"{best} vs {base} cost: "), changed),
     ]
-    ends = found.select(group, F.posexplode(F.array(*said)).alias("k", "line")).select(group, (F.col("k") + len(LABELS)).cast("int").alias("line_no"), "line")
-    return table.unionByName(ends)
+    return one.select(group, F.posexplode(F.array(*lines)).alias("k", "line")).select(group, F.col("k").cast("int").alias("line_no"), "line")

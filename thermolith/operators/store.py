@@ -15,12 +15,13 @@ from datetime import datetime, timezone
 from typing import Protocol
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Facility
 from ..errors import RunStateError, StorageError
 from ..schema import RECORD_COLUMNS, TRANSIENT_COLUMNS
+from . import sqltext
 
 SCHEMA_VERSION = 2
 #: DDL of the tables; what a legacy table lacks is added as null.
@@ -228,6 +229,40 @@ class RunStore:
         kept = records.select("step_index", *[c for c in RECORD_COLUMNS if c not in TRANSIENT_COLUMNS and c in records.columns], F.col("run_id").cast("long").alias("run_id"))
         kept.write.mode("append").partitionBy("run_id").parquet(self.path("simulation_results" if self.commit_each_step else "_stage"))
 
+    def store_batch(self, run_id: int, batch_id: int, rows: DataFrame) -> bool:
+        """Stores a micro-batch of a stream once, however often it is delivered; whether it was new.
+
+        The rows of a batch have a partition of their own, which a delivery that was cut off leaves to be replaced by the next one.
+        A batch counts once its row in the ledger is there, a single file that appears whole; rows without one are never read.
+        """
+        if self._committed(run_id, batch_id):
+            return False
+        self._running([run_id])
+        seen = Observation()
+        at = f"run_id={run_id}/batch_id={batch_id}"
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self.path(f"stream_steps/{at}"))
+        ledger = self.spark.createDataFrame([(seen.get["n"], self._now())], "n_rows long, committed_at timestamp")
+        ledger.coalesce(1).write.mode("overwrite").parquet(self.path(f"stream_batches/{at}"))
+        return True
+
+    def _committed(self, run_id: int, batch_id: int) -> bool:
+        files, fs = self._at(f"stream_batches/run_id={run_id}/batch_id={batch_id}/part-*")
+        return len(fs.globStatus(files) or ()) > 0
+
+    def batches(self) -> DataFrame:
+        """The ledger: (run_id, batch_id, n_rows, committed_at)."""
+        ddl = "n_rows long, committed_at timestamp, run_id long, batch_id long"
+        return self.spark.read.schema(ddl).parquet(self.path("stream_batches")) if self.exists("stream_batches") else self.spark.createDataFrame([], ddl)
+
+    def streamed(self, run_id: int | None = None) -> DataFrame:
+        """The rows of all committed batches, or of one run's, with run_id and batch_id."""
+        if not self.exists("stream_steps"):
+            raise StorageError("no stream has stored anything")
+        rows = self.spark.read.option("mergeSchema", "true").parquet(self.path("stream_steps"))
+        rows = rows.withColumns({"run_id": F.col("run_id").cast("long"), "batch_id": F.col("batch_id").cast("long")})
+        own = rows if run_id is None else rows.where(F.col("run_id") == run_id)
+        return own.join(self.batches().select("run_id", "batch_id"), ["run_id", "batch_id"], "left_semi")
+
     def finish_run(self, run_id: int, metrics: DataFrame) -> None:
         self.finish_runs([run_id], metrics.withColumn("run_id", F.lit(run_id).cast("long")))
 
@@ -267,6 +302,15 @@ class RunStore:
     def metrics(self) -> DataFrame:
         return last_version(self.read("run_metrics"), ["run_id", "metric"]).drop("version")
 
+    def views(self) -> None:
+        """The store's tables as views of their names: of runs, datasets and metrics what stands now, and all else that is there."""
+        sqltext.views(self.spark, experiment_runs=self.runs(), datasets=self.datasets(), run_metrics=self.metrics(), **{t: self.read(t) for t in ("input_timeseries", "run_input_timeseries", "simulation_results") if self.exists(t)})
+
+    def ask(self, text: str, **args) -> DataFrame:
+        """SQL over the store's tables as they are now, with arguments by name."""
+        self.views()
+        return sqltext.ask(self.spark, text, **args)
+
     def migrate(self, older: dict[str, DataFrame]) -> dict[str, int]:
         """Takes over a whole older store, given as tables by name (from files, SQLite or JDBC); rows by table.
 

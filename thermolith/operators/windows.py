@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Facility
+from . import blocks
 
 
 def ahead(by: str, n: int, order: str = "step_index", skip: int = 0) -> Window:
@@ -48,18 +49,10 @@ def movement(x: str, by: str, first: Column | float = 0.0) -> Column:
     return F.abs(step_change(x, by, first))
 
 
-def with_streaks(df: DataFrame, by: str, flags: dict[str, Column], order: str = "step_index") -> DataFrame:
-    """Adds, under each name, how many steps up to this one its flag has held without a break
-    (a null flag is a break): two windows of one partitioning, which a following aggregate by series keeps."""
-    w = Window.partitionBy(by).orderBy(order)
-    numbered = df.withColumn("__place", F.row_number().over(w))
-    last = lambda flag: F.last(F.when(~F.coalesce(flag, F.lit(False)), F.col("__place")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumns({name: (F.col("__place") - F.coalesce(last(flag), F.lit(0))).cast("long") for name, flag in flags.items()}).drop("__place")
-
-
-def longest_streak(df: DataFrame, by: str, flag: Column, name: str = "longest_streak") -> DataFrame:
-    """The longest run of true steps by series, 0 if there is none."""
-    return with_streaks(df.select(by, "step_index", flag.alias("f")), by, {"n": F.col("f")}).groupBy(by).agg(F.max("n").alias(name))
+def longest_streak(df: DataFrame, by: str, flag: Column, name: str = "longest_streak", steps: int = blocks.STEPS) -> DataFrame:
+    """The longest run of true steps by series, 0 if there is none: summaries of blocks of time, put together in order."""
+    t = blocks.TwoLevels(steps)
+    return t.of(df, by, {name: t.longest_streak(flag)})
 
 
 def extreme(df: DataFrame, by: str, key: Column, what: list[str], largest: bool = True) -> DataFrame:
@@ -104,3 +97,12 @@ def comparable(anchors: DataFrame, others: DataFrame, keys: list[str], order: st
     b = others.select(*keys, F.col(order).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(take).alias("__take"))
     w = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
     return a.unionByName(b).withColumn(name, F.last("__take", ignorenulls=True).over(w)).where("__side = 1").select("__row.*", name)
+
+
+def distinct_numbers(df: DataFrame, by: list[str], number: str) -> DataFrame:
+    """(by, rows, distinct): rows and different whole numbers of each group, nulls not among them.
+
+    The numbers of a group are bits in maps of 4 KB, one for each 32,768 numbers that lie together, which add up: no pair of group and number is shuffled.
+    """
+    held = df.groupBy(*by, F.bitmap_bucket_number(number).alias("__bucket")).agg(F.count("*").alias("__rows"), F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("__bits"))
+    return held.groupBy(*by).agg(F.sum("__rows").alias("rows"), F.sum(F.when(F.col("__bucket").isNotNull(), F.bitmap_count("__bits")).otherwise(0)).alias("distinct"))

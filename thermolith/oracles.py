@@ -250,6 +250,21 @@ def _matrix(conditions: tuple[str, ...]) -> str:
 _STATE = f"st AS (SELECT *, {_D(17.0)} + online_workload * {_D(20.0)} AS t, electricity_price * {_D(400.0)} - {_D(60.0)} AS request, {heat('online_workload')} AS h, outdoor_temperature_c AS o FROM sig)"
 _LO, _HI = f"greatest({_D(0.0)}, {bound('t', 'h', 'o', _D(32.0))})", f"least({_D(280.0)}, {bound('t', 'h', 'o', _D(18.0))})"
 _HI_FLOOR = f"least({_D(280.0)}, {bound('t', 'h', 'o', _D(20.5))})"
+#: Columns of the tables that are listed.
+_LISTED = {
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"), "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+}
+#: All days as one series.
+_ONE = "one AS (SELECT * REPLACE (CAST(1 AS INTEGER) AS center, CAST((center - 1) * 96 + step_index AS INTEGER) AS step_index) FROM sig)"
+_STORED = "stored AS (SELECT o_orderkey AS id, 'c' || (o_custkey % 7) AS name, o_custkey % 50 AS dataset_id, o_orderpriority AS scenario, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS condition_name FROM orders)"
+
+
+def _lines(names) -> str:
+    value = {"quantity": "CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE)", "largest": "max(l_extendedprice)", "discount": "min(l_discount)"}
+    return "\nUNION ALL\n".join(f"SELECT l_orderkey AS run_id, '{n}' AS metric, {_r(value[n], 'value')} FROM lineitem GROUP BY 1" for n in names)
+
+
 _RUNS = "runs AS (SELECT o_orderkey AS id, o_custkey AS dataset_id, o_orderpriority AS controller_name, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS condition_name, o_totalprice AS value FROM orders)"
 
 
@@ -354,23 +369,6 @@ def _noise() -> list[float]:
 _DEG = "CASE WHEN ideal_value = 0 THEN printf('absolute change %+.4f', round(value - ideal_value, 4) + 0.0) ELSE printf('%+.2f%%', round((value - ideal_value) / abs(ideal_value) * 100.0, 2) + 0.0) END"
 _ACCEPT = lambda ok, name: f"CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS {name}"
 
-def _standard_day() -> str:
-    """The generator's shapes over a range of steps; its five runs of draws are fixed by the seed, so stated as values."""
-    import numpy as np
-
-    rng = np.random.default_rng(42)
-    e = ["[" + ", ".join(repr(x) for x in rng.normal(0.0, sd, 96).tolist()) + "][i + 1]" for sd in (0.012, 0.008, 0.012, 0.010, 0.15)]
-    bump = lambda at, width: f"exp(-0.5 * pow((h - {at}) / {width}, 2.0))"
-    m, v, sun = bump(8.0, 2.0), bump(17.0, 2.3), "pow(greatest(sin(pi() * (h - 6.0) / 12.0), 0.0), 1.6)"
-    values = {
-        "online_workload": f"least(greatest(0.32 + 0.28 * {m} + 0.34 * {v} + {e[0]}, 0.22), 0.82)", "batch_workload": f"least(greatest(0.12 + 0.13 * {bump(5.5, 2.4)} + 0.10 * {bump(13.0, 3.0)} + {e[1]}, 0.05), 0.34)",
-        "electricity_price": f"least(greatest(0.43 + 0.32 * {m} + 0.50 * {v} - 0.14 * {bump(2.0, 2.7)} + {e[2]}, 0.20), 1.10)",
-        "carbon_intensity_kg_per_kwh": f"least(greatest(0.49 + 0.05 * {m} + 0.16 * {v} - 0.11 * {sun} + 0.025 * sin(2.0 * pi() * (h + 1.5) / 24.0) + {e[3]}, 0.25), 0.80)",
-        "outdoor_temperature_c": f"15.0 + 10.5 * sin(2.0 * pi() * (h - 7.0) / 24.0) + {e[4]}", "renewable_power_kw": f"320.0 * {sun}",
-    }
-    return "SELECT CAST(i AS INTEGER) AS step_index, TIMESTAMP '2025-12-31 16:00:00' + to_minutes(i * 15) AS timestamp, " + ", ".join(_r(f"CAST({x} AS DOUBLE)", k) for k, x in values.items()) + " FROM (SELECT i, CAST(i AS DOUBLE) * 15.0 / 60.0 AS h FROM range(96) AS r(i))"
-
-
 _LEGACY = (("online_workload", "online_load", "{}", "{}"), ("batch_workload", "batch_load", "{}", "{}"), ("electricity_price", "price", "{}", "{}"), ("carbon_intensity_kg_per_kwh", "carbon", "{} * 1000.0", "{} / 1000.0"), ("outdoor_temperature_c", "outdoor_temp", "{}", "{}"), ("renewable_power_kw", "renewable", "{} / 100.0", "{} * 100.0"))
 
 ORACLES: dict[str, str] = {
@@ -413,26 +411,52 @@ SELECT CAST(center AS BIGINT) AS run_id, CAST(95 AS BIGINT) AS steps, CASE cente
     "iso_times": _with(SIG) + "\nSELECT center, step_index, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS text, strftime(timestamp + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') || '+08:00' AS local_text FROM sig",
     "forecast_contract": _with(SIG) + """
 SELECT center, step_index, controller, CASE WHEN least(center, 30, 96 - step_index) > reach THEN printf('the controller may see %d steps at most', reach) END AS error
-FROM sig CROSS JOIN (VALUES ('baseline', 1), ('heuristic', 24), ('finite_horizon', 8)) AS c(controller, reach) WHERE step_index % 24 = 7""",
+FROM sig CROSS JOIN (VALUES ('baseline', 1), ('heuristic', 24), ('finite_horizon', 8)) AS c(controller, reach)""",
     "csv_canonical": _with(SIG) + "\nSELECT timestamp, 'csv' AS source, " + ", ".join(_r(c, c) for c in _VALUES) + " FROM sig",
     "csv_legacy": _with(SIG) + "\nSELECT timestamp, 'csv:legacy-normalized' AS source, " + ", ".join(_r(c, c) for c in _VALUES) + " FROM sig",
     "csv_sorted": _with(SIG) + f"\nSELECT timestamp, step_index, {_r('electricity_price', 'price')}, {_r('carbon_intensity_kg_per_kwh * 1000.0', 'carbon')} FROM sig",
     "both_layouts": _with(SIG) + "\nSELECT timestamp, " + ", ".join(_r(old.format(c), n) for c, n, old, _ in _LEGACY) + ", " + ", ".join(_r("CASE WHEN minute(timestamp) % 30 = 0 THEN electricity_price + 1.0 ELSE electricity_price END" if c == "electricity_price" else back.format("(" + old.format(c) + ")"), c) for c, _, old, back in _LEGACY) + " FROM sig",
-    "standard_day": _standard_day(),
     "batch_service_alignment": _with(SIG, f"""
 wrk AS (SELECT center, CAST(-1 AS INTEGER) AS step_index, {_D(0.0)} AS done, {_D(0.0)} AS waiting FROM (SELECT DISTINCT center FROM sig)
   UNION ALL SELECT center, step_index, CAST(d AS DOUBLE), CAST(b - d AS DOUBLE) FROM (SELECT *, least(b, greatest({_D(0.0)}, want)) AS d FROM (
     SELECT g.center, g.step_index, g.electricity_price * {_D(0.4)} - {_D(0.1)} AS want, w.waiting + g.batch_workload AS b FROM wrk w JOIN sig g ON g.center = w.center AND g.step_index = w.step_index + 1)))""") + f"\nSELECT s.center, s.step_index, {_r('greatest(0.0, s.online_workload + w.done)', 'workload_fraction')} FROM sig s JOIN wrk w ON w.center = s.center AND w.step_index = s.step_index",
     "metric_map": _with(*_REC) + f"\nSELECT center, CAST(66 AS INTEGER) AS n, {_r('sum(energy_cost_step)', 'energy_cost', 5)}, CAST(0 AS DOUBLE) AS final_backlog FROM rec GROUP BY 1",
     "legacy_summary": _metrics_query(False).replace("sum(grid_energy_kwh)", "sum(grid_power_kw * 0.25)").replace("sum(dc_energy_kwh)", "sum(total_power_kw * 0.25)").replace("sum(cooling_energy_kwh)", "sum(cooling_power_kw * 0.25)"),
-    "schema_columns": "SELECT table_name, CAST(ordinal_position AS INTEGER) AS position, column_name FROM information_schema.columns WHERE table_name IN ('orders', 'nation', 'events')",
+    "schema_columns": "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, CAST({i} AS INTEGER) AS position, '{c}' AS column_name, count({c}) AS n_values FROM {t}" for t, columns in _LISTED.items() for i, c in enumerate(columns, 1)),
+    "backlog_one_series": _with(SIG, _ONE, DISPATCH.replace("FROM sig", "FROM one").replace("96.0 - step_index", "2880.0 - step_index")) + f"\nSELECT step_index, {_r('batch_service', 'batch_service')}, {_r('backlog', 'backlog')} FROM disp WHERE step_index >= 0",
+    "streak_one_series": _with(SIG, _ONE) + "\nSELECT CAST(1 AS INTEGER) AS center, " + ", ".join(f"(SELECT max(n) FROM (SELECT count(*) FILTER (WHERE f = 1) AS n FROM (SELECT f, step_index - sum(f) OVER (ORDER BY step_index) AS k FROM (SELECT step_index, CAST({flag} AS INTEGER) AS f FROM one)) GROUP BY k)) AS {name}" for name, flag in (("cheap", "electricity_price <= 0.6"), ("busy", "online_workload > 0.3"))) + ", (SELECT count(*) FROM one WHERE online_workload > 0.3) AS n_busy",
+    "sql_comparable_runs": _with(_STORED) + """
+SELECT a.name, a.dataset_id, a.id AS anchor_id, s.scenario, max(r.id) AS run_id
+FROM (SELECT * FROM stored WHERE scenario = '3-MEDIUM' AND (condition_name = 'F' OR condition_name IS NULL) QUALIFY row_number() OVER (PARTITION BY name, dataset_id ORDER BY id DESC) = 1) a
+CROSS JOIN (VALUES ('1-URGENT'), ('3-MEDIUM'), ('it''s none')) AS s(scenario)
+JOIN stored r ON r.scenario = s.scenario AND r.name = a.name AND r.dataset_id = a.dataset_id AND r.id <= a.id AND (r.condition_name = 'F' OR r.condition_name IS NULL)
+GROUP BY ALL""",
+    "sql_run_metrics": _lines(("quantity", "discount")), "sql_run_metrics_any": _lines(("quantity", "discount", "largest")),
+    "sql_runs_under_none": _with(_STORED) + "\nSELECT scenario, count(*) AS n, max(id) AS last_id FROM stored WHERE condition_name IS NULL GROUP BY 1",
+    "sql_latest_runs": _with(_STORED) + "\nSELECT r.id, r.scenario, r.condition_name, c_name AS dataset_name FROM (SELECT * FROM stored ORDER BY id DESC LIMIT 25) r JOIN customer ON c_custkey = r.dataset_id",
+    "sql_accounted_steps": _with(SIG, f"""
+p AS (SELECT *, {heat('online_workload + batch_workload')} + {cooling(heat('online_workload + batch_workload') + ' * ' + _D(0.5))} + {_D(12.0)} AS power FROM sig),
+g AS (SELECT *, power - {used('renewable_power_kw', 'power')} AS grid, greatest({_D(0.0)}, renewable_power_kw) - {used('renewable_power_kw', 'power')} AS lost FROM p)""") + f"""
+SELECT center AS run_id, count(*) AS steps, {_r('sum(grid * 0.25)', 'energy_kwh')}, {_r('sum(grid * 0.25 * electricity_price)', 'energy_cost')}, {_r('sum(grid * 0.25 * carbon_intensity_kg_per_kwh)', 'carbon_kg')}, {_r('sum(lost)', 'curtailed_kw')} FROM g GROUP BY 1""",
+    "sql_bounded_steps": _with(SIG, f"""
+st AS (SELECT center AS run_id, step_index, {_D(17.0)} + online_workload * {_D(20.0)} AS t, {heat('online_workload + batch_workload')} AS h, outdoor_temperature_c AS o, electricity_price * {_D(400.0)} - {_D(60.0)} AS want FROM sig),
+bd AS (SELECT *, greatest({_D(0.0)}, {bound('t', 'h', 'o', _D(32.0))}) AS lo, least({_D(280.0)}, {bound('t', 'h', 'o', _D(20.5))}) AS hi,
+  least({_D(280.0)}, (h * {_D(0.95)} - (t - o) / {_D(0.18)} - ({_D(20.5)} - t) * {_D(55.0 * 1.05)} / {_D(0.25)}) / {_D(1.05)}) AS mhi FROM st),
+ac AS (SELECT *, CASE WHEN lo <= hi + 1e-9 THEN least(greatest(least(greatest(want, 0.0), 280.0), lo), hi) WHEN lo > 280.0 THEN 280.0 ELSE 0.0 END AS a FROM bd)""") + f"""
+SELECT run_id, step_index, {_r('lo', 'least_kw')}, {_r('hi', 'most_kw')}, {_r('mhi', 'model_most_kw')}, {_r('a', 'action_kw')}, {_r(thermal('t', 'h', 'a', 'o', 1.05, 0.95, 1.05), 'next_c')} FROM ac""",
+    "csv_quarantine": _with(SIG, "f AS (SELECT *, (step_index + center) % 24 AS k FROM sig)") + """
+SELECT 'good' AS reason, count(*) AS n, count(*) FILTER (WHERE k <> 4) AS n_workloads, round(sum(round(electricity_price, 6)), 4) + 0.0 AS price FROM f WHERE k NOT IN (1, 2, 3, 5, 6, 7)
+UNION ALL
+SELECT CASE WHEN k IN (5, 7) THEN 'wrong number of fields' WHEN k = 1 THEN 'timestamp: no time' WHEN k = 2 THEN 'timestamp: missing' WHEN k = 3 THEN 'online_workload: no number' ELSE 'renewable_power_kw: no number' END, count(*), 0, 0.0
+FROM f WHERE k IN (1, 2, 3, 5, 6, 7) GROUP BY 1""",
+    "stream_stored_totals": "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS value, 'completed' AS status, (SELECT count(*) FROM events) AS n_stored FROM events GROUP BY 1",
     "stream_slots": """
 SELECT slot_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, round(round(sum(value), 2), 2) + 0.0 AS value
 FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS slot_start, (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE AS closed FROM events)
 WHERE slot_start + INTERVAL 15 MINUTE <= closed GROUP BY slot_start""",
     "run_store": _with(SIG) + """
-SELECT CAST(nth AS BIGINT) AS nth, CAST(0 AS BIGINT) AS dataset, scenario, status, message, (SELECT count(*) FROM sig WHERE center <= 2) AS n_steps, CASE WHEN nth = 0 THEN (SELECT count(*) FROM sig WHERE center = 1) END AS steps,
-  CASE WHEN nth = 0 THEN (SELECT round(sum(electricity_price), 6) FROM sig WHERE center = 1) END AS price, CASE WHEN nth = 0 THEN CAST(2 AS BIGINT) END AS metrics, CASE WHEN nth = 0 THEN CAST(5.0 AS DOUBLE) END AS largest
+SELECT CAST(nth AS BIGINT) AS nth, CAST(0 AS BIGINT) AS dataset, scenario, status, message, (SELECT count(*) FROM sig) AS n_steps, CASE WHEN nth = 0 THEN (SELECT count(*) FROM sig) END AS steps,
+  CASE WHEN nth = 0 THEN (SELECT round(sum(electricity_price), 6) FROM sig) END AS price, CASE WHEN nth = 0 THEN CAST(2 AS BIGINT) END AS metrics, CASE WHEN nth = 0 THEN CAST(5.0 AS DOUBLE) END AS largest
 FROM (VALUES (0, 'baseline', 'completed', NULL), (1, 'heuristic', 'failed', 'no power'), (2, 'finite_horizon', 'running', NULL)) AS r(nth, scenario, status, message)""",
     "mpc_open_loop_solve": _mpc(),
     "robustness_matrix": _matrix(("ideal", "rate_limited", "mild_mismatch", "rate_limited_mild_mismatch")) + "\nSELECT center, controller, condition, " + ", ".join(_r(c, c, 5) for c in ("energy_cost", "carbon_kg", "max_temp_c", "grid_kwh")) + " FROM tot",

@@ -25,8 +25,8 @@ def run(store: RunStore, signals: DataFrame, name: str, conditions: list[str], f
     dataset_id = store.upsert_dataset(dataset, signals.drop("step_index"), "generated", f.step_minutes)
     series = signals.withColumn("center", F.lit(0))
     rec = records.records(loop.simulate(loop.runs_of(series, "center", [(n, d) for n, d, _ in scenarios], conditions, f), f), f)
-    keys = sorted(rec.select("run_id", "controller", "condition").distinct().collect(), key=lambda r: r["run_id"])  # scenarios times conditions
     rec = rec.persist()
+    keys = [{"run_id": i * len(conditions) + k, "controller": n, "condition": c} for i, (n, *_) in enumerate(scenarios) for k, c in enumerate(conditions)]  # as loop.runs_of numbers the one series
     commit = git_commit(root)
     ids = store.create_runs([{"name": name, "scenario": k["controller"], "dataset_id": dataset_id, "controller_name": k["controller"], "condition_name": k["condition"], "seed": seed, "config": f.snapshot(), "git_commit": commit} for k in keys])
     try:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from .config import CONDITION_TABLE, Condition, Facility, condition
 from .functions import physics as P
-from .operators import contracts, dispatch, metrics, records, reports
+from .operators import blocks, contracts, dispatch, metrics, records, reports, sqltext
 from .operators import windows as W
 from .operators.store import RunStore, last_version, widened
 from .plans import loop, open_loop
 from .sources import signals as S
 from .streaming import events as stream_events
 from .streaming import loop as live
+from .streaming import sink
 
 FAC = Facility()
 #: The four actuators alone, as conditions of their own.
@@ -72,8 +73,10 @@ def step_gap_check(s, d):
 
 
 def duplicate_steps(s, d):
-    e = read(s, d, "events").select("user_id", F.date_trunc("hour", "ts").alias("slot"))
-    return e.groupBy("user_id").agg(F.count("*").alias("steps"), F.countDistinct("slot").alias("distinct_steps")).withColumn("duplicate_steps", F.greatest(F.lit(0).cast("long"), F.col("steps") - F.col("distinct_steps")))
+    """Hours of each user as bitmaps: exact, of fixed size for so many hours, and merged before the shuffle."""
+    hour = F.unix_micros(F.date_trunc("hour", "ts").cast("timestamp")) / F.lit(3_600_000_000)
+    e = read(s, d, "events").select("user_id", F.floor(hour).alias("hour"))
+    return W.distinct_numbers(e, ["user_id"], "hour").select("user_id", F.col("rows").alias("steps"), F.col("distinct").alias("distinct_steps"), F.greatest(F.lit(0).cast("long"), F.col("rows") - F.col("distinct")).alias("duplicate_steps"))
 
 
 def dataset_metadata(s, d):
@@ -267,10 +270,11 @@ def longest_streak(s, d):
 
 
 def extreme_events(s, d):
-    x = sig(s, d)
-    high = W.extreme(x, "center", F.col("electricity_price"), ["step_index", "electricity_price"]).withColumnRenamed("step_index", "high_step").withColumnRenamed("electricity_price", "high_price")
-    low = W.extreme(x, "center", F.col("electricity_price"), ["step_index", "electricity_price"], largest=False).withColumnRenamed("step_index", "low_step").withColumnRenamed("electricity_price", "low_price")
-    return rounded(high.join(low, "center"))
+    """The steps of the highest and of the lowest price by series, in one aggregate."""
+    step, price = F.col("step_index"), F.col("electricity_price")
+    end = lambda key: F.max_by(F.struct("step_index", "electricity_price"), F.struct(key.alias("k"), (-step).alias("i")))
+    both = sig(s, d).groupBy("center").agg(end(price).alias("high"), end(-price).alias("low"))
+    return rounded(both.select("center", F.col("high.step_index").alias("high_step"), F.col("high.electricity_price").alias("high_price"), F.col("low.step_index").alias("low_step"), F.col("low.electricity_price").alias("low_price")))
 
 
 def safety_margin(s, d):
@@ -318,9 +322,8 @@ def in_list_filter(s, d):
 
 
 def _long(s, d, **options) -> DataFrame:
-    rec = _matrix(s, d, **options)
-    keys = rec.select("run_id", "center", "controller", "condition").distinct()
-    return metrics.long(metrics.wide(rec, FAC)).join(keys, "run_id")
+    keys = ("center", "controller", "condition")
+    return metrics.long(metrics.wide(_matrix(s, d, **options), FAC, keys=keys), keys=keys)
 
 
 def scenario_pivot(s, d):
@@ -460,7 +463,7 @@ def iso_times(s, d):
 
 def forecast_contract(s, d):
     """Windows of each length from one to thirty steps, held against what each controller may see."""
-    x = W.forecast(sig(s, d).withColumn("at", F.col("timestamp")), "center", 30, ["at", "electricity_price"]).where("step_index % 24 = 7")
+    x = W.forecast(sig(s, d).withColumn("at", F.col("timestamp")), "center", 30, ["at", "electricity_price"])
     x = x.withColumn("controller", F.explode(F.array(*[F.lit(n) for n in ("baseline", "heuristic", "finite_horizon")]))).withColumn("forecast", F.slice("forecast", 1, F.least(F.col("center"), F.lit(30))))
     return x.select("center", "step_index", "controller", contracts.forecast_error().alias("error"))
 
@@ -491,7 +494,7 @@ def csv_legacy(s, d):
 
 def csv_sorted(s, d):
     """The older layout in the order of times; the place of each row in it."""
-    day = S.legacy(sig(s, d)).where("carbon IS NOT NULL").withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    day = S.legacy(sig(s, d)).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
     back = S.read_sorted(s, _kept(s, day.repartition(5, "price"), "sorted"))
     return rounded(S.steps(back.withColumn("dataset_id", F.date_trunc("day", "timestamp"))).select("timestamp", "step_index", "price", "carbon"))
 
@@ -500,10 +503,6 @@ def both_layouts(s, d):
     return rounded(S.both_layouts(S.legacy(sig(s, d)).withColumn("electricity_price", F.when(F.pmod(F.minute("timestamp"), F.lit(30)) == 0, F.col("price") + 1.0))))
 
 
-def standard_day(s, d):
-    return rounded(S.generate(s).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
-
-
 def batch_service_alignment(s, d):
     """Any service, joined step by step, as far as there is work for it."""
     x = sig(s, d)
@@ -513,7 +512,7 @@ def batch_service_alignment(s, d):
 
 def metric_map(s, d):
     """Metrics as one map a run, and two of its values."""
-    wide = metrics.with_last_backlog(metrics.wide(_records(s, d), FAC, "center"), _records(s, d), "center")
+    wide = metrics.wide(_records(s, d), FAC, "center", last_backlog=True)
     mapped = metrics.as_map(metrics.long(wide, "center"), "center")
     return rounded(mapped.select("center", F.size("metrics").alias("n"), F.element_at("metrics", F.lit("energy_cost")).alias("energy_cost"), F.element_at("metrics", F.lit("final_backlog")).alias("final_backlog")), 5)
 
@@ -523,9 +522,13 @@ def legacy_summary(s, d):
 
 
 def schema_columns(s, d):
-    """The columns of some tables, as a catalogue lists them."""
-    rows = [(t, i, f.name) for t in ("orders", "nation", "events") for i, f in enumerate(read(s, d, t).schema, 1)]
-    return s.createDataFrame(rows, "table_name string, position int, column_name string")
+    """The columns of some tables, as a catalogue lists them, with how many rows have a value."""
+    parts = []
+    for t in ("orders", "nation", "events"):
+        df = read(s, d, t)
+        each = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.count(c).alias("n_values")) for i, c in enumerate(df.columns, 1)])
+        parts.append(df.agg(each.alias("c")).select(F.explode("c").alias("c")).select("c.*"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def stream_slots(s, d):
@@ -539,14 +542,14 @@ def stream_slots(s, d):
 
 def run_store(s, d):
     """The life of runs in a store: one finished, one failed, one that still runs; a dataset written twice and metrics three times."""
-    x = sig(s, d).where("center <= 2")
+    x = sig(s, d)
     store = RunStore(s, live.folder(s)).initialize()
     first = store.upsert_dataset("day", x.where("center = 1"))
     dataset = store.upsert_dataset("day", x)
     runs = store.create_runs([{"name": "r", "scenario": n, "dataset_id": dataset} for n in ("baseline", "heuristic", "finite_horizon")])
-    steps = x.where("center = 1").select("step_index", F.col("electricity_price").alias("price"))
+    steps = x.select("step_index", F.col("electricity_price").alias("price"))
     for run in runs[:2]:
-        store.append_inputs(run, x.where("center = 1"))
+        store.append_inputs(run, x)
         store.append_steps(run, steps)
     metric = lambda v: s.createDataFrame([("energy_cost", v), ("carbon_kg", 2 * v)], "metric string, value double")
     store.finish_run(runs[0], metric(1.0))
@@ -559,6 +562,107 @@ def run_store(s, d):
     return rounded(out.select((F.col("id") - runs[0]).alias("nth"), (F.col("dataset_id") - first).alias("dataset"), "scenario", "status", "message", "n_steps", "steps", "price", "metrics", "largest"))
 
 
+def backlog_one_series(s, d):
+    """All days as one series, its recurrence as a scan over blocks of 256 steps."""
+    one = sig(s, d).withColumns({"step_index": (F.col("center") - 1) * S.SLOTS + F.col("step_index"), "center": F.lit(1)})
+    return rounded(dispatch.price_aware(one, "center", FAC, steps=256).select("step_index", "batch_service", "backlog"))
+
+
+def streak_one_series(s, d):
+    """The longest runs of cheap and of dear steps of all days as one series, in blocks of 100 steps."""
+    one = sig(s, d).withColumns({"step_index": (F.col("center") - 1) * S.SLOTS + F.col("step_index"), "center": F.lit(1)})
+    t = blocks.TwoLevels(100)
+    cheap, busy = F.col("electricity_price") <= 0.6, F.col("online_workload") > 0.3
+    return t.of(one, "center", {"cheap": t.longest_streak(cheap), "busy": t.longest_streak(busy), "n_busy": t.count_if(busy)})
+
+
+def _catalogue(s, d) -> None:
+    """Views in the form of a store: orders as runs, customers as datasets, line items as metrics, signals as steps."""
+    runs = read(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), F.col("o_custkey") % 7).alias("name"), (F.col("o_custkey") % 50).alias("dataset_id"), F.col("o_orderpriority").alias("scenario"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("condition_name"))
+    lines = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"), F.max("l_extendedprice").alias("largest"), F.min("l_discount").alias("discount"))
+    steps = sig(s, d).select(F.col("center").alias("run_id"), "*", (F.col("online_workload") + F.col("batch_workload")).alias("workload"), (F.lit(17.0) + F.col("online_workload") * 20.0).alias("temp"), (F.col("electricity_price") * 400.0 - 60.0).alias("wanted"))
+    datasets = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    sqltext.views(s, experiment_runs=runs, datasets=datasets, run_metrics=metrics.long(lines), simulation_steps=steps)
+    sqltext.register(s, FAC)
+
+
+def sql_comparable_runs(s, d):
+    """Bound scalars and a list: the latest comparable runs of the listed scenarios, for every anchor."""
+    _catalogue(s, d)
+    return sqltext.ask(s, sqltext.COMPARABLE_RUNS, anchor="3-MEDIUM", condition="F", scenarios=["1-URGENT", "3-MEDIUM", "it's none"])
+
+
+def sql_run_metrics(s, d):
+    """A list as an argument."""
+    _catalogue(s, d)
+    return rounded(sqltext.ask(s, sqltext.RUN_METRICS, first=0, last=2**40, metrics=["quantity", "discount"]))
+
+
+def sql_run_metrics_any(s, d):
+    """The same text with a null in the list's place: all metrics."""
+    _catalogue(s, d)
+    return rounded(sqltext.ask(s, sqltext.RUN_METRICS, first=0, last=2**40, metrics=None))
+
+
+def sql_runs_under_none(s, d):
+    """A null as an argument that means null."""
+    _catalogue(s, d)
+    return sqltext.ask(s, sqltext.RUNS_UNDER, condition=None)
+
+
+def sql_latest_runs(s, d):
+    _catalogue(s, d)
+    return sqltext.ask(s, sqltext.LATEST_RUNS, n=25)
+
+
+def sql_accounted_steps(s, d):
+    """Accounting by SQL functions, with an open end."""
+    _catalogue(s, d)
+    return rounded(sqltext.ask(s, sqltext.ACCOUNTED_STEPS, first=0, last=None, share=0.5, aux=FAC.p_aux_kw))
+
+
+def sql_bounded_steps(s, d):
+    """Bounds, safe action and temperature by SQL functions, with some arguments of theirs by name."""
+    _catalogue(s, d)
+    return rounded(sqltext.ask(s, sqltext.BOUNDED_STEPS, floor=20.5, capacity=1.05, heat=0.95, cooling=1.05))
+
+
+def csv_quarantine(s, d):
+    """Lines with every kind of fault, planted by step: how many are good, and how many are rejected for each reason."""
+    x = sig(s, d)
+    values = [F.col(c).cast("string") for c in S.SIGNAL_COLUMNS if c != "timestamp"]
+    at, step = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.pmod(F.col("step_index") + F.col("center"), F.lit(24))
+    cells = [F.when(step == 1, "soon").when(step == 2, "").otherwise(at), F.when(step == 3, "n/a").when(step == 4, "").otherwise(values[0]), *values[1:-1], F.when(step == 5, "1,5").when(step == 6, "12kW").otherwise(values[-1])]
+    lines = x.select(F.when(step == 7, F.concat_ws(",", *cells[:3])).otherwise(F.concat_ws(",", *cells)).alias("line"))
+    path = f"{live.folder(s)}/faulty"
+    lines.write.text(path)
+    good, bad = S.read_checked(s, path, columns=list(S.SIGNAL_COLUMNS))
+    kept = good.agg(F.count("*").alias("n"), F.count("online_workload").alias("n_workloads"), F.sum(F.round("electricity_price", 6)).alias("price")).select(F.lit("good").alias("reason"), "n", "n_workloads", "price")
+    lost = bad.groupBy("reason").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("n_workloads"), F.lit(0.0).alias("price"))
+    return rounded(kept.unionByName(lost), 4)
+
+
+def stream_stored_totals(s, d):
+    """Events through a stream into the store, each batch delivered twice: what the store has, by kind, and that the run is completed."""
+    rows = read(s, d, "events").select("event_type", F.col("value").cast("decimal(18,4)").alias("value"))
+    at = live.folder(s)
+    rows.repartition(6).write.parquet(f"{at}/in")
+    store = RunStore(s, f"{at}/store").initialize()
+    run = store.create_run("events", "stream", 1)
+    life = sink.Lifecycle(store, lambda r: r.agg(F.count("*").cast("double").alias("value")).select(F.lit("n").alias("metric"), "value"))
+    s.streams.addListener(life)
+    twice = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    try:
+        life.expect(f"run-{run}", run)
+        deliver = lambda batch, number: [store.store_batch(run, number, batch) for _ in range(2)] and None
+        twice.writeStream.queryName(f"run-{run}").option("checkpointLocation", f"{at}/log").foreachBatch(deliver).trigger(availableNow=True).start().awaitTermination()
+        life.wait(run)
+    finally:
+        s.streams.removeListener(life)
+    ended = store.runs().where(F.col("id") == run).select("status").join(store.metrics().where("metric = 'n'").select(F.col("value").cast("long").alias("n_stored")))
+    return store.streamed(run).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("value")).join(F.broadcast(ended))  # one row
+
+
 QUERIES = {f.__name__: f for f in (
     signals_canonical, signals_legacy_normalized, signals_legacy_roundtrip, signal_quality, step_gap_check, duplicate_steps, dataset_metadata, it_power, cooling_cop_power, renewable_alloc,
     energy_accounting, plant_step, feasible_bounds, model_bounds, safety_clamp, safety_clamp_legacy, forecast_window_array, forward_min_price, precool_flag, dispatch_immediate,
@@ -567,5 +671,7 @@ QUERIES = {f.__name__: f for f in (
     conditional_means, prediction_error_stats, longest_streak, extreme_events, safety_margin, key_windows, key_window_by_scenario, latest_run_per_group, asof_comparable_run, latest_ten_runs,
     null_tolerant_filter, in_list_filter, scenario_pivot, pct_change, degradation_matrix, acceptance_checks, health_counters, dataset_upsert, metric_upsert, schema_evolution, candidate_grid,
     union_scenarios, coordination_series, mini_summary, streaming_loop_equals_batch, streaming_loop, stream_rejections, observation_series, event_report, thermal_report, thermal_head,
-    comparison_report, scenario_listing, iso_times, forecast_contract, csv_canonical, csv_legacy, csv_sorted, both_layouts, standard_day, batch_service_alignment, metric_map, legacy_summary, schema_columns, stream_slots, run_store,
+    comparison_report, scenario_listing, iso_times, forecast_contract, csv_canonical, csv_legacy, csv_sorted, both_layouts, batch_service_alignment, metric_map, legacy_summary, schema_columns, stream_slots, run_store,
+    backlog_one_series, streak_one_series, sql_comparable_runs, sql_run_metrics, sql_run_metrics_any, sql_runs_under_none, sql_latest_runs, sql_accounted_steps, sql_bounded_steps,
+    csv_quarantine, stream_stored_totals,
 )}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InputValidationError
@@ -71,6 +71,35 @@ def read_sorted(spark: SparkSession, path: str, columns=tuple(LEGACY_COLUMNS)) -
     return df.select(F.to_timestamp_ntz("timestamp").alias("timestamp"), *[F.col(c).cast("double").alias(c) for c in columns if c != "timestamp"]).orderBy("timestamp")
 
 
+#: Bad lines of :func:`read_checked`.
+REJECTED = "file string, line string, reason string"
+
+
+def read_checked(spark: SparkSession, path: str, columns: list[str] | None = None, time: str = "timestamp", zone: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected lines) of CSV files; every line is in one of the two.
+
+    ``columns``: their names in order, for files without a header; else the header's. All but ``time`` are numbers. Good rows have
+    them as doubles, and the time as :func:`local_time` reads it (a wall-clock time without ``zone``). A line is rejected, with its file and the first reason that holds, if it has
+    too few or too many fields, no time or one that can't be read, or a field that is no number. An empty field is a null,
+    not a fault; rules on values are :func:`quality`'s.
+    """
+    reader = spark.read.option("header", columns is None)
+    names = columns or reader.csv(path).columns
+    require_columns(spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names)), [time])
+    ddl = ", ".join(f"`{n}` string" for n in (*names, "__bad"))
+    raw = reader.schema(ddl).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").option("columnPruning", False).option("enforceSchema", True).csv(path)
+    raw = raw.withColumn("__file", F.col("_metadata.file_path"))
+    at = F.try_to_timestamp(F.col(time)) if zone else F.col(time).try_cast("timestamp_ntz")
+    wrong = F.when(F.col("__bad").isNotNull(), F.lit("wrong number of fields")).when(F.trim(F.coalesce(F.col(time), F.lit(""))) == "", F.lit(f"{time}: missing")).when(at.isNull(), F.lit(f"{time}: no time"))
+    for c in (n for n in names if n != time):
+        wrong = wrong.when(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull(), F.lit(f"{c}: no number"))
+    raw = raw.withColumn("__reason", wrong)
+    read = local_time(F.col(time), zone) if zone else at
+    good = raw.where("__reason IS NULL").select(*[read.alias(c) if c == time else F.col(c).try_cast("double").alias(c) for c in names])
+    line = F.coalesce("__bad", F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in names]))
+    return good, raw.where("__reason IS NOT NULL").select(F.col("__file").alias("file"), line.alias("line"), F.col("__reason").alias("reason"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -115,6 +144,23 @@ def validated(df: DataFrame, by: str = "dataset_id", step_minutes: int = 15) ->
     return df
 
 
+def written_checked(df: DataFrame, rules: dict[str, Column], path: str, format: str = "parquet") -> int:
+    """Writes ``df`` and counts what breaks each rule (a condition that should not hold) in the same pass; the number of rows.
+
+    If any does, nothing is left at ``path`` and the error says how many rows broke which rule. ``path`` must not exist.
+    """
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("n"), *[F.count_if(rule).alias(f"r{i}") for i, rule in enumerate(rules.values())]]
+    df.observe(seen, *counts).write.format(format).mode("error").save(path)
+    found = seen.get
+    broken = [f"{name}: {found[f'r{i}']}" for i, name in enumerate(rules) if found[f"r{i}"]]
+    if broken or not found["n"]:
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        raise InputValidationError("broken rules: " + ", ".join(broken) if broken else "no rows")
+    return found["n"]
+
+
 def metadata(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"), F.count("*").alias("n_steps"))
 
