@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import bisect
 import html
+import itertools
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +66,11 @@ SCOPE = frozenset("table td th caption html template object".split())
 WIDE = 1280
 #: A table's columns are as wide as their widest cells while that takes so many times the table's own text and a
 #: little more; where it would take more (one very wide cell over very many rows), columns count as WIDEST at most
-#: for the alignment. No text is lost either way.
-PADDING, LITTLE, WIDEST = 16, 1 << 16, 60
+#: for the alignment; and if that takes four times as much still (very many columns), cells only follow each other. No text is lost either way.
+PADDING, LITTLE, WIDEST = 16, 1 << 14, 60
+#: Indents inside each other stop moving their lines to the right at so many characters, and so do tables inside
+#: tables at DEEPEST: what is nested deeper begins at the same place. No text is lost.
+INDENTED, DEEPEST = 80, 320
 
 
 @dataclass(slots=True)
@@ -371,16 +376,73 @@ def cascade(node: Node, found: list[dict[str, tuple]]) -> tuple[bool, str | None
     return held.get("display", ("",))[-1] != "none", held["visibility"][-1] if "visibility" in held else None
 
 
+class Lines:
+    """Lines of text, some of them by reference: a cell's lines stand in their table's as one part, moved to the right, so that
+    tables inside tables copy nothing. The last line of a part isn't empty."""
+
+    __slots__ = ("parts", "n", "width", "chars", "lead")
+
+    def __init__(self):
+        self.parts: list[str | tuple[int, Lines, int]] = []  # a line, or how far to the right, whose lines, and how many of them to leave out
+        self.n = self.width = self.chars = self.lead = 0  # lines, longest one, characters of text and ends of lines, furthest to the right by padding
+
+    def add(self, line: str, own: int = 1, lead: int = 0) -> None:
+        """``own``: what it counts as text, ``lead``: the padding before it."""
+        self.parts.append(line)
+        self.n += 1
+        self.width = max(self.width, len(line))
+        self.chars += own
+        self.lead = max(self.lead, lead)
+
+    def refer(self, right: int, lines: Lines, skip: int = 0) -> None:
+        if lines.n <= skip:
+            return
+        right = max(0, min(right, DEEPEST - lines.lead))
+        if not skip and len(lines.parts) == 1 and not isinstance(lines.parts[0], str):  # a reference to a reference
+            more, lines_in, skip_in = lines.parts[0]
+            self.parts.append((right + more, lines_in, skip_in))
+        else:
+            self.parts.append((right, lines, skip))
+        self.n += lines.n - skip
+        self.width = max(self.width, right + lines.width)
+        self.lead = max(self.lead, right + lines.lead)
+
+    def pop(self) -> None:
+        """Takes an empty line off the end."""
+        self.parts.pop()
+        self.n -= 1
+
+    def __iter__(self):
+        todo: list[tuple] = [(0, iter(self.parts), 0)]  # how far to the right, what is left, how many lines to leave out
+        while todo:
+            right, parts, skip = todo.pop()
+            for part in parts:
+                if not isinstance(part, str):
+                    more, lines, without = part
+                    if skip >= lines.n - without:
+                        skip -= lines.n - without
+                        continue
+                    todo += [(right, parts, 0), (right + more, iter(lines.parts), without + skip)]
+                    break
+                if skip:
+                    skip -= 1
+                else:
+                    yield " " * right + part if part and right else part
+
+    def first(self, n: int) -> list[str]:
+        return list(itertools.islice(self, n))
+
+
 class Canvas:
     """Lines of text; collapses white space and asked-for blank lines. Inside an indent, lines
     begin with its pad, the first of them with its head; the prefixes are only joined where a line has text."""
 
     def __init__(self):
-        self.lines: list[str] = []
+        self.lines = Lines()
         self.line: list[str] = []
         self.gap = False  # a space is due before the next text
-        self.indents: list[list] = []  # head (None once it is used), pad, lines before
-        self.base = self.unused = 0  # lines before the innermost indent; the outermost indents up to this one have used their heads
+        self.indents: list[tuple] = []  # head, width of the pads up to this one, parts before
+        self.base = self.unused = 0  # parts before the innermost indent; the outermost indents up to this one have used their heads
 
     def text(self, s: str) -> None:
         parts = SPACE.split(s)
@@ -403,14 +465,30 @@ class Canvas:
             self.line.append(x)
         self.gap = False
 
-    def put(self, text: str, bare: bool = False) -> None:
-        """A line; ``bare``: even if it is empty, for its head."""
+    def prefix(self) -> tuple[str, int]:
+        """What a line begins with, and how much of that is padding; all heads are used by it."""
+        pad = self.indents[self.unused - 1][1] if self.unused else 0
+        heads = "".join([head for head, *_ in self.indents[self.unused :]])
+        self.unused = len(self.indents)
+        return " " * pad + heads, pad
+
+    def put(self, text: str, bare: bool = False, counted: bool = False) -> None:
+        """A line; ``bare``: even if it is empty, for its head; ``counted``: its text is counted already."""
+        pad = 0
         if (text or bare) and self.indents:
-            text = "".join([pad if head is None else head for head, pad, _ in self.indents]) + text
-            while self.unused < len(self.indents):
-                self.indents[self.unused][0] = None
-                self.unused += 1
-        self.lines.append(text.rstrip())
+            before, pad = self.prefix()
+            text = before + text
+        text = text.rstrip()
+        self.lines.add(text, 0 if counted else max(0, len(text) - pad) + 1, pad)
+
+    def refer(self, right: int, lines: Lines, skip: int) -> None:
+        """Lines that stand elsewhere, from the skipped ones on."""
+        for line in itertools.islice(lines, skip, None) if self.unused < len(self.indents) else ():
+            if self.unused == len(self.indents):
+                break
+            self.put(" " * right + line if line else "", counted=True)  # the first one with text has the heads
+            skip += 1
+        self.lines.refer(right + (self.indents[-1][1] if self.indents else 0), lines, skip)
 
     def end_line(self) -> None:
         self.put("".join(self.line).rstrip())
@@ -420,25 +498,26 @@ class Canvas:
         if self.line:
             self.end_line()
         self.gap = False
-        if blank and len(self.lines) > self.base and self.lines[-1] != "":
-            self.lines.append("")
+        if blank and len(self.lines.parts) > self.base and self.lines.parts[-1] != "":
+            self.lines.add("")
 
     def indent(self, head: str, pad: str) -> None:
         self.block()
-        self.indents.append([head, pad, self.base])
-        self.base = len(self.lines)
+        before = self.indents[-1][1] if self.indents else 0
+        self.indents.append((head, before + len(pad) if before + len(pad) <= INDENTED else before, self.base))
+        self.base = len(self.lines.parts)
 
     def outdent(self, bare: bool = False) -> None:
         """Ends an indent and drops the blank lines at its end; ``bare``: the head stands even without a line."""
         self.block()
         self.trim()
-        if bare and len(self.lines) == self.base:
+        if bare and len(self.lines.parts) == self.base:
             self.put("", True)
         self.base = self.indents.pop()[2]
         self.unused = min(self.unused, len(self.indents))
 
     def trim(self) -> None:
-        while len(self.lines) > self.base and not self.lines[-1]:
+        while len(self.lines.parts) > self.base and not self.lines.parts[-1]:
             self.lines.pop()
 
 
@@ -448,47 +527,92 @@ PREFORMATTED = frozenset("pre listing xmp textarea".split())
 
 class Table:
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.rows: list[list[tuple[Lines, int, int]]] = []
 
     def row(self) -> None:
         self.rows.append([])
 
-    def lay(self, canvas: Canvas) -> None:
-        placed: list[list[tuple[int, list[str], int]]] = []
-        taken: dict[int, int] = {}  # column: rows, from this one on, that a cell above reaches into
-        for cells in self.rows:
-            row, column, new = [], 0, {}
+    def placed(self) -> list[list[tuple[int, Lines, int]]]:
+        """By row the cells with the columns they begin in: the next one that no cell above reaches into.
+
+        Such columns are intervals with the row that they end before, in order; what a cell reaches into anew is its own.
+        """
+        out = []
+        taken = np.empty((0, 3), np.int64)  # first column, column behind, row behind
+        for nth, cells in enumerate(self.rows):
+            row, column, i, new, runs = [], 0, 0, [], []
+            if len(taken):
+                taken = taken[taken[:, 2] > nth]
+                parted = np.flatnonzero(taken[1:, 0] > taken[:-1, 1])
+                if len(taken):
+                    runs = list(zip(taken[np.append(0, parted + 1), 0].tolist(), taken[np.append(parted, -1), 1].tolist()))
             for lines, across, down in cells:
-                while taken.get(column, 0) > 0:
-                    column += 1
+                while i < len(runs) and runs[i][0] <= column:
+                    column = max(column, runs[i][1])
+                    i += 1
                 row.append((column, lines, across))
                 if down > 1:
-                    new |= {column + k: down for k in range(across)}
+                    new.append((column, column + across, nth + down))
                 column += across
-            taken = {k: v - 1 for k, v in (taken | new).items() if v > 1}
-            placed.append(row)
+            out.append(row)
+            if new:
+                both = np.concatenate((taken, np.array(new, np.int64)))
+                both = both[np.argsort(both[:, 0], kind="stable")]
+                apart = (both[1:, 0] >= both[:-1, 1]).all()
+                taken = both if apart else np.array(_over(taken.tolist(), new), np.int64)
+        return out
+
+    def lay(self, canvas: Canvas) -> None:
+        placed = self.placed()
         width: Counter = Counter()
         for row in placed:
             for column, lines, across in row:
-                if across == 1:
-                    width[column] = max(width[column], max(map(len, lines), default=0))
-        said = sum(len(x) + 1 for row in placed for _, lines, _ in row for x in lines)
-        tall = sum(max((len(lines) for _, lines, _ in row), default=0) for row in placed)
+                if across == 1 and lines.width:
+                    width[column] = max(width[column], lines.width)
+        said = sum(lines.chars for row in placed for _, lines, _ in row)
+        tall = sum(max((lines.n for _, lines, _ in row), default=0) for row in placed)
         if tall * sum(width.values()) > PADDING * said + LITTLE:
             width = Counter({k: min(WIDEST, v) for k, v in width.items()})
-        starts, at = {}, 0
-        for column in range(max((c + a for row in placed for c, _, a in row), default=0)):
-            starts[column] = at
-            at += width[column] + (2 if width[column] else 0)
+            if tall * sum(v + 2 for v in width.values()) > 4 * (PADDING * said + LITTLE):
+                width.clear()
+        wide = sorted(width)
+        ends = list(itertools.accumulate((width[c] + 2 for c in wide), initial=0))
+        start = lambda column: ends[bisect.bisect_left(wide, column)]
         for row in placed:
-            for i in range(max((len(lines) for _, lines, _ in row), default=0)):
+            if not row:
+                continue
+            heights = sorted(lines.n for _, lines, _ in row)
+            several = heights[-2] if len(heights) > 1 else 0  # lines in which cells may stand side by side
+            tops = [(start(column), lines.first(several)) for column, lines, _ in row]
+            for i in range(several):
                 parts, length = [], 0
-                for column, lines, _ in row:
-                    if i < len(lines) and lines[i]:
-                        room = starts[column] - length if length < starts[column] or not length else 2
-                        parts += [" " * room, lines[i]]
-                        length += room + len(lines[i])
-                canvas.put("".join(parts).rstrip())
+                for begin, top in tops:
+                    if i < len(top) and top[i]:
+                        room = begin - length if begin > length or not length else 2
+                        parts += [" " * room, top[i]]
+                        length += room + len(top[i])
+                canvas.put("".join(parts).rstrip(), counted=True)
+            if heights[-1] > several:
+                column, longest, _ = next(c for c in row if c[1].n == heights[-1])
+                canvas.refer(start(column), longest, several)
+        canvas.lines.chars += said
+
+
+def _over(old: list[list[int]], new: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """All intervals of ``new``, and what they leave of ``old``, in order. Those of either don't overlap each other."""
+    out, i = list(new), 0
+    for first, behind, row in old:
+        while i < len(new) and new[i][1] <= first:
+            i += 1
+        k = i
+        while k < len(new) and new[k][0] < behind:
+            if new[k][0] > first:
+                out.append((first, new[k][0], row))
+            first = max(first, new[k][1])
+            k += 1
+        if first < behind:
+            out.append((first, behind, row))
+    return sorted(out)
 
 
 def span(cell: Node, name: str) -> int:
@@ -504,7 +628,7 @@ class Renderer:
         self.rules = rules if rules.any else None
         self.canvas, self.todo = Canvas(), []
 
-    def lines(self, root: Node) -> list[str]:
+    def lines(self, root: Node) -> Lines:
         self.children(root.children, (False, True, 0, 0))
         while self.todo:
             do, *args = self.todo.pop()
@@ -660,7 +784,7 @@ class Renderer:
     def end_cell(self, table: Table, outer: Canvas, across: int, down: int, empty: bool) -> None:
         self.canvas.block()
         self.canvas.trim()
-        if self.canvas.lines or empty:
+        if self.canvas.lines.n or empty:
             table.rows[-1].append((self.canvas.lines, across, down))
         self.canvas = outer
 
@@ -692,7 +816,8 @@ def text_column(page: Column) -> Column:
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with the visible text of each in ``out_col``.
 
-    A null or empty page has an empty text. Pages are read whole, however long or deep.
+    A null or empty page has an empty text. Pages are read whole, however long or deep; lists, quotes and tables that lie in each
+    other move their lines no further to the right than INDENTED and DEEPEST characters.
     Any string gives a text: what isn't a tag is text. Repeated rows give repeated rows, an
     empty table an empty one. Other columns stay; one named ``out_col`` is replaced.
     """
