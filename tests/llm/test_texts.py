@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 import time
 import zlib
 
@@ -385,6 +386,10 @@ HOSTILE = {
     "paragraph over inline and blocks": "<p>" + "<b><div>" * 120_000, "wall": "<p><table><tr><td>" + "<b><div>" * 110_000, "comments": "<!--a-->" * 120_000, "script": "<script>" + "</script " * 110_000,
     "wide and tall": "<table><tr><td>" + "x" * 400_000 + "<tr>" + "<tr><td>a<td>b" * 40_000, "end tags": "<font>" * 100_000 + "</b>" * 100_000, "attributes": "<a " + "x=y " * 240_000 + ">",
     "rules": "<style>" + "".join(f".a .b{i}{{display:none}}" for i in range(10_000)) + "</style>" + "".join(f"<p class='a b{i}'>" for i in range(10_000)), "ancestors": "<style>div span{display:none}</style>" + "<span><b>" * 100_000,
+    "large spans": "<table>" + "<tr><td rowspan=1000 colspan=1000>x" * 29_000, "spans side by side": "<table>" + ("<tr>" + "<td rowspan=999>x" * 60) * 900, "wide cells": "<table><tr>" + "<td colspan=1000>x" * 55_000,
+    "lists with text": "<ul><li>x" * 110_000, "quotes with text": "<blockquote>x" * 75_000, "tables with text": "<table><tr><td>x" * 62_000, "tables in second cells": "<table><tr><td>a<td>" * 50_000,
+    "tables in third cells": "<table><tr><td>a<td>b<td>x" * 38_000, "lists and tables": "<ul><li>x<table><tr><td>y<td>" * 33_000, "text behind tables": "<table><tr><td>" * 40_000 + "x</table>y" * 40_000,
+    "many small tables": ("<table><tr><td>" + "w" * 350 + "<tr><td><td>y" * 23 + "</table>") * 1400, "tall cells": "<table><tr><td>" + "<br>q" * 100_000 + "<td>" + "z<br>" * 90_000,
 }
 
 
@@ -395,6 +400,40 @@ def test_a_megabyte_takes_seconds(kind):
     assert time.process_time() - begin < 15 and len(text) < 20_000_000
 
 
+def test_nested_text_is_whole_and_stops_moving_right():
+    """Lists, quotes and tables of 300 levels, each with a word of its own."""
+    for open_, least in (("<ul><li>", 300), ("<blockquote>", 0), ("<table><tr><td>", 0), ("<table><tr><td>k<td>", 300)):
+        text = html_layout.render("".join(f"{open_}w{i} " for i in range(300)))
+        assert re.findall(r"w\d+", text) == [f"w{i}" for i in range(300)] and len(re.findall(r"[*k]", text)) == least
+        assert max(len(line) - len(line.lstrip()) for line in text.split("\n")) <= html_layout.DEEPEST
+
+
+def spans_by_grid(rows):
+    """Columns of cells (across, down), by a grid of taken places."""
+    taken, out = {}, []
+    for cells in rows:
+        column, row, new = 0, [], {}
+        for across, down in cells:
+            while taken.get(column, 0) > 0:
+                column += 1
+            row.append(column)
+            if down > 1:
+                new |= {column + k: down for k in range(across)}
+            column += across
+        taken = {k: v - 1 for k, v in (taken | new).items() if v > 1}
+        out.append(row)
+    return out
+
+
+def test_spans_as_intervals_are_those_of_a_grid():
+    rng = random.Random(3)
+    for _ in range(500):
+        rows = [[(rng.choice([1, 1, 2, 3, 7]), rng.choice([1, 1, 2, 3, 5])) for _ in range(rng.randint(0, 6))] for _ in range(rng.randint(1, 9))]
+        table = html_layout.Table()
+        table.rows = [[(html_layout.Lines(), *c) for c in cells] for cells in rows]
+        assert [[c for c, *_ in row] for row in table.placed()] == spans_by_grid(rows)
+
+
 def test_nested_lists_keep_their_bullets():
     assert html_layout.render("<ul><li>" * 60 + "x") == "* " * 60 + "x"
 
@@ -587,6 +626,36 @@ def test_round_trip_rows(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+FALSE_HEADS = {
+    "huge lengths": b"WARC/1.0\r\nContent-Length: 999999999999\r\n\r\n", "lengths that fit": b"WARC/1.0\r\nContent-Length: 1000000\r\n\r\n", "headers without an end": b"WARC/1.0\r\nA: b\r\n",
+    "heads in fields": b"A: WARC/1.0\r\n", "bare heads": b"WARC/1.1\r\n", "gzip heads": b"\x1f\x8b\x08\x00abcdefgh",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(FALSE_HEADS))
+def test_false_heads_take_linear_time_and_little_memory(kind):
+    """16 MB of them (2 of the shortest ones), then a record: it is found, and all before is one gap."""
+    head = FALSE_HEADS[kind]
+    size = (16 if kind == "huge lengths" else 2) << 20
+    body = b"payload " * 20
+    whole = warc.response_record("urn:page:7", None, body, hashlib.sha256(body).hexdigest(), None, False)
+    data = head * (size // len(head)) + b"\r\n" + whole
+    begin = time.process_time()
+    source = warc.Source(io.BytesIO(data), len(data))
+    out = list(warc.salvage(source))
+    assert time.process_time() - begin < 30 and len(source.held) < 8 << 20
+    gaps, records = [x for x in out if isinstance(x, warc.Gap)], [x for x in out if isinstance(x, warc.Record)]
+    assert len(gaps) == 1 and gaps[0].length == len(data) - len(whole) and [warc.page_of(r.headers["warc-record-id"]) for r in records] == [7]
+
+
+def test_a_hot_payload_and_missing_ids(spark):
+    rows = [(i, "u", "hot " * 50) for i in range(200)] + [(None, "u", "hot " * 50)] * 2 + [(500 + i, "u", "") for i in range(100)] + [(900, "u", "own " * 40), (901, None, None), (901, "u", "two " * 40), (901, "u", "two " * 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((tuple(r) for r in warc.deduplicated(pages).select("id", "first", F.length("html")).collect()), key=str)
+    want = sorted([(i, 0, 200) for i in range(200)] + [(None, 0, 200)] * 2 + [(500 + i, None, 0) for i in range(100)] + [(900, None, 160), (901, None, 0), (901, 901, 160), (901, 901, 160)], key=str)
+    assert got == want
+
+
 def test_reader_logs_gaps_and_payloads(spark, tmp_path):
     recs = archive(10, True)
     (tmp_path / "a.warc.gz").write_bytes(b"".join(recs[:4]) + b"lost" + b"".join(recs[4:]))

@@ -32,6 +32,8 @@ CHUNK_SIZE = re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r\n")
 DIGESTS = frozenset(["md5", "sha1", "sha256", "sha384", "sha512"])
 #: Bytes read at a time.
 CHUNK = 1 << 20
+#: Bytes that headers have at most, or somewhat more, and how many bytes one of deflated data stands for at most.
+HEADERS, DEFLATED = 1 << 20, 1040
 
 
 @dataclass
@@ -53,11 +55,20 @@ class Damaged(Exception):
     pass
 
 
+class BrokenLine(Damaged):
+    """Headers that end in a line that is none or without a length, and where."""
+
+    def __init__(self, why: str, at: int):
+        super().__init__(why)
+        self.at = at
+
+
 class Source:
     """Random access to a file by a buffer that only moves on, so a long archive isn't held whole."""
 
     def __init__(self, file, size: int):
         self.file, self.size, self.at, self.held = file, size, 0, b""
+        self.hopeless = 0  # no version line before this place begins a record: it would have the end of the same headers
 
     def read(self, offset: int, length: int) -> bytes:
         end = min(self.size, offset + length)
@@ -68,15 +79,24 @@ class Source:
             self.held, self.at = self.file.read(max(length, CHUNK)), offset
         return self.held[offset - self.at : end - self.at]
 
+    def peek(self, offset: int, length: int) -> bytes:
+        """A few bytes from anywhere, without moving the buffer."""
+        if self.at <= offset and offset + length <= self.at + len(self.held):
+            return self.held[offset - self.at : offset - self.at + length]
+        self.file.seek(offset)
+        return self.file.read(length)
+
     def find(self, wanted: re.Pattern, offset: int) -> int:
         """The first place at or after ``offset`` where ``wanted`` (16 bytes at most) matches, or the size."""
         while offset < self.size:
-            part = self.read(offset, CHUNK)
-            if m := wanted.search(part):
-                return offset + m.start()
-            if offset + len(part) >= self.size:
+            if not self.at <= offset < self.at + len(self.held) - 16:
+                self.read(offset, CHUNK)
+            if m := wanted.search(self.held, offset - self.at):  # in the buffer itself, no copy of it
+                return self.at + m.start()
+            behind = self.at + len(self.held)
+            if behind >= self.size:
                 break
-            offset += max(1, len(part) - 16)
+            offset = max(offset + 1, behind - 16)
         return self.size
 
 
@@ -125,22 +145,41 @@ def payload_agrees(header: str, http: bytes, body: bytes) -> bool | None:
     return same
 
 
-def _parsed(pull, offset: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and number of bytes of the record that ``pull(n)`` gives the first n bytes of."""
-    want, data = 4096, pull(4096)
+def _head(pull) -> tuple[dict[str, str], int, int]:
+    """Headers, where the block begins, and its length, of the record that ``pull(n)`` gives the first n bytes of.
+
+    Lines are looked at as they come, so what is no header is left at its first line that is no field.
+    """
+    want, data, checked = 4096, pull(4096), 0
     if not VERSION.match(data):
         raise Damaged("no version line")
-    while (split := data.find(b"\r\n\r\n")) < 0:
-        if len(data) < want or want > 1 << 24:
-            raise Damaged("headers without an end")
+    while True:
+        split = data.find(b"\r\n\r\n", max(0, checked - 4))
+        upto = split + 2 if split >= 0 else data.rfind(b"\r\n") + 2
+        at = checked or data.find(b"\r\n") + 2
+        while at < upto:
+            end = data.find(b"\r\n", at)
+            name, colon, _ = data[at:end].partition(b":")
+            if not colon or not FIELD.fullmatch(name):
+                raise BrokenLine("a line that is no header field", at)
+            at = end + 2
+        checked = at
+        if split >= 0:
+            break
+        if len(data) < want or want > HEADERS:
+            raise BrokenLine("headers without an end", checked)
         want *= 4
         data = pull(want)
     headers = _headers(data[:split])
     length = headers.get("content-length", "")
     if not re.fullmatch(r"\d{1,15}", length):
-        raise Damaged("no content length")
-    begin, end = split + 4, split + 4 + int(length)
-    data = pull(end + 4)
+        raise BrokenLine("no content length", split)
+    return headers, split + 4, int(length)
+
+
+def _block(headers: dict[str, str], data: bytes, begin: int, length: int) -> bytes:
+    """The block of a record whose bytes are ``data``, checked."""
+    end = begin + length
     if len(data) < end + 4:
         raise Damaged("cut short")
     if data[end : end + 4] != b"\r\n\r\n":
@@ -148,11 +187,15 @@ def _parsed(pull, offset: int) -> tuple[dict[str, str], bytes, int]:
     block = data[begin:end]
     if agrees(headers.get("warc-block-digest", ""), block) is False:
         raise Damaged("wrong block digest")
-    return headers, block, end + 4
+    return block
 
 
 def record_at(source: Source, offset: int) -> Record:
-    """The record, plain or a gzip member, that begins at ``offset`` and passes all checks."""
+    """The record, plain or a gzip member, that begins at ``offset`` and passes all checks.
+
+    A length is held against what is left of the file before anything is read for it, and a plain record's end is looked at before its block is.
+    """
+    left = source.size - offset
     if source.read(offset, 3) == GZIP:
         member, plain, at = zlib.decompressobj(31), [], offset
         have = 0
@@ -175,13 +218,27 @@ def record_at(source: Source, offset: int) -> Record:
             plain[:] = [whole]
             return whole[:n]
 
-        headers, block, length = _parsed(pull, offset)
-        pull(length + 1)  # to the member's end, where its checksum is held against the data
-        if not member.eof or have != length:
+        headers, begin, length = _head(pull)
+        if length > DEFLATED * left:
+            raise Damaged("cut short")
+        block = _block(headers, pull(begin + length + 4), begin, length)
+        pull(begin + length + 5)  # to the member's end, where its checksum is held against the data
+        if not member.eof or have != begin + length + 4:
             raise Damaged("a member that isn't one record")
         return Record(offset, at - len(member.unused_data), headers, block)
-    headers, block, length = _parsed(lambda n: source.read(offset, n), offset)
-    return Record(offset, offset + length, headers, block)
+    if offset < source.hopeless:
+        raise Damaged("a line that is no header field")
+    try:
+        headers, begin, length = _head(lambda n: source.read(offset, n))
+    except BrokenLine as e:
+        source.hopeless = offset + e.at
+        raise
+    whole = begin + length + 4 <= left
+    if not whole or source.peek(offset + begin + length, 4) != b"\r\n\r\n":
+        source.hopeless = offset + begin  # a version line further on in these headers has the same length from the same place, or none
+        raise Damaged("no end of record where the length says" if whole else "cut short")
+    block = _block(headers, source.read(offset, begin + length + 4), begin, length)
+    return Record(offset, offset + begin + length + 4, headers, block)
 
 
 def salvage(source: Source) -> Iterator[Record | Gap]:
@@ -241,14 +298,16 @@ def deduplicated(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """``pages`` (id, url, html) plus ``digest`` and ``first``: the smallest id of the
     rows with an equal payload of ``least_bytes`` or more, else null.
 
-    Only digests that occur again take part in the join; equal payloads are counted
-    before the shuffle, and a hot digest is one side of a join that adaptive execution
-    splits.
+    Only payloads that occur again take part in a join, and of these ids and digests only: the first join
+    finds whose they are, and a hot digest is one side of it that adaptive execution splits; the second goes by id, so
+    pages are dealt evenly, and small ones (all empty ones, say) stay out of both.
     """
     hashed = pages.select(F.col(id_col).alias("id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     long = F.octet_length("html") >= least_bytes
     again = hashed.where(long).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return hashed.join(again, "digest", "left")
+    firsts = hashed.where(long).select("id", "digest").join(again, "digest").distinct().select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "first")
+    found = hashed.where(long).join(firsts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").drop("__id", "__digest")
+    return found.unionByName(hashed.where(~long).withColumn("first", F.lit(None).cast(hashed.schema["id"].dataType)))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20, compress: bool = True) -> DataFrame:
