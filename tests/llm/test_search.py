@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thermolith.llm import decontaminate as dc
-from thermolith.llm import sharding, urlfilter
+from thermolith.llm import queries, sharding, urlfilter
 from thermolith.llm.shared import table
 
 
@@ -55,6 +55,49 @@ def test_edited_and_cut_leaks(spark):
     assert got == want and len(want) > 60
 
 
+@pytest.mark.parametrize("sent", [64 << 20, 1])
+def test_one_part_and_many_give_the_same_rows_and_scores(spark, monkeypatch, sent):
+    folder = "/root/testdata/sf0.01"
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    rows = lambda: sorted(((r["doc_id"], r["item_id"], *(round(r[c], 9) for c in ("score", "overlap", "question_overlap", "answer_overlap"))) for r in dc.matches(docs, items).collect()))
+    whole = rows()
+    monkeypatch.setattr(dc, "PART_ITEMS", 9)
+    monkeypatch.setattr(dc, "SENT_BYTES", sent)
+    assert dc.index_parts(items, "item_id", "text", None, 0.8).count() > 3
+    assert rows() == whole and len(whole) > 20
+
+
+def test_batches_go_by_bytes(monkeypatch):
+    monkeypatch.setattr(dc, "BATCH_BYTES", 400)
+    monkeypatch.setattr(dc, "BATCH_TEXTS", 4)
+    assert list(dc._batches(["x" * 30] * 9)) == [(0, 3), (3, 6), (6, 9)]
+    assert list(dc._batches([None] * 9)) == [(0, 4), (4, 8), (8, 9)]
+    assert list(dc._batches(["x" * 1000, "y", "z" * 1000, "z" * 99])) == [(0, 1), (1, 2), (2, 3), (3, 4)] and list(dc._batches([])) == []
+
+
+def test_query_rows_have_the_scores_of_the_collection(spark, folder):
+    """op2's own rows: items by brute force, weights by their definition."""
+    import math
+
+    items = {r["item_id"]: dc.tokens(r["text"]) for r in table(spark, folder, "benchmark").collect()}
+    n, mean = len(items), sum(map(len, items.values())) / len(items)
+    df = {w: sum(w in own for own in map(set, items.values())) for x in items.values() for w in x}
+    held_by = {}
+    for r in table(spark, folder, "documents").collect():
+        for i in held(r["text"], [(i, " ".join(w.decode() for w in ws)) for i, ws in items.items()]):
+            held_by[r["doc_id"], i] = r["text"]
+    got = queries.op2_bm25_wand(spark, folder).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(held_by)
+    for r in got:
+        words = items[r["item_id"]]
+        weights = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * words.count(t) * (dc.K1 + 1) / (words.count(t) + dc.K1 * (1 - dc.B + dc.B * len(words) / mean)) for t in set(words)}
+        may_lack = int(0.2 * len(shingles(" ".join(w.decode() for w in words))) + 1e-9)
+        least = sum(sorted(weights.values())[: max(1, len(weights) - may_lack)])
+        assert 1 - 1e-6 <= r["score"] <= sum(weights.values()) / least * (1 + 2e-5)
+        if set(words) <= set(dc.tokens(held_by[r["doc_id"], r["item_id"]])) and r["overlap"] == 1.0:
+            assert abs(r["score"] - sum(weights.values()) / least * (1 + 1e-5)) < 1e-9
+
+
 @pytest.mark.parametrize("threshold", [0.3, 1.0, 2.5])
 def test_wand_is_exhaustive_scoring(threshold):
     rng = random.Random(int(threshold * 10))

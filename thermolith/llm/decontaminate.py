@@ -19,25 +19,26 @@ by running sums of bounds, as most have none. What scores 1 or above is verified
 its five-word shingles, of the question's part and of the answer's part.
 
 The index is in parts of bounded size, built by the executors and written to the shared
-folder. All parts are sent to the executors if they are SENT_BYTES at most together;
-beyond that each Python worker reads them one after the other for each of its batches.
+folder. Number of items, document frequencies and mean length are those of all items, so a score doesn't
+depend on how items are dealt into parts. Parts of SENT_BYTES together are sent to the executors; if there are more,
+each such group is a pass over the texts of its own.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, written
+from .shared import Scratch, fresh, written
 
 SHINGLE = 5
 K1, B = 1.2, 0.75
@@ -45,6 +46,8 @@ K1, B = 1.2, 0.75
 BLOCK = 8
 #: Bounds of one part of the index, and of all parts that are sent to the executors at once.
 PART_ITEMS, PART_BYTES, SENT_BYTES = 4096, 8 << 20, 64 << 20
+#: Texts, and bytes of texts, that are searched at a time; a longer one is searched alone.
+BATCH_TEXTS, BATCH_BYTES = 500, 2 << 20
 #: Where no answer is given: the last quarter of an item's words.
 ANSWER_SHARE = 0.25
 #: What a score may lack of the threshold by rounding.
@@ -156,24 +159,40 @@ def _shingles(ids: list[int]) -> list[tuple[int, ...]]:
     return [tuple(ids[i : i + SHINGLE]) for i in range(len(ids) - SHINGLE + 1)]
 
 
-def build_index(items: list[tuple[int, str, str | None]], similarity: float = 0.8) -> Index:
-    """From (item id, text, answer or None); items without words are left out."""
+def item_words(text: str, answer: str | None) -> tuple[list[bytes], int]:
+    """An item's words, question and answer, and where the answer begins."""
+    question = tokens(text)
+    if answer is None:
+        return question, len(question) - max(1, round(len(question) * ANSWER_SHARE))
+    return question + tokens(answer), len(question)
+
+
+@dataclass
+class Collection:
+    """What weights need to know of all items: their number, their mean length, and how many have each word."""
+
+    items: int
+    mean: float
+    having: dict[bytes, int]
+
+    @classmethod
+    def of(cls, words: list[list[bytes]]) -> Collection:
+        return cls(len(words), sum(map(len, words)) / max(1, len(words)), Counter(w for own in words for w in set(own)))
+
+
+def build_index(items: list[tuple[int, str, str | None]], similarity: float = 0.8, whole: Collection | None = None) -> Index:
+    """From (item id, text, answer or None); items without words are left out. ``whole``: the collection that these are part of."""
     split = []
     for item_id, text, answer in items:
-        question = tokens(text)
-        if answer is None:
-            at = len(question) - max(1, round(len(question) * ANSWER_SHARE))
-        else:
-            at = len(question)
-            question = question + tokens(answer)
-        if question:
-            split.append((item_id, question, at))
+        words, at = item_words(text, answer)
+        if words:
+            split.append((item_id, words, at))
+    whole = whole or Collection.of([words for _, words, _ in split])
     terms: dict[bytes, int] = {}
     coded = [[terms.setdefault(w, len(terms)) for w in words] for _, words, _ in split]
-    n = len(split)
-    shared = Counter(t for ids in coded for t in set(ids))
-    idf = np.array([np.log(1 + (n - shared[t] + 0.5) / (shared[t] + 0.5)) for t in range(len(terms))]) if terms else np.zeros(0)
-    mean = sum(map(len, coded)) / max(1, n)
+    having = [whole.having[w] for w in terms]
+    idf = np.array([np.log(1 + (whole.items - k + 0.5) / (k + 0.5)) for k in having]) if terms else np.zeros(0)
+    mean = whole.mean
     shingles, by_class = [], {}
     for k, ((_, _, at), ids) in enumerate(zip(split, coded)):
         own = _shingles(ids)
@@ -256,69 +275,115 @@ HITS = "array<struct<item_id:bigint,score:double,overlap:double,question_overlap
 _NAMES = ("item_id", "score", "overlap", "question_overlap", "answer_overlap")
 
 
-def index_parts(items: DataFrame, id_col: str, text_col: str, answer_col: str | None, similarity: float) -> tuple[DataFrame, str]:
-    """The index as a written table, and its path (part binary, bytes long): parts of at most PART_ITEMS items
-    and about PART_BYTES of text, each built by the task that has its items."""
-    answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), answer.alias("answer")).where("text IS NOT NULL")
-    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0))), F.lit(0)).alias("chars")).first()
-    parts = max(1, -(-seen["n"] // PART_ITEMS), -(-4 * seen["chars"] // PART_BYTES))
+def _parts_of(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Items with the number of their part."""
+    part, n, size = TaskContext.get().partitionId() << 24, 0, 0
+    for frame in frames:
+        numbers = []
+        for t, a in zip(frame["text"], frame["answer"]):
+            if n >= PART_ITEMS or size >= PART_BYTES:
+                part, n, size = part + 1, 0, 0
+            n, size = n + 1, size + 4 * (len(t) + len(a if isinstance(a, str) else ""))
+            numbers.append(part)
+        yield frame.assign(part=numbers)
+
+
+def _words_of(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many items of a part have each word; under the empty word, how many there are and, as ``length``, all their words."""
+    for frame in frames:
+        for part, rows in frame.groupby("part"):
+            own = [w for w in (item_words(t, a if isinstance(a, str) else None)[0] for t, a in zip(rows["text"], rows["answer"])) if w]
+            having = Counter(x for w in own for x in set(w))
+            yield pd.DataFrame({"part": part, "word": [b"", *having], "n": [len(own), *having.values()], "length": [sum(map(len, own)), *[0] * len(having)]})
 
-    def build(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, size = [], 0
 
-        def done() -> pd.DataFrame:
-            data = pickle.dumps(build_index(part, similarity))
-            return pd.DataFrame({"part": [data], "bytes": [len(data)]})
+def _items_of(frame: pd.DataFrame) -> list[tuple]:
+    return [(None if none else int(i), t, a if isinstance(a, str) else None) for i, none, t, a in zip(frame["id"], frame["none"], frame["text"], frame["answer"])]
 
-        for frame in frames:
-            for i, t, a in zip(frame["id"], frame["text"], frame["answer"]):
-                a = a if isinstance(a, str) else None
-                part.append((int(i) if not pd.isna(i) else None, t, a))
-                size += 4 * (len(t) + len(a or ""))
-                if len(part) >= PART_ITEMS or size >= PART_BYTES:
-                    yield done()
-                    part, size = [], 0
-        if part:
-            yield done()
 
-    dealt = rows.repartitionByRange(parts, "id", "text").sortWithinPartitions("id", "text") if parts > 1 else rows.coalesce(1).sortWithinPartitions("id", "text")
-    return written(dealt.mapInPandas(build, "part binary, bytes long"), "index")
+def _packed(index: Index) -> pd.DataFrame:
+    data = pickle.dumps(index)
+    return pd.DataFrame({"part": [data], "bytes": [len(data)]})
 
 
-def _found(searchers: Callable[[], Iterable[Searcher]], texts: list) -> list[list[dict]]:
-    """The hits of some texts in all parts of the index."""
+def index_parts(items: DataFrame, id_col: str, text_col: str, answer_col: str | None, similarity: float) -> DataFrame:
+    """The index as a written table (part binary, bytes long): parts of at most PART_ITEMS items
+    and about PART_BYTES of text, each built by the task that has its items."""
+    answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
+    key = F.col(id_col).cast("long")
+    rows = items.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("none"), F.col(text_col).alias("text"), answer.alias("answer")).where("text IS NOT NULL")
+    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0))), F.lit(0)).alias("chars")).first()
+    parts = max(1, -(-seen["n"] // PART_ITEMS), -(-4 * seen["chars"] // PART_BYTES))
+    ddl = "part binary, bytes long"
+    if parts == 1:
+
+        def build(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = [x for frame in frames for x in _items_of(frame)]
+            if own:
+                yield _packed(build_index(own, similarity))
+
+        return written(rows.coalesce(1).sortWithinPartitions("id", "text").mapInPandas(build, ddl), "index")[0]
+    scratch = Scratch(items.sparkSession)
+    dealt = scratch.written(rows.repartitionByRange(parts, "id", "text").sortWithinPartitions("id", "text").mapInPandas(_parts_of, "id long, none boolean, text string, answer string, part long"), "items")
+    words = scratch.written(dealt.groupBy("part").applyInPandas(lambda rows: pd.concat(_words_of([rows])), "part long, word binary, n long, length long"), "words")
+    having = words.groupBy("word").agg(F.sum("n").alias("all"))
+    of_part = words.where("word <> X''").join(having, "word").select("part", "word", "all")
+    n, length = words.where("word = X''").agg(F.sum("n"), F.sum("length")).first()
+
+    def build_part(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        whole = Collection(n, length / max(1, n), dict(zip(known["word"], known["all"])))
+        own = own.sort_values(["id", "text"], kind="stable")
+        return _packed(build_index(_items_of(own), similarity, whole))
+
+    return scratch.result(dealt.groupBy("part").cogroup(of_part.groupBy("part")).applyInPandas(build_part, ddl), "index")
+
+
+def _batches(texts: list) -> Iterator[tuple[int, int]]:
+    """Places of texts that are searched together."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += 4 * len(t or "")
+        if i > begin and (i - begin == BATCH_TEXTS or size > BATCH_BYTES):
+            yield begin, i
+            begin, size = i, 4 * len(t or "")
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def _found(searchers: Iterable[Searcher], texts: list) -> list[list[dict]]:
+    """The hits of some texts in some parts of the index."""
     out: list[list[dict]] = [[] for _ in texts]
-    for own in searchers():
-        for i in range(0, len(texts), 500):  # some hundred texts at a time, whatever the batch
-            for k, rows in enumerate(own.search(texts[i : i + 500]), i):
+    for own in searchers:
+        for begin, end in _batches(texts):
+            for k, rows in enumerate(own.search(texts[begin:end]), begin):
                 out[k] += [dict(zip(_NAMES, r)) for r in rows]
     return out
 
 
-def hits_column(text: Column, items: DataFrame, similarity: float, id_col: str, text_col: str, answer_col: str | None) -> Column:
-    parts, path = index_parts(items, id_col, text_col, answer_col, similarity)
-    spark = items.sparkSession
-    if (parts.agg(F.sum("bytes")).first()[0] or 0) <= SENT_BYTES:
-        sent = spark.sparkContext.broadcast([bytes(r["part"]) for r in parts.select("part").collect()])  # SENT_BYTES at most
+def _groups(parts: DataFrame) -> list[list[int]]:
+    """Numbers of the parts, in groups of SENT_BYTES together (a larger one alone)."""
+    out, size = [[]], 0
+    for r in parts.select("nth", "bytes").orderBy("nth").collect():  # two numbers a part
+        if out[-1] and size + r["bytes"] > SENT_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append(r["nth"])
+        size += r["bytes"]
+    return out
 
-        def searchers() -> Iterator[Searcher]:
-            if not _OPEN.get("of") == (path, similarity):
-                _OPEN.clear()
-                _OPEN.update(of=(path, similarity), searchers=[Searcher(pickle.loads(p), similarity) for p in sent.value])
-            yield from _OPEN["searchers"]
-    else:
 
-        def searchers() -> Iterator[Searcher]:
-            fs, root = pafs.FileSystem.from_uri(path)
-            for info in fs.get_file_info(pafs.FileSelector(root)):
-                if info.path.endswith(".parquet"):
-                    for batch in pq.ParquetFile(fs.open_input_file(info.path)).iter_batches(1, columns=["part"]):
-                        yield Searcher(pickle.loads(batch.column(0)[0].as_py()), similarity)
+def hits_column(text: Column, parts: DataFrame, chosen: list[int], similarity: float) -> Column:
+    """The hits in the chosen parts, SENT_BYTES or so, which every Python worker unpacks once."""
+    spark = parts.sparkSession
+    sent = spark.sparkContext.broadcast([bytes(r["part"]) for r in parts.where(F.col("nth").isin(chosen)).orderBy("nth").select("part").collect()])
+    name = uuid.uuid4().hex
 
     @F.pandas_udf(HITS)
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(_found(searchers, texts.tolist()), dtype=object)
+        if _OPEN.get("of") != name:
+            _OPEN.clear()
+            _OPEN.update(of=name, searchers=[Searcher(pickle.loads(p), similarity) for p in sent.value])
+        return pd.Series(_found(_OPEN["searchers"], texts.tolist()), dtype=object)
 
     return of(text)
 
@@ -335,9 +400,17 @@ def with_hits(docs: DataFrame, items: DataFrame, similarity: float = 0.8, text_c
     hold none; items without words are held by none; an item shorter than five words is
     one shingle. Repeated items are separate items, an item without an id is named null.
     Texts are read to their end. Repeated documents give repeated rows, empty tables no
-    rows or no hits. Other columns stay; one named ``out_col`` is replaced.
+    rows or no hits. Other columns stay; one named ``out_col`` is replaced. Memory goes by the bytes of the texts that are searched together
+    (BATCH_BYTES, or one longer text).
     """
-    return docs.withColumn(out_col, hits_column(F.col(text_col), items, similarity, item_col, item_text_col, answer_col))
+    own, _ = written(index_parts(items, item_col, item_text_col, answer_col, similarity).withColumn("nth", F.monotonically_increasing_id()), "parts")
+    first, *more = _groups(own)
+    out = docs.withColumn(out_col, hits_column(F.col(text_col), own, first, similarity))
+    for chosen in more:
+        again = fresh(docs, "__more")
+        out, _ = written(out, "hits")
+        out = out.withColumn(again, hits_column(F.col(text_col), own, chosen, similarity)).withColumn(out_col, F.concat(out_col, again)).drop(again)
+    return out
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
