@@ -113,3 +113,18 @@ def test_lines_of_a_group_without_metrics(spark):
     some = spark.createDataFrame([(1, "baseline", "energy_cost", 2.0), (1, "heuristic", "energy_cost", 1.0)], "center int, controller string, metric string, value double")
     lines = {r["line_no"]: r["line"] for r in reports.comparison_lines(some, scenarios=("baseline", "heuristic"), best="heuristic").collect()}
     assert lines[0].endswith("2.0000          1.0000") and "missing" in lines[1] and lines[9] == "Economic improvement: PASS" and lines[14] == "heuristic vs baseline cost: -50.00%"
+
+
+def test_no_shuffle_over_a_clustered_table(spark, folder):
+    from thermolith import queries as Q
+
+    found = Q.asof_clustered_run(spark, folder)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(str, df.select("id", "dataset_id", "match_id").collect()))
+    assert rows(found) == rows(Q.asof_comparable_run(spark, folder))
+
+
+def test_comparable_within_takes_rows_of_equal_order(spark):
+    df = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (1, 4, "b"), (2, 1, "a"), (None, 1, "a"), (None, 0, "b"), (3, 9, None)], "k int, id int, side string")
+    got = {(r["k"], r["id"]): r["match_id"] for r in W.comparable_within(df, ["k"], F.col("side") == "a", F.col("side") == "b").collect()}
+    assert got == {(1, 5): 5, (2, 1): None, (None, 1): 0}

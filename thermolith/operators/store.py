@@ -375,6 +375,14 @@ class NullStore:
         self.states[run_id] = "failed"
 
 
+def clustered(df: DataFrame, name: str, path: str, keys: list[str], order: str, buckets: int | None = None) -> DataFrame:
+    """``df`` as a table at ``path`` whose rows of equal keys lie in one bucket, in ``order``: groups, windows and joins by these keys
+    read it without a shuffle. One shuffle while writing, so that a bucket is one file."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.mode("overwrite").bucketBy(n, *keys).sortBy(*keys, order).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Child rows numbered from 0 in each group."""
     return df.withColumn("step_index", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)

@@ -106,3 +106,12 @@ def distinct_numbers(df: DataFrame, by: list[str], number: str) -> DataFrame:
     """
     held = df.groupBy(*by, F.bitmap_bucket_number(number).alias("__bucket")).agg(F.count("*").alias("__rows"), F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("__bits"))
     return held.groupBy(*by).agg(F.sum("__rows").alias("rows"), F.sum(F.when(F.col("__bucket").isNotNull(), F.bitmap_count("__bits")).otherwise(0)).alias("distinct"))
+
+
+def comparable_within(df: DataFrame, keys: list[str], anchor: Column, other: Column, order: str = "id", take: str = "id", name: str = "match_id") -> DataFrame:
+    """The rows of ``df`` for which ``anchor`` holds, each with the latest row of equal keys and no larger ``order`` for which ``other`` holds.
+
+    One window over the keys; over a table that is clustered by them (see ``store.clustered``) nothing is shuffled.
+    """
+    upto = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(name, F.last(F.when(other, F.col(take)), ignorenulls=True).over(upto)).where(anchor)

@@ -472,6 +472,7 @@ FROM (VALUES (0, 'baseline', 'completed', NULL), (1, 'heuristic', 'failed', 'no
     "key_window_by_scenario": _matrix(("ideal",)) + f",\nwin AS ({_best_window('electricity_price')})\nSELECT center, signal, controller AS scenario, {_r('sum(batch_service)', 'batch_service')}, {_r('sum(grid_power_kw * 0.25)', 'grid_kwh')}, {_r('sum(cooling_power_kw * 0.25)', 'cooling_kwh')}, {_r('sum(renewable_used_kw * 0.25)', 'renewable_kwh')}, {_r('avg(temp_c)', 'mean_temp_c')}, {_r('avg(cooling_kw)', 'mean_control_kw')} FROM allrec JOIN win USING (center) WHERE step_index BETWEEN start_step AND end_step GROUP BY center, signal, controller",
     "latest_run_per_group": _with(_RUNS) + f"\nSELECT controller_name, condition_name, id, dataset_id, {_r('value', 'value')} FROM runs WHERE condition_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY controller_name, condition_name ORDER BY id DESC) = 1",
     "asof_comparable_run": _with(_RUNS) + "\nSELECT a.id, a.dataset_id, (SELECT max(b.id) FROM runs b WHERE b.condition_name = 'O' AND b.dataset_id = a.dataset_id AND b.id <= a.id) AS match_id FROM runs a WHERE a.condition_name = 'F'",
+    "asof_clustered_run": _with(_RUNS) + "\nSELECT a.id, a.dataset_id, (SELECT max(b.id) FROM runs b WHERE b.condition_name = 'O' AND b.dataset_id = a.dataset_id AND b.id <= a.id) AS match_id FROM runs a WHERE a.condition_name = 'F'",
     "latest_ten_runs": _with(_RUNS) + f"\nSELECT dataset_id, id, controller_name, condition_name, {_r('value', 'value')}, c_name AS dataset_name FROM (SELECT * FROM runs ORDER BY id DESC LIMIT 10) JOIN customer ON c_custkey = dataset_id",
     "null_tolerant_filter": _with(_RUNS) + "\nSELECT controller_name, count(*) AS n FROM runs WHERE condition_name = 'O' OR condition_name IS NULL GROUP BY 1",
     "in_list_filter": _with(_RUNS) + "\nSELECT condition_name, count(*) AS n, max(id) AS last_id FROM runs WHERE controller_name IN ('1-URGENT', '2-HIGH') GROUP BY 1",

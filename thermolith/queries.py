@@ -9,7 +9,7 @@ from .config import CONDITION_TABLE, Condition, Facility, condition
 from .functions import physics as P
 from .operators import blocks, contracts, dispatch, metrics, records, reports, sqltext
 from .operators import windows as W
-from .operators.store import RunStore, last_version, widened
+from .operators.store import RunStore, clustered, last_version, widened
 from .plans import loop, open_loop
 from .sources import signals as S
 from .streaming import events as stream_events
@@ -308,6 +308,13 @@ def asof_comparable_run(s, d):
     return W.comparable(r.where("condition_name = 'F'").select("id", "dataset_id"), r.where("condition_name = 'O'"), ["dataset_id"])
 
 
+def asof_clustered_run(s, d):
+    """The same over a stored table that is clustered by dataset: no shuffle but the one of its writing."""
+    at = live.folder(s)
+    runs = clustered(_runs(s, d), "runs_" + at.rpartition("-")[2], f"{at}/runs", ["dataset_id"], "id", buckets=8)
+    return W.comparable_within(runs, ["dataset_id"], F.col("condition_name") == "F", F.col("condition_name") == "O").select("id", "dataset_id", "match_id")
+
+
 def latest_ten_runs(s, d):
     c = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return rounded(reports.latest_runs(_runs(s, d), c))
@@ -673,5 +680,5 @@ QUERIES = {f.__name__: f for f in (
     union_scenarios, coordination_series, mini_summary, streaming_loop_equals_batch, streaming_loop, stream_rejections, observation_series, event_report, thermal_report, thermal_head,
     comparison_report, scenario_listing, iso_times, forecast_contract, csv_canonical, csv_legacy, csv_sorted, both_layouts, batch_service_alignment, metric_map, legacy_summary, schema_columns, stream_slots, run_store,
     backlog_one_series, streak_one_series, sql_comparable_runs, sql_run_metrics, sql_run_metrics_any, sql_runs_under_none, sql_latest_runs, sql_accounted_steps, sql_bounded_steps,
-    csv_quarantine, stream_stored_totals,
+    csv_quarantine, stream_stored_totals, asof_clustered_run,
 )}
