@@ -263,3 +263,19 @@ def test_pivot_distances_bound_the_hamming_distance():
         a = int(rng.integers(0, 2**63))
         b = a ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64)))
         assert all(abs((a ^ p).bit_count() - (b ^ p).bit_count()) <= 2 for p in simhash.RANDOM_PIVOTS)
+
+
+def test_members_under_hot_keys_are_all_there(spark):
+    """A crowd whose fingerprints have equal keys (hubs), and others: rows and counts are those of grouping by hand."""
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    points = sorted({simhash._signed(base ^ (1 << a) ^ (1 << b)) for a in range(64) for b in range(64)} | {simhash._signed(rng.getrandbits(64)) for _ in range(500)})
+    frame = spark.createDataFrame([(p,) for p in points], "fp long").repartition(4)
+    blocks = {r["fp"]: r["blocks"] for r in simhash.pivot_table(frame).select("fp", "blocks").collect()}
+    held = {}
+    for i, mask in enumerate(simhash._keys()):
+        for fp, b in blocks.items():
+            held.setdefault((i, b & simhash._signed(mask)), []).append(fp)
+    want = sorted((i, key, len(fps), fp) for (i, key), fps in held.items() if len(fps) > 1 for fp in fps)
+    got = sorted(tuple(r) for r in simhash.bucket_members(frame).select("choice", "key", "n", "fp").collect())
+    assert got == want and max(n for _, _, n, _ in want) * 1000 > len(want)  # a hub

@@ -116,6 +116,22 @@ def test_bpe_ids_are_the_library_s(spark, folder, encoder, sentencepiece):
         assert encoder.model.decode(ids) == own.decode(ids.tolist())
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_query_rows_are_those_of_ids_one_text_at_a_time(spark, sentencepiece, size):
+    """op6's own rows: number and hash of the library's ids, and whether they spell the text again."""
+    from thermolith.llm import queries
+
+    folder = f"/root/testdata/{size}"
+    own = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    docs = [(r["doc_id"], r["text"] or "") for r in table(spark, folder, "documents").collect()]
+    ids = {i: own.encode(t) for i, t in docs}
+    hashed = spark.createDataFrame(list(ids.items()), "doc_id long, ids array<int>").select("doc_id", F.xxhash64("ids").alias("h"))
+    want = {r["doc_id"]: r["h"] for r in hashed.collect()}
+    for r in queries.op6_piece_viterbi(spark, folder).collect():
+        assert (r["n_pieces"], r["ids_xxhash64"]) == (len(ids[r["doc_id"]]), want[r["doc_id"]])
+        assert r["round_trip"]
+
+
 RUNS = {
     "letters": lambda rng, n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), "one letter": lambda rng, n: "a" * n, "period": lambda rng, n: "thethetion" * (n // 10),
     "base64": lambda rng, n: base64.b64encode(rng.randbytes(3 * n // 4)).decode(), "script": lambda rng, n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n)),

@@ -118,9 +118,11 @@ def bucket_members(points: DataFrame) -> DataFrame:
     """(choice, key, n, fp, far0 ...): the table's rows under each key that two or more share."""
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("choice"), F.col("blocks").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(_keys())])
     table = pivot_table(points)
-    keyed = table.select("fp", *[f"far{n}" for n in range(LONGS)], F.explode(keys).alias("k")).select("k.choice", "k.key", "fp", *[f"far{n}" for n in range(LONGS)])
-    shared = table.select(F.explode(keys).alias("k")).groupBy("k.choice", "k.key").agg(F.count("*").alias("n")).where("n > 1")
-    return keyed.join(shared, ["choice", "key"])
+    keyed = table.select("fp", *[f"far{n}" for n in range(LONGS)], F.explode(keys).alias("k"))
+    shared = table.select(F.explode(keys).alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").withColumn("members", F.col("n"))
+    # A crowd's fingerprints have equal keys: such a key is a hub.
+    held = joined_with_hubs(keyed, shared, "k", max(1, points.count() * len(_keys())))
+    return held.select("k.choice", "k.key", F.col("members").alias("n"), "fp", *[f"far{n}" for n in range(LONGS)])
 
 
 def bucket_pairs(members: DataFrame, max_bits: int) -> DataFrame:
@@ -219,7 +221,7 @@ def _linked(crowd: pd.DataFrame, similarity: float) -> pd.DataFrame:
     left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
     part, names = pd.factorize(crowd["component"])
     sizes = np.array([len(x) for x in sets])
-    _, token, times = np.unique(np.concatenate([np.asarray(x, np.int32) for x in sets]), return_inverse=True, return_counts=True)
+    _, token, times = np.unique(np.concatenate([np.asarray(x, np.int64) for x in sets]), return_inverse=True, return_counts=True)
     at = np.repeat(np.arange(len(sets)), sizes)
     again = times[token] > 1  # a shingle of one text is common to none
     at, token = at[again], (np.cumsum(times > 1) - 1)[token[again]]
@@ -313,9 +315,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def prints_of(texts: pd.Series) -> pd.Series:
         return pd.Series([[_signed(simhash(t, words_in)), *sampled_simhashes(t, views, sample, words_in)] for t in texts], dtype=object)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def set_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words_in).astype(np.uint32).view(np.int32)) for t in texts], dtype=object)
+        return pd.Series([np.unique(shingle_hashes(t, words_in).view(np.int64)) for t in texts], dtype=object)
 
     tmp = Scratch(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_key(F.col(text_col)).alias("key"))
@@ -331,7 +333,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     viewed = texts.select(F.col("key").alias("rep"), F.explode(F.slice("prints", 2, views)).alias("fp"))
     buckets = viewed.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
-    members = tmp.written(viewed.join(buckets, "fp"), "views")  # texts that share a view: few of all
+    shared_views = buckets.withColumn("members", F.col("n"))
+    members = joined_with_hubs(viewed, shared_views, "fp", max(1, views * texts.count())).withColumnRenamed("members", "n")
+    members = tmp.written(members, "views")  # texts that share a view: few of all; a boilerplate's view is a hub
     few = members.where(F.col("n") <= bucket_cap)
     inside = few.select("fp", F.col("rep").alias("a")).join(few.select("fp", F.col("rep").alias("b")), "fp").where("a < b").select("a", "b")
     many = members.where(F.col("n") > bucket_cap)
