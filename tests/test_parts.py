@@ -194,6 +194,17 @@ def test_events_outside_the_grid_are_counted(spark):
     assert S.outside_grid(rows) == 2 and S.from_events(rows).count() == 2880
 
 
+def test_a_span_leaves_no_event_out(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    moved = events.withColumn("ts", F.when(F.col("event_id") % 5 == 0, F.timestamp_add("DAY", F.lit(400), F.col("ts"))).when(F.col("event_id") % 7 == 0, None).otherwise(F.col("ts")))
+    span = S.span_of(moved)
+    assert S.outside_grid(moved, **span) == moved.where("ts IS NULL").count() and S.outside_grid(moved) > S.outside_grid(moved, **span)
+    day = S.from_events(moved, **span)
+    assert day.count() == span["days"] * S.SLOTS and day.agg(F.max("online_workload")).first()[0] == 0.82
+    with pytest.raises(InputValidationError):
+        S.span_of(events.where("false"))
+
+
 def test_services_must_fit_the_signals(spark):
     from thermolith.errors import InputValidationError as Wrong
     from thermolith.operators import dispatch

@@ -373,6 +373,7 @@ _LEGACY = (("online_workload", "online_load", "{}", "{}"), ("batch_workload", "b
 
 ORACLES: dict[str, str] = {
     "signals_canonical": _with(SIG) + "\nSELECT center, step_index, timestamp, " + ", ".join(_r(c, c) for c in _VALUES) + " FROM sig",
+    "signals_whole_span": _with(SIG) + "\nSELECT center, step_index, timestamp, " + ", ".join(_r(c, c) for c in _VALUES) + " FROM sig",
     "signals_legacy_normalized": _with(SIG) + "\nSELECT timestamp, " + ", ".join(_r({"carbon_intensity_kg_per_kwh": "carbon_intensity_kg_per_kwh * 1000.0 / 1000.0", "renewable_power_kw": "renewable_power_kw / 100.0 * 100.0"}.get(c, c), c) for c in _VALUES) + " FROM sig",
     "signals_legacy_roundtrip": _with(SIG) + "\nSELECT timestamp, " + ", ".join(_r(e, n) for e, n in (("online_workload", "online_load"), ("batch_workload", "batch_load"), ("electricity_price", "price"), ("carbon_intensity_kg_per_kwh * 1000.0", "carbon"), ("outdoor_temperature_c", "outdoor_temp"), ("renewable_power_kw / 100.0", "renewable"))) + " FROM sig",
     "signal_quality": _with(SIG) + "\nSELECT center, count(*) AS n_steps, CAST(0 AS BIGINT) AS not_monotonic, count(*) - count(DISTINCT timestamp) AS duplicates, CAST(0 AS BIGINT) AS gaps, count(*) FILTER (WHERE NOT isfinite(electricity_price)) AS not_finite, count(*) FILTER (WHERE renewable_power_kw < 0) AS negative_renewable FROM sig GROUP BY 1",

@@ -54,6 +54,12 @@ def signals_canonical(s, d):
     return rounded(sig(s, d))
 
 
+def signals_whole_span(s, d):
+    """The signals of all days that have events, whichever these are."""
+    events = read(s, d, "events")
+    return rounded(S.from_events(events, **S.span_of(events)))
+
+
 def signals_legacy_normalized(s, d):
     keep = S.legacy(sig(s, d)).withColumn("timestamp", F.col("timestamp"))
     return rounded(S.normalized(keep))
@@ -680,5 +686,5 @@ QUERIES = {f.__name__: f for f in (
     union_scenarios, coordination_series, mini_summary, streaming_loop_equals_batch, streaming_loop, stream_rejections, observation_series, event_report, thermal_report, thermal_head,
     comparison_report, scenario_listing, iso_times, forecast_contract, csv_canonical, csv_legacy, csv_sorted, both_layouts, batch_service_alignment, metric_map, legacy_summary, schema_columns, stream_slots, run_store,
     backlog_one_series, streak_one_series, sql_comparable_runs, sql_run_metrics, sql_run_metrics_any, sql_runs_under_none, sql_latest_runs, sql_accounted_steps, sql_bounded_steps,
-    csv_quarantine, stream_stored_totals, asof_clustered_run,
+    csv_quarantine, stream_stored_totals, asof_clustered_run, signals_whole_span,
 )}

@@ -234,12 +234,20 @@ def outside_grid(events: DataFrame, first_day: str = "2024-01-01", days: int = 3
     return events.where(~F.coalesce(day.between(0, days - 1), F.lit(False))).count()
 
 
+def span_of(events: DataFrame) -> dict:
+    """``first_day`` and ``days`` of :func:`from_events` such that no event with a time is left out; one aggregate."""
+    first, last = events.agg(F.min(F.col("ts").cast("date")), F.max(F.col("ts").cast("date"))).first()
+    if first is None:
+        raise InputValidationError("no event has a time")
+    return {"first_day": first.isoformat(), "days": (last - first).days + 1}
+
+
 def from_events(events: DataFrame, first_day: str = "2024-01-01", days: int = 30) -> DataFrame:
     """Fifteen-minute signals from an event stream, one series (``center``) a day.
 
     Events are counted by slot before any shuffle of theirs; the full grid of slots is
     joined to the counts. Scales are relative to the largest slot. The grid's days are given:
-    events outside of them still count for the largest slot, and :func:`outside_grid` counts them.
+    events outside of them still count for the largest slot, and :func:`outside_grid` counts them. :func:`span_of` has the days that leave none out.
     """
     slot = F.hour("ts") * 4 + F.floor(F.minute("ts") / 15).cast("int")
     counted = events.where(F.col("ts").isNotNull()).groupBy(F.date_diff(F.col("ts").cast("date"), F.lit(first_day).cast("date")).alias("day"), slot.alias("slot")).agg(
