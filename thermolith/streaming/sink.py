@@ -69,7 +69,7 @@ class Lifecycle(StreamingQueryListener):
         finally:
             self._ended[run_id].set()
 
-    def wait(self, run_id: int, seconds: float = 60) -> None:
+    def wait(self, run_id: int, seconds: float = 300) -> None:
         """Until the run's end is in the store."""
         if not self._ended[run_id].wait(seconds):
             raise TimeoutError(f"the stream of run {run_id} has not ended")
