@@ -16,7 +16,8 @@ STRIDE = 256
 
 def escaped(text: Column) -> Column:
     """A mark inside of a text gets one more backslash, so no text can pass for a mark; taking one away gives the text back."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<$1\\|")
+    plain = F.coalesce(text, F.lit(""))
+    return F.when(plain.contains("<"), F.regexp_replace(plain, r"<(\\*)\|", r"<$1\\|")).otherwise(plain)
 
 
 def render(role: Column, text: Column) -> Column:
@@ -58,15 +59,17 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -
     same = F.zip_with(F.slice("c", F.lit(1), n), F.slice("r", F.lit(1), n), lambda a, b: a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"]))
     first = F.array_position(same, False).cast("int")  # 0: none differs
     d = d.withColumn("shared", F.when(first == 0, n).otherwise(first - 1))
-    whole = lambda turns: F.array_join(F.transform(turns, lambda t: render(t["role"], t["text"])), "")
+    # Each turn is rendered once; what follows takes its pieces and their lengths.
+    pieces = lambda turns: F.transform(turns, lambda t: F.struct(render(t["role"], t["text"]).alias("piece"), (F.length(escaped(t["role"])) + 5).alias("head"), F.coalesce(t["role"] == "assistant", F.lit(False)).alias("own")))
+    d = d.select(key, "shared", pieces("c").alias("c"), pieces("r").alias("r"))
+    whole = lambda turns: F.array_join(F.transform(turns, lambda t: t["piece"]), "")
     rest = lambda c: F.slice(c, F.col("shared") + 1, F.greatest(F.size(c) - F.col("shared"), F.lit(0)))
 
     def spans(c: str) -> Column:
         """Spans of assistant turns after the prefix, counted from the conversation's first character."""
         turns = rest(c)
-        ends = running(F.transform(turns, lambda t: F.length(render(t["role"], t["text"]))), F.length("prompt"))
-        each = F.zip_with(turns, F.slice(ends, F.lit(2), F.size(turns)), lambda t, end: F.struct(
-            (end - F.length(render(t["role"], t["text"])) + F.length(escaped(t["role"])) + 5).alias("first"), end.alias("end"), F.coalesce(t["role"] == "assistant", F.lit(False)).alias("own")))
+        ends = running(F.transform(turns, lambda t: F.length(t["piece"])), F.length("prompt"))
+        each = F.zip_with(turns, F.slice(ends, F.lit(2), F.size(turns)), lambda t, end: F.struct((end - F.length(t["piece"]) + t["head"]).alias("first"), end.alias("end"), t["own"].alias("own")))
         return F.transform(F.filter(each, lambda s: s["own"]), lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end")))
 
     d = d.withColumn("prompt", whole(F.slice("c", F.lit(1), F.col("shared"))))
