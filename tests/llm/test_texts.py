@@ -3,8 +3,11 @@
 import base64
 import hashlib
 import io
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -157,6 +160,34 @@ def test_memory_is_bounded_in_bytes(monkeypatch):
         assert own.known.held < 20_000 + 200 * 300 and len(own.known.old) < 200
 
 
+WORKER = """
+import re
+import pandas as pd
+from pyspark.sql import functions as F
+from thermolith.llm import pieces
+from thermolith.session import session
+
+def held(batches):
+    for batch in batches:
+        own = re.findall(r"Pss_(?:Anon|Shmem):\\s+([0-9]+)", open("/proc/self/smaps_rollup").read())
+        yield pd.DataFrame({"mb": [sum(map(int, own)) / 1024]})
+
+spark = session("local[1]", **{"spark.ui.showConsoleProgress": "false"})
+words = F.transform(F.sequence(F.lit(1), F.lit(450)), lambda i: F.substring(F.sha1(F.concat_ws("/", (F.col("id") * 450 + i) % 300000).cast("binary")), 1, 7))
+docs = spark.range(0, 6000, 1, 1).select("id", F.array_join(words, " ").alias("text"))
+assert pieces.encode(docs).where(F.size("ids") >= 450).count() == 6000
+print("MB", spark.range(0, 1, 1, 1).mapInPandas(held, "mb double").first()["mb"])
+"""
+
+
+def test_a_worker_gives_back_what_encoding_took():
+    """The worker lives on beside other stages: of 20 MB of text encoded it keeps the model and some words."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    ran = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": root})
+    assert ran.returncode == 0, ran.stderr[-2000:]
+    assert float(ran.stdout.split("MB")[-1]) < 200
+
+
 def test_one_at_a_time_is_the_batch(encoder, monkeypatch):
     texts = odd_texts(200)
     want = [x.tolist() for x in encoder.encode(texts)]

@@ -26,6 +26,8 @@ must be at most ``MOST_MODEL_BYTES``; its bytes go to the executors.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -43,9 +45,9 @@ MARK = "▁"
 MEMO_BITS = 20
 #: Bytes of words, with their pieces, that a Python worker remembers in each of two generations; what an entry
 #: takes besides its text and ids; and the longest word (characters) that is remembered.
-REMEMBERED, ENTRY, LONGEST_KEPT = 48 << 20, 200, 100
+REMEMBERED, ENTRY, LONGEST_KEPT = 16 << 20, 200, 100
 #: Bytes of text split into words together, and words of one length that advance together (characters).
-AT_ONCE, LOCKSTEP = 6 << 20, 400_000
+AT_ONCE, LOCKSTEP = 3 << 20, 400_000
 #: Fewer words of one length go one at a time.
 FEW = 6
 #: Longer words are cut where no piece can lie before they are looked at.
@@ -545,16 +547,15 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as int32 bytes."""
         self.known.turn()
-        words = [self.model.words(t) for t in texts]
         names = set()
-        for w in words:
-            names.update(w)
+        for t in texts:  # split again for the ids, so that no word is held twice in between
+            names.update(self.model.words(t))
         new, known = self.known.lacking(names), self.known.young
         found = dict(zip(new, self._new(list(map(self.model.word, new)))))
         once = [name for name in new if len(name) > LONGEST_KEPT]
         known.update((name, found.pop(name)) for name in once)
         self.known.keep(found)
-        out = [b"".join(map(known.__getitem__, w)) for w in words]
+        out = [b"".join(map(known.__getitem__, self.model.words(t))) for t in texts]
         for name in once:
             del known[name]
         return out
@@ -601,9 +602,17 @@ def _cuts(column: pa.Array) -> list[int]:
     return out
 
 
+def _give_back() -> None:
+    """Memory that Arrow and the C library keep after it was freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _some_at_a_time(docs: DataFrame, of, added: list[tuple[str, str, pa.DataType]], needs: str) -> DataFrame:
     """``docs`` with columns that ``of`` makes from column ``needs``: Arrow in and out, and
-    never more than some rows of it, so what is held does not grow with the batch."""
+    never more than some rows of it, so what is held does not grow with the batch. What is
+    freed goes back to the system, as the worker lives on beside other stages."""
     names = [n for n, _, _ in added]
     kept = [c for c in docs.columns if c not in names]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T._parse_datatype_string(kind)) for n, kind, _ in added])
@@ -615,6 +624,10 @@ def _some_at_a_time(docs: DataFrame, of, added: list[tuple[str, str, pa.DataType
                 part = batch.slice(a, b - a)
                 made = of(part.column(needs))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, names=kept + names)
+                part = made = None
+                _give_back()
+        batch = None
+        _give_back()
 
     return docs.mapInArrow(run, schema)
 
